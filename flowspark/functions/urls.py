@@ -22,9 +22,11 @@ def url_query(url: str | Column) -> Column:
 
 
 def under_base_path(url: str | Column, base_path: str) -> Column:
-    """Path equals ``/base`` or lies below it (``/base/...``)."""
-    base = "/" + base_path.strip("/")
+    """Path equals ``/base`` or lies below it (``/base/...``); '/' takes all."""
     p = url_path(url)
+    if not base_path.strip("/"):
+        return p.isNotNull()
+    base = "/" + base_path.strip("/")
     return F.coalesce((p == base) | F.startswith(p, F.lit(base + "/")), F.lit(False))
 
 

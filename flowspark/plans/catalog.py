@@ -8,7 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowspark.functions import (append, data_size_bytes, equals, header_attributes, is_https,
+                                 is_uuid, trim_trailing_slash)
+from flowspark.operators import (drop_rel, fan_in, fan_out, route, select_rel, update,
+                                 update_attributes)
 from flowspark.plans.presets import route_and_update
+from flowspark.records import attr, to_records
+from flowspark.sources import intake
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -43,3 +49,212 @@ def route_and_store(spark: SparkSession, root: str) -> DataFrame:
     return out.select(F.col("event_id").alias("record_id"), F.col("ts").alias("created_at"),
                       "user_id", "category", "processing_time", "filename", "directory",
                       F.octet_length("props").cast("bigint").alias("size"))
+
+
+# ---------------------------------------------------------------- routing
+@register("route_multi_match", sql="""
+SELECT event_id, 'very_high' AS relationship, value FROM events WHERE value > 50
+UNION ALL
+SELECT event_id, 'purchase' AS relationship, value FROM events WHERE event_type = 'purchase'
+""")
+def route_multi_match(spark: SparkSession, root: str) -> DataFrame:
+    ev = table(spark, root, "events")
+    routed = route(ev, {"high": F.col("value") > 10, "very_high": F.col("value") > 50,
+                        "purchase": F.col("event_type") == "purchase"})
+    return select_rel(routed, "very_high", "purchase").select("event_id", "relationship", "value")
+
+
+@register("route_unmatched", sql="""
+SELECT event_id, event_type, 'unmatched' AS relationship FROM events
+WHERE NOT coalesce(event_type IN ('purchase', 'click'), false)
+""")
+def route_unmatched(spark: SparkSession, root: str) -> DataFrame:
+    ev = table(spark, root, "events")
+    routed = route(ev, {"large": F.col("event_type") == "purchase",
+                        "small": F.col("event_type") == "click"}, keep_unmatched=True)
+    return drop_rel(routed, "large", "small").select("event_id", "event_type", "relationship")
+
+
+@register("route_by_size", sql="""
+SELECT CASE WHEN strlen(text) > 10240 THEN 'large' ELSE 'small' END AS relationship,
+       count(*) AS n_records, CAST(sum(strlen(text)) AS BIGINT) AS total_bytes
+FROM documents GROUP BY 1
+""")
+def route_by_size(spark: SparkSession, root: str) -> DataFrame:
+    docs = to_records(table(spark, root, "documents"), "doc_id", F.lit(None).cast("timestamp_ntz"),
+                      content="text")
+    limit = data_size_bytes("10KB")
+    routed = route(docs, {"large": F.col("size") > limit, "small": F.col("size") <= limit},
+                   exclusive=True)
+    return routed.groupBy("relationship").agg(F.count(F.lit(1)).alias("n_records"),
+                                              F.sum("size").alias("total_bytes"))
+
+
+@register("fan_in_union", sql="""
+SELECT event_id, 'view' AS branch, 'browse' AS category, CAST(NULL AS BOOLEAN) AS welcome
+FROM events WHERE event_type = 'view'
+UNION ALL
+SELECT event_id, 'signup' AS branch, 'account' AS category, true AS welcome
+FROM events WHERE event_type = 'signup'
+""")
+def fan_in_union(spark: SparkSession, root: str) -> DataFrame:
+    ev = table(spark, root, "events").select("event_id", "event_type")
+    b = fan_out(ev, {"view": F.col("event_type") == "view", "signup": F.col("event_type") == "signup"})
+    view = update(b["view"], {"branch": "view", "category": "browse"})
+    signup = update(b["signup"], {"branch": "signup", "category": "account", "welcome": F.lit(True)})
+    return fan_in(view, signup).select("event_id", "branch", "category", "welcome")
+
+
+# ---------------------------------------------------------------- attribute map path
+def _event_records(spark: SparkSession, root: str) -> DataFrame:
+    ev = table(spark, root, "events")
+    return to_records(ev, "event_id", "ts", content="props", attributes={
+        "event_type": F.col("event_type"), "user_id": F.col("user_id"),
+        "filename": F.col("event_id")})
+
+
+@register("attr_map_update", sql="""
+SELECT CAST(event_id AS VARCHAR) AS record_id, event_type AS category,
+       CAST(event_id AS VARCHAR) || '.log' AS filename, upper(event_type) AS event_type,
+       false AS has_user_id, 3 AS n_attrs
+FROM events
+""")
+def attr_map_update(spark: SparkSession, root: str) -> DataFrame:
+    recs = update_attributes(_event_records(spark, root), {
+        "category": attr("event_type"),
+        "filename": append(attr("filename"), ".log"),
+        "event_type": F.upper(attr("event_type")),
+        "user_id": F.lit(None)})
+    return recs.select("record_id", attr("category").alias("category"),
+                       attr("filename").alias("filename"), attr("event_type").alias("event_type"),
+                       F.map_contains_key("attributes", "user_id").alias("has_user_id"),
+                       F.size("attributes").alias("n_attrs"))
+
+
+@register("attr_map_route", sql="""
+SELECT CAST(event_id AS VARCHAR) AS record_id, 'hot' AS relationship,
+       json_extract_string(props, '$.k') AS k FROM events
+WHERE TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) >= 90
+UNION ALL
+SELECT CAST(event_id AS VARCHAR), 'error', json_extract_string(props, '$.k') FROM events
+WHERE event_type = 'error'
+""")
+def attr_map_route(spark: SparkSession, root: str) -> DataFrame:
+    ev = table(spark, root, "events")
+    attrs = F.map_concat(F.from_json("props", "map<string,string>"),
+                         F.create_map(F.lit("event_type"), F.col("event_type")))
+    recs = ev.select(F.col("event_id").cast("string").alias("record_id"), attrs.alias("attributes"))
+    routed = route(recs, {"hot": attr("k").try_cast("int") >= 90,
+                          "error": equals(attr("event_type"), "error")})
+    return routed.select("record_id", "relationship", attr("k").alias("k"))
+
+
+# ---------------------------------------------------------------- requests
+def _page_requests(spark: SparkSession, root: str, base_path: str) -> DataFrame:
+    pages = table(spark, root, "pages").select(
+        "page_id", "url", F.col("html").alias("body"),
+        F.lit(None).cast("timestamp_ntz").alias("received_at"))
+    return intake(pages, base_path=base_path, headers=None, methods=None, record_id="page_id")
+
+
+_PARAMS_CTE = r"""
+WITH q AS (
+  SELECT page_id, url, html, regexp_extract(url, '^[^#?]*\?([^#]*)', 1) AS qs FROM pages
+), parts AS (
+  SELECT page_id, unnest(string_split(qs, '&')) AS p, unnest(range(1, len(string_split(qs, '&')) + 1)) AS pos
+  FROM q
+), kv AS (
+  SELECT page_id, pos,
+         'http.query.param.' || url_decode(CASE WHEN instr(p, '=') > 0 THEN split_part(p, '=', 1) ELSE p END) AS key,
+         url_decode(CASE WHEN instr(p, '=') > 0 THEN substr(p, instr(p, '=') + 1) ELSE '' END) AS value
+  FROM parts WHERE p <> ''
+), firsts AS (
+  SELECT page_id, key, value FROM kv
+  QUALIFY row_number() OVER (PARTITION BY page_id, key ORDER BY pos) = 1
+)
+"""
+
+
+@register("request_query_params", sql=_PARAMS_CTE + """
+SELECT CAST(page_id AS VARCHAR) AS record_id, key, value FROM firsts
+""")
+def request_query_params(spark: SparkSession, root: str) -> DataFrame:
+    recs = _page_requests(spark, root, "/")
+    return recs.select("record_id", F.explode("attributes").alias("key", "value"))
+
+
+@register("request_route_by_param", sql=_PARAMS_CTE + """
+, en AS (
+  SELECT page_id, html FROM pages
+  WHERE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '/en'
+     OR starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/en/')
+), routed AS (
+  SELECT en.page_id, en.html, 'feed' AS rel FROM en JOIN firsts f
+    ON f.page_id = en.page_id AND f.key = 'http.query.param.utm_source' AND f.value = 'feed'
+  UNION ALL
+  SELECT en.page_id, en.html, 'paged' FROM en JOIN firsts f
+    ON f.page_id = en.page_id AND f.key = 'http.query.param.page'
+)
+SELECT CAST(page_id AS VARCHAR) AS record_id, rel AS category,
+       CAST(page_id AS VARCHAR) || '.' || rel AS filename, 'output/' || rel AS directory,
+       CAST(strlen(html) AS BIGINT) AS size
+FROM routed
+""")
+def request_route_by_param(spark: SparkSession, root: str) -> DataFrame:
+    recs = _page_requests(spark, root, "en")
+    rules = {"feed": equals(attr("http.query.param.utm_source"), "feed"),
+             "paged": attr("http.query.param.page").isNotNull()}
+    out = route_and_update(recs, rules, filename=F.col("record_id"), now=F.col("created_at"))
+    return out.select("record_id", "category", "filename", "directory", "size")
+
+
+@register("header_regex_attributes", sql="""
+SELECT event_id, CAST(user_id AS VARCHAR) AS x_user_id, event_type AS x_event_type,
+       false AS has_content_type, 2 AS n_attrs
+FROM events
+""")
+def header_regex_attributes(spark: SparkSession, root: str) -> DataFrame:
+    ev = table(spark, root, "events")
+    headers = F.create_map(F.lit("X-User-Id"), F.col("user_id").cast("string"),
+                           F.lit("X-Event-Type"), F.col("event_type"),
+                           F.lit("Content-Type"), F.lit("application/json"),
+                           F.lit("x-lower"), F.lower("event_type"))
+    attrs = header_attributes(headers, "X-.*")
+    return ev.select("event_id", attrs["X-User-Id"].alias("x_user_id"),
+                     attrs["X-Event-Type"].alias("x_event_type"),
+                     F.map_contains_key(attrs, "Content-Type").alias("has_content_type"),
+                     F.size(attrs).alias("n_attrs"))
+
+
+# ---------------------------------------------------------------- checks
+@register("https_only", sql="""
+SELECT page_id, url, regexp_replace(url, '/+$', '') AS base_url FROM pages
+WHERE starts_with(url, 'https://')
+""")
+def https_only(spark: SparkSession, root: str) -> DataFrame:
+    pages = table(spark, root, "pages")
+    return pages.filter(is_https("url")).select("page_id", "url",
+                                                trim_trailing_slash("url").alias("base_url"))
+
+
+@register("uuid_check", sql="""
+WITH x AS (
+  SELECT event_id, value, md5(CAST(event_id AS VARCHAR)) AS m FROM events
+), y AS (
+  SELECT event_id, value, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4)
+         || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) AS h FROM x
+), z AS (
+  SELECT event_id, CASE WHEN value > 50 THEN translate(h, 'a', 'g') ELSE h END AS candidate FROM y
+)
+SELECT event_id, candidate,
+       regexp_full_match(candidate, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}') AS is_uuid
+FROM z
+""")
+def uuid_check(spark: SparkSession, root: str) -> DataFrame:
+    ev = table(spark, root, "events")
+    m = F.md5(F.col("event_id").cast("string"))
+    h = F.concat_ws("-", F.substr(m, F.lit(1), F.lit(8)), F.substr(m, F.lit(9), F.lit(4)),
+                    F.substr(m, F.lit(13), F.lit(4)), F.substr(m, F.lit(17), F.lit(4)),
+                    F.substr(m, F.lit(21), F.lit(12)))
+    cand = F.when(F.col("value") > 50, F.translate(h, "a", "g")).otherwise(h)
+    return ev.select("event_id", cand.alias("candidate")).withColumn("is_uuid", is_uuid("candidate"))
