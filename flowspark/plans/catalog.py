@@ -8,13 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowspark.functions import (append, data_size_bytes, equals, header_attributes, is_https,
-                                 is_uuid, trim_trailing_slash)
-from flowspark.operators import (drop_rel, fan_in, fan_out, route, select_rel, update,
-                                 update_attributes)
+from flowspark.functions import (append, data_size_bytes, default_if_empty, equals,
+                                 header_attributes, is_https, is_uuid, parse_data_size,
+                                 parse_duration, preview, redact, trim_trailing_slash)
+from flowspark.operators import (classify, contains, drop_rel, error_rate_spike, expire,
+                                 expiry_warning, fan_in, fan_out, latest, listing_text, log_lines,
+                                 lookup, parse_log, prioritize, project_listing, queue_pressure,
+                                 route, scan_listing, select_rel, status_positions, status_summary,
+                                 tail, threshold_alert, transition, update, update_attributes)
+from flowspark.operators.report import ITEM_SCHEMA
 from flowspark.plans.presets import route_and_update
 from flowspark.records import attr, to_records
-from flowspark.sources import intake
+from flowspark.sources import generate_records, intake
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -258,3 +263,325 @@ def uuid_check(spark: SparkSession, root: str) -> DataFrame:
                     F.substr(m, F.lit(21), F.lit(12)))
     cand = F.when(F.col("value") > 50, F.translate(h, "a", "g")).otherwise(h)
     return ev.select("event_id", cand.alias("candidate")).withColumn("is_uuid", is_uuid("candidate"))
+
+
+# ---------------------------------------------------------------- generator
+@register("generate_records", sql="""
+WITH r AS (
+  SELECT CAST(o_orderkey AS VARCHAR) || '-' || CAST(i AS VARCHAR) AS record_id, o_orderdate AS created_at
+  FROM orders, range(2) t(i)
+)
+SELECT record_id, created_at, CAST(1024 AS BIGINT) AS size,
+       md5(left(repeat(sha256(record_id), 16), 1024)) AS content_md5,
+       record_id AS filename
+FROM r
+""")
+def generate_records_q(spark: SparkSession, root: str) -> DataFrame:
+    firings = table(spark, root, "orders")
+    recs = generate_records(firings, "o_orderkey", "o_orderdate", batch_size=2, file_size="1KB")
+    return recs.select("record_id", "created_at", "size", F.md5("content").alias("content_md5"),
+                       attr("filename").alias("filename"))
+
+
+@register("generate_custom_text", sql="""
+SELECT CAST(o_orderkey AS VARCHAR) || '-0' AS record_id, o_orderdate AS created_at,
+       'Hello from the flow!' AS content, CAST(20 AS BIGINT) AS size
+FROM orders
+""")
+def generate_custom_text(spark: SparkSession, root: str) -> DataFrame:
+    firings = table(spark, root, "orders")
+    recs = generate_records(firings, "o_orderkey", "o_orderdate", batch_size=1, file_size="1KB",
+                            custom_text="Hello from the flow!")
+    return recs.select("record_id", "created_at", "content", "size")
+
+
+# ---------------------------------------------------------------- logging
+_LOG_SQL = """
+'Logging record ' || CAST(event_id AS VARCHAR) || chr(10) || 'Record attributes' || chr(10)
+|| 'Key: ''event_type''' || chr(10) || '  Value: ''' || event_type || '''' || chr(10)
+|| 'Key: ''filename''' || chr(10) || '  Value: ''' || CAST(event_id AS VARCHAR) || '''' || chr(10)
+|| 'Key: ''user_id''' || chr(10) || '  Value: ''' || CAST(user_id AS VARCHAR) || ''''
+"""
+
+
+@register("log_lines", sql=f"""
+SELECT CAST(event_id AS VARCHAR) AS record_id,
+       CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'debug' ELSE 'info' END AS level,
+       {_LOG_SQL} || chr(10) || 'Payload: ' || props AS line
+FROM events WHERE event_type <> 'click'
+""")
+def log_lines_q(spark: SparkSession, root: str) -> DataFrame:
+    recs = _event_records(spark, root).withColumn("level", _event_level_from_attrs())
+    return log_lines(recs, level=F.col("level"), payload=True, min_level="info")
+
+
+def _event_level_from_attrs() -> F.Column:
+    t = attr("event_type")
+    return F.when(t == "error", "error").when(t == "click", "debug").otherwise("info")
+
+
+@register("log_parse", sql="""
+SELECT CAST(event_id AS VARCHAR) AS record_id, event_type, CAST(user_id AS VARCHAR) AS user_id,
+       CAST(event_id AS VARCHAR) AS filename, props AS payload, 3 AS n_attrs
+FROM events
+""")
+def log_parse_q(spark: SparkSession, root: str) -> DataFrame:
+    parsed = parse_log(log_lines(_event_records(spark, root), payload=True))
+    return parsed.select("record_id", attr("event_type").alias("event_type"),
+                         attr("user_id").alias("user_id"), attr("filename").alias("filename"),
+                         F.col("content").alias("payload"), F.size("attributes").alias("n_attrs"))
+
+
+@register("log_contains", sql=f"""
+SELECT CAST(event_id AS VARCHAR) AS record_id, {_LOG_SQL} AS line
+FROM events WHERE event_type = 'error'
+""")
+def log_contains(spark: SparkSession, root: str) -> DataFrame:
+    lines = log_lines(_event_records(spark, root))
+    return contains(lines, "line", "Value: 'error'").select("record_id", "line")
+
+
+@register("log_tail", sql=f"""
+SELECT CAST(event_id AS VARCHAR) AS record_id, ts AS created_at, {_LOG_SQL} AS line
+FROM events ORDER BY ts DESC, event_id DESC LIMIT 20
+""")
+def log_tail(spark: SparkSession, root: str) -> DataFrame:
+    recs = _event_records(spark, root).withColumn("event_id", F.col("record_id").cast("bigint"))
+    lines = log_lines(recs, keep=["created_at", "event_id"])
+    return tail(lines, 20, "created_at", "event_id").select("record_id", "created_at", "line")
+
+
+@register("redact_secrets", sql=r"""
+WITH r AS (
+  SELECT doc_id, text,
+    regexp_replace(
+      regexp_replace(
+        regexp_replace(text, '(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+', '\1***', 'g'),
+        '(?i)(password|passwd|pwd|secret|token|api[_-]?key)(\s*[:=]\s*)[^\s,;]+', '\1\2***', 'g'),
+      '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}', '[email]', 'g') AS redacted
+  FROM documents
+)
+SELECT doc_id, redacted, redacted <> text AS was_redacted FROM r
+""")
+def redact_secrets(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return (docs.select("doc_id", "text", redact("text").alias("redacted"))
+            .select("doc_id", "redacted", (F.col("redacted") != F.col("text")).alias("was_redacted")))
+
+
+# ---------------------------------------------------------------- store (latest wins)
+@register("store_replace", sql="""
+SELECT event_type AS directory, 'user_' || CAST(user_id AS VARCHAR) AS filename,
+       arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS created_at,
+       arg_max(value, (ts, event_id)) AS value
+FROM events GROUP BY 1, 2
+""")
+def store_replace(spark: SparkSession, root: str) -> DataFrame:
+    ev = table(spark, root, "events").select(
+        F.col("event_type").alias("directory"),
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("filename"),
+        "event_id", F.col("ts").alias("created_at"), "value")
+    return latest(ev, ["directory", "filename"], ["created_at", "event_id"])
+
+
+# ---------------------------------------------------------------- listing and lookups
+def _listing_bodies(spark: SparkSession, root: str) -> DataFrame:
+    conv = table(spark, root, "conversations")
+    item = F.struct(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+        F.struct(F.col("turn").alias("version")).alias("revision"),
+        F.struct(F.col("role").alias("name"),
+                 F.concat(F.lit("org.example.stage."), F.initcap("role")).alias("type"),
+                 F.when(F.col("role") == "assistant", "RUNNING").otherwise("STOPPED").alias("state"))
+        .alias("component"))
+    items = F.when(F.col("role") == "system", F.array().cast("array<" + ITEM_SCHEMA.simpleString() + ">")) \
+        .otherwise(F.array(item))
+    return conv.select(F.to_json(F.struct(items.alias("processors"))).alias("body"),
+                       preview("text").alias("preview"))
+
+
+@register("listing_explode", sql="""
+SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, role AS name,
+       'org.example.stage.' || upper(left(role, 1)) || lower(substr(role, 2)) AS type,
+       upper(left(role, 1)) || lower(substr(role, 2)) AS short_type,
+       CASE WHEN role = 'assistant' THEN 'RUNNING' ELSE 'STOPPED' END AS state,
+       turn AS version, left(text, 50) AS preview,
+       'ID: ' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) || chr(10) || 'Name: ' || role
+         || chr(10) || 'Type: org.example.stage.' || upper(left(role, 1)) || lower(substr(role, 2))
+         || chr(10) || 'State: ' || CASE WHEN role = 'assistant' THEN 'RUNNING' ELSE 'STOPPED' END AS listing_row
+FROM conversations WHERE role <> 'system'
+""")
+def listing_explode(spark: SparkSession, root: str) -> DataFrame:
+    items = project_listing(scan_listing(_listing_bodies(spark, root), "body", keep=["preview"]),
+                            keep=["preview"])
+    return items.withColumn("listing_row", listing_text(F.col("id"), F.col("name"), F.col("type"),
+                                                        F.col("state")))
+
+
+@register("lookup_names", sql="""
+SELECT o.o_orderkey, c.c_name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+""")
+def lookup_names(spark: SparkSession, root: str) -> DataFrame:
+    orders = table(spark, root, "orders").select("o_orderkey", "o_custkey")
+    return lookup(orders, table(spark, root, "customer"), "o_custkey", "c_custkey",
+                  ["c_name"]).select("o_orderkey", "c_name")
+
+
+# ---------------------------------------------------------------- run summaries
+def _order_states(spark: SparkSession, root: str) -> DataFrame:
+    orders = table(spark, root, "orders").select("o_orderkey", "o_orderstatus")
+    state = (F.when(F.col("o_orderstatus") == "O", "RUNNING")
+             .when(F.col("o_orderstatus") == "F", "STOPPED").otherwise("INVALID"))
+    return orders.withColumn("state", state)
+
+
+_OUTCOME_SQL = """
+CASE WHEN o_orderstatus = 'P' THEN 'failed' WHEN o_orderstatus = 'O' THEN 'already_running'
+     ELSE 'started' END
+"""
+
+
+@register("status_summary", sql=f"""
+SELECT count(*) FILTER (WHERE {_OUTCOME_SQL} = 'started') AS n_started,
+       count(*) FILTER (WHERE {_OUTCOME_SQL} = 'already_running') AS n_already_running,
+       count(*) FILTER (WHERE {_OUTCOME_SQL} = 'failed') AS n_failed,
+       count(*) AS n_total
+FROM orders
+""")
+def status_summary_q(spark: SparkSession, root: str) -> DataFrame:
+    st = transition(_order_states(spark, root), "state", "RUNNING",
+                    failed=F.col("o_orderstatus") == "P")
+    return status_summary(st, "outcome", ["started", "already_running", "failed"])
+
+
+@register("status_lists", sql=f"""
+SELECT {_OUTCOME_SQL} AS outcome, o_orderkey,
+       row_number() OVER (PARTITION BY {_OUTCOME_SQL} ORDER BY o_orderkey) AS position
+FROM orders
+""")
+def status_lists(spark: SparkSession, root: str) -> DataFrame:
+    st = transition(_order_states(spark, root), "state", "RUNNING",
+                    failed=F.col("o_orderstatus") == "P")
+    return status_positions(st, "outcome", "o_orderkey")
+
+
+@register("transition_report", sql="""
+SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'RUNNING' ELSE 'STOPPED' END AS state,
+       CASE o_orderstatus WHEN 'O' THEN 'already_running' ELSE 'started' END AS on_start,
+       CASE o_orderstatus WHEN 'O' THEN 'stopped' ELSE 'already_stopped' END AS on_stop
+FROM orders WHERE o_orderstatus IN ('O', 'F')
+""")
+def transition_report(spark: SparkSession, root: str) -> DataFrame:
+    st = _order_states(spark, root).filter(F.col("state").isin("RUNNING", "STOPPED"))
+    return st.select("o_orderkey", "state",
+                     classify(F.col("state"), "RUNNING").alias("on_start"),
+                     classify(F.col("state"), "STOPPED").alias("on_stop"))
+
+
+# ---------------------------------------------------------------- parsers
+@register("parse_size_duration", sql="""
+WITH t AS (
+  SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, p_brand, p_size % 6 AS u,
+         CAST(p_size AS VARCHAR) || CASE p_size % 6 WHEN 0 THEN 'KB' WHEN 1 THEN ' GB' WHEN 2 THEN ' sec'
+           WHEN 3 THEN 'furlong' WHEN 4 THEN '' ELSE ' min' END AS text
+  FROM part
+)
+SELECT p_partkey, text,
+       CAST(CASE u WHEN 0 THEN p_size * 1024 WHEN 1 THEN p_size * 1073741824 WHEN 4 THEN p_size END AS BIGINT) AS size_bytes,
+       CAST(CASE u WHEN 2 THEN p_size * 1000 WHEN 5 THEN p_size * 60000 END AS BIGINT) AS duration_ms,
+       CASE WHEN u = 4 THEN 'unbranded' ELSE p_brand END AS label
+FROM t
+""")
+def parse_size_duration(spark: SparkSession, root: str) -> DataFrame:
+    part = table(spark, root, "part")
+    u = F.col("p_size") % 6
+    unit = (F.when(u == 0, "KB").when(u == 1, " GB").when(u == 2, " sec").when(u == 3, "furlong")
+            .when(u == 4, "").otherwise(" min"))
+    t = part.select("p_partkey", F.concat(F.col("p_size").cast("string"), unit).alias("text"),
+                    F.when(u == 4, F.lit("")).otherwise(F.col("p_brand")).alias("brand"))
+    return t.select("p_partkey", "text", parse_data_size("text").alias("size_bytes"),
+                    parse_duration("text").alias("duration_ms"),
+                    default_if_empty("brand", "unbranded").alias("label"))
+
+
+# ---------------------------------------------------------------- queues
+@register("expire_records", sql="""
+SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-24 00:00:00'
+""")
+def expire_records(spark: SparkSession, root: str) -> DataFrame:
+    ev = table(spark, root, "events").select("event_id", "ts")
+    return expire(ev, "7 days", ts="ts", now="2024-01-31 00:00:00")
+
+
+@register("queue_pressure", sql="""
+WITH w AS (
+  SELECT event_id, event_type AS queue,
+         count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS backlog_objects,
+         CAST(sum(strlen(props)) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS backlog_bytes
+  FROM events
+)
+SELECT *, backlog_objects >= 1000 OR backlog_bytes >= 20480 AS throttled FROM w
+""")
+def queue_pressure_q(spark: SparkSession, root: str) -> DataFrame:
+    ev = table(spark, root, "events").select(
+        "event_id", F.col("event_type").alias("queue"), "ts",
+        F.octet_length("props").cast("bigint").alias("size"))
+    out = queue_pressure(ev, "queue", ["ts", "event_id"], "size", max_objects=1000,
+                         max_bytes="20 KB")
+    return out.select("event_id", "queue", "backlog_objects", "backlog_bytes", "throttled")
+
+
+@register("prioritize_top", sql="""
+SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20
+""")
+def prioritize_top(spark: SparkSession, root: str) -> DataFrame:
+    ev = table(spark, root, "events").select("event_id", "value")
+    return prioritize(ev, F.col("value").desc(), F.col("event_id").asc()).limit(20)
+
+
+# ---------------------------------------------------------------- alerts
+@register("alert_threshold", sql="""
+SELECT * FROM (
+  SELECT event_id, event_type, ts,
+         count(*) OVER (PARTITION BY event_type ORDER BY ts
+                        RANGE BETWEEN INTERVAL 30 MINUTES PRECEDING AND CURRENT ROW) AS n_recent
+  FROM events
+) WHERE n_recent > 2
+""")
+def alert_threshold(spark: SparkSession, root: str) -> DataFrame:
+    ev = table(spark, root, "events").select("event_id", "event_type", "ts")
+    return threshold_alert(ev, "event_type", "ts", "30 minutes", more_than=2)
+
+
+@register("error_rate_spike", sql="""
+WITH per AS (
+  SELECT date_trunc('hour', ts) AS period_start, count(*) AS n_events,
+         count(*) FILTER (WHERE event_type = 'error') AS n_errors
+  FROM events GROUP BY 1
+), prior AS (
+  SELECT p.period_start, CAST(sum(q.n_events) AS BIGINT) AS pe, CAST(sum(q.n_errors) AS BIGINT) AS perr
+  FROM per p JOIN per q
+    ON q.period_start >= p.period_start - INTERVAL 3 HOUR AND q.period_start < p.period_start
+  GROUP BY 1
+)
+SELECT p.period_start, n_events, n_errors, coalesce(pe, 0) AS prior_events,
+       coalesce(perr, 0) AS prior_errors, round(n_errors / n_events, 6) AS error_rate,
+       round(perr / pe, 6) AS trailing_rate,
+       coalesce(n_errors / n_events > perr / pe + 0.05, false) AS is_spike
+FROM per p LEFT JOIN prior USING (period_start)
+""")
+def error_rate_spike_q(spark: SparkSession, root: str) -> DataFrame:
+    ev = table(spark, root, "events").select("ts", "event_type")
+    return error_rate_spike(ev, "ts", F.col("event_type") == "error", period="1 hour",
+                            lookback=3, limit=0.05)
+
+
+@register("expiry_warning", sql="""
+SELECT o_orderkey, o_orderdate,
+       datediff('day', DATE '1998-06-01', CAST(o_orderdate AS DATE)) AS days_left
+FROM orders
+WHERE o_orderdate >= TIMESTAMP '1998-06-01 00:00:00' AND o_orderdate <= TIMESTAMP '1998-07-01 00:00:00'
+""")
+def expiry_warning_q(spark: SparkSession, root: str) -> DataFrame:
+    orders = table(spark, root, "orders").select("o_orderkey", "o_orderdate")
+    return expiry_warning(orders, "o_orderdate", "30 days", now="1998-06-01 00:00:00")
