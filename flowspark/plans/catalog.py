@@ -17,9 +17,11 @@ from flowspark.operators import (classify, contains, drop_rel, error_rate_spike,
                                  route, scan_listing, select_rel, status_positions, status_summary,
                                  tail, threshold_alert, transition, update, update_attributes)
 from flowspark.operators.report import ITEM_SCHEMA
-from flowspark.plans.presets import route_and_update
+from flowspark.plans.presets import route_and_store_flow, route_and_update, sample_flow
 from flowspark.records import attr, to_records
-from flowspark.sources import generate_records, intake
+from flowspark.session import work_dir
+from flowspark.sources import generate_records, intake, read_log
+from flowspark.streaming import run_to_end, sliding_alert, start_file_sink, stream_table
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -585,3 +587,92 @@ WHERE o_orderdate >= TIMESTAMP '1998-06-01 00:00:00' AND o_orderdate <= TIMESTAM
 def expiry_warning_q(spark: SparkSession, root: str) -> DataFrame:
     orders = table(spark, root, "orders").select("o_orderkey", "o_orderdate")
     return expiry_warning(orders, "o_orderdate", "30 days", now="1998-06-01 00:00:00")
+
+
+# ---------------------------------------------------------------- flows
+@register("flow_preset_sample", sql=f"""
+SELECT CAST(o_orderkey AS VARCHAR) || '-0' AS record_id, 'info' AS level,
+       'Logging record ' || CAST(o_orderkey AS VARCHAR) || '-0' || chr(10) || 'Record attributes' || chr(10)
+       || 'Key: ''filename''' || chr(10) || '  Value: ''' || CAST(o_orderkey AS VARCHAR) || '-0''' || chr(10)
+       || 'Payload: Hello from the flow!' AS line
+FROM orders
+""")
+def flow_preset_sample(spark: SparkSession, root: str) -> DataFrame:
+    flow = sample_flow(table(spark, root, "orders"), "o_orderkey", "o_orderdate",
+                       custom_text="Hello from the flow!")
+    return flow.plan(spark)["log"]
+
+
+@register("flow_route_store_graph", sql=ORACLE["route_and_store"])
+def flow_route_store_graph(spark: SparkSession, root: str) -> DataFrame:
+    ev = table(spark, root, "events")
+    rules = {"large": F.col("event_type") == "purchase", "small": F.col("event_type") == "click"}
+    flow = route_and_store_flow(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"))
+    out = flow.plan(spark)["store"]
+    return out.select(F.col("event_id").alias("record_id"), F.col("ts").alias("created_at"),
+                      "user_id", "category", "processing_time", "filename", "directory",
+                      F.octet_length("props").cast("bigint").alias("size"))
+
+
+# ---------------------------------------------------------------- streaming (available-now runs)
+def _drain(spark: SparkSession, name: str, df: DataFrame, partition_by=(), fmt="parquet") -> str:
+    base = work_dir(spark, name)
+    q = start_file_sink(df, f"{base}/out", f"{base}/checkpoint", partition_by=partition_by, fmt=fmt,
+                        available_now=True)
+    run_to_end(q)
+    return f"{base}/out"
+
+
+@register("stream_route_store", sql=ORACLE["route_and_store"])
+def stream_route_store(spark: SparkSession, root: str) -> DataFrame:
+    ev = stream_table(spark, root, "events")
+    rules = {"large": F.col("event_type") == "purchase", "small": F.col("event_type") == "click"}
+    out = route_and_update(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"),
+                           exclusive=True).select(
+        F.col("event_id").alias("record_id"), F.col("ts").alias("created_at"), "user_id",
+        "category", "processing_time", "filename", "directory",
+        F.octet_length("props").cast("bigint").alias("size"))
+    path = _drain(spark, "stream_route_store", out, partition_by=["category"])
+    return spark.read.schema(out.schema).parquet(path)
+
+
+@register("stream_generate", sql=ORACLE["generate_records"])
+def stream_generate(spark: SparkSession, root: str) -> DataFrame:
+    firings = stream_table(spark, root, "orders")
+    recs = generate_records(firings, "o_orderkey", "o_orderdate", batch_size=2, file_size="1KB")
+    path = _drain(spark, "stream_generate", recs)
+    stored = spark.read.schema(recs.schema).parquet(path)
+    return stored.select("record_id", "created_at", "size", F.md5("content").alias("content_md5"),
+                         attr("filename").alias("filename"))
+
+
+@register("stream_alert_sliding", sql="""
+WITH w AS (
+  SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) - k * INTERVAL 10 MINUTE AS window_start
+  FROM events, range(3) t(k)
+), agg AS (
+  SELECT window_start, window_start + INTERVAL 30 MINUTE AS window_end, event_type, count(*) AS n_events
+  FROM w GROUP BY ALL
+)
+SELECT * FROM agg
+WHERE n_events > 2 AND window_end <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE
+""")
+def stream_alert_sliding(spark: SparkSession, root: str) -> DataFrame:
+    ev = stream_table(spark, root, "events").select("event_type", "ts")
+    alerts = sliding_alert(ev, "event_type", "ts", "30 minutes", "10 minutes", "30 minutes", 2)
+    path = _drain(spark, "stream_alert_sliding", alerts)
+    return spark.read.schema(alerts.schema).parquet(path)
+
+
+@register("stream_log_tail", sql="""
+SELECT '  Value: ''error''' AS value FROM events WHERE event_type = 'error'
+""")
+def stream_log_tail(spark: SparkSession, root: str) -> DataFrame:
+    """Write the event log as text, then follow it as a stream and keep matching lines."""
+    base = work_dir(spark, "stream_log_tail")
+    log_lines(_event_records(spark, root)).select("line").write.text(f"{base}/log")
+    lines = read_log(spark, f"{base}/log", stream=True)
+    hits = lines.filter(F.col("value").contains("Value: 'error'"))
+    q = start_file_sink(hits, f"{base}/out", f"{base}/checkpoint", available_now=True)
+    run_to_end(q)
+    return spark.read.schema(hits.schema).parquet(f"{base}/out")

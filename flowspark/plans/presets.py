@@ -29,3 +29,36 @@ def route_and_update(df: DataFrame, rules: Mapping[str, Column], filename: Colum
         "filename": append(filename, F.concat(F.lit("."), rel)),
         "directory": template(root.rstrip("/") + "/", rel),
     }).drop(RELATIONSHIP)
+
+
+def sample_flow(firings: DataFrame, firing_id: str = "firing_id", fired_at: str = "fired_at",
+                batch_size: int = 1, file_size: str = "1KB", custom_text: str | None = None,
+                level: str = "info", payload: bool = True):
+    """generate → log, the sample two-stage flow."""
+    from flowspark.plans.flow import Flow
+    return (Flow("sample")
+            .add("generate", "generate", firings=firings, firing_id=firing_id, fired_at=fired_at,
+                 batch_size=batch_size, file_size=file_size, custom_text=custom_text)
+            .add("log", "log", auto_terminate=["success"], level=level, payload=payload)
+            .connect("generate", "log", ["success"]))
+
+
+def route_and_store_flow(source: DataFrame, rules: Mapping[str, Column], filename: Column,
+                         now: str | Column | None = None, root: str = "output"):
+    """intake table → route → one update stage per branch → fan-in, as a Flow graph."""
+    from flowspark.plans.flow import Flow
+    flow = (Flow("route_and_store")
+            .add("source", "table", frame=source)
+            .add("route", "route", auto_terminate=["unmatched"], rules=dict(rules)))
+    flow.connect("source", "route")
+    for branch in rules:
+        flow.add(f"update_{branch}", "update", assignments={
+            "category": F.lit(branch),
+            "processing_time": format_time(now_column(now)),
+            "filename": append(filename, "." + branch),
+            "directory": F.lit(root.rstrip("/") + "/" + branch)})
+        flow.connect("route", f"update_{branch}", [branch])
+    flow.add("store", "update", assignments={})
+    for branch in rules:
+        flow.connect(f"update_{branch}", "store")
+    return flow
