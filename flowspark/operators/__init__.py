@@ -4,7 +4,7 @@ from flowspark.operators.alerts import (epoch_micros, error_rate_spike, expiry_w
                                         older_than, threshold_alert)
 from flowspark.operators.prefix import running_totals
 from flowspark.operators.queue import expire, prioritize, queue_pressure
-from flowspark.operators.report import (classify, contains, listing_text, lookup,
+from flowspark.operators.report import (classify, contains, counters, listing_text, lookup,
                                         project_listing, scan_listing, status_positions,
                                         status_summary, tail, transition)
 from flowspark.operators.route import (RELATIONSHIP, UNMATCHED, drop_rel, fan_in, fan_out,
@@ -15,7 +15,7 @@ from flowspark.operators.sinks import (LEVELS, latest, level_rank, log_lines, pa
 __all__ = [
     "epoch_micros", "error_rate_spike", "expiry_warning", "older_than", "threshold_alert",
     "running_totals", "expire", "prioritize", "queue_pressure", "classify", "contains",
-    "listing_text", "lookup", "project_listing", "scan_listing", "status_positions",
+    "counters", "listing_text", "lookup", "project_listing", "scan_listing", "status_positions",
     "status_summary", "tail", "transition", "RELATIONSHIP", "UNMATCHED", "drop_rel", "fan_in",
     "fan_out", "route", "select_rel", "unmatched", "update", "update_attributes", "LEVELS",
     "latest", "level_rank", "log_lines", "parse_log", "read_store", "store",

@@ -2,9 +2,14 @@
 
 ``Window.partitionBy(key)`` sends every row of a key to one task. Here the
 rows are range-partitioned on (key, order) instead, so a hot key spreads over
-many tasks; each task sums its own slice, and a small table of slice totals
+many slices; each slice sums its own rows, and a small table of slice totals
 (one row per (slice, key) pair: at most slices + keys rows) gives each slice
-the offset of all earlier slices of its key.
+the total of all earlier slices of its key.
+
+Slice ids come from a sampled range partitioner, so they are fixed once by
+writing the slice-local sums to a table in the shared work folder; offsets and
+the final join both read that table. It also cuts the lineage: a lost
+executor re-reads the table instead of re-sampling the boundaries.
 """
 
 from __future__ import annotations
@@ -14,11 +19,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowspark.session import work_dir
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   sums: Mapping[str, Column], slices: int | None = None) -> DataFrame:
+                   sums: Mapping[str, Column | str], slices: int | None = None) -> DataFrame:
     """Add ``name = SUM(expr) OVER (PARTITION BY keys ORDER BY order ROWS UNBOUNDED PRECEDING)``.
 
-    ``order`` must make rows unique within a key (add the id), as with ROWS frames.
+    ``order`` must make rows unique within a key (add the id), as with ROWS
+    frames. Eager: runs one job that writes the slice-local sums. Project the
+    input to the needed columns first.
     """
     spark = df.sparkSession
     n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -30,20 +40,23 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
               .withColumn("__slice", F.spark_partition_id()))
     local_w = (Window.partitionBy("__slice", *keys).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = staged.withColumns({f"{v}_run": F.sum(v).over(local_w) for v in vals})
-    totals = staged.groupBy("__slice", *keys).agg(*[F.sum(v).alias(f"{v}_tot") for v in vals])
+    path = work_dir(spark, "running_totals")
+    staged.withColumns({v: F.sum(v).over(local_w) for v in vals}).write.parquet(path)
+    local = spark.read.parquet(path)
+
+    # Slice totals are the largest running value of each (slice, key).
+    totals = local.groupBy("__slice", *keys).agg(*[F.max(v).alias(f"{v}_tot") for v in vals])
     before = (Window.partitionBy(*keys).orderBy("__slice")
               .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select("__slice", *keys, *[
-        F.coalesce(F.sum(f"{v}_tot").over(before), F.lit(0)).alias(f"{v}_off") for v in vals])
-    # At most slices + distinct keys rows. No hint: AQE broadcasts it when its
-    # measured size is under the broadcast threshold, else it is a shuffle join
-    # on (slice, key), which is balanced because each pair is one slice at most.
-    offsets = offsets.select(*[F.col(c).alias(f"__o_{c}") for c in offsets.columns])
-    cond = [F.col("__slice") == F.col("__o___slice")]
+    offsets = totals.select(
+        F.col("__slice").alias("__o_slice"), *[F.col(k).alias(f"__o_{k}") for k in keys],
+        *[F.coalesce(F.sum(f"{v}_tot").over(before), F.lit(0)).alias(f"{v}_off") for v in vals])
+    # No hint: AQE broadcasts the offsets when their measured size is under the
+    # threshold, else it is a shuffle join on (slice, key), balanced because
+    # each pair covers one slice at most.
+    cond = [F.col("__slice") == F.col("__o_slice")]
     cond += [F.col(k).eqNullSafe(F.col(f"__o_{k}")) for k in keys]
-    joined = local.join(offsets, on=cond, how="inner").withColumnsRenamed(
-        {f"__o_{v}_off": f"{v}_off" for v in vals})
-    joined = joined.drop(*[f"__o_{c}" for c in ["__slice", *keys]])
-    out = joined.withColumns({names[v]: F.col(f"{v}_run") + F.col(f"{v}_off") for v in vals})
-    return out.drop("__slice", *vals, *[f"{v}_run" for v in vals], *[f"{v}_off" for v in vals])
+    joined = local.join(offsets, on=cond, how="inner")
+    out = joined.withColumns({names[v]: F.col(v) + F.col(f"{v}_off") for v in vals})
+    return out.drop("__slice", "__o_slice", *[f"__o_{k}" for k in keys], *vals,
+                    *[f"{v}_off" for v in vals])

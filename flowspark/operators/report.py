@@ -96,3 +96,13 @@ def tail(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
 
 def contains(df: DataFrame, col: str, text: str) -> DataFrame:
     return df.filter(F.col(col).contains(text))
+
+
+def counters(df: DataFrame, observation, size: str | None = "size") -> DataFrame:
+    """Flow counters without an extra job: records and bytes seen, read from the
+    ``Observation`` after an action (batch) or ``lastProgress.observedMetrics``
+    (stream, where ``observation`` is a name)."""
+    metrics = [F.count(F.lit(1)).alias("records")]
+    if size:
+        metrics.append(F.coalesce(F.sum(F.col(size)), F.lit(0)).cast("bigint").alias("bytes"))
+    return df.observe(observation, *metrics)

@@ -9,6 +9,7 @@ and returns one DataFrame per terminal stage; nothing runs until an action.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -128,8 +129,11 @@ class Flow:
         for name in self.order():
             st = self.stages[name]
             kind = STAGE_TYPES[st.type]
+            props = dict(st.props)
+            if "auto_terminate" in inspect.signature(kind.fn).parameters:
+                props["auto_terminate"] = st.auto_terminate
             if kind.source:
-                df = kind.fn(spark, **st.props)
+                df = kind.fn(spark, **props)
             else:
                 ins = []
                 for e in self.edges:
@@ -140,7 +144,7 @@ class Flow:
                         ins.append(up)
                 if not ins:
                     raise ValueError(f"{name} has no input")
-                df = kind.fn(fan_in(*ins), **st.props)
+                df = kind.fn(fan_in(*ins), **props)
             if st.auto_terminate and RELATIONSHIP in df.columns:
                 df = df.filter(~F.col(RELATIONSHIP).isin(list(st.auto_terminate)))
             outputs[name] = df
@@ -168,8 +172,9 @@ def _intake_stage(df: DataFrame, base_path: str = "/", header_regex: str = ".*",
 
 
 @stage_type("route", relationships=lambda p: [*p["rules"], "unmatched"])
-def _route_stage(df: DataFrame, rules: dict) -> DataFrame:
-    return route(df, rules, keep_unmatched=True)
+def _route_stage(df: DataFrame, rules: dict, auto_terminate: tuple[str, ...] = ()) -> DataFrame:
+    # Dropped unmatched rows let the raw rules act as a pushed-down pre-filter.
+    return route(df, rules, keep_unmatched="unmatched" not in auto_terminate)
 
 
 @stage_type("update")
