@@ -57,26 +57,28 @@ def error_rate_spike(df: DataFrame, ts: str, is_error: Column, period: str = "1
     periods before it (by time; empty periods count as nothing) and ``is_spike``
     when the rate exceeds that trailing rate by more than ``limit``.
 
-    Both steps are grouped aggregates over the small per-period table; the
-    trailing sums come from shifted copies, not from a single-task window.
+    One scan, one aggregate: each event counts for its own period and, as
+    "prior", for each of the next ``lookback`` periods. The copies are made
+    before the partial aggregation, so the shuffle carries one row per
+    (task, period), and no single-task window over all periods is needed.
     """
     ms = _ms(period)
-    per = (df.groupBy(F.window(F.col(ts), f"{ms} milliseconds").start.alias("period_start"))
-           .agg(F.count(F.lit(1)).alias("n_events"),
-                F.count_if(F.coalesce(is_error, F.lit(False))).alias("n_errors")))
-    shift = F.explode(F.sequence(F.lit(1), F.lit(lookback))).alias("__j")
-    prior = (per.select("*", shift)
-             .withColumn("__target", F.col("period_start") +
-                         F.make_dt_interval(secs=(F.col("__j") * F.lit(ms / 1000.0)).cast("decimal(18,6)")))
-             .groupBy("__target")
-             .agg(F.sum("n_events").alias("prior_events"), F.sum("n_errors").alias("prior_errors")))
-    out = per.join(prior, per["period_start"] == prior["__target"], "left").drop("__target")
-    rate = F.col("n_errors") / F.col("n_events")
-    trailing = F.col("prior_errors") / F.col("prior_events")
+    staged = df.select(F.window(F.col(ts), f"{ms} milliseconds").start.alias("__p"),
+                       F.coalesce(is_error, F.lit(False)).alias("__e"))
+    shifted = staged.select("__e", F.explode(F.sequence(F.lit(0), F.lit(lookback))).alias("__j"),
+                            "__p").withColumn(
+        "period_start", F.col("__p") + F.make_dt_interval(
+            secs=(F.col("__j") * F.lit(ms / 1000.0)).cast("decimal(18,6)")))
+    own, prior = F.col("__j") == 0, F.col("__j") > 0
+    out = (shifted.groupBy("period_start")
+           .agg(F.count_if(own).alias("n_events"), F.count_if(own & F.col("__e")).alias("n_errors"),
+                F.count_if(prior).alias("prior_events"),
+                F.count_if(prior & F.col("__e")).alias("prior_errors"))
+           .filter(F.col("n_events") > 0))
+    rate = F.col("n_errors") / F.nullif(F.col("n_events"), F.lit(0))
+    trailing = F.col("prior_errors") / F.nullif(F.col("prior_events"), F.lit(0))
     return out.select(
-        "period_start", "n_events", "n_errors",
-        F.coalesce(F.col("prior_events"), F.lit(0)).alias("prior_events"),
-        F.coalesce(F.col("prior_errors"), F.lit(0)).alias("prior_errors"),
+        "period_start", "n_events", "n_errors", "prior_events", "prior_errors",
         F.round(rate, 6).alias("error_rate"),
         F.round(trailing, 6).alias("trailing_rate"),
         F.coalesce(rate > trailing + F.lit(limit), F.lit(False)).alias("is_spike"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions import (append, data_size_bytes, default_if_empty, equals,
-                                 header_attributes, is_https, is_uuid, parse_data_size,
+                                 header_attributes, is_https, is_missing, is_uuid, parse_data_size,
                                  parse_duration, preview, redact, trim_trailing_slash)
 from flowspark.operators import (classify, contains, drop_rel, error_rate_spike, expire,
                                  expiry_warning, fan_in, fan_out, latest, listing_text, log_lines,
@@ -676,3 +676,17 @@ def stream_log_tail(spark: SparkSession, root: str) -> DataFrame:
     q = start_file_sink(hits, f"{base}/out", f"{base}/checkpoint", available_now=True)
     run_to_end(q)
     return spark.read.schema(hits.schema).parquet(f"{base}/out")
+
+
+# ---------------------------------------------------------------- missing values
+@register("label_missing", sql="""
+SELECT d.doc_id, l.quality IS NULL AS label_missing,
+       CASE WHEN l.quality IS NULL THEN 'unlabelled' ELSE CAST(l.quality AS VARCHAR) END AS quality
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+""")
+def label_missing(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id")
+    labels = table(spark, root, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
+    joined = lookup(docs, labels, "doc_id", "doc_id", ["quality"])
+    return joined.select("doc_id", is_missing("quality").alias("label_missing"),
+                         default_if_empty("quality", "unlabelled").alias("quality"))
