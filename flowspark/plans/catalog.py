@@ -14,14 +14,16 @@ from flowspark.functions import (append, data_size_bytes, default_if_empty, equa
 from flowspark.operators import (classify, contains, drop_rel, error_rate_spike, expire,
                                  expiry_warning, fan_in, fan_out, latest, listing_text, log_lines,
                                  lookup, parse_log, prioritize, project_listing, queue_pressure,
-                                 route, scan_listing, select_rel, status_positions, status_summary,
-                                 tail, threshold_alert, transition, update, update_attributes)
+                                 read_store, route, scan_listing, select_rel, status_positions,
+                                 status_summary, store, tail, threshold_alert, transition, update,
+                                 update_attributes)
 from flowspark.operators.report import ITEM_SCHEMA
 from flowspark.plans.presets import route_and_store_flow, route_and_update, sample_flow
 from flowspark.records import attr, to_records
 from flowspark.session import work_dir
-from flowspark.sources import generate_records, intake, read_log
-from flowspark.streaming import run_to_end, sliding_alert, start_file_sink, stream_table
+from flowspark.sources import generate_records, intake, read_log, read_requests
+from flowspark.streaming import (run_to_end, sliding_alert, start_file_sink, stream_path,
+                                 stream_table)
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -690,3 +692,90 @@ def label_missing(spark: SparkSession, root: str) -> DataFrame:
     joined = lookup(docs, labels, "doc_id", "doc_id", ["quality"])
     return joined.select("doc_id", is_missing("quality").alias("label_missing"),
                          default_if_empty("quality", "unlabelled").alias("quality"))
+
+
+# ---------------------------------------------------------------- more paths end to end
+@register("alert_failed_login", sql="""
+SELECT * FROM (
+  SELECT event_id, ts, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 5 MINUTES PRECEDING
+                                      AND CURRENT ROW) AS n_recent
+  FROM events WHERE event_type = 'error'
+) WHERE n_recent > 5
+""")
+def alert_failed_login(spark: SparkSession, root: str) -> DataFrame:
+    """More than 5 failed authentications (error events) in 5 minutes, over all
+    of them: no key, so the time buckets alone spread the work."""
+    errors = table(spark, root, "events").filter(F.col("event_type") == "error").select("event_id", "ts")
+    return threshold_alert(errors, None, "ts", "5 minutes", more_than=5)
+
+
+@register("store_written", sql=ORACLE["store_replace"])
+def store_written(spark: SparkSession, root: str) -> DataFrame:
+    """Store by directory with replace, twice (a replayed write), then read back."""
+    ev = table(spark, root, "events").select(
+        F.col("event_type").alias("directory"),
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("filename"),
+        "event_id", F.col("ts").alias("created_at"), "value")
+    path = work_dir(spark, "store_written")
+    order = ["created_at", "event_id"]
+    for _ in range(2):
+        store(ev, path, "directory", "filename", order=order, spread=4)
+    return read_store(spark, path, "directory", "filename", order=order).select(
+        "directory", "filename", "event_id", "created_at", "value")
+
+
+@register("request_landing_intake", sql=_PARAMS_CTE + """
+, en AS (
+  SELECT page_id, url, html FROM pages
+  WHERE regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '/en'
+     OR starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/en/')
+), routed AS (
+  SELECT en.page_id, en.html, 'feed' AS rel FROM en JOIN firsts f
+    ON f.page_id = en.page_id AND f.key = 'http.query.param.utm_source' AND f.value = 'feed'
+  UNION ALL
+  SELECT en.page_id, en.html, 'paged' FROM en JOIN firsts f
+    ON f.page_id = en.page_id AND f.key = 'http.query.param.page'
+)
+SELECT CAST(page_id AS VARCHAR) AS record_id, rel AS category, 'en' AS x_lang,
+       false AS has_content_type, CAST(strlen(html) AS BIGINT) AS size
+FROM routed
+""")
+def request_landing_intake(spark: SparkSession, root: str) -> DataFrame:
+    """Pages land as captured POST requests (JSON lines), are read back as
+    requests, taken in under /en with X-* headers as attributes, and routed."""
+    landing = work_dir(spark, "request_landing")
+    pages = table(spark, root, "pages")
+    headers = F.create_map(F.lit("Content-Type"), F.lit("text/html"),
+                           F.lit("X-Page-Id"), F.col("page_id").cast("string"),
+                           F.lit("X-Lang"), F.regexp_extract("url", "^[a-z]+://[^/]*/([a-z]{2})(/|$)", 1))
+    pages.select(F.lit("POST").alias("method"), "url", headers.alias("headers"),
+                 F.col("html").alias("body"),
+                 F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")).alias("received_at")
+                 ).write.json(landing)
+    recs = intake(read_requests(spark, landing), base_path="en", header_regex="X-.*",
+                  record_id=F.col("headers")["X-Page-Id"])
+    routed = route(recs, {"feed": equals(attr("http.query.param.utm_source"), "feed"),
+                          "paged": attr("http.query.param.page").isNotNull()})
+    return routed.select("record_id", F.col("relationship").alias("category"),
+                         attr("X-Lang").alias("x_lang"),
+                         F.map_contains_key("attributes", "Content-Type").alias("has_content_type"),
+                         "size")
+
+
+@register("stream_capped_route", sql=ORACLE["route_and_store"])
+def stream_capped_route(spark: SparkSession, root: str) -> DataFrame:
+    """Events land as 8 time-ordered files; the stream takes at most 2 files per
+    micro-batch (the object back-pressure cap), routes, updates and stores."""
+    base = work_dir(spark, "stream_capped_route")
+    table(spark, root, "events").repartitionByRange(8, "ts").write.parquet(f"{base}/landing")
+    ev = stream_path(spark, f"{base}/landing", max_files_per_trigger=2)
+    rules = {"large": F.col("event_type") == "purchase", "small": F.col("event_type") == "click"}
+    out = route_and_update(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"),
+                           exclusive=True).select(
+        F.col("event_id").alias("record_id"), F.col("ts").alias("created_at"), "user_id",
+        "category", "processing_time", "filename", "directory",
+        F.octet_length("props").cast("bigint").alias("size"))
+    q = start_file_sink(out, f"{base}/out", f"{base}/checkpoint", partition_by=["category"],
+                        available_now=True)
+    run_to_end(q)
+    return spark.read.schema(out.schema).parquet(f"{base}/out")

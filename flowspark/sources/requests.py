@@ -7,7 +7,7 @@ parameters into attributes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +36,7 @@ def read_requests(spark: SparkSession, path: str, stream: bool = False,
 
 def intake(df: DataFrame, base_path: str, header_regex: str = ".*", url: str = "url",
            headers: str | None = "headers", body: str = "body", received_at: str = "received_at",
-           record_id: str | None = None, methods: tuple[str, ...] | None = ("POST",),
+           record_id: str | Column | None = None, methods: tuple[str, ...] | None = ("POST",),
            method: str | None = "method") -> DataFrame:
     """Requests → records. Only requests under ``base_path`` (and of ``methods``)
     are taken; attributes = matching headers + ``http.query.param.*``."""
@@ -51,7 +51,9 @@ def intake(df: DataFrame, base_path: str, header_regex: str = ".*", url: str = "
         attrs = F.map_concat(hdr, params)
     else:
         attrs = params
-    rid = F.col(record_id).cast("string") if record_id else F.sha2(
+    if isinstance(record_id, str):
+        record_id = F.col(record_id)
+    rid = record_id.cast("string") if record_id is not None else F.sha2(
         F.concat_ws("\u0001", F.col(url), F.col(received_at).cast("string"), F.col(body)), 256)
     return df.filter(keep).select(
         rid.alias(RECORD_ID), F.col(received_at).alias(CREATED_AT), attrs.alias(ATTRIBUTES),

@@ -8,20 +8,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from flowspark.functions.parse import trigger_interval
+from flowspark.functions.parse import data_size_bytes, trigger_interval
 
 
 def stream_table(spark: SparkSession, root: str, name: str,
                  max_files_per_trigger: int | None = None,
-                 max_bytes_per_trigger: int | None = None) -> DataFrame:
-    """A table folder (or a single ``name.parquet`` file) as a file stream.
+                 max_bytes_per_trigger: int | str | None = None) -> DataFrame:
+    """A table folder (or a single ``name.parquet`` file) as a file stream."""
+    return stream_path(spark, f"{root.rstrip('/')}/{name}.parquet", max_files_per_trigger,
+                       max_bytes_per_trigger)
+
+
+def stream_path(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
+                max_bytes_per_trigger: int | str | None = None) -> DataFrame:
+    """Parquet folder (or single file) as a file stream, schema from the footers.
 
     ``max_files_per_trigger`` / ``max_bytes_per_trigger`` are the source-side
     back-pressure caps (objects / bytes per micro-batch); Spark accepts one.
+    The byte cap may be given as text ('1 GB').
     """
-    path = f"{root.rstrip('/')}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
+    if isinstance(max_bytes_per_trigger, str):
+        max_bytes_per_trigger = data_size_bytes(max_bytes_per_trigger)
     if max_files_per_trigger and max_bytes_per_trigger:
         raise ValueError("choose one of max_files_per_trigger and max_bytes_per_trigger")
     if max_files_per_trigger:
@@ -30,7 +39,7 @@ def stream_table(spark: SparkSession, root: str, name: str,
         reader = reader.option("maxBytesPerTrigger", int(max_bytes_per_trigger))
     local = "://" not in path or path.startswith("file:")
     if local and os.path.isfile(path.removeprefix("file:")):
-        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(os.path.dirname(path))
+        return reader.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path))
     return reader.parquet(path)
 
 
