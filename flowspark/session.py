@@ -30,13 +30,9 @@ def build_session(master: str | None = None, app: str = "flowspark",
     return spark
 
 
-def work_dir(spark: SparkSession, *parts: str) -> str:
-    """A fresh folder under the shared ``spark.checkpoint.dir``.
-
-    The cluster names the shared folder; it is only invented here when the
-    setting is missing on a local master (tests). Each call gets its own
-    sub-folder, so runs never clear or reuse each other's files.
-    """
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir`` (invented only on a
+    local master where it is unset, as in tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
@@ -44,6 +40,22 @@ def work_dir(spark: SparkSession, *parts: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         root = tempfile.mkdtemp(prefix="flowspark-")
         spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
+def stable_dir(spark: SparkSession, *parts: str) -> str:
+    """A fixed folder under the shared root (checkpoints that must survive restarts)."""
+    return os.path.join(shared_root(spark), "flowspark", *parts)
+
+
+def work_dir(spark: SparkSession, *parts: str) -> str:
+    """A fresh folder under the shared ``spark.checkpoint.dir``.
+
+    The cluster names the shared folder; it is only invented here when the
+    setting is missing on a local master (tests). Each call gets its own
+    sub-folder, so runs never clear or reuse each other's files.
+    """
+    root = shared_root(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(os.path.join(root, "rdd"))
     return os.path.join(root, "flowspark", *parts, uuid.uuid4().hex)

@@ -76,3 +76,26 @@ class FlowRunner:
                 "observed": p.get("observedMetrics") if p else None,
             })
         return rows
+
+
+def flow_runner(spark: SparkSession, flow, sinks: dict[str, dict], period: str | None = None,
+                available_now: bool = False, checkpoint_root: str | None = None) -> FlowRunner:
+    """Runner for a flow whose sources are streams: one file-sink query per
+    terminal stage in ``sinks`` (``{stage: {"path": ..., "partition_by": [...],
+    "format": "parquet"}}``). Checkpoints live at a fixed place per (flow,
+    stage), so a restart resumes where the last run committed."""
+    from flowspark.session import stable_dir
+    from flowspark.streaming.io import start_file_sink
+
+    runner = FlowRunner(spark, flow.name)
+    for stage, spec in sinks.items():
+        cp = (f"{checkpoint_root.rstrip('/')}/{flow.name}/{stage}" if checkpoint_root
+              else stable_dir(spark, "checkpoints", flow.name, stage))
+
+        def starter(qname: str, stage=stage, spec=spec, cp=cp) -> StreamingQuery:
+            df = flow.plan(spark)[stage]
+            return start_file_sink(df, spec["path"], cp, spec.get("partition_by", ()),
+                                   spec.get("format", "parquet"), name=qname, period=period,
+                                   available_now=available_now)
+        runner.register(stage, starter)
+    return runner
