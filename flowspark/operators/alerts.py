@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from flowspark.functions.parse import duration_ms
 from flowspark.functions.text import now_column
+from flowspark.operators.prefix import running_totals
 
 
 def epoch_micros(df: DataFrame, ts: str) -> Column:
@@ -26,22 +27,52 @@ def _ms(period: str) -> int:
 
 
 def threshold_alert(df: DataFrame, key: str | None, ts: str, period: str, more_than: int,
-                    slices: int = 1, count_name: str = "n_recent") -> DataFrame:
+                    method: str = "prefix", slices: int = 1,
+                    count_name: str = "n_recent") -> DataFrame:
     """Rows whose trailing count in ``[ts - period, ts]`` (same key) exceeds ``more_than``.
 
     Equal to ``count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN period
-    PRECEDING AND CURRENT ROW) > more_than``, but partitioned by (key, time
-    bucket): each row also joins the next ``slices`` buckets as a look-back
-    copy, so no task holds more than ``slices + 1`` buckets of one key, however
-    large the key is overall. ``slices`` > 1 makes buckets finer for dense keys.
+    PRECEDING AND CURRENT ROW) > more_than``, without putting a key in one task:
+
+    * ``method="prefix"`` (default, for any skew): the count is
+      ``C(<= ts) - C(< ts - period)``, with ``C`` the running count of the
+      key's rows in time order. Each row adds two probes (at ``ts - period``,
+      before equal-time rows, and at ``ts``, after its peers). The skew-safe
+      ``running_totals`` counts rows up to each probe, and the two probes of a
+      row meet again in a group of two. No group is larger than one slice.
+    * ``method="buckets"``: partition by (key, time bucket) with look-back
+      copies into the next ``slices`` buckets; one shuffle, but a task holds
+      about one period of one key, so use it only when that density is bounded.
     """
     p_us = _ms(period) * 1000
+    keys = [key] if key else []
+    if method == "buckets":
+        return _threshold_buckets(df, keys, ts, p_us, more_than, slices, count_name)
+    if method != "prefix":
+        raise ValueError(f"unknown method: {method!r}")
+    cols = df.columns
+    base = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__us", epoch_micros(df, ts))
+    kind = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("__kind")
+    x = base.select(*keys, "__id", "__us", F.struct(*cols).alias("__row"), kind)
+    x = x.select(
+        *keys, "__id", "__kind",
+        F.when(F.col("__kind") == 0, F.col("__us") - F.lit(p_us)).otherwise(F.col("__us")).alias("__t"),
+        F.when(F.col("__kind") == 2, F.col("__row")).alias("__row"),  # carry the row once
+        (F.col("__kind") == 1).cast("long").alias("__real"))
+    run = running_totals(x, keys, ["__t", "__kind", "__id"], {"__c": "__real"})
+    probes = run.filter(F.col("__kind") != 1)
+    per_row = probes.groupBy("__id").agg(
+        F.sum(F.when(F.col("__kind") == 2, F.col("__c")).otherwise(-F.col("__c"))).alias(count_name),
+        F.max_by(F.col("__row"), F.col("__kind")).alias("__row"))
+    return per_row.filter(F.col(count_name) > more_than).select("__row.*", count_name)
+
+
+def _threshold_buckets(df: DataFrame, keys: list[str], ts: str, p_us: int, more_than: int,
+                       slices: int, count_name: str) -> DataFrame:
     if p_us % slices:
         raise ValueError("period must split evenly into slices")
     width = p_us // slices
-    keys = [key] if key else []
-    us = epoch_micros(df, ts)
-    staged = (df.withColumn("__us", us)
+    staged = (df.withColumn("__us", epoch_micros(df, ts))
               .withColumn("__b", F.floor(F.col("__us") / F.lit(width)))
               .withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(slices))))
               .withColumn("__bucket", F.col("__b") + F.col("__j")))

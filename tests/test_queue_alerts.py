@@ -68,12 +68,23 @@ def test_threshold_alert_matches_brute_force(spark):
     df = skewed_events(spark, n=1500)
     want = brute_threshold(df.toPandas(), 300, 5)
     assert want  # the hot key does alert
-    for slices in (1, 3):
-        got = {r.id: r.n_recent for r in threshold_alert(df, "k", "ts", "5 minutes", 5, slices=slices).collect()}
-        assert got == want
-    glob = {r.id for r in threshold_alert(df, None, "ts", "5 minutes", 5).collect()}
+    runs = [dict(method="prefix"), dict(method="buckets", slices=1), dict(method="buckets", slices=3)]
+    for kw in runs:
+        got = {r.id: r.n_recent for r in threshold_alert(df, "k", "ts", "5 minutes", 5, **kw).collect()}
+        assert got == want, kw
     pdf = df.toPandas().assign(k="all")
-    assert glob == set(brute_threshold(pdf, 300, 5))
+    want_all = brute_threshold(pdf, 300, 5)
+    for kw in runs[:2]:
+        got = {r.id: r.n_recent for r in threshold_alert(df, None, "ts", "5 minutes", 5, **kw).collect()}
+        assert got == want_all, kw
+
+
+def test_threshold_alert_ties_and_columns(spark):
+    rows = [(i, "a", T0 + dt.timedelta(seconds=s)) for i, s in enumerate([0, 0, 0, 300, 300, 301, 900])]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz")
+    got = threshold_alert(df, "k", "ts", "5 minutes", 2)
+    assert got.columns == ["id", "k", "ts", "n_recent"]
+    assert {r.id: r.n_recent for r in got.collect()} == {0: 3, 1: 3, 2: 3, 3: 5, 4: 5, 5: 3}
 
 
 def test_error_rate_spike(spark):
