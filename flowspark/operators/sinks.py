@@ -110,3 +110,17 @@ def read_store(spark: SparkSession, root: str, by: str, filename: str,
                order: Sequence[str] = (CREATED_AT, RECORD_ID)) -> DataFrame:
     """What the store holds now: latest version per (directory, filename)."""
     return latest(spark.read.parquet(root), [by, filename], order)
+
+
+def compact_store(spark: SparkSession, root: str, target: str, by: str, filename: str,
+                  order: Sequence[str] = (CREATED_AT, RECORD_ID), spread: int = 0) -> DataFrame:
+    """Write the resolved store (latest version per key) to a new folder.
+
+    Never overwrites in place: readers switch to ``target`` once it is
+    complete, so a crash during compaction loses nothing.
+    """
+    current = read_store(spark, root, by, filename, order)
+    if spread > 0:
+        current = current.repartition(F.col(by), F.pmod(F.xxhash64(F.col(filename)), F.lit(spread)))
+    current.write.mode("errorifexists").partitionBy(by).parquet(target)
+    return spark.read.parquet(target)

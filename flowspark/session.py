@@ -35,7 +35,7 @@ def shared_root(spark: SparkSession) -> str:
     local master where it is unset, as in tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        master = spark.sparkContext.master
+        master = spark.conf.get("spark.master", "")
         if not master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         root = tempfile.mkdtemp(prefix="flowspark-")
@@ -56,6 +56,4 @@ def work_dir(spark: SparkSession, *parts: str) -> str:
     sub-folder, so runs never clear or reuse each other's files.
     """
     root = shared_root(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(root, "rdd"))
     return os.path.join(root, "flowspark", *parts, uuid.uuid4().hex)

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from flowspark.operators import latest, log_lines, parse_log, read_store, store
+from flowspark.operators import compact_store, latest, log_lines, parse_log, read_store, store
 from flowspark.session import work_dir
 
 T0 = dt.datetime(2024, 1, 1)
@@ -62,6 +62,8 @@ def test_store_replace_is_idempotent_and_rejects_nulls(spark):
     store(later, root, "category", "filename")
     got = {(r.category, r.filename): r.content for r in read_store(spark, root, "category", "filename").collect()}
     assert got == {("large", "a.large"): "v2", ("small", "b.small"): "v5"}
+    compacted = compact_store(spark, root, root + "_compact", "category", "filename", spread=2)
+    assert {(r.category, r.filename): r.content for r in compacted.collect()} == got
 
 
 def test_store_rejects_other_strategies(spark):
