@@ -136,3 +136,35 @@ def test_flow_runs_as_stream_and_resumes(spark):
     want = batch.plan(spark)["store"]
     got = spark.read.schema(want.schema).parquet(f"{base}/out").select(*want.columns)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_byte_cap_splits_batches_without_changing_result(spark):
+    from flowspark.streaming import stream_path
+    base = work_dir(spark, "test_byte_cap")
+    spark.read.parquet(f"{SF_SMALL}/events.parquet").repartitionByRange(4, "ts").write.parquet(f"{base}/in")
+    with pytest.raises(ValueError):
+        stream_path(spark, f"{base}/in", max_files_per_trigger=1, max_bytes_per_trigger="1 KB")
+    s = stream_path(spark, f"{base}/in", max_bytes_per_trigger="1 KB")
+    q = run_to_end(start_file_sink(s, f"{base}/out", f"{base}/cp", available_now=True), 120)
+    batches = [p for p in q.recentProgress if p["numInputRows"] > 0]
+    assert len(batches) >= 2
+    assert spark.read.parquet(f"{base}/out").count() == 1000
+
+
+def test_stream_counters_and_period_trigger(spark):
+    from flowspark.plans.flow import Flow
+    from flowspark.streaming import flow_runner
+    base = work_dir(spark, "test_stream_counters")
+    src = counters(generate_stream(spark, batch_size=3, period="1 sec"), "gen_counts")
+    flow = Flow("counted").add("src", "table", frame=src).add("sink", "update", assignments={}) \
+        .connect("src", "sink")
+    runner = flow_runner(spark, flow, {"sink": {"path": f"{base}/out"}}, period="500 milliseconds",
+                         checkpoint_root=f"{base}/cp")
+    assert runner.start()["started"] == ["sink"]
+    q = runner.active()["sink"]
+    deadline = time.time() + 60
+    while (not q.lastProgress or not q.lastProgress.get("observedMetrics")) and time.time() < deadline:
+        time.sleep(0.5)
+    observed = runner.status()[0]["observed"]["gen_counts"]
+    assert observed["records"] == 3 and observed["bytes"] == 3 * 1024
+    runner.stop()

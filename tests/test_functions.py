@@ -84,3 +84,9 @@ def test_redact(spark):
     out = one(spark, redact("x"), text)
     assert "abc.DEF-123" not in out and "deadbeef" not in out and "joe.19@" not in out
     assert "Bearer ***" in out and "token = ***" in out and "[email]" in out and out.endswith(" ok")
+
+
+def test_drop_secret_keys(spark):
+    from flowspark.functions import drop_secret_keys
+    df = spark.createDataFrame([({"Password": "x", "token": "y", "filename": "f"},)], "a map<string,string>")
+    assert df.select(drop_secret_keys("a")).first()[0] == {"filename": "f"}
