@@ -26,9 +26,13 @@ def _ms(period: str) -> int:
     return ms
 
 
+# Largest (key, period) group the bucketed method may put in one task.
+MAX_GROUP_ROWS = 2_000_000
+
+
 def threshold_alert(df: DataFrame, key: str | None, ts: str, period: str, more_than: int,
-                    method: str = "prefix", slices: int = 1,
-                    count_name: str = "n_recent") -> DataFrame:
+                    method: str = "auto", slices: int = 1, count_name: str = "n_recent",
+                    max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Rows whose trailing count in ``[ts - period, ts]`` (same key) exceeds ``more_than``.
 
     Equal to ``count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN period
@@ -43,9 +47,17 @@ def threshold_alert(df: DataFrame, key: str | None, ts: str, period: str, more_t
     * ``method="buckets"``: partition by (key, time bucket) with look-back
       copies into the next ``slices`` buckets; one shuffle, but a task holds
       about one period of one key, so use it only when that density is bounded.
+    * ``method="auto"``: measure that density first (one grouped count with
+      partial aggregation; a single number reaches the driver) and take
+      ``buckets`` when the densest group, with its look-back copy, stays under
+      ``max_group_rows``, else ``prefix``.
     """
     p_us = _ms(period) * 1000
     keys = [key] if key else []
+    if method == "auto":
+        densest = (df.select(*keys, F.floor(epoch_micros(df, ts) / F.lit(p_us)).alias("__b"))
+                   .groupBy(*keys, "__b").count().agg(F.max("count")).first()[0]) or 0
+        method = "buckets" if 2 * densest <= max_group_rows else "prefix"
     if method == "buckets":
         return _threshold_buckets(df, keys, ts, p_us, more_than, slices, count_name)
     if method != "prefix":

@@ -68,7 +68,8 @@ def test_threshold_alert_matches_brute_force(spark):
     df = skewed_events(spark, n=1500)
     want = brute_threshold(df.toPandas(), 300, 5)
     assert want  # the hot key does alert
-    runs = [dict(method="prefix"), dict(method="buckets", slices=1), dict(method="buckets", slices=3)]
+    runs = [dict(method="prefix"), dict(method="buckets", slices=1), dict(method="buckets", slices=3),
+            dict(method="auto"), dict(method="auto", max_group_rows=10)]
     for kw in runs:
         got = {r.id: r.n_recent for r in threshold_alert(df, "k", "ts", "5 minutes", 5, **kw).collect()}
         assert got == want, kw
