@@ -71,7 +71,7 @@ def threshold_alert(df: DataFrame, key: str | None, ts: str, period: str, more_t
         F.when(F.col("__kind") == 0, F.col("__us") - F.lit(p_us)).otherwise(F.col("__us")).alias("__t"),
         F.when(F.col("__kind") == 2, F.col("__row")).alias("__row"),  # carry the row once
         (F.col("__kind") == 1).cast("long").alias("__real"))
-    run = running_totals(x, keys, ["__t", "__kind", "__id"], {"__c": "__real"})
+    run = running_totals(x, keys, ["__t", "__kind", "__id"], {"__c": "__real"}, method="sliced")
     probes = run.filter(F.col("__kind") != 1)
     per_row = probes.groupBy("__id").agg(
         F.sum(F.when(F.col("__kind") == 2, F.col("__c")).otherwise(-F.col("__c"))).alias(count_name),

@@ -22,19 +22,36 @@ from pyspark.sql import functions as F
 from flowspark.session import work_dir
 
 
+# Largest key group a plain keyed window may put in one task.
+MAX_GROUP_ROWS = 2_000_000
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   sums: Mapping[str, Column | str], slices: int | None = None) -> DataFrame:
+                   sums: Mapping[str, Column | str], slices: int | None = None,
+                   method: str = "auto", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Add ``name = SUM(expr) OVER (PARTITION BY keys ORDER BY order ROWS UNBOUNDED PRECEDING)``.
 
     ``order`` must make rows unique within a key (add the id), as with ROWS
-    frames. Eager: runs one job that writes the slice-local sums. Project the
-    input to the needed columns first.
+    frames. ``method="sliced"`` is the skew-proof plan described above (eager:
+    one job writes the slice-local sums; project the input first).
+    ``method="window"`` is the plain keyed window. ``method="auto"`` counts the
+    largest key group first (one grouped count; a single number reaches the
+    driver) and uses the plain window only when it stays under ``max_group_rows``.
     """
-    spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     vals = {f"__v_{i}": F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0))
             for i, c in enumerate(sums.values())}
     names = dict(zip(vals, sums))
+    if method == "auto":
+        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        method = "window" if largest <= max_group_rows else "sliced"
+    if method == "window":
+        w = (Window.partitionBy(*keys).orderBy(*order)
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return df.withColumns({names[v]: F.sum(e).over(w) for v, e in vals.items()})
+    if method != "sliced":
+        raise ValueError(f"unknown method: {method!r}")
+    spark = df.sparkSession
+    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     staged = (df.withColumns(vals)
               .repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in [*keys, *order]])
               .withColumn("__slice", F.spark_partition_id()))

@@ -25,7 +25,8 @@ def expire(df: DataFrame, ttl: str, ts: str = CREATED_AT, now: str | Column | No
 
 
 def queue_pressure(df: DataFrame, queue: str, order: Sequence[str], size: str | Column = SIZE,
-                   max_objects: int | str = 10000, max_bytes: int | str = "1 GB") -> DataFrame:
+                   max_objects: int | str = 10000, max_bytes: int | str = "1 GB",
+                   method: str = "auto") -> DataFrame:
     """Running backlog per queue (objects and bytes in arrival order) and a
     ``throttled`` flag once either reaches its limit. Parallel for a hot queue."""
     objs = int(max_objects)
@@ -34,7 +35,8 @@ def queue_pressure(df: DataFrame, queue: str, order: Sequence[str], size: str |
         raise ValueError(f"not a data size: {max_bytes!r}")
     out = running_totals(df, [queue], list(order),
                          {"backlog_objects": F.lit(1).cast("bigint"),
-                          "backlog_bytes": (F.col(size) if isinstance(size, str) else size).cast("bigint")})
+                          "backlog_bytes": (F.col(size) if isinstance(size, str) else size).cast("bigint")},
+                         method=method)
     return out.withColumn("throttled", (F.col("backlog_objects") >= objs) |
                           (F.col("backlog_bytes") >= limit))
 

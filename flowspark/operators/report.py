@@ -80,13 +80,14 @@ def status_summary(df: DataFrame, outcome: str, classes: Sequence[str]) -> DataF
                   F.count(F.lit(1)).alias("n_total"))
 
 
-def status_positions(df: DataFrame, outcome: str, id_col: str) -> DataFrame:
+def status_positions(df: DataFrame, outcome: str, id_col: str, method: str = "auto") -> DataFrame:
     """Id lists per class in long form: (class, position, id), sorted by id.
 
     A class may hold most ids, so no list is collected into one cell or task.
     """
     base = df.select(F.col(outcome), F.col(id_col))
-    return running_totals(base, [outcome], [id_col], {"position": F.lit(1).cast("bigint")})
+    return running_totals(base, [outcome], [id_col], {"position": F.lit(1).cast("bigint")},
+                          method=method)
 
 
 def tail(df: DataFrame, n: int, *order: str | Column) -> DataFrame:

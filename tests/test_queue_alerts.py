@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from flowspark.operators import (error_rate_spike, expire, expiry_warning, older_than,
@@ -20,9 +21,11 @@ def skewed_events(spark, n=3000, seed=7):
     return spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz, size long")
 
 
-def test_running_totals_match_window_with_hot_key(spark):
+@pytest.mark.parametrize("method", ["sliced", "window", "auto"])
+def test_running_totals_match_window_with_hot_key(spark, method):
     df = skewed_events(spark)
-    got = running_totals(df, ["k"], ["ts", "id"], {"n": F.lit(1), "b": F.col("size")}, slices=7)
+    got = running_totals(df, ["k"], ["ts", "id"], {"n": F.lit(1), "b": F.col("size")}, slices=7,
+                         method=method, max_group_rows=100)
     pdf = df.toPandas().sort_values(["ts", "id"])
     pdf["kk"] = pdf["k"].fillna("<null>")
     pdf["n"] = pdf.groupby("kk").cumcount() + 1
@@ -31,11 +34,22 @@ def test_running_totals_match_window_with_hot_key(spark):
     assert {r.id: (r.n, r.b) for r in got.collect()} == want
 
 
-def test_queue_pressure_flags(spark):
+def test_running_totals_without_key(spark):
+    df = spark.range(500).withColumn("v", F.col("id") % 7)
+    got = {r.id: r.s for r in running_totals(df, [], ["id"], {"s": "v"}, method="sliced", slices=5).collect()}
+    acc, want = 0, {}
+    for i in range(500):
+        acc += i % 7
+        want[i] = acc
+    assert got == want
+
+
+@pytest.mark.parametrize("method", ["sliced", "window"])
+def test_queue_pressure_flags(spark, method):
     df = spark.createDataFrame([(i, "q", T0 + dt.timedelta(seconds=i), 400) for i in range(5)],
                                "id long, queue string, ts timestamp_ntz, size long")
     out = {r.id: r for r in queue_pressure(df, "queue", ["ts", "id"], "size", max_objects=4,
-                                           max_bytes="1KB").collect()}
+                                           max_bytes="1KB", method=method).collect()}
     assert [out[i].backlog_objects for i in range(5)] == [1, 2, 3, 4, 5]
     assert [out[i].throttled for i in range(5)] == [False, False, True, True, True]
 

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from flowspark.operators import (classify, listing_text, lookup, project_listing, scan_listing,
@@ -28,9 +29,10 @@ def test_transition_and_summary_include_zero_classes(spark):
     assert [r.o for r in stop] == ["stopped", "already_stopped", "already_stopped"]
 
 
-def test_status_positions_sorted_per_class(spark):
+@pytest.mark.parametrize("method", ["sliced", "window"])
+def test_status_positions_sorted_per_class(spark, method):
     df = spark.createDataFrame([(i, "big" if i % 4 else "small") for i in range(200)], "id int, outcome string")
-    got = sorted((r.outcome, r.position, r.id) for r in status_positions(df, "outcome", "id").collect())
+    got = sorted((r.outcome, r.position, r.id) for r in status_positions(df, "outcome", "id", method=method).collect())
     big = [i for i in range(200) if i % 4]
     small = [i for i in range(200) if not i % 4]
     want = sorted([("big", p + 1, i) for p, i in enumerate(big)] + [("small", p + 1, i) for p, i in enumerate(small)])
