@@ -30,7 +30,7 @@ def test_parse_duration(spark):
 
 
 def test_scalar_cases(spark):
-    assert one(spark, short_type("x"), "org.example.processors.standard.LogAttribute") == "LogAttribute"
+    assert one(spark, short_type("x"), "org.example.stages.standard.LogLines") == "LogLines"
     assert one(spark, trim_trailing_slash("x"), "https://h:8443/") == "https://h:8443"
     assert one(spark, trim_trailing_slash("x"), "https://h:8443//") == "https://h:8443"
     assert one(spark, is_uuid("x"), "a1b2c3d4-0000-0000-0000-000000000000") is True
