@@ -133,7 +133,7 @@ def expiry_warning(df: DataFrame, expires_at: str, within: str = "30 days",
     n = now_column(now)
     horizon = n + F.make_dt_interval(secs=F.lit(_ms(within) / 1000.0).cast("decimal(18,6)"))
     return (df.filter((F.col(expires_at) >= n) & (F.col(expires_at) <= horizon))
-            .withColumn("days_left", F.datediff(F.col(expires_at), n)))
+            .withColumn("days_left", F.datediff(F.col(expires_at), n).cast("bigint")))
 
 
 def older_than(ts: str | Column, age: str, now: str | Column | None = None) -> Column:
