@@ -22,8 +22,8 @@ from flowspark.plans.presets import route_and_store_flow, route_and_update, samp
 from flowspark.records import attr, to_records
 from flowspark.session import work_dir
 from flowspark.sources import generate_records, intake, read_log, read_requests
-from flowspark.streaming import (run_to_end, sliding_alert, start_file_sink, stream_path,
-                                 stream_table)
+from flowspark.streaming import (run_to_end, sliding_alert, start_file_sink, store_stream,
+                                 stream_path, stream_table)
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -779,3 +779,20 @@ def stream_capped_route(spark: SparkSession, root: str) -> DataFrame:
                         available_now=True)
     run_to_end(q)
     return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+@register("stream_store_replace", sql=ORACLE["store_replace"])
+def stream_store_replace(spark: SparkSession, root: str) -> DataFrame:
+    """Events land as 8 time-ordered files and stream (2 files per batch) into
+    the replace store; the store is read back resolved."""
+    base = work_dir(spark, "stream_store_replace")
+    table(spark, root, "events").repartitionByRange(8, "ts").write.parquet(f"{base}/landing")
+    ev = stream_path(spark, f"{base}/landing", max_files_per_trigger=2).select(
+        F.col("event_type").alias("directory"),
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("filename"),
+        "event_id", F.col("ts").alias("created_at"), "value")
+    order = ["created_at", "event_id"]
+    run_to_end(store_stream(ev, f"{base}/store", "directory", "filename", f"{base}/checkpoint",
+                            order=order, available_now=True))
+    return read_store(spark, f"{base}/store", "directory", "filename", order=order).select(
+        "directory", "filename", "event_id", "created_at", "value")

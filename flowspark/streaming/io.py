@@ -71,3 +71,23 @@ def run_to_end(q: StreamingQuery, timeout_s: float | None = None) -> StreamingQu
     if q.exception() is not None:
         raise q.exception()
     return q
+
+
+def store_stream(df: DataFrame, root: str, by: str, filename: str, checkpoint: str,
+                 order: Sequence[str] = ("created_at", "record_id"), spread: int = 0,
+                 name: str | None = None, period: str | None = None,
+                 available_now: bool = False) -> StreamingQuery:
+    """Stream into the replace store: each micro-batch is collapsed to its
+    latest version per (directory, filename) and appended; ``read_store``
+    resolves across batches. A replayed batch appends the same versions again,
+    which resolve to the same rows, so the sink is idempotent without ever
+    overwriting stored files."""
+    from flowspark.operators.sinks import store
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store(batch, root, by, filename, order=order, spread=spread)
+
+    w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if name:
+        w = w.queryName(name)
+    return with_trigger(w, period, available_now).start()
