@@ -67,6 +67,40 @@ class Flow:
     stages: dict[str, Stage] = field(default_factory=dict)
     edges: list[Edge] = field(default_factory=list)
 
+    @classmethod
+    def from_spec(cls, spec: dict, frames: dict[str, DataFrame] | None = None) -> Flow:
+        """Build a flow from a plain description::
+
+            {"name": "route_and_store",
+             "stages": [{"name": "route", "type": "route", "auto_terminate": ["unmatched"],
+                         "properties": {"rules": {"large": {"expr": "size = 'large'"}}}}, ...],
+             "connections": [{"source": "in", "destination": "route",
+                              "relationships": ["success"]}, ...]}
+
+        ``{"expr": "..."}`` values become Spark SQL expressions (``F.expr``);
+        ``{"frame": "name"}`` values are taken from ``frames``.
+        """
+        frames = frames or {}
+
+        def resolve(v):
+            if isinstance(v, dict) and set(v) == {"expr"}:
+                return F.expr(v["expr"])
+            if isinstance(v, dict) and set(v) == {"frame"}:
+                return frames[v["frame"]]
+            if isinstance(v, dict):
+                return {k: resolve(x) for k, x in v.items()}
+            if isinstance(v, list):
+                return [resolve(x) for x in v]
+            return v
+
+        flow = cls(spec.get("name", "flow"))
+        for st in spec.get("stages", []):
+            props = {k: resolve(v) for k, v in st.get("properties", {}).items()}
+            flow.add(st["name"], st["type"], st.get("auto_terminate", ()), **props)
+        for c in spec.get("connections", []):
+            flow.connect(c["source"], c["destination"], c.get("relationships", (SUCCESS,)))
+        return flow
+
     def add(self, name: str, type_: str, auto_terminate: Iterable[str] = (), **props) -> Flow:
         if name in self.stages:
             raise ValueError(f"stage exists: {name}")
