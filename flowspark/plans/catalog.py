@@ -18,6 +18,7 @@ from flowspark.operators import (classify, contains, drop_rel, error_rate_spike,
                                  status_summary, store, tail, threshold_alert, transition, update,
                                  update_attributes)
 from flowspark.operators.report import ITEM_SCHEMA
+from flowspark.plans.flow import Flow
 from flowspark.plans.presets import route_and_store_flow, route_and_update, sample_flow
 from flowspark.records import attr, to_records
 from flowspark.session import work_dir
@@ -796,3 +797,38 @@ def stream_store_replace(spark: SparkSession, root: str) -> DataFrame:
                             order=order, available_now=True))
     return read_store(spark, f"{base}/store", "directory", "filename", order=order).select(
         "directory", "filename", "event_id", "created_at", "value")
+
+
+ROUTE_AND_STORE_SPEC = {
+    "name": "route_and_store_spec",
+    "stages": [
+        {"name": "intake", "type": "table", "properties": {"frame": {"frame": "events"}}},
+        {"name": "route", "type": "route", "auto_terminate": ["unmatched"],
+         "properties": {"rules": {"large": {"expr": "event_type = 'purchase'"},
+                                  "small": {"expr": "event_type = 'click'"}}}},
+        *[{"name": f"update_{b}", "type": "update", "properties": {"assignments": {
+            "category": {"expr": f"'{b}'"},
+            "processing_time": {"expr": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')"},
+            "filename": {"expr": f"concat(coalesce(cast(event_id AS STRING), ''), '.{b}')"},
+            "directory": {"expr": f"'output/{b}'"}}}} for b in ("large", "small")],
+        {"name": "store", "type": "update", "properties": {"assignments": {}}},
+    ],
+    "connections": [
+        {"source": "intake", "destination": "route"},
+        {"source": "route", "destination": "update_large", "relationships": ["large"]},
+        {"source": "route", "destination": "update_small", "relationships": ["small"]},
+        {"source": "update_large", "destination": "store"},
+        {"source": "update_small", "destination": "store"},
+    ],
+}
+
+
+@register("flow_from_spec", sql=ORACLE["route_and_store"])
+def flow_from_spec(spark: SparkSession, root: str) -> DataFrame:
+    """The route-and-store flow declared as data (stages, properties as Spark SQL
+    expressions, connections by relationship), compiled by ``Flow.from_spec``."""
+    flow = Flow.from_spec(ROUTE_AND_STORE_SPEC, {"events": table(spark, root, "events")})
+    out = flow.plan(spark)["store"]
+    return out.select(F.col("event_id").alias("record_id"), F.col("ts").alias("created_at"),
+                      "user_id", "category", "processing_time", "filename", "directory",
+                      F.octet_length("props").cast("bigint").alias("size"))

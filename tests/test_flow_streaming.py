@@ -190,31 +190,10 @@ def test_store_stream_replay_is_idempotent(spark):
 
 
 def test_flow_from_spec_equals_preset(spark):
-    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
-    spec = {
-        "name": "spec_flow",
-        "stages": [
-            {"name": "in", "type": "table", "properties": {"frame": {"frame": "events"}}},
-            {"name": "route", "type": "route", "auto_terminate": ["unmatched"],
-             "properties": {"rules": {"large": {"expr": "event_type = 'purchase'"},
-                                      "small": {"expr": "event_type = 'click'"}}}},
-            *[{"name": f"update_{b}", "type": "update", "properties": {"assignments": {
-                "category": {"expr": f"'{b}'"},
-                "processing_time": {"expr": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')"},
-                "filename": {"expr": f"concat(coalesce(cast(event_id AS STRING), ''), '.{b}')"},
-                "directory": {"expr": f"'output/{b}'"}}}} for b in ("large", "small")],
-            {"name": "store", "type": "update", "properties": {"assignments": {}}},
-        ],
-        "connections": [
-            {"source": "in", "destination": "route"},
-            {"source": "route", "destination": "update_large", "relationships": ["large"]},
-            {"source": "route", "destination": "update_small", "relationships": ["small"]},
-            {"source": "update_large", "destination": "store"},
-            {"source": "update_small", "destination": "store"},
-        ],
-    }
+    from flowspark.plans.catalog import ROUTE_AND_STORE_SPEC
     from flowspark.plans.flow import Flow
-    got = Flow.from_spec(spec, {"events": events}).plan(spark)["store"]
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    got = Flow.from_spec(ROUTE_AND_STORE_SPEC, {"events": events}).plan(spark)["store"]
     rules = {"large": F.col("event_type") == "purchase", "small": F.col("event_type") == "click"}
     want = route_and_update(events, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"))
     cols = ["event_id", "category", "processing_time", "filename", "directory"]
