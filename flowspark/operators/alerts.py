@@ -19,6 +19,16 @@ def epoch_micros(df: DataFrame, ts: str) -> Column:
     return F.unix_micros(F.col(ts))
 
 
+def _period_start(df: DataFrame, ts: str, ms: int) -> Column:
+    """Start of the fixed period (aligned to 1970-01-01) holding ``ts``; null
+    stays null. Time-zone free for TIMESTAMP_NTZ."""
+    us = epoch_micros(df, ts)
+    secs = (F.floor(us / F.lit(ms * 1000)) * F.lit(ms)).cast("decimal(38,3)") / 1000
+    origin = (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+              if isinstance(df.schema[ts].dataType, T.TimestampNTZType) else F.timestamp_seconds(F.lit(0)))
+    return origin + F.make_dt_interval(secs=secs.cast("decimal(18,6)"))
+
+
 def _ms(period: str) -> int:
     ms = duration_ms(period)
     if not ms:
@@ -86,7 +96,10 @@ def _threshold_buckets(df: DataFrame, keys: list[str], ts: str, p_us: int, more_
     width = p_us // slices
     staged = (df.withColumn("__us", epoch_micros(df, ts))
               .withColumn("__b", F.floor(F.col("__us") / F.lit(width)))
-              .withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(slices))))
+              # a row without time has no bucket and no look-back copies (its
+              # frame is its null-time peers, as in SQL)
+              .withColumn("__j", F.explode(F.sequence(F.lit(0), F.when(
+                  F.col("__us").isNull(), F.lit(0)).otherwise(F.lit(slices)))))
               .withColumn("__bucket", F.col("__b") + F.col("__j")))
     w = Window.partitionBy(*keys, "__bucket").orderBy("__us").rangeBetween(-p_us, 0)
     counted = staged.withColumn(count_name, F.count(F.lit(1)).over(w))
@@ -106,9 +119,11 @@ def error_rate_spike(df: DataFrame, ts: str, is_error: Column, period: str = "1
     (task, period), and no single-task window over all periods is needed.
     """
     ms = _ms(period)
-    staged = df.select(F.window(F.col(ts), f"{ms} milliseconds").start.alias("__p"),
-                       F.coalesce(is_error, F.lit(False)).alias("__e"))
-    shifted = staged.select("__e", F.explode(F.sequence(F.lit(0), F.lit(lookback))).alias("__j"),
+    start = _period_start(df, ts, ms)
+    staged = df.select(start.alias("__p"), F.coalesce(is_error, F.lit(False)).alias("__e"))
+    # A row without time forms the null period, which has no neighbours.
+    last = F.when(F.col("__p").isNull(), F.lit(0)).otherwise(F.lit(lookback))
+    shifted = staged.select("__e", F.explode(F.sequence(F.lit(0), last)).alias("__j"),
                             "__p").withColumn(
         "period_start", F.col("__p") + F.make_dt_interval(
             secs=(F.col("__j") * F.lit(ms / 1000.0)).cast("decimal(18,6)")))

@@ -120,3 +120,20 @@ def test_expiry_warning_and_age(spark):
     assert [(r.id, r.days_left) for r in out] == [(1, 10)]
     flags = df.select(older_than("exp", "8 hours", now="2024-01-01 00:00:00").alias("f")).collect()
     assert [r.f for r in flags] == [False, False, True]
+
+
+@pytest.mark.parametrize("method", ["prefix", "buckets"])
+def test_threshold_alert_null_times_are_peers(spark, method):
+    rows = [(1, "a", None), (2, "a", None), (3, "a", None), (4, "a", T0), (5, "b", None)]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz")
+    got = {r.id: r.n_recent for r in threshold_alert(df, "k", "ts", "5 minutes", 0, method=method,
+                                                      slices=2).collect()}
+    assert got == {1: 3, 2: 3, 3: 3, 4: 1, 5: 1}  # SQL RANGE frame: null order keys are peers
+
+
+def test_error_rate_spike_null_time_is_its_own_period(spark):
+    rows = [(T0, "error"), (T0 + dt.timedelta(hours=1), "ok"), (None, "error"), (None, "ok")]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, kind string")
+    out = {r.period_start: r for r in error_rate_spike(df, "ts", F.col("kind") == "error").collect()}
+    assert (out[None].n_events, out[None].n_errors, out[None].prior_events) == (2, 1, 0)
+    assert out[T0 + dt.timedelta(hours=1)].prior_events == 1
