@@ -82,7 +82,7 @@ def flow_runner(spark: SparkSession, flow, sinks: dict[str, dict], period: str |
                 available_now: bool = False, checkpoint_root: str | None = None) -> FlowRunner:
     """Runner for a flow whose sources are streams: one file-sink query per
     terminal stage in ``sinks`` (``{stage: {"path": ..., "partition_by": [...],
-    "format": "parquet"}}``). Checkpoints live at a fixed place per (flow,
+    "format": "parquet"}}``; ``"format": "text"`` writes the ``line`` column as a log). Checkpoints live at a fixed place per (flow,
     stage), so a restart resumes where the last run committed."""
     from flowspark.session import stable_dir
     from flowspark.streaming.io import start_file_sink
@@ -94,6 +94,8 @@ def flow_runner(spark: SparkSession, flow, sinks: dict[str, dict], period: str |
 
         def starter(qname: str, stage=stage, spec=spec, cp=cp) -> StreamingQuery:
             df = flow.plan(spark)[stage]
+            if spec.get("format") == "text":  # a log file: one text column per row
+                df = df.select(spec.get("column", "line"))
             return start_file_sink(df, spec["path"], cp, spec.get("partition_by", ()),
                                    spec.get("format", "parquet"), name=qname, period=period,
                                    available_now=available_now)

@@ -206,3 +206,21 @@ def test_read_log_whole_file(spark):
     spark.createDataFrame([("a\nb",), ("c",)], "line string").coalesce(1).write.text(base)
     assert read_log(spark, base).count() == 3
     assert read_log(spark, base, whole_file=True).first()["value"] == "a\nb\nc\n"
+
+
+def test_sample_flow_runs_as_stream_into_a_text_log(spark):
+    from flowspark.sources import read_log, schedule_stream
+    from flowspark.streaming import flow_runner
+    base = work_dir(spark, "test_sample_stream")
+    flow = sample_flow(schedule_stream(spark, batch_size=1, period="60 sec"),
+                       custom_text="Hello from the flow!")
+    runner = flow_runner(spark, flow, {"log": {"path": f"{base}/log", "format": "text"}},
+                         available_now=True, checkpoint_root=f"{base}/cp")
+    for _ in range(3):  # one firing per start
+        runner.start()
+        for q in runner.active().values():
+            run_to_end(q, 120)
+    lines = [r.value for r in read_log(spark, f"{base}/log").collect()]
+    assert lines.count("Payload: Hello from the flow!") == 3
+    assert sorted(v for v in lines if v.startswith("Logging record ")) == [
+        "Logging record 0-0", "Logging record 1-0", "Logging record 2-0"]
