@@ -10,7 +10,7 @@ from flowspark.operators.report import (classify, contains, counters, listing_te
 from flowspark.operators.route import (RELATIONSHIP, UNMATCHED, drop_rel, fan_in, fan_out,
                                        route, select_rel, unmatched, update, update_attributes)
 from flowspark.operators.sinks import (LEVELS, compact_store, latest, level_rank, log_lines, parse_log,
-                                       read_store, store)
+                                       read_store, store, write_log)
 
 __all__ = [
     "epoch_micros", "error_rate_spike", "expiry_warning", "older_than", "threshold_alert",
@@ -18,5 +18,5 @@ __all__ = [
     "counters", "listing_text", "lookup", "project_listing", "scan_listing", "status_positions",
     "status_summary", "tail", "transition", "RELATIONSHIP", "UNMATCHED", "drop_rel", "fan_in",
     "fan_out", "route", "select_rel", "unmatched", "update", "update_attributes", "LEVELS", "compact_store",
-    "latest", "level_rank", "log_lines", "parse_log", "read_store", "store",
+    "latest", "level_rank", "log_lines", "parse_log", "read_store", "store", "write_log",
 ]

@@ -58,6 +58,11 @@ def log_lines(df: DataFrame, level: str | Column = "info", payload: bool = False
     return out
 
 
+def write_log(lines: DataFrame, path: str, line: str = "line", mode: str = "append") -> None:
+    """Persist log blocks as text (one block per text row; blocks span lines)."""
+    lines.select(F.col(line)).write.mode(mode).text(path)
+
+
 def parse_log(df: DataFrame, line: str = "line") -> DataFrame:
     """Inverse of ``log_lines``: record_id, attributes map and payload from a block.
 

@@ -156,6 +156,12 @@ class Flow:
             if STAGE_TYPES[st.type].source is False and not any(e.destination == name for e in self.edges):
                 raise ValueError(f"{name} has no input")
 
+    def runner(self, spark: SparkSession, sinks: dict[str, dict], **kw):
+        """Start / stop / status handle for a flow whose sources are streams
+        (see ``streaming.flow_runner``)."""
+        from flowspark.streaming.runner import flow_runner
+        return flow_runner(spark, self, sinks, **kw)
+
     def plan(self, spark: SparkSession) -> dict[str, DataFrame]:
         """Lazy DataFrame per terminal stage (no outgoing edge)."""
         self.validate()

@@ -210,11 +210,10 @@ def test_read_log_whole_file(spark):
 
 def test_sample_flow_runs_as_stream_into_a_text_log(spark):
     from flowspark.sources import read_log, schedule_stream
-    from flowspark.streaming import flow_runner
     base = work_dir(spark, "test_sample_stream")
     flow = sample_flow(schedule_stream(spark, batch_size=1, period="60 sec"),
                        custom_text="Hello from the flow!")
-    runner = flow_runner(spark, flow, {"log": {"path": f"{base}/log", "format": "text"}},
+    runner = flow.runner(spark, {"log": {"path": f"{base}/log", "format": "text"}},
                          available_now=True, checkpoint_root=f"{base}/cp")
     for _ in range(3):  # one firing per start
         runner.start()

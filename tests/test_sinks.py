@@ -70,3 +70,14 @@ def test_store_rejects_other_strategies(spark):
     df = spark.createDataFrame([("a", "b")], "category string, filename string")
     with pytest.raises(ValueError):
         store(df, "/nowhere", "category", "filename", conflict="ignore")
+
+
+def test_write_log_then_scan_lines(spark):
+    from flowspark.operators import write_log
+    from flowspark.sources import read_log
+    df = recs(spark, [("1", T0, {"a": "x"}, "p"), ("2", T0, {"a": "y"}, "q")])
+    path = work_dir(spark, "test_write_log")
+    write_log(log_lines(df, payload=True), path)
+    lines = read_log(spark, path)
+    assert lines.filter(F.col("value").startswith("Logging record ")).count() == 2
+    assert lines.filter(F.col("value").contains("Value: 'y'")).count() == 1
