@@ -42,6 +42,17 @@ def register(name: str, sql: str | None = None):
 
 
 # ---------------------------------------------------------------- flagship
+def _flagship_rules() -> dict:
+    """``size`` = large / small on the events stand-in: purchase → large, click → small."""
+    return {"large": F.col("event_type") == "purchase", "small": F.col("event_type") == "click"}
+
+
+def _flagship_columns(out: DataFrame) -> DataFrame:
+    return out.select(F.col("event_id").alias("record_id"), F.col("ts").alias("created_at"),
+                      "user_id", "category", "processing_time", "filename", "directory",
+                      F.octet_length("props").cast("bigint").alias("size"))
+
+
 @register("route_and_store", sql="""
 SELECT event_id AS record_id, ts AS created_at, user_id,
        CASE event_type WHEN 'purchase' THEN 'large' ELSE 'small' END AS category,
@@ -53,12 +64,10 @@ FROM events WHERE event_type IN ('purchase', 'click')
 """)
 def route_and_store(spark: SparkSession, root: str) -> DataFrame:
     ev = table(spark, root, "events")
-    rules = {"large": F.col("event_type") == "purchase", "small": F.col("event_type") == "click"}
+    rules = _flagship_rules()
     out = route_and_update(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"),
                            exclusive=True)
-    return out.select(F.col("event_id").alias("record_id"), F.col("ts").alias("created_at"),
-                      "user_id", "category", "processing_time", "filename", "directory",
-                      F.octet_length("props").cast("bigint").alias("size"))
+    return _flagship_columns(out)
 
 
 # ---------------------------------------------------------------- routing
@@ -609,12 +618,10 @@ def flow_preset_sample(spark: SparkSession, root: str) -> DataFrame:
 @register("flow_route_store_graph", sql=ORACLE["route_and_store"])
 def flow_route_store_graph(spark: SparkSession, root: str) -> DataFrame:
     ev = table(spark, root, "events")
-    rules = {"large": F.col("event_type") == "purchase", "small": F.col("event_type") == "click"}
+    rules = _flagship_rules()
     flow = route_and_store_flow(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"))
     out = flow.plan(spark)["store"]
-    return out.select(F.col("event_id").alias("record_id"), F.col("ts").alias("created_at"),
-                      "user_id", "category", "processing_time", "filename", "directory",
-                      F.octet_length("props").cast("bigint").alias("size"))
+    return _flagship_columns(out)
 
 
 # ---------------------------------------------------------------- streaming (available-now runs)
@@ -629,12 +636,10 @@ def _drain(spark: SparkSession, name: str, df: DataFrame, partition_by=(), fmt="
 @register("stream_route_store", sql=ORACLE["route_and_store"])
 def stream_route_store(spark: SparkSession, root: str) -> DataFrame:
     ev = stream_table(spark, root, "events")
-    rules = {"large": F.col("event_type") == "purchase", "small": F.col("event_type") == "click"}
+    rules = _flagship_rules()
     out = route_and_update(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"),
-                           exclusive=True).select(
-        F.col("event_id").alias("record_id"), F.col("ts").alias("created_at"), "user_id",
-        "category", "processing_time", "filename", "directory",
-        F.octet_length("props").cast("bigint").alias("size"))
+                           exclusive=True)
+    out = _flagship_columns(out)
     path = _drain(spark, "stream_route_store", out, partition_by=["category"])
     return spark.read.schema(out.schema).parquet(path)
 
@@ -770,12 +775,10 @@ def stream_capped_route(spark: SparkSession, root: str) -> DataFrame:
     base = work_dir(spark, "stream_capped_route")
     table(spark, root, "events").repartitionByRange(8, "ts").write.parquet(f"{base}/landing")
     ev = stream_path(spark, f"{base}/landing", max_files_per_trigger=2)
-    rules = {"large": F.col("event_type") == "purchase", "small": F.col("event_type") == "click"}
+    rules = _flagship_rules()
     out = route_and_update(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"),
-                           exclusive=True).select(
-        F.col("event_id").alias("record_id"), F.col("ts").alias("created_at"), "user_id",
-        "category", "processing_time", "filename", "directory",
-        F.octet_length("props").cast("bigint").alias("size"))
+                           exclusive=True)
+    out = _flagship_columns(out)
     q = start_file_sink(out, f"{base}/out", f"{base}/checkpoint", partition_by=["category"],
                         available_now=True)
     run_to_end(q)
@@ -829,6 +832,4 @@ def flow_from_spec(spark: SparkSession, root: str) -> DataFrame:
     expressions, connections by relationship), compiled by ``Flow.from_spec``."""
     flow = Flow.from_spec(ROUTE_AND_STORE_SPEC, {"events": table(spark, root, "events")})
     out = flow.plan(spark)["store"]
-    return out.select(F.col("event_id").alias("record_id"), F.col("ts").alias("created_at"),
-                      "user_id", "category", "processing_time", "filename", "directory",
-                      F.octet_length("props").cast("bigint").alias("size"))
+    return _flagship_columns(out)
