@@ -1,9 +1,10 @@
 """Measure how evenly skewed inputs spread over tasks (Spark event log).
 
-Two cases derived from the events table:
+Three cases derived from the events table:
   * queue_pressure with one queue holding 60% of rows (keyed window vs sliced);
   * threshold_alert with a third of all events in one 5-minute burst
-    (bucketed vs prefix).
+    (bucketed vs prefix);
+  * latest-wins with one (directory, filename) holding 60% of rows.
 For every shuffle stage it reports the largest task's share of the records the
 stage read. Usage: python tools/skew_check.py [sf_dir] > report.json
 The event log goes to a fresh folder under /tmp (a local tool, not a job).
@@ -79,6 +80,16 @@ def main() -> None:
     for method in ["buckets", "prefix"]:
         spark.sparkContext.setJobGroup(f"threshold_alert/{method}", method)
         rows[method] = threshold_alert(burst, None, "ts", "5 minutes", 5, method=method).count()
+    # latest-wins with one (directory, filename) holding 60% of rows, input in 16 map tasks
+    from flowspark.operators import latest
+    files = ev.repartition(16).select(
+        F.col("event_type").alias("directory"),
+        F.when(F.col("event_type").isin("view", "click", "purchase"), F.lit("hot"))
+        .otherwise(F.col("user_id").cast("string")).alias("filename"),
+        "event_id", F.col("ts").alias("created_at"), "value")
+    spark.sparkContext.setJobGroup("latest/hot_file", "latest")
+    latest(files, ["directory", "filename"], ["created_at", "event_id"]) \
+        .write.format("noop").mode("overwrite").save()
     spark.stop()
     print(json.dumps({"sf": sf, "alert_rows": rows, "stages": stage_shares(log_dir)}, indent=1))
 
