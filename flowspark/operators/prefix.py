@@ -51,7 +51,10 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     if method != "sliced":
         raise ValueError(f"unknown method: {method!r}")
     spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Several slices per shuffle partition, so that hashing (slice, key) pairs
+    # onto tasks for the local window evens out (one slice per task would let
+    # a few collide in one task).
+    n = slices or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     staged = (df.withColumns(vals)
               .repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in [*keys, *order]])
               .withColumn("__slice", F.spark_partition_id()))
