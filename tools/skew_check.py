@@ -1,10 +1,11 @@
 """Measure how evenly skewed inputs spread over tasks (Spark event log).
 
-Three cases derived from the events table:
+Four cases derived from the events and orders tables:
   * queue_pressure with one queue holding 60% of rows (keyed window vs sliced);
   * threshold_alert with a third of all events in one 5-minute burst
     (bucketed vs prefix);
-  * latest-wins with one (directory, filename) holding 60% of rows.
+  * latest-wins with one (directory, filename) holding 60% of rows;
+  * lookup (left join) with one key holding 1/3 of rows, as a sort-merge join.
 For every shuffle stage it reports the largest task's share of the records the
 stage read. Usage: python tools/skew_check.py [sf_dir] > report.json
 The event log goes to a fresh folder under /tmp (a local tool, not a job).
@@ -90,6 +91,22 @@ def main() -> None:
     spark.sparkContext.setJobGroup("latest/hot_file", "latest")
     latest(files, ["directory", "filename"], ["created_at", "event_id"]) \
         .write.format("noop").mode("overwrite").save()
+    # lookup (left join) with one customer holding 1/3 of orders, as a sort-merge
+    # join; AQE's skew thresholds are lowered to this tiny data size
+    from flowspark.operators import lookup
+    for k, v in {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                 "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                 "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1024",
+                 "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16384"}.items():
+        spark.conf.set(k, v)
+    # (spread over 16 map tasks, as a multi-file table would be: AQE splits a
+    # skewed partition along map-task boundaries)
+    orders = spark.read.parquet(f"{sf}/orders.parquet").repartition(16).select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(1)).otherwise(F.col("o_custkey"))
+        .alias("o_custkey"))
+    spark.sparkContext.setJobGroup("lookup/hot_customer", "lookup")
+    lookup(orders, spark.read.parquet(f"{sf}/customer.parquet"), "o_custkey", "c_custkey", ["c_name"]) \
+        .write.format("noop").mode("overwrite").save()
     spark.stop()
     print(json.dumps({"sf": sf, "alert_rows": rows, "stages": stage_shares(log_dir)}, indent=1))
 
