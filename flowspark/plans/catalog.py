@@ -13,10 +13,10 @@ from flowspark.functions import (append, data_size_bytes, default_if_empty, equa
                                  parse_duration, preview, redact, trim_trailing_slash)
 from flowspark.operators import (classify, contains, drop_rel, error_rate_spike, expire,
                                  expiry_warning, fan_in, fan_out, latest, listing_text, log_lines,
-                                 lookup, parse_log, prioritize, project_listing, queue_pressure,
-                                 read_store, route, scan_listing, select_rel, status_positions,
-                                 status_summary, store, tail, threshold_alert, transition, update,
-                                 update_attributes)
+                                 lookup, older_than, parse_log, prioritize, project_listing,
+                                 queue_pressure, read_store, route, scan_listing, select_rel,
+                                 status_positions, status_summary, store, tail, threshold_alert,
+                                 transition, update, update_attributes)
 from flowspark.operators.report import ITEM_SCHEMA
 from flowspark.plans.flow import Flow
 from flowspark.plans.presets import route_and_store_flow, route_and_update, sample_flow
@@ -833,3 +833,14 @@ def flow_from_spec(spark: SparkSession, root: str) -> DataFrame:
     flow = Flow.from_spec(ROUTE_AND_STORE_SPEC, {"events": table(spark, root, "events")})
     out = flow.plan(spark)["store"]
     return _flagship_columns(out)
+
+
+@register("token_age_check", sql="""
+SELECT event_id, user_id, ts < TIMESTAMP '2024-01-30 04:00:00' AS stale
+FROM events
+""")
+def token_age_check(spark: SparkSession, root: str) -> DataFrame:
+    """An 8-hour token life: flag every event older than 8 hours at a fixed now."""
+    ev = table(spark, root, "events").select("event_id", "user_id", "ts")
+    return ev.select("event_id", "user_id",
+                     older_than("ts", "8 hours", now="2024-01-30 12:00:00").alias("stale"))
