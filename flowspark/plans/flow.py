@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowspark.functions.parse import duration_ms
+from flowspark.operators.queue import expire
 from flowspark.operators.route import RELATIONSHIP, fan_in, route, update, update_attributes
 from flowspark.operators.sinks import log_lines
 from flowspark.sources.generate import generate_records
@@ -59,6 +61,9 @@ class Edge:
     source: str
     destination: str
     relationships: tuple[str, ...]
+    expiration: str = "0 sec"
+    expiry_ts: str = "created_at"
+    now: object = None
 
 
 @dataclass
@@ -98,7 +103,9 @@ class Flow:
             props = {k: resolve(v) for k, v in st.get("properties", {}).items()}
             flow.add(st["name"], st["type"], st.get("auto_terminate", ()), **props)
         for c in spec.get("connections", []):
-            flow.connect(c["source"], c["destination"], c.get("relationships", (SUCCESS,)))
+            flow.connect(c["source"], c["destination"], c.get("relationships", (SUCCESS,)),
+                         expiration=c.get("expiration", "0 sec"),
+                         expiry_ts=c.get("expiry_ts", "created_at"), now=c.get("now"))
         return flow
 
     def add(self, name: str, type_: str, auto_terminate: Iterable[str] = (), **props) -> Flow:
@@ -110,7 +117,15 @@ class Flow:
         return self
 
     def connect(self, source: str, destination: str,
-                relationships: Iterable[str] = (SUCCESS,)) -> Flow:
+                relationships: Iterable[str] = (SUCCESS,), expiration: str = "0 sec",
+                expiry_ts: str = "created_at", now=None) -> Flow:
+        """Connect ``source`` to ``destination`` for the selected relationships.
+
+        ``expiration`` is the connection's record expiry ('0 sec' = never): rows
+        older than it at ``now``, by ``expiry_ts``, are dropped on this edge.
+        """
+        if duration_ms(expiration) is None:
+            raise ValueError(f"not a duration: {expiration!r}")
         for s in (source, destination):
             if s not in self.stages:
                 raise KeyError(f"unknown stage: {s}")
@@ -119,7 +134,7 @@ class Flow:
         bad = [r for r in rels if r not in known]
         if bad:
             raise ValueError(f"{source} has no relationship {bad}; it has {known}")
-        self.edges.append(Edge(source, destination, rels))
+        self.edges.append(Edge(source, destination, rels, expiration, expiry_ts, now))
         return self
 
     def relationships(self, stage: str) -> list[str]:
@@ -181,7 +196,7 @@ class Flow:
                         up = outputs[e.source]
                         if RELATIONSHIP in up.columns:
                             up = up.filter(F.col(RELATIONSHIP).isin(list(e.relationships))).drop(RELATIONSHIP)
-                        ins.append(up)
+                        ins.append(expire(up, e.expiration, ts=e.expiry_ts, now=e.now))
                 if not ins:
                     raise ValueError(f"{name} has no input")
                 df = kind.fn(fan_in(*ins), **props)

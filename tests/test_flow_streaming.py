@@ -223,3 +223,17 @@ def test_sample_flow_runs_as_stream_into_a_text_log(spark):
     assert lines.count("Payload: Hello from the flow!") == 3
     assert sorted(v for v in lines if v.startswith("Logging record ")) == [
         "Logging record 0-0", "Logging record 1-0", "Logging record 2-0"]
+
+
+def test_connection_expiration(spark):
+    rows = [(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 1, 9))]
+    df = spark.createDataFrame(rows, "id int, created_at timestamp_ntz")
+    f = (Flow().add("a", "table", frame=df).add("b", "update", assignments={})
+         .connect("a", "b", expiration="7 days", now="2024-01-10 00:00:00"))
+    assert [r.id for r in f.plan(spark)["b"].collect()] == [2]
+    keep_all = (Flow().add("a", "table", frame=df).add("b", "update", assignments={})
+                .connect("a", "b", expiration="0 sec"))
+    assert keep_all.plan(spark)["b"].count() == 2
+    with pytest.raises(ValueError):
+        Flow().add("a", "table", frame=df).add("b", "update", assignments={}).connect(
+            "a", "b", expiration="soon")
