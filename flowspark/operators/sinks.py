@@ -112,9 +112,16 @@ def store(df: DataFrame, root: str, by: str, filename: str,
 
 
 def read_store(spark: SparkSession, root: str, by: str, filename: str,
-               order: Sequence[str] = (CREATED_AT, RECORD_ID)) -> DataFrame:
-    """What the store holds now: latest version per (directory, filename)."""
-    return latest(spark.read.parquet(root), [by, filename], order)
+               order: Sequence[str] = (CREATED_AT, RECORD_ID),
+               directories: Sequence[str] | None = None) -> DataFrame:
+    """What the store holds now: latest version per (directory, filename).
+
+    ``directories`` limits the read to those folders (partition pruning: the
+    other folders are never listed into the scan)."""
+    stored = spark.read.parquet(root)
+    if directories is not None:
+        stored = stored.filter(F.col(by).isin(list(directories)))
+    return latest(stored, [by, filename], order)
 
 
 def compact_store(spark: SparkSession, root: str, target: str, by: str, filename: str,

@@ -81,3 +81,15 @@ def test_write_log_then_scan_lines(spark):
     lines = read_log(spark, path)
     assert lines.filter(F.col("value").startswith("Logging record ")).count() == 2
     assert lines.filter(F.col("value").contains("Value: 'y'")).count() == 1
+
+
+def test_read_store_prunes_directories(spark):
+    root = work_dir(spark, "test_store_prune")
+    rows = [(str(i), T0, c, f"f{i}", "v") for i, c in enumerate(["large", "small", "large"])]
+    df = spark.createDataFrame(rows, "record_id string, created_at timestamp_ntz, category string, "
+                                     "filename string, content string")
+    store(df, root, "category", "filename")
+    got = read_store(spark, root, "category", "filename", directories=["small"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(category" in plan and "small" in plan
+    assert [r.record_id for r in got.collect()] == ["1"]
