@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from flowspark.functions.parse import duration_ms
 from flowspark.functions.text import now_column
-from flowspark.operators.prefix import running_totals
+from flowspark.operators.prefix import fits_one_task, running_totals
 
 
 def epoch_micros(df: DataFrame, ts: str) -> Column:
@@ -57,17 +57,17 @@ def threshold_alert(df: DataFrame, key: str | None, ts: str, period: str, more_t
     * ``method="buckets"``: partition by (key, time bucket) with look-back
       copies into the next ``slices`` buckets; one shuffle, but a task holds
       about one period of one key, so use it only when that density is bounded.
-    * ``method="auto"``: measure that density first (one grouped count with
-      partial aggregation; a single number reaches the driver) and take
-      ``buckets`` when the densest group, with its look-back copy, stays under
-      ``max_group_rows``, else ``prefix``.
+    * ``method="auto"``: estimate that density first (``fits_one_task``, a
+      grouped count over a seeded sample; one number reaches the driver) and
+      take ``buckets`` when the densest group, with its look-back copy, stays
+      well under ``max_group_rows``, else ``prefix``.
     """
     p_us = _ms(period) * 1000
     keys = [key] if key else []
     if method == "auto":
-        densest = (df.select(*keys, F.floor(epoch_micros(df, ts) / F.lit(p_us)).alias("__b"))
-                   .groupBy(*keys, "__b").count().agg(F.max("count")).first()[0]) or 0
-        method = "buckets" if 2 * densest <= max_group_rows else "prefix"
+        # a bucketed task holds a group plus its look-back copy: twice the group
+        per_period = df.select(*keys, F.floor(epoch_micros(df, ts) / F.lit(p_us)).alias("__b"))
+        method = "buckets" if fits_one_task(per_period, [*keys, "__b"], max_group_rows // 2) else "prefix"
     if method == "buckets":
         return _threshold_buckets(df, keys, ts, p_us, more_than, slices, count_name)
     if method != "prefix":

@@ -26,6 +26,20 @@ from flowspark.session import work_dir
 MAX_GROUP_ROWS = 2_000_000
 
 
+def fits_one_task(df: DataFrame, cols: Sequence[str | Column], max_group_rows: int) -> bool:
+    """True when no group of ``cols`` is estimated above half of ``max_group_rows``.
+
+    Decides between an exact one-shuffle plan and an exact skew-proof plan, so
+    it only has to spot a group of millions of rows: it counts a seeded sample
+    in which such a group keeps about 1,000 rows (the whole input when the
+    bound is small). One number reaches the driver.
+    """
+    fraction = min(1.0, 1000.0 / max_group_rows)
+    sampled = df.sample(fraction=fraction, seed=17) if fraction < 1.0 else df
+    largest = sampled.groupBy(*cols).count().agg(F.max("count")).first()[0] or 0
+    return largest / fraction <= max_group_rows / 2
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    sums: Mapping[str, Column | str], slices: int | None = None,
                    method: str = "auto", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
@@ -34,16 +48,15 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     ``order`` must make rows unique within a key (add the id), as with ROWS
     frames. ``method="sliced"`` is the skew-proof plan described above (eager:
     one job writes the slice-local sums; project the input first).
-    ``method="window"`` is the plain keyed window. ``method="auto"`` counts the
-    largest key group first (one grouped count; a single number reaches the
-    driver) and uses the plain window only when it stays under ``max_group_rows``.
+    ``method="window"`` is the plain keyed window. ``method="auto"`` estimates
+    the largest key group first (``fits_one_task``) and uses the plain window
+    only when it stays well under ``max_group_rows``.
     """
     vals = {f"__v_{i}": F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0))
             for i, c in enumerate(sums.values())}
     names = dict(zip(vals, sums))
     if method == "auto":
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-        method = "window" if largest <= max_group_rows else "sliced"
+        method = "window" if fits_one_task(df, keys, max_group_rows) else "sliced"
     if method == "window":
         w = (Window.partitionBy(*keys).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -137,3 +137,11 @@ def test_error_rate_spike_null_time_is_its_own_period(spark):
     out = {r.period_start: r for r in error_rate_spike(df, "ts", F.col("kind") == "error").collect()}
     assert (out[None].n_events, out[None].n_errors, out[None].prior_events) == (2, 1, 0)
     assert out[T0 + dt.timedelta(hours=1)].prior_events == 1
+
+
+def test_fits_one_task_spots_a_hot_group(spark):
+    from flowspark.operators.prefix import fits_one_task
+    df = spark.range(300_000).withColumn("k", F.when(F.col("id") % 10 < 8, F.lit(-1)).otherwise(F.col("id")))
+    assert not fits_one_task(df, ["k"], max_group_rows=100_000)   # 240k-row key, sampled at 1%
+    assert fits_one_task(df.filter(F.col("k") != -1), ["k"], max_group_rows=100_000)
+    assert fits_one_task(df, ["id"], max_group_rows=100_000)
