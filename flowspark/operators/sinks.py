@@ -9,7 +9,7 @@ so a crashed or replayed write can never lose a stored record.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,19 +37,26 @@ def level_rank(level: Column) -> Column:
 def log_lines(df: DataFrame, level: str | Column = "info", payload: bool = False,
               min_level: str | None = None, attributes: str = ATTRIBUTES,
               record_id: str = RECORD_ID, content: str = CONTENT,
-              keep: Sequence[str] = ()) -> DataFrame:
+              keep: Sequence[str] = (), columns: Mapping[str, Column] | None = None) -> DataFrame:
     """One text block per record: head, section, sorted Key/Value pairs, payload.
 
     Keys are sorted so the text is deterministic. ``min_level`` drops blocks
-    below that level (level may be a per-row Column).
+    below that level (level may be a per-row Column). With ``columns`` the
+    attributes are those named columns instead of the map (same text).
     """
     lv = F.lower(F.lit(level)) if isinstance(level, str) else F.lower(level)
-    pairs = F.transform(F.array_sort(F.map_entries(F.col(attributes))),
-                        lambda e: F.concat(F.lit(LOG_KEY), e["key"], F.lit("'\n" + LOG_VALUE),
-                                           F.coalesce(e["value"], F.lit("")), F.lit("'")))
-    parts = [F.concat(F.lit(LOG_HEAD), F.col(record_id).cast("string")), F.lit(LOG_SECTION),
-             F.array_join(pairs, "\n")]
-    text = F.concat_ws("\n", *parts[:2], F.when(F.size(pairs) > 0, parts[2]))
+    head = [F.concat(F.lit(LOG_HEAD), F.col(record_id).cast("string")), F.lit(LOG_SECTION)]
+    if columns is not None:
+        # Typed fast path: keys known on the driver, sorted once; a null value
+        # is a missing attribute and prints nothing (no map, no lambda).
+        blocks = [F.concat(F.lit(f"{LOG_KEY}{k}'\n{LOG_VALUE}"), v.cast("string"), F.lit("'"))
+                  for k, v in sorted(columns.items())]
+        text = F.concat_ws("\n", *head, *blocks)
+    else:
+        pairs = F.transform(F.array_sort(F.map_entries(F.col(attributes))),
+                            lambda e: F.concat(F.lit(LOG_KEY), e["key"], F.lit("'\n" + LOG_VALUE),
+                                               F.coalesce(e["value"], F.lit("")), F.lit("'")))
+        text = F.concat_ws("\n", *head, F.when(F.size(pairs) > 0, F.array_join(pairs, "\n")))
     if payload:
         text = F.concat(text, F.lit("\n" + LOG_PAYLOAD), F.coalesce(F.col(content), F.lit("")))
     out = df.select(F.col(record_id).alias(RECORD_ID), *keep, lv.alias("level"), text.alias("line"))

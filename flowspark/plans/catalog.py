@@ -334,6 +334,19 @@ def _event_level_from_attrs() -> F.Column:
     return F.when(t == "error", "error").when(t == "click", "debug").otherwise("info")
 
 
+@register("log_lines_typed", sql=ORACLE["log_lines"])
+def log_lines_typed(spark: SparkSession, root: str) -> DataFrame:
+    """The same log from typed columns (no attribute map): static text, codegen."""
+    ev = table(spark, root, "events")
+    level = (F.when(F.col("event_type") == "error", "error")
+             .when(F.col("event_type") == "click", "debug").otherwise("info"))
+    recs = ev.select(F.col("event_id").cast("string").alias("record_id"), "event_type", "user_id",
+                     F.col("props").alias("content"), level.alias("level"))
+    return log_lines(recs, level=F.col("level"), payload=True, min_level="info", columns={
+        "event_type": F.col("event_type"), "user_id": F.col("user_id"),
+        "filename": F.col("record_id")})
+
+
 @register("log_parse", sql="""
 SELECT CAST(event_id AS VARCHAR) AS record_id, event_type, CAST(user_id AS VARCHAR) AS user_id,
        CAST(event_id AS VARCHAR) AS filename, props AS payload, 3 AS n_attrs

@@ -93,3 +93,13 @@ def test_read_store_prunes_directories(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(category" in plan and "small" in plan
     assert [r.record_id for r in got.collect()] == ["1"]
+
+
+def test_typed_log_lines_equal_map_path(spark):
+    df = spark.createDataFrame([("1", "a", None, "p"), ("2", "b", "x", None)],
+                               "record_id string, t string, u string, content string")
+    typed = log_lines(df, payload=True, columns={"t": F.col("t"), "u": F.col("u")})
+    recs = df.withColumn("attributes", F.map_filter(F.create_map(F.lit("t"), F.col("t"), F.lit("u"), F.col("u")),
+                                                    lambda k, v: v.isNotNull()))
+    mapped = log_lines(recs, payload=True)
+    assert sorted(typed.collect()) == sorted(mapped.collect())
