@@ -31,11 +31,16 @@ def content_size(content: str | Column) -> Column:
 
 def attribute_map(attributes: Mapping[str, str | Column]) -> Column:
     """MAP<STRING,STRING> from named columns; null values stay out of the map."""
+    empty = F.create_map().cast("map<string,string>")
     if not attributes:
-        return F.create_map().cast("map<string,string>")
-    keys = F.array(*[F.lit(k) for k in attributes])
-    vals = F.array(*[_col(v).cast("string") for v in attributes.values()])
-    return F.map_filter(F.map_from_arrays(keys, vals), lambda k, v: v.isNotNull())
+        return empty
+    # One single-entry map per present value, concatenated: no lambda, so the
+    # whole projection stays in generated code.
+    parts = []
+    for k, v in attributes.items():
+        val = _col(v).cast("string")
+        parts.append(F.when(val.isNotNull(), F.create_map(F.lit(k), val)).otherwise(empty))
+    return F.map_concat(*parts) if len(parts) > 1 else parts[0]
 
 
 def to_records(df: DataFrame, record_id: str | Column, created_at: str | Column,
