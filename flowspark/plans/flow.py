@@ -171,6 +171,16 @@ class Flow:
             if STAGE_TYPES[st.type].source is False and not any(e.destination == name for e in self.edges):
                 raise ValueError(f"{name} has no input")
 
+    def describe(self, runner=None) -> list[dict]:
+        """The flow's listing: one row per stage with its type, relationships,
+        auto-terminated ones, inputs and, given a runner, its run state."""
+        states = {r["name"]: r["state"] for r in runner.status()} if runner is not None else {}
+        return [{"name": n, "type": st.type, "relationships": self.relationships(n),
+                 "auto_terminate": list(st.auto_terminate),
+                 "inputs": sorted({e.source for e in self.edges if e.destination == n}),
+                 "state": states.get(n, "STOPPED" if runner is not None else None)}
+                for n, st in self.stages.items()]
+
     def runner(self, spark: SparkSession, sinks: dict[str, dict], **kw):
         """Start / stop / status handle for a flow whose sources are streams
         (see ``streaming.flow_runner``)."""

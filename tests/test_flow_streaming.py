@@ -237,3 +237,14 @@ def test_connection_expiration(spark):
     with pytest.raises(ValueError):
         Flow().add("a", "table", frame=df).add("b", "update", assignments={}).connect(
             "a", "b", expiration="soon")
+
+
+def test_flow_describe(spark):
+    from flowspark.plans.catalog import ROUTE_AND_STORE_SPEC
+    from flowspark.plans.flow import Flow
+    flow = Flow.from_spec(ROUTE_AND_STORE_SPEC, {"events": spark.range(1)})
+    rows = {r["name"]: r for r in flow.describe()}
+    assert rows["route"]["relationships"] == ["large", "small", "unmatched"]
+    assert rows["route"]["auto_terminate"] == ["unmatched"]
+    assert rows["store"]["inputs"] == ["update_large", "update_small"]
+    assert all(r["state"] is None for r in rows.values())
