@@ -101,3 +101,15 @@ def test_to_records_envelope(spark):
     df = spark.createDataFrame([(7, T0, "héllo", None, "v")], "id long, t timestamp_ntz, c string, n string, s string")
     r = to_records(df, "id", "t", content="c", attributes={"n": F.col("n"), "s": F.col("s")}).first()
     assert r.record_id == "7" and r.size == 6 and r.attributes == {"s": "v"}
+
+
+def test_intake_methods_and_missing_headers(spark):
+    rows = [("GET", "http://h/data?size=large", None, "g", T0),
+            ("post", "http://h/data?size=small", None, "p", T0),
+            ("POST", "http://h/data/x?size=large&size=small", {"X-A": "1"}, "q", T0)]
+    df = spark.createDataFrame(rows, "method string, url string, headers map<string,string>, "
+                                     "body string, received_at timestamp_ntz")
+    got = {r.content: r.attributes for r in intake(df, base_path="/data", header_regex="X-.*").collect()}
+    assert set(got) == {"p", "q"}  # GET is not taken in; method case does not matter
+    assert got["p"] == {"http.query.param.size": "small"}
+    assert got["q"] == {"X-A": "1", "http.query.param.size": "large"}
