@@ -90,3 +90,25 @@ def test_latest_idempotent_and_maximal(spark, rows):
         if (d, f) not in want or (s, i) > want[(d, f)]:
             want[(d, f)] = (s, i)
     assert {(r.d, r.f): r.id for r in once.collect()} == {k: v[1] for k, v in want.items()}
+
+
+@settings(max_examples=10, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(0, 1200))),
+                min_size=1, max_size=40),
+       st.integers(0, 3))
+def test_threshold_alert_methods_match_brute_force(spark, rows, more_than):
+    from flowspark.operators import threshold_alert
+    data = [(i, k, None if s is None else T0 + dt.timedelta(seconds=s)) for i, (k, s) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id long, k string, ts timestamp_ntz")
+    want = {}
+    for i, k, t in data:  # SQL: RANGE 300 s PRECEDING per key; null times are peers
+        peers = [u for j, kk, u in data if kk == k]
+        n = sum(1 for u in peers if u is None) if t is None else \
+            sum(1 for u in peers if u is not None and t - dt.timedelta(seconds=300) <= u <= t)
+        if n > more_than:
+            want[i] = n
+    for method in ("prefix", "buckets"):
+        got = {r.id: r.n_recent for r in threshold_alert(df, "k", "ts", "5 minutes", more_than,
+                                                         method=method, slices=2).collect()}
+        assert got == want, method
