@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -76,7 +76,8 @@ def run_to_end(q: StreamingQuery, timeout_s: float | None = None) -> StreamingQu
 def store_stream(df: DataFrame, root: str, by: str, filename: str, checkpoint: str,
                  order: Sequence[str] = ("created_at", "record_id"), spread: int = 0,
                  name: str | None = None, period: str | None = None,
-                 available_now: bool = False) -> StreamingQuery:
+                 available_now: bool = False,
+                 after_batch: Callable[[int], None] | None = None) -> StreamingQuery:
     """Stream into the replace store: each micro-batch is collapsed to its
     latest version per (directory, filename) and appended; ``read_store``
     resolves across batches. A replayed batch appends the same versions again,
@@ -86,6 +87,8 @@ def store_stream(df: DataFrame, root: str, by: str, filename: str, checkpoint: s
 
     def write(batch: DataFrame, batch_id: int) -> None:
         store(batch, root, by, filename, order=order, spread=spread)
+        if after_batch is not None:  # e.g. metrics; runs before the batch commits
+            after_batch(batch_id)
 
     w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if name:

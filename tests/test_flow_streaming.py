@@ -248,3 +248,32 @@ def test_flow_describe(spark):
     assert rows["route"]["auto_terminate"] == ["unmatched"]
     assert rows["store"]["inputs"] == ["update_large", "update_small"]
     assert all(r["state"] is None for r in rows.values())
+
+
+def test_store_stream_survives_a_crash_before_commit(spark):
+    from flowspark.operators import latest, read_store
+    from flowspark.streaming import store_stream, stream_path
+    base = work_dir(spark, "test_store_crash")
+    spark.read.parquet(f"{SF_SMALL}/events.parquet").repartitionByRange(4, "ts").write.parquet(f"{base}/in")
+    cols = [F.col("event_type").alias("d"), (F.col("user_id") % 5).cast("string").alias("f"),
+            "event_id", F.col("ts").alias("created_at")]
+    order = ["created_at", "event_id"]
+    crashed = []
+
+    def crash_once(batch_id):
+        if batch_id == 1 and not crashed:
+            crashed.append(batch_id)
+            raise RuntimeError("lost before commit")
+
+    src = stream_path(spark, f"{base}/in", max_files_per_trigger=1).select(*cols)
+    q = store_stream(src, f"{base}/store", "d", "f", f"{base}/cp", order=order, available_now=True,
+                     after_batch=crash_once)
+    with pytest.raises(Exception):
+        run_to_end(q, 120)
+    src = stream_path(spark, f"{base}/in", max_files_per_trigger=1).select(*cols)
+    run_to_end(store_stream(src, f"{base}/store", "d", "f", f"{base}/cp", order=order,
+                            available_now=True), 120)  # restart: batch 1 is replayed
+    got = read_store(spark, f"{base}/store", "d", "f", order=order).select("d", "f", "event_id")
+    want = latest(spark.read.parquet(f"{base}/in").select(*cols), ["d", "f"], order).select("d", "f", "event_id")
+    assert crashed == [1]
+    assert sorted(got.collect()) == sorted(want.collect())
