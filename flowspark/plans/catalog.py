@@ -857,3 +857,18 @@ def token_age_check(spark: SparkSession, root: str) -> DataFrame:
     ev = table(spark, root, "events").select("event_id", "user_id", "ts")
     return ev.select("event_id", "user_id",
                      older_than("ts", "8 hours", now="2024-01-30 12:00:00").alias("stale"))
+
+
+@register("store_rejects", sql="""
+SELECT event_id, user_id, CAST(NULL AS VARCHAR) AS directory FROM events WHERE event_type = 'error'
+""")
+def store_rejects(spark: SparkSession, root: str) -> DataFrame:
+    """The failure relationship of the store: records without a directory (here
+    error events) are not stored; ``store`` hands them back."""
+    ev = table(spark, root, "events").select(
+        "event_id", "user_id", F.nullif(F.col("event_type"), F.lit("error")).alias("directory"),
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("filename"),
+        F.col("ts").alias("created_at"))
+    rejects = store(ev, work_dir(spark, "store_rejects"), "directory", "filename",
+                    order=["created_at", "event_id"])
+    return rejects.select("event_id", "user_id", "directory")
