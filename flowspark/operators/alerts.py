@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,8 @@ from flowspark.functions.parse import duration_ms
 from flowspark.functions.text import now_column
 from flowspark.operators.prefix import fits_one_task, running_totals
 
+log = logging.getLogger("flowspark")
+
 
 def epoch_micros(df: DataFrame, ts: str) -> Column:
     """Microseconds since 1970 without any time-zone shift for TIMESTAMP_NTZ."""
@@ -68,6 +72,7 @@ def threshold_alert(df: DataFrame, key: str | None, ts: str, period: str, more_t
         # a bucketed task holds a group plus its look-back copy: twice the group
         per_period = df.select(*keys, F.floor(epoch_micros(df, ts) / F.lit(p_us)).alias("__b"))
         method = "buckets" if fits_one_task(per_period, [*keys, "__b"], max_group_rows // 2) else "prefix"
+        log.info("threshold_alert by %s: %s plan", keys, method)
     if method == "buckets":
         return _threshold_buckets(df, keys, ts, p_us, more_than, slices, count_name)
     if method != "prefix":

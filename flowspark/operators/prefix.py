@@ -14,6 +14,7 @@ executor re-reads the table instead of re-sampling the boundaries.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from flowspark.session import work_dir
 
 
+log = logging.getLogger("flowspark")
+
 # Largest key group a plain keyed window may put in one task.
 MAX_GROUP_ROWS = 2_000_000
 
@@ -57,6 +60,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     names = dict(zip(vals, sums))
     if method == "auto":
         method = "window" if fits_one_task(df, keys, max_group_rows) else "sliced"
+        log.info("running_totals by %s: %s plan", list(keys), method)
     if method == "window":
         w = (Window.partitionBy(*keys).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -73,7 +77,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
               .withColumn("__slice", F.spark_partition_id()))
     local_w = (Window.partitionBy("__slice", *keys).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    path = work_dir(spark, "running_totals")
+    path = work_dir(spark, "running_totals")  # scratch table; safe to delete after the job
     staged.withColumns({v: F.sum(v).over(local_w) for v in vals}).write.parquet(path)
     local = spark.read.parquet(path)
 
