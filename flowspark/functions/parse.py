@@ -34,8 +34,10 @@ def _scaled(c: str | Column, units: dict[str, int]) -> Column:
     factor = F.lit(None).cast("bigint")
     for name, mult in reversed(list(units.items())):
         factor = F.when(unit == name, F.lit(mult)).otherwise(factor)
-    value = F.when(number != "", F.floor(number.cast("decimal(38,9)") * factor))
-    return value.cast("bigint")
+    # try_* throughout: untrusted text never raises, an overflow is null
+    scaled = F.try_multiply(number.try_cast("decimal(38,9)"), factor)
+    value = F.when(number != "", F.floor(scaled))
+    return value.try_cast("bigint")
 
 
 def parse_data_size(c: str | Column) -> Column:
@@ -57,7 +59,8 @@ def _py_scaled(text: str, units: dict[str, int], bare_unit: str | None) -> int |
     if unit not in units:
         return None
     from decimal import Decimal
-    return int(Decimal(m.group(1)) * units[unit])
+    value = int(Decimal(m.group(1)) * units[unit])
+    return value if value < 2 ** 63 else None  # beyond BIGINT: null, as the Column form
 
 
 def data_size_bytes(text: str) -> int | None:

@@ -13,7 +13,8 @@ def one(spark, col, value, schema="x string"):
 
 def test_parse_data_size(spark):
     cases = {"1KB": 1024, "10KB": 10240, "1 GB": 1073741824, "5 furlong": None, "7": 7,
-             "1.5 KB": 1536, None: None}
+             "1.5 KB": 1536, None: None, "9223372036854775807": 9223372036854775807,
+             "9223372036854775808": None, "99999999999999999999 TB": None}
     for text, want in cases.items():
         assert one(spark, parse_data_size("x"), text) == want, text
         if text is not None:
