@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowspark.functions.parse import duration_ms
+from flowspark.functions.redact import redact
+from flowspark.operators.report import lookup
 from flowspark.operators.queue import expire
 from flowspark.operators.route import RELATIONSHIP, fan_in, route, update, update_attributes
 from flowspark.operators.sinks import log_lines
@@ -260,5 +262,21 @@ def _filter_stage(df: DataFrame, condition) -> DataFrame:
 
 @stage_type("log", relationships=(SUCCESS,))
 def _log_stage(df: DataFrame, level: str = "info", payload: bool = False,
-               min_level: str | None = None) -> DataFrame:
-    return log_lines(df, level=level, payload=payload, min_level=min_level)
+               min_level: str | None = None, columns: dict | None = None) -> DataFrame:
+    return log_lines(df, level=level, payload=payload, min_level=min_level, columns=columns)
+
+
+@stage_type("expire")
+def _expire_stage(df: DataFrame, ttl: str = "0 sec", ts: str = "created_at", now=None) -> DataFrame:
+    return expire(df, ttl, ts=ts, now=now)
+
+
+@stage_type("redact")
+def _redact_stage(df: DataFrame, column: str = "content") -> DataFrame:
+    return df.withColumn(column, redact(column))
+
+
+@stage_type("lookup")
+def _lookup_stage(df: DataFrame, names: DataFrame, left_key: str, right_key: str,
+                  columns: list[str]) -> DataFrame:
+    return lookup(df, names, left_key, right_key, columns)

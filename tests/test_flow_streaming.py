@@ -277,3 +277,22 @@ def test_store_stream_survives_a_crash_before_commit(spark):
     want = latest(spark.read.parquet(f"{base}/in").select(*cols), ["d", "f"], order).select("d", "f", "event_id")
     assert crashed == [1]
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_more_stage_types(spark):
+    from flowspark.plans.flow import Flow
+    recs = spark.createDataFrame(
+        [("1", dt.datetime(2024, 1, 9), "token = abc", "p1"), ("2", dt.datetime(2024, 1, 1), "x", "p2")],
+        "record_id string, created_at timestamp_ntz, content string, pid string")
+    names = spark.createDataFrame([("p1", "Gen")], "id string, name string")
+    flow = (Flow().add("in", "table", frame=recs)
+            .add("fresh", "expire", ttl="7 days", now="2024-01-10 00:00:00")
+            .add("clean", "redact", column="content")
+            .add("named", "lookup", names=names, left_key="pid", right_key="id", columns=["name"])
+            .add("log", "log", payload=True, columns={"name": F.col("name")})
+            .connect("in", "fresh").connect("fresh", "clean").connect("clean", "named")
+            .connect("named", "log"))
+    out = flow.plan(spark)["log"].collect()
+    assert [r.record_id for r in out] == ["1"]
+    assert out[0].line == ("Logging record 1\nRecord attributes\nKey: 'name'\n  Value: 'Gen'\n"
+                           "Payload: token = ***")
