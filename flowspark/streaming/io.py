@@ -66,8 +66,13 @@ def start_file_sink(df: DataFrame, path: str, checkpoint: str, partition_by: Seq
 
 
 def run_to_end(q: StreamingQuery, timeout_s: float | None = None) -> StreamingQuery:
-    """Wait for an available-now query and surface its failure."""
-    q.awaitTermination(timeout_s)
+    """Wait for an available-now query and surface its failure. A query still
+    running after ``timeout_s`` is stopped and reported, never left behind."""
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
+        q.stop()
+        raise TimeoutError(f"stream {q.name or q.id} still running after {timeout_s} s; stopped")
     if q.exception() is not None:
         raise q.exception()
     return q
@@ -82,7 +87,8 @@ def store_stream(df: DataFrame, root: str, by: str, filename: str, checkpoint: s
     latest version per (directory, filename) and appended; ``read_store``
     resolves across batches. A replayed batch appends the same versions again,
     which resolve to the same rows, so the sink is idempotent without ever
-    overwriting stored files."""
+    overwriting stored files. Records without a directory or filename (the
+    failure relationship) are dropped here."""
     from flowspark.operators.sinks import store
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -296,3 +296,12 @@ def test_more_stage_types(spark):
     assert [r.record_id for r in out] == ["1"]
     assert out[0].line == ("Logging record 1\nRecord attributes\nKey: 'name'\n  Value: 'Gen'\n"
                            "Payload: token = ***")
+
+
+def test_run_to_end_stops_a_stream_that_does_not_finish(spark):
+    base = work_dir(spark, "test_run_to_end")
+    q = start_file_sink(generate_stream(spark, period="1 sec"), f"{base}/out", f"{base}/cp",
+                        period="1 sec")
+    with pytest.raises(TimeoutError):
+        run_to_end(q, 2)
+    assert not q.isActive
