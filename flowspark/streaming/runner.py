@@ -61,6 +61,12 @@ class FlowRunner:
                 out["failed"].append(s)
         return {k: sorted(v) for k, v in out.items()}
 
+    def await_all(self, timeout_s: float | None = None) -> None:
+        """Wait for the flow's running queries (available-now runs) to finish."""
+        from flowspark.streaming.io import run_to_end
+        for q in self.active().values():
+            run_to_end(q, timeout_s)
+
     def status(self) -> list[dict]:
         """One row per registered sink: state, id, last batch and its counters."""
         running = self.active()

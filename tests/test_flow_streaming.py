@@ -129,8 +129,7 @@ def test_flow_runs_as_stream_and_resumes(spark):
                          available_now=True, checkpoint_root=f"{base}/cp")
     for _ in range(2):  # second start resumes from the checkpoint: nothing new
         assert runner.start()["started"] == ["store"]
-        for q in runner.active().values():
-            run_to_end(q, 120)
+        runner.await_all(120)
     batch = route_and_store_flow(spark.read.parquet(f"{SF_SMALL}/events.parquet"), rules,
                                  filename=F.col("event_id").cast("string"), now=F.col("ts"))
     want = batch.plan(spark)["store"]
@@ -217,8 +216,7 @@ def test_sample_flow_runs_as_stream_into_a_text_log(spark):
                          available_now=True, checkpoint_root=f"{base}/cp")
     for _ in range(3):  # one firing per start
         runner.start()
-        for q in runner.active().values():
-            run_to_end(q, 120)
+        runner.await_all(120)
     lines = [r.value for r in read_log(spark, f"{base}/log").collect()]
     assert lines.count("Payload: Hello from the flow!") == 3
     assert sorted(v for v in lines if v.startswith("Logging record ")) == [
