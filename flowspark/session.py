@@ -30,17 +30,24 @@ def build_session(master: str | None = None, app: str = "flowspark",
     return spark
 
 
+# Folders invented for local sessions without spark.checkpoint.dir, one per
+# application. (The setting is a core config: it cannot be set at run time.)
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir`` (invented only on a
-    local master where it is unset, as in tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; invented only on a
+    local master where it is unset (tests), and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        root = tempfile.mkdtemp(prefix="flowspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    master = spark.conf.get("spark.master", "") or ""
+    if not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    app = spark.conf.get("spark.app.id", None) or "local"
+    if app not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="flowspark-")
+    return _LOCAL_ROOTS[app]
 
 
 def stable_dir(spark: SparkSession, *parts: str) -> str:
