@@ -23,8 +23,9 @@ from flowspark.plans.presets import route_and_store_flow, route_and_update, samp
 from flowspark.records import attr, to_records
 from flowspark.session import work_dir
 from flowspark.sources import generate_records, intake, read_log, read_requests
-from flowspark.streaming import (run_to_end, sliding_alert, start_file_sink, store_stream,
-                                 stream_path, stream_table)
+from flowspark.streaming import (latest_depth, queue_depth_stream, run_to_end, sliding_alert,
+                                 start_file_sink, start_snapshot_sink, store_stream, stream_path,
+                                 stream_table)
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -872,3 +873,21 @@ def store_rejects(spark: SparkSession, root: str) -> DataFrame:
     rejects = store(ev, work_dir(spark, "store_rejects"), "directory", "filename",
                     order=["created_at", "event_id"])
     return rejects.select("event_id", "user_id", "directory")
+
+
+@register("stream_queue_depth", sql="""
+SELECT event_type AS queue, count(*) AS objects, CAST(sum(strlen(props)) AS BIGINT) AS bytes,
+       count(*) >= 1000 OR sum(strlen(props)) >= 20480 AS throttled
+FROM events GROUP BY event_type
+""")
+def stream_queue_depth(spark: SparkSession, root: str) -> DataFrame:
+    """Events land as 8 time-ordered files and stream (2 per batch) into a
+    running depth per queue; the latest snapshot per queue is read back."""
+    base = work_dir(spark, "stream_queue_depth")
+    table(spark, root, "events").repartitionByRange(8, "ts").write.parquet(f"{base}/landing")
+    ev = stream_path(spark, f"{base}/landing", max_files_per_trigger=2)
+    depth = queue_depth_stream(ev, "event_type", F.octet_length("props"), max_objects=1000,
+                               max_bytes="20 KB")
+    run_to_end(start_snapshot_sink(depth, f"{base}/snapshots", f"{base}/checkpoint",
+                                   available_now=True))
+    return latest_depth(spark, f"{base}/snapshots")
