@@ -147,6 +147,35 @@ def error_rate_spike(df: DataFrame, ts: str, is_error: Column, period: str = "1
         F.coalesce(rate > trailing + F.lit(limit), F.lit(False)).alias("is_spike"))
 
 
+def rate_spikes(counts: DataFrame, period: str = "1 hour", lookback: int = 3,
+                limit: float = 0.05, start: str = "period_start") -> DataFrame:
+    """``error_rate_spike`` over a table of period counts (``start``,
+    ``n_events``, ``n_errors``), e.g. the stored output of the streaming
+    ``error_counts_stream``. Each period row also counts as prior for the next
+    ``lookback`` periods; one aggregate, no window over all periods."""
+    ms = _ms(period)
+    last = F.when(F.col(start).isNull(), F.lit(0)).otherwise(F.lit(lookback))
+    shifted = counts.select(F.col(start).alias("__p"), "n_events", "n_errors",
+                            F.explode(F.sequence(F.lit(0), last)).alias("__j")).withColumn(
+        "period_start", F.col("__p") + F.make_dt_interval(
+            secs=(F.col("__j") * F.lit(ms / 1000.0)).cast("decimal(18,6)")))
+    own, prior = F.col("__j") == 0, F.col("__j") > 0
+    zero = F.lit(0).cast("bigint")
+    out = (shifted.groupBy("period_start")
+           .agg(F.sum(F.when(own, F.col("n_events")).otherwise(zero)).alias("n_events"),
+                F.sum(F.when(own, F.col("n_errors")).otherwise(zero)).alias("n_errors"),
+                F.sum(F.when(prior, F.col("n_events")).otherwise(zero)).alias("prior_events"),
+                F.sum(F.when(prior, F.col("n_errors")).otherwise(zero)).alias("prior_errors"),
+                F.max(own.cast("int")).alias("__has"))
+           .filter(F.col("__has") == 1).drop("__has"))
+    rate = F.col("n_errors") / F.nullif(F.col("n_events"), F.lit(0))
+    trailing = F.col("prior_errors") / F.nullif(F.col("prior_events"), F.lit(0))
+    return out.select(
+        "period_start", "n_events", "n_errors", "prior_events", "prior_errors",
+        F.round(rate, 6).alias("error_rate"), F.round(trailing, 6).alias("trailing_rate"),
+        F.coalesce(rate > trailing + F.lit(limit), F.lit(False)).alias("is_spike"))
+
+
 def expiry_warning(df: DataFrame, expires_at: str, within: str = "30 days",
                    now: str | Column | None = None) -> DataFrame:
     """Items expiring in ``[now, now + within]`` with whole days left."""

@@ -23,7 +23,8 @@ from flowspark.plans.presets import route_and_store_flow, route_and_update, samp
 from flowspark.records import attr, to_records
 from flowspark.session import work_dir
 from flowspark.sources import generate_records, intake, read_log, read_requests
-from flowspark.streaming import (latest_depth, queue_depth_stream, run_to_end, sliding_alert,
+from flowspark.streaming import (error_counts_stream, latest_depth, queue_depth_stream,
+                                 run_to_end, sliding_alert,
                                  start_file_sink, start_snapshot_sink, store_stream, stream_path,
                                  stream_table)
 from flowspark.sources.tables import table
@@ -891,3 +892,18 @@ def stream_queue_depth(spark: SparkSession, root: str) -> DataFrame:
     run_to_end(start_snapshot_sink(depth, f"{base}/snapshots", f"{base}/checkpoint",
                                    available_now=True))
     return latest_depth(spark, f"{base}/snapshots")
+
+
+@register("stream_error_periods", sql="""
+SELECT date_trunc('hour', ts) AS period_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS period_end,
+       count(*) AS n_events, count(*) FILTER (WHERE event_type = 'error') AS n_errors
+FROM events GROUP BY 1, 2
+HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE
+""")
+def stream_error_periods(spark: SparkSession, root: str) -> DataFrame:
+    """Hourly event and error counts from the event stream, each hour written
+    once the watermark (30 minutes) has closed it."""
+    ev = stream_table(spark, root, "events").select("ts", "event_type")
+    periods = error_counts_stream(ev, "ts", F.col("event_type") == "error", "1 hour", "30 minutes")
+    path = _drain(spark, "stream_error_periods", periods)
+    return spark.read.schema(periods.schema).parquet(path)

@@ -1,11 +1,11 @@
 """Structured Streaming forms of the flows."""
 
-from flowspark.streaming.alerts import event_time, sliding_alert
+from flowspark.streaming.alerts import error_counts_stream, event_time, sliding_alert
 from flowspark.streaming.io import (run_to_end, start_file_sink, store_stream, stream_path,
                                    stream_table, with_trigger)
 from flowspark.streaming.queues import latest_depth, queue_depth_stream, start_snapshot_sink
 from flowspark.streaming.runner import FlowRunner, flow_runner
 
-__all__ = ["event_time", "sliding_alert", "run_to_end", "start_file_sink", "store_stream", "stream_path", "stream_table",
+__all__ = ["error_counts_stream", "event_time", "sliding_alert", "run_to_end", "start_file_sink", "store_stream", "stream_path", "stream_table",
            "with_trigger", "FlowRunner", "flow_runner", "latest_depth", "queue_depth_stream",
            "start_snapshot_sink"]

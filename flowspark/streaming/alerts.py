@@ -25,3 +25,15 @@ def sliding_alert(df: DataFrame, key: str, ts: str, window: str, slide: str, del
     return agg.filter(F.col("n_events") > more_than).select(
         F.col("w.start").cast("timestamp_ntz").alias("window_start"),
         F.col("w.end").cast("timestamp_ntz").alias("window_end"), key, "n_events")
+
+
+def error_counts_stream(df: DataFrame, ts: str, is_error, period: str, delay: str) -> DataFrame:
+    """Events and errors per fixed period, each period emitted once the watermark
+    (max event time − ``delay``) has passed its end. The stored periods feed the
+    batch ``error_rate_spike`` comparison; the state is one row per open period."""
+    s = event_time(df, ts).withWatermark(ts, delay)
+    err = F.coalesce(is_error, F.lit(False))
+    agg = s.groupBy(F.window(F.col(ts), period).alias("w")).agg(
+        F.count(F.lit(1)).alias("n_events"), F.count_if(err).alias("n_errors"))
+    return agg.select(F.col("w.start").cast("timestamp_ntz").alias("period_start"),
+                      F.col("w.end").cast("timestamp_ntz").alias("period_end"), "n_events", "n_errors")

@@ -321,3 +321,19 @@ def test_queue_depth_stream_grows_and_throttles(spark):
     want = {r.event_type: r["count"] for r in ev.groupBy("event_type").count().collect()}
     assert {q: n for q, (n, _) in final.items()} == want
     assert all(t == (want[q] >= 150) for q, (_, t) in final.items())
+
+
+def test_streamed_period_counts_give_the_batch_spikes(spark):
+    from flowspark.operators import error_rate_spike, rate_spikes
+    from flowspark.streaming import error_counts_stream
+    base = work_dir(spark, "test_error_periods")
+    src = stream_table(spark, SF_SMALL, "events").select("ts", "event_type")
+    periods = error_counts_stream(src, "ts", F.col("event_type") == "error", "1 hour", "30 minutes")
+    run_to_end(start_file_sink(periods, f"{base}/out", f"{base}/cp", available_now=True), 120)
+    stored = spark.read.schema(periods.schema).parquet(f"{base}/out")
+    got = rate_spikes(stored, "1 hour", 3, 0.05)
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    want = error_rate_spike(ev, "ts", F.col("event_type") == "error", "1 hour", 3, 0.05)
+    closed = [r.period_start for r in stored.select("period_start").collect()]
+    assert len(closed) > 100
+    assert sorted(got.collect()) == sorted(want.filter(F.col("period_start").isin(closed)).collect())
