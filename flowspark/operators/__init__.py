@@ -1,7 +1,7 @@
 """Record operators: DataFrame in, DataFrame out."""
 
 from flowspark.operators.alerts import (epoch_micros, error_rate_spike, expiry_warning,
-                                        older_than, rate_spikes, threshold_alert)
+                                        older_than, period_counts, rate_spikes, threshold_alert)
 from flowspark.operators.prefix import running_totals
 from flowspark.operators.queue import expire, prioritize, queue_pressure
 from flowspark.operators.report import (classify, contains, counters, listing_text, lookup,
@@ -13,7 +13,7 @@ from flowspark.operators.sinks import (LEVELS, compact_store, latest, level_rank
                                        read_store, store, write_log)
 
 __all__ = [
-    "epoch_micros", "error_rate_spike", "expiry_warning", "older_than", "rate_spikes", "threshold_alert",
+    "epoch_micros", "error_rate_spike", "expiry_warning", "older_than", "period_counts", "rate_spikes", "threshold_alert",
     "running_totals", "expire", "prioritize", "queue_pressure", "classify", "contains",
     "counters", "listing_text", "lookup", "project_listing", "scan_listing", "status_positions",
     "status_summary", "tail", "transition", "RELATIONSHIP", "UNMATCHED", "drop_rel", "fan_in",

@@ -118,33 +118,20 @@ def error_rate_spike(df: DataFrame, ts: str, is_error: Column, period: str = "1
     periods before it (by time; empty periods count as nothing) and ``is_spike``
     when the rate exceeds that trailing rate by more than ``limit``.
 
-    One scan, one aggregate: each event counts for its own period and, as
-    "prior", for each of the next ``lookback`` periods. The copies are made
-    before the partial aggregation, so the shuffle carries one row per
-    (task, period), and no single-task window over all periods is needed.
+    One scan: the events collapse to one row per period (partial aggregation
+    before the shuffle), and ``rate_spikes`` compares the periods on that
+    small table. No window runs over all periods in one task.
     """
-    ms = _ms(period)
-    start = _period_start(df, ts, ms)
-    staged = df.select(start.alias("__p"), F.coalesce(is_error, F.lit(False)).alias("__e"))
-    # A row without time forms the null period, which has no neighbours.
-    last = F.when(F.col("__p").isNull(), F.lit(0)).otherwise(F.lit(lookback))
-    shifted = staged.select("__e", F.explode(F.sequence(F.lit(0), last)).alias("__j"),
-                            "__p").withColumn(
-        "period_start", F.col("__p") + F.make_dt_interval(
-            secs=(F.col("__j") * F.lit(ms / 1000.0)).cast("decimal(18,6)")))
-    own, prior = F.col("__j") == 0, F.col("__j") > 0
-    out = (shifted.groupBy("period_start")
-           .agg(F.count_if(own).alias("n_events"), F.count_if(own & F.col("__e")).alias("n_errors"),
-                F.count_if(prior).alias("prior_events"),
-                F.count_if(prior & F.col("__e")).alias("prior_errors"))
-           .filter(F.col("n_events") > 0))
-    rate = F.col("n_errors") / F.nullif(F.col("n_events"), F.lit(0))
-    trailing = F.col("prior_errors") / F.nullif(F.col("prior_events"), F.lit(0))
-    return out.select(
-        "period_start", "n_events", "n_errors", "prior_events", "prior_errors",
-        F.round(rate, 6).alias("error_rate"),
-        F.round(trailing, 6).alias("trailing_rate"),
-        F.coalesce(rate > trailing + F.lit(limit), F.lit(False)).alias("is_spike"))
+    return rate_spikes(period_counts(df, ts, is_error, period), period, lookback, limit)
+
+
+def period_counts(df: DataFrame, ts: str, is_error: Column, period: str = "1 hour") -> DataFrame:
+    """Events and errors per fixed period (aligned to 1970-01-01); a row without
+    time falls in the null period."""
+    start = _period_start(df, ts, _ms(period))
+    return df.groupBy(start.alias("period_start")).agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.count_if(F.coalesce(is_error, F.lit(False))).alias("n_errors"))
 
 
 def rate_spikes(counts: DataFrame, period: str = "1 hour", lookback: int = 3,
