@@ -24,7 +24,13 @@ def equals(c: str | Column, value: str) -> Column:
     return _col(c) == F.lit(value)
 
 
-def format_time(ts: str | Column, pattern: str = TIME_FORMAT) -> Column:
+def format_time(ts: str | Column, pattern: str = TIME_FORMAT, ntz: bool = False) -> Column:
+    """Time → text. For a TIMESTAMP_NTZ value (``ntz=True``) in the default
+    layout, the wall clock is printed as is, without the session time zone
+    (``date_format`` converts through it, which cannot print a wall-clock time
+    inside a daylight-saving gap)."""
+    if ntz and pattern == TIME_FORMAT:
+        return F.substr(_col(ts).cast("string"), F.lit(1), F.lit(19))
     return F.date_format(_col(ts), pattern)
 
 

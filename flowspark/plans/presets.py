@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowspark.functions.text import append, format_time, now_column, template
 from flowspark.operators.route import RELATIONSHIP, route, update
@@ -23,9 +24,11 @@ def route_and_update(df: DataFrame, rules: Mapping[str, Column], filename: Colum
     """
     routed = route(df, rules, exclusive=exclusive)
     rel = F.col(RELATIONSHIP)
+    clock = now_column(now)
+    ntz = isinstance(df.select(clock).schema[0].dataType, T.TimestampNTZType)
     return update(routed, {
         "category": rel,
-        "processing_time": format_time(now_column(now)),
+        "processing_time": format_time(clock, ntz=ntz),
         "filename": append(filename, F.concat(F.lit("."), rel)),
         "directory": template(root.rstrip("/") + "/", rel),
     }).drop(RELATIONSHIP)
@@ -51,10 +54,12 @@ def route_and_store_flow(source: DataFrame, rules: Mapping[str, Column], filenam
             .add("source", "table", frame=source)
             .add("route", "route", auto_terminate=["unmatched"], rules=dict(rules)))
     flow.connect("source", "route")
+    clock = now_column(now)
+    ntz = isinstance(source.select(clock).schema[0].dataType, T.TimestampNTZType)
     for branch in rules:
         flow.add(f"update_{branch}", "update", assignments={
             "category": F.lit(branch),
-            "processing_time": format_time(now_column(now)),
+            "processing_time": format_time(clock, ntz=ntz),
             "filename": append(filename, "." + branch),
             "directory": F.lit(root.rstrip("/") + "/" + branch)})
         flow.connect("route", f"update_{branch}", [branch])

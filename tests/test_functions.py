@@ -91,3 +91,15 @@ def test_drop_secret_keys(spark):
     from flowspark.functions import drop_secret_keys
     df = spark.createDataFrame([({"Password": "x", "token": "y", "filename": "f"},)], "a map<string,string>")
     assert df.select(drop_secret_keys("a")).first()[0] == {"filename": "f"}
+
+
+def test_format_time_ntz_ignores_session_zone(spark):
+    import datetime as dt
+    from flowspark.functions import format_time
+    df = spark.createDataFrame([(dt.datetime(2024, 3, 10, 2, 30, 0, 123456),)], "t timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # 02:30 falls in its DST gap
+        assert df.select(format_time("t", ntz=True)).first()[0] == "2024-03-10 02:30:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
