@@ -13,22 +13,26 @@ from flowspark.functions.parse import data_size_bytes, trigger_interval
 
 def stream_table(spark: SparkSession, root: str, name: str,
                  max_files_per_trigger: int | None = None,
-                 max_bytes_per_trigger: int | str | None = None) -> DataFrame:
+                 max_bytes_per_trigger: int | str | None = None,
+                 options: dict[str, str] | None = None) -> DataFrame:
     """A table folder (or a single ``name.parquet`` file) as a file stream."""
     return stream_path(spark, f"{root.rstrip('/')}/{name}.parquet", max_files_per_trigger,
-                       max_bytes_per_trigger)
+                       max_bytes_per_trigger, options)
 
 
 def stream_path(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
-                max_bytes_per_trigger: int | str | None = None) -> DataFrame:
+                max_bytes_per_trigger: int | str | None = None,
+                options: dict[str, str] | None = None) -> DataFrame:
     """Parquet folder (or single file) as a file stream, schema from the footers.
 
     ``max_files_per_trigger`` / ``max_bytes_per_trigger`` are the source-side
     back-pressure caps (objects / bytes per micro-batch); Spark accepts one.
-    The byte cap may be given as text ('1 GB').
+    The byte cap may be given as text ('1 GB'). ``options`` go to the file
+    source as they are, e.g. ``cleanSource`` / ``sourceArchiveDir`` or
+    ``maxFileAge`` to keep the listing of a long-lived landing folder short.
     """
     schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).options(**(options or {}))
     if isinstance(max_bytes_per_trigger, str):
         max_bytes_per_trigger = data_size_bytes(max_bytes_per_trigger)
     if max_files_per_trigger and max_bytes_per_trigger:
