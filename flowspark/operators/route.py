@@ -87,6 +87,34 @@ def update_attributes(df: DataFrame, assignments: Mapping[str, Column | str],
     return df.withColumn(attributes, F.map_concat(kept, new))
 
 
+def route_update(df: DataFrame, rules: Mapping[str, Column],
+                 updates: Mapping[str, Mapping[str, Column | str]], exclusive: bool = False,
+                 keep_relationship: bool = True) -> DataFrame:
+    """Route, then each branch's own assignments, in one pass.
+
+    ``updates`` maps a branch to its ``{column: value}``. Every assigned column
+    becomes one CASE on ``relationship``; a branch that does not assign a
+    column keeps its old value (null when the column is new). The result
+    equals one update stage per branch followed by a fan-in, without scanning
+    the source once per branch. Unmatched rows are dropped.
+    """
+    unknown = set(updates) - set(rules)
+    if unknown:
+        raise ValueError(f"updates for unknown branches: {sorted(unknown)}")
+    routed = route(df, rules, exclusive=exclusive)
+    rel = F.col(RELATIONSHIP)
+    columns: dict[str, Column] = {}
+    for col in dict.fromkeys(c for assigns in updates.values() for c in assigns):
+        expr = F.col(col) if col in df.columns else F.lit(None)
+        for branch, assigns in updates.items():
+            if col in assigns:
+                v = assigns[col]
+                expr = F.when(rel == branch, F.lit(v) if isinstance(v, str) else v).otherwise(expr)
+        columns[col] = expr
+    out = routed.withColumns(columns)
+    return out if keep_relationship else out.drop(RELATIONSHIP)
+
+
 def fan_out(df: DataFrame, branches: Mapping[str, Column]) -> dict[str, DataFrame]:
     """One filtered DataFrame per branch (each one re-reads the source when acted on;
     prefer ``route`` + ``update`` keyed on ``relationship`` for a single pass)."""

@@ -14,7 +14,8 @@ from flowspark.functions import (append, data_size_bytes, default_if_empty, equa
 from flowspark.operators import (classify, contains, drop_rel, error_rate_spike, expire,
                                  expiry_warning, fan_in, fan_out, latest, listing_text, log_lines,
                                  lookup, older_than, parse_log, prioritize, project_listing,
-                                 queue_pressure, read_store, route, scan_listing, select_rel,
+                                 queue_pressure, read_store, route, route_update, scan_listing,
+                                 select_rel,
                                  status_positions, status_summary, store, tail, threshold_alert,
                                  transition, update, update_attributes)
 from flowspark.operators.report import ITEM_SCHEMA
@@ -907,3 +908,22 @@ def stream_error_periods(spark: SparkSession, root: str) -> DataFrame:
     periods = error_counts_stream(ev, "ts", F.col("event_type") == "error", "1 hour", "30 minutes")
     path = _drain(spark, "stream_error_periods", periods)
     return spark.read.schema(periods.schema).parquet(path)
+
+
+@register("route_branch_updates", sql="""
+SELECT event_id, 'large' AS relationship, 'large' AS category, 'L' AS tag, value FROM events
+WHERE event_type = 'purchase'
+UNION ALL
+SELECT event_id, 'small', 'small', NULL, value FROM events WHERE event_type = 'click'
+UNION ALL
+SELECT event_id, 'big', 'big', NULL, value * 2 FROM events WHERE value > 90
+""")
+def route_branch_updates(spark: SparkSession, root: str) -> DataFrame:
+    """Each branch updates its own columns, in one pass over the events (one
+    CASE per column on the relationship), equal to stage-per-branch + fan-in."""
+    ev = table(spark, root, "events").select("event_id", "event_type", "value")
+    rules = {**_flagship_rules(), "big": F.col("value") > 90}
+    out = route_update(ev, rules, {"large": {"category": "large", "tag": F.lit("L")},
+                                   "small": {"category": "small"},
+                                   "big": {"category": "big", "value": F.col("value") * 2}})
+    return out.select("event_id", "relationship", "category", "tag", "value")

@@ -20,7 +20,8 @@ from flowspark.functions.parse import duration_ms
 from flowspark.functions.redact import redact
 from flowspark.operators.report import lookup
 from flowspark.operators.queue import expire
-from flowspark.operators.route import RELATIONSHIP, fan_in, route, update, update_attributes
+from flowspark.operators.route import (RELATIONSHIP, fan_in, route, route_update, update,
+                                       update_attributes)
 from flowspark.operators.sinks import log_lines
 from flowspark.sources.generate import generate_records
 from flowspark.sources.requests import intake
@@ -244,6 +245,12 @@ def _route_stage(df: DataFrame, rules: dict, auto_terminate: tuple[str, ...] = (
     return route(df, rules, keep_unmatched="unmatched" not in auto_terminate)
 
 
+@stage_type("route_update", relationships=lambda p: list(p["rules"]))
+def _route_update_stage(df: DataFrame, rules: dict, updates: dict, exclusive: bool = False) -> DataFrame:
+    """Route plus per-branch updates in one pass (unmatched rows dropped)."""
+    return route_update(df, rules, updates, exclusive=exclusive)
+
+
 @stage_type("update")
 def _update_stage(df: DataFrame, assignments: dict) -> DataFrame:
     return update(df, assignments)

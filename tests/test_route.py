@@ -113,3 +113,22 @@ def test_intake_methods_and_missing_headers(spark):
     assert set(got) == {"p", "q"}  # GET is not taken in; method case does not matter
     assert got["p"] == {"http.query.param.size": "small"}
     assert got["q"] == {"X-A": "1", "http.query.param.size": "large"}
+
+
+def test_route_update_equals_branch_stages_and_scans_once(spark):
+    from flowspark.operators import route_update
+    from tests.conftest import SF_SMALL
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    rules = {"large": F.col("event_type") == "purchase", "small": F.col("event_type") == "click",
+             "big": F.col("value") > 90}
+    updates = {"large": {"category": "large", "tag": F.lit("L")},
+               "small": {"category": "small"},
+               "big": {"category": "big", "value": F.col("value") * 2}}
+    single = route_update(ev, rules, updates).select("event_id", "relationship", "category", "tag", "value")
+    branches = fan_in(*[update(route(ev, rules).filter(F.col("relationship") == b), a)
+                        for b, a in updates.items()]).select("event_id", "relationship", "category",
+                                                              "tag", "value")
+    assert sorted(single.collect()) == sorted(branches.collect())
+    assert single._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    with pytest.raises(ValueError):
+        route_update(ev, rules, {"nope": {"x": "y"}})
