@@ -15,9 +15,8 @@ from flowspark.operators import (classify, contains, drop_rel, error_rate_spike,
                                  expiry_warning, fan_in, fan_out, latest, listing_text, log_lines,
                                  lookup, older_than, parse_log, prioritize, project_listing,
                                  queue_pressure, read_store, route, route_update, scan_listing,
-                                 select_rel,
-                                 status_positions, status_summary, store, tail, threshold_alert,
-                                 transition, update, update_attributes)
+                                 select_rel, status_positions, status_summary, store, tail,
+                                 threshold_alert, transition, update, update_attributes)
 from flowspark.operators.report import ITEM_SCHEMA
 from flowspark.plans.flow import Flow
 from flowspark.plans.presets import route_and_store_flow, route_and_update, sample_flow
