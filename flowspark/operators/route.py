@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowspark.records import ATTRIBUTES
+from flowspark.records import ATTRIBUTES, attribute_map
 
 RELATIONSHIP = "relationship"
 UNMATCHED = "unmatched"
@@ -79,9 +79,7 @@ def update_attributes(df: DataFrame, assignments: Mapping[str, Column | str],
     if not assignments:
         return df
     keys = list(assignments)
-    vals = [(F.lit(v) if isinstance(v, str) else v).cast("string") for v in assignments.values()]
-    new = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*vals)),
-                       lambda k, v: v.isNotNull())
+    new = attribute_map({k: (F.lit(v) if isinstance(v, str) else v) for k, v in assignments.items()})
     banned = F.array(*[F.lit(k) for k in keys])
     kept = F.map_filter(F.col(attributes), lambda k, v: ~F.array_contains(banned, k))
     return df.withColumn(attributes, F.map_concat(kept, new))
