@@ -24,9 +24,8 @@ from flowspark.records import attr, to_records
 from flowspark.session import work_dir
 from flowspark.sources import generate_records, intake, read_log, read_requests
 from flowspark.streaming import (error_counts_stream, latest_depth, queue_depth_stream,
-                                 run_to_end, sliding_alert,
-                                 start_file_sink, start_snapshot_sink, store_stream, stream_path,
-                                 stream_table)
+                                 run_to_end, sliding_alert, start_file_sink, start_snapshot_sink,
+                                 store_stream, stream_path, stream_table)
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +64,7 @@ SELECT event_id AS record_id, ts AS created_at, user_id,
 FROM events WHERE event_type IN ('purchase', 'click')
 """)
 def route_and_store(spark: SparkSession, root: str) -> DataFrame:
+    """Flagship: route purchase → large, click → small; update category, time, filename, folder."""
     ev = table(spark, root, "events")
     rules = _flagship_rules()
     out = route_and_update(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"),
@@ -79,6 +79,7 @@ UNION ALL
 SELECT event_id, 'purchase' AS relationship, value FROM events WHERE event_type = 'purchase'
 """)
 def route_multi_match(spark: SparkSession, root: str) -> DataFrame:
+    """One row per true rule; the connection takes two of three relationships."""
     ev = table(spark, root, "events")
     routed = route(ev, {"high": F.col("value") > 10, "very_high": F.col("value") > 50,
                         "purchase": F.col("event_type") == "purchase"})
@@ -90,6 +91,7 @@ SELECT event_id, event_type, 'unmatched' AS relationship FROM events
 WHERE NOT coalesce(event_type IN ('purchase', 'click'), false)
 """)
 def route_unmatched(spark: SparkSession, root: str) -> DataFrame:
+    """Rows no rule matches, labelled unmatched; matched ones auto-terminated."""
     ev = table(spark, root, "events")
     routed = route(ev, {"large": F.col("event_type") == "purchase",
                         "small": F.col("event_type") == "click"}, keep_unmatched=True)
@@ -102,6 +104,7 @@ SELECT CASE WHEN strlen(text) > 10240 THEN 'large' ELSE 'small' END AS relations
 FROM documents GROUP BY 1
 """)
 def route_by_size(spark: SparkSession, root: str) -> DataFrame:
+    """Documents routed by byte size (10 KB), counted per branch."""
     docs = to_records(table(spark, root, "documents"), "doc_id", F.lit(None).cast("timestamp_ntz"),
                       content="text")
     limit = data_size_bytes("10KB")
@@ -119,6 +122,7 @@ SELECT event_id, 'signup' AS branch, 'account' AS category, true AS welcome
 FROM events WHERE event_type = 'signup'
 """)
 def fan_in_union(spark: SparkSession, root: str) -> DataFrame:
+    """Fan-out into two branches with their own updates, fan-in by name."""
     ev = table(spark, root, "events").select("event_id", "event_type")
     b = fan_out(ev, {"view": F.col("event_type") == "view", "signup": F.col("event_type") == "signup"})
     view = update(b["view"], {"branch": "view", "category": "browse"})
@@ -141,6 +145,7 @@ SELECT CAST(event_id AS VARCHAR) AS record_id, event_type AS category,
 FROM events
 """)
 def attr_map_update(spark: SparkSession, root: str) -> DataFrame:
+    """Attribute-map update: overwrite, add and remove keys in one step."""
     recs = update_attributes(_event_records(spark, root), {
         "category": attr("event_type"),
         "filename": append(attr("filename"), ".log"),
@@ -161,6 +166,7 @@ SELECT CAST(event_id AS VARCHAR), 'error', json_extract_string(props, '$.k') FRO
 WHERE event_type = 'error'
 """)
 def attr_map_route(spark: SparkSession, root: str) -> DataFrame:
+    """Route on map attributes parsed from JSON properties."""
     ev = table(spark, root, "events")
     attrs = F.map_concat(F.from_json("props", "map<string,string>"),
                          F.create_map(F.lit("event_type"), F.col("event_type")))
@@ -200,6 +206,7 @@ WITH q AS (
 SELECT CAST(page_id AS VARCHAR) AS record_id, key, value FROM firsts
 """)
 def request_query_params(spark: SparkSession, root: str) -> DataFrame:
+    """Query parameters of captured requests as attributes (first value wins)."""
     recs = _page_requests(spark, root, "/")
     return recs.select("record_id", F.explode("attributes").alias("key", "value"))
 
@@ -222,6 +229,7 @@ SELECT CAST(page_id AS VARCHAR) AS record_id, rel AS category,
 FROM routed
 """)
 def request_route_by_param(spark: SparkSession, root: str) -> DataFrame:
+    """Requests under /en routed on query parameters, then updated per branch."""
     recs = _page_requests(spark, root, "en")
     rules = {"feed": equals(attr("http.query.param.utm_source"), "feed"),
              "paged": attr("http.query.param.page").isNotNull()}
@@ -235,6 +243,7 @@ SELECT event_id, CAST(user_id AS VARCHAR) AS x_user_id, event_type AS x_event_ty
 FROM events
 """)
 def header_regex_attributes(spark: SparkSession, root: str) -> DataFrame:
+    """Headers whose names fully match X-.* become attributes."""
     ev = table(spark, root, "events")
     headers = F.create_map(F.lit("X-User-Id"), F.col("user_id").cast("string"),
                            F.lit("X-Event-Type"), F.col("event_type"),
@@ -253,6 +262,7 @@ SELECT page_id, url, regexp_replace(url, '/+$', '') AS base_url FROM pages
 WHERE starts_with(url, 'https://')
 """)
 def https_only(spark: SparkSession, root: str) -> DataFrame:
+    """Pages served over HTTPS, with the base URL's trailing slashes trimmed."""
     pages = table(spark, root, "pages")
     return pages.filter(is_https("url")).select("page_id", "url",
                                                 trim_trailing_slash("url").alias("base_url"))
@@ -272,6 +282,7 @@ SELECT event_id, candidate,
 FROM z
 """)
 def uuid_check(spark: SparkSession, root: str) -> DataFrame:
+    """Canonical UUID check on ids made from the events."""
     ev = table(spark, root, "events")
     m = F.md5(F.col("event_id").cast("string"))
     h = F.concat_ws("-", F.substr(m, F.lit(1), F.lit(8)), F.substr(m, F.lit(9), F.lit(4)),
@@ -293,6 +304,7 @@ SELECT record_id, created_at, CAST(1024 AS BIGINT) AS size,
 FROM r
 """)
 def generate_records_q(spark: SparkSession, root: str) -> DataFrame:
+    """Two 1 KB records per firing (one firing per order)."""
     firings = table(spark, root, "orders")
     recs = generate_records(firings, "o_orderkey", "o_orderdate", batch_size=2, file_size="1KB")
     return recs.select("record_id", "created_at", "size", F.md5("content").alias("content_md5"),
@@ -305,6 +317,7 @@ SELECT CAST(o_orderkey AS VARCHAR) || '-0' AS record_id, o_orderdate AS created_
 FROM orders
 """)
 def generate_custom_text(spark: SparkSession, root: str) -> DataFrame:
+    """One custom-text record per firing; the text wins over the size."""
     firings = table(spark, root, "orders")
     recs = generate_records(firings, "o_orderkey", "o_orderdate", batch_size=1, file_size="1KB",
                             custom_text="Hello from the flow!")
@@ -327,6 +340,7 @@ SELECT CAST(event_id AS VARCHAR) AS record_id,
 FROM events WHERE event_type <> 'click'
 """)
 def log_lines_q(spark: SparkSession, root: str) -> DataFrame:
+    """Attribute log blocks with payload; debug blocks dropped by the level filter."""
     recs = _event_records(spark, root).withColumn("level", _event_level_from_attrs())
     return log_lines(recs, level=F.col("level"), payload=True, min_level="info")
 
@@ -355,6 +369,7 @@ SELECT CAST(event_id AS VARCHAR) AS record_id, event_type, CAST(user_id AS VARCH
 FROM events
 """)
 def log_parse_q(spark: SparkSession, root: str) -> DataFrame:
+    """Log blocks parsed back to record id, attributes and payload."""
     parsed = parse_log(log_lines(_event_records(spark, root), payload=True))
     return parsed.select("record_id", attr("event_type").alias("event_type"),
                          attr("user_id").alias("user_id"), attr("filename").alias("filename"),
@@ -366,6 +381,7 @@ SELECT CAST(event_id AS VARCHAR) AS record_id, {_LOG_SQL} AS line
 FROM events WHERE event_type = 'error'
 """)
 def log_contains(spark: SparkSession, root: str) -> DataFrame:
+    """Log blocks that contain a given text."""
     lines = log_lines(_event_records(spark, root))
     return contains(lines, "line", "Value: 'error'").select("record_id", "line")
 
@@ -375,6 +391,7 @@ SELECT CAST(event_id AS VARCHAR) AS record_id, ts AS created_at, {_LOG_SQL} AS l
 FROM events ORDER BY ts DESC, event_id DESC LIMIT 20
 """)
 def log_tail(spark: SparkSession, root: str) -> DataFrame:
+    """The last 20 log blocks by time (a top-k, no full sort)."""
     recs = _event_records(spark, root).withColumn("event_id", F.col("record_id").cast("bigint"))
     lines = log_lines(recs, keep=["created_at", "event_id"])
     return tail(lines, 20, "created_at", "event_id").select("record_id", "created_at", "line")
@@ -393,6 +410,7 @@ WITH r AS (
 SELECT doc_id, redacted, redacted <> text AS was_redacted FROM r
 """)
 def redact_secrets(spark: SparkSession, root: str) -> DataFrame:
+    """Whole documents with bearer tokens, secrets and e-mail addresses redacted."""
     docs = table(spark, root, "documents")
     return (docs.select("doc_id", "text", redact("text").alias("redacted"))
             .select("doc_id", "redacted", (F.col("redacted") != F.col("text")).alias("was_redacted")))
@@ -406,6 +424,7 @@ SELECT event_type AS directory, 'user_' || CAST(user_id AS VARCHAR) AS filename,
 FROM events GROUP BY 1, 2
 """)
 def store_replace(spark: SparkSession, root: str) -> DataFrame:
+    """Latest-wins per (directory, filename), the replace rule of the store."""
     ev = table(spark, root, "events").select(
         F.col("event_type").alias("directory"),
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("filename"),
@@ -441,6 +460,7 @@ SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, role AS n
 FROM conversations WHERE role <> 'system'
 """)
 def listing_explode(spark: SparkSession, root: str) -> DataFrame:
+    """JSON listings scanned, exploded and projected (id, name, type, state)."""
     items = project_listing(scan_listing(_listing_bodies(spark, root), "body", keep=["preview"]),
                             keep=["preview"])
     return items.withColumn("listing_row", listing_text(F.col("id"), F.col("name"), F.col("type"),
@@ -451,6 +471,7 @@ def listing_explode(spark: SparkSession, root: str) -> DataFrame:
 SELECT o.o_orderkey, c.c_name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 """)
 def lookup_names(spark: SparkSession, root: str) -> DataFrame:
+    """Bulk id → name lookup as one left join."""
     orders = table(spark, root, "orders").select("o_orderkey", "o_custkey")
     return lookup(orders, table(spark, root, "customer"), "o_custkey", "c_custkey",
                   ["c_name"]).select("o_orderkey", "c_name")
@@ -478,6 +499,7 @@ SELECT count(*) FILTER (WHERE {_OUTCOME_SQL} = 'started') AS n_started,
 FROM orders
 """)
 def status_summary_q(spark: SparkSession, root: str) -> DataFrame:
+    """Start outcome counts (started, already running, failed), zero included."""
     st = transition(_order_states(spark, root), "state", "RUNNING",
                     failed=F.col("o_orderstatus") == "P")
     return status_summary(st, "outcome", ["started", "already_running", "failed"])
@@ -489,6 +511,7 @@ SELECT {_OUTCOME_SQL} AS outcome, o_orderkey,
 FROM orders
 """)
 def status_lists(spark: SparkSession, root: str) -> DataFrame:
+    """Ids per outcome in long form with their position (skew-safe)."""
     st = transition(_order_states(spark, root), "state", "RUNNING",
                     failed=F.col("o_orderstatus") == "P")
     return status_positions(st, "outcome", "o_orderkey")
@@ -501,6 +524,7 @@ SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'RUNNING' ELSE 'STOPPED' END
 FROM orders WHERE o_orderstatus IN ('O', 'F')
 """)
 def transition_report(spark: SparkSession, root: str) -> DataFrame:
+    """Start and stop outcomes of running / stopped items."""
     st = _order_states(spark, root).filter(F.col("state").isin("RUNNING", "STOPPED"))
     return st.select("o_orderkey", "state",
                      classify(F.col("state"), "RUNNING").alias("on_start"),
@@ -522,6 +546,7 @@ SELECT p_partkey, text,
 FROM t
 """)
 def parse_size_duration(spark: SparkSession, root: str) -> DataFrame:
+    """Size and duration texts parsed; empty labels take a default."""
     part = table(spark, root, "part")
     u = F.col("p_size") % 6
     unit = (F.when(u == 0, "KB").when(u == 1, " GB").when(u == 2, " sec").when(u == 3, "furlong")
@@ -538,6 +563,7 @@ def parse_size_duration(spark: SparkSession, root: str) -> DataFrame:
 SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-24 00:00:00'
 """)
 def expire_records(spark: SparkSession, root: str) -> DataFrame:
+    """Records within a 7-day time-to-live at a fixed now."""
     ev = table(spark, root, "events").select("event_id", "ts")
     return expire(ev, "7 days", ts="ts", now="2024-01-31 00:00:00")
 
@@ -552,6 +578,7 @@ WITH w AS (
 SELECT *, backlog_objects >= 1000 OR backlog_bytes >= 20480 AS throttled FROM w
 """)
 def queue_pressure_q(spark: SparkSession, root: str) -> DataFrame:
+    """Running backlog per queue (objects, bytes) and the throttled flag."""
     ev = table(spark, root, "events").select(
         "event_id", F.col("event_type").alias("queue"), "ts",
         F.octet_length("props").cast("bigint").alias("size"))
@@ -564,6 +591,7 @@ def queue_pressure_q(spark: SparkSession, root: str) -> DataFrame:
 SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20
 """)
 def prioritize_top(spark: SparkSession, root: str) -> DataFrame:
+    """The 20 highest-priority records (a top-k)."""
     ev = table(spark, root, "events").select("event_id", "value")
     return prioritize(ev, F.col("value").desc(), F.col("event_id").asc()).limit(20)
 
@@ -578,6 +606,7 @@ SELECT * FROM (
 ) WHERE n_recent > 2
 """)
 def alert_threshold(spark: SparkSession, root: str) -> DataFrame:
+    """Rows with more than 2 same-type events in the trailing 30 minutes."""
     ev = table(spark, root, "events").select("event_id", "event_type", "ts")
     return threshold_alert(ev, "event_type", "ts", "30 minutes", more_than=2)
 
@@ -600,6 +629,7 @@ SELECT p.period_start, n_events, n_errors, coalesce(pe, 0) AS prior_events,
 FROM per p LEFT JOIN prior USING (period_start)
 """)
 def error_rate_spike_q(spark: SparkSession, root: str) -> DataFrame:
+    """Hourly error rates against the pooled rate of the 3 hours before."""
     ev = table(spark, root, "events").select("ts", "event_type")
     return error_rate_spike(ev, "ts", F.col("event_type") == "error", period="1 hour",
                             lookback=3, limit=0.05)
@@ -612,6 +642,7 @@ FROM orders
 WHERE o_orderdate >= TIMESTAMP '1998-06-01 00:00:00' AND o_orderdate <= TIMESTAMP '1998-07-01 00:00:00'
 """)
 def expiry_warning_q(spark: SparkSession, root: str) -> DataFrame:
+    """Orders dated within 30 days of a fixed now, with days left."""
     orders = table(spark, root, "orders").select("o_orderkey", "o_orderdate")
     return expiry_warning(orders, "o_orderdate", "30 days", now="1998-06-01 00:00:00")
 
@@ -625,6 +656,7 @@ SELECT CAST(o_orderkey AS VARCHAR) || '-0' AS record_id, 'info' AS level,
 FROM orders
 """)
 def flow_preset_sample(spark: SparkSession, root: str) -> DataFrame:
+    """The sample flow (generator → log) planned as a batch."""
     flow = sample_flow(table(spark, root, "orders"), "o_orderkey", "o_orderdate",
                        custom_text="Hello from the flow!")
     return flow.plan(spark)["log"]
@@ -632,6 +664,7 @@ def flow_preset_sample(spark: SparkSession, root: str) -> DataFrame:
 
 @register("flow_route_store_graph", sql=ORACLE["route_and_store"])
 def flow_route_store_graph(spark: SparkSession, root: str) -> DataFrame:
+    """The flagship as a Flow graph: route, one update stage per branch, fan-in."""
     ev = table(spark, root, "events")
     rules = _flagship_rules()
     flow = route_and_store_flow(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"))
@@ -650,6 +683,7 @@ def _drain(spark: SparkSession, name: str, df: DataFrame, partition_by=(), fmt="
 
 @register("stream_route_store", sql=ORACLE["route_and_store"])
 def stream_route_store(spark: SparkSession, root: str) -> DataFrame:
+    """The flagship as a stream into a partitioned file sink, read back."""
     ev = stream_table(spark, root, "events")
     rules = _flagship_rules()
     out = route_and_update(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"),
@@ -661,6 +695,7 @@ def stream_route_store(spark: SparkSession, root: str) -> DataFrame:
 
 @register("stream_generate", sql=ORACLE["generate_records"])
 def stream_generate(spark: SparkSession, root: str) -> DataFrame:
+    """The generator driven by a stream of firings, stored and read back."""
     firings = stream_table(spark, root, "orders")
     recs = generate_records(firings, "o_orderkey", "o_orderdate", batch_size=2, file_size="1KB")
     path = _drain(spark, "stream_generate", recs)
@@ -681,6 +716,7 @@ SELECT * FROM agg
 WHERE n_events > 2 AND window_end <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE
 """)
 def stream_alert_sliding(spark: SparkSession, root: str) -> DataFrame:
+    """Sliding 30-minute windows every 10 minutes, emitted as the watermark closes them."""
     ev = stream_table(spark, root, "events").select("event_type", "ts")
     alerts = sliding_alert(ev, "event_type", "ts", "30 minutes", "10 minutes", "30 minutes", 2)
     path = _drain(spark, "stream_alert_sliding", alerts)
@@ -708,6 +744,7 @@ SELECT d.doc_id, l.quality IS NULL AS label_missing,
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 """)
 def label_missing(spark: SparkSession, root: str) -> DataFrame:
+    """Documents without a label flagged missing, with a default label."""
     docs = table(spark, root, "documents").select("doc_id")
     labels = table(spark, root, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
     joined = lookup(docs, labels, "doc_id", "doc_id", ["quality"])
