@@ -112,3 +112,18 @@ def test_threshold_alert_methods_match_brute_force(spark, rows, more_than):
         got = {r.id: r.n_recent for r in threshold_alert(df, "k", "ts", "5 minutes", more_than,
                                                          method=method, slices=2).collect()}
         assert got == want, method
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 9)), st.sampled_from(["x", "y", None])),
+                min_size=1, max_size=25))
+def test_route_update_equals_stage_per_branch(spark, rows):
+    from flowspark.operators import fan_in, route_update, update
+    df = spark.createDataFrame([(i, v, t) for i, (v, t) in enumerate(rows)], "id int, v int, t string")
+    rules = {"low": F.col("v") < 5, "x": F.col("t") == "x", "odd": F.col("v") % 2 == 1}
+    updates = {"low": {"tag": "low", "v": F.col("v") + 100}, "x": {"tag": F.upper("t")}, "odd": {}}
+    single = route_update(df, rules, updates)
+    staged = fan_in(*[update(route(df, rules).filter(F.col("relationship") == b), updates.get(b, {}))
+                      for b in rules])
+    cols = ["id", "relationship", "v", "t", "tag"]
+    assert sorted(single.select(cols).collect(), key=repr) == sorted(staged.select(cols).collect(), key=repr)
