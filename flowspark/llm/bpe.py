@@ -38,6 +38,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from flowspark.llm.workers import map_arrow
+
 WORD_CACHE = 1 << 18  # words whose ids a worker keeps; beyond it the cache starts anew
 
 #: Fixed value: white space as the tokenizer file's pattern takes it.
@@ -242,7 +244,7 @@ def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], [id_col, "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, decoded string")
+    return map_arrow(encoded.select(id_col, ids_col), run, f"`{id_col}` {kind}, decoded string")
 
 
 def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, schema: str, digests: bool) -> DataFrame:
@@ -266,4 +268,4 @@ def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, schema: str,
                 yield pa.RecordBatch.from_arrays([b.column(0), *out], [id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {schema}")
+    return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, {schema}")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from flowspark.llm import bpe
+from flowspark.llm import bpe, quality_rules
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,14 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+@register("op4_quality_rules")
+def op4_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    """Base rules and tokeniser fertility of every document, and the verdict."""
+    return quality_rules.quality_rules(table(spark, root, "documents"),
+                                       public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                                       public_tokenizers.PATTERN)
+
+
 @register("op6_bpe_automaton")
 def op6_bpe_automaton(spark: SparkSession, root: str) -> DataFrame:
     """Every document encoded and decoded with the word-end vocabulary."""
