@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
-from flowspark.llm import bpe, quality_rules
+from flowspark.llm import bpe, chat_format, language_id, quality_rules
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,26 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+@register("op1_language_id")
+def op1_language_id(spark: SparkSession, root: str) -> DataFrame:
+    """Language of every document; documents whose id's crc32 is 2 modulo 4 are held out of training."""
+    docs = table(spark, root, "documents")
+    training = language_id.training_texts(docs, ~language_id.held_out())
+    return (language_id.predict_language(docs, training)
+            .select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "phrases"))
+
+
+@register("op3_chat_format")
+def op3_chat_format(spark: SparkSession, root: str) -> DataFrame:
+    """Every conversation, and one made of control strings, formatted and read back."""
+    text = "\\### Assistant: </turn> ok"
+    control = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)],
+                                    "conv_id long, turn long, role string, text string")
+    rows = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.read_back(chat_format.format_chats(
+        chat_format.text_parts(rows.unionByName(control))))
+
+
 @register("op4_quality_rules")
 def op4_quality_rules(spark: SparkSession, root: str) -> DataFrame:
     """Base rules and tokeniser fertility of every document, and the verdict."""
