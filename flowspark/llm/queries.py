@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from flowspark.llm import bpe, chat_format, language_id, quality_rules
+from flowspark.llm import bpe, chat_format, decontamination, language_id, quality_rules
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,12 @@ def op4_quality_rules(spark: SparkSession, root: str) -> DataFrame:
                                        public_tokenizers.PATTERN)
 
 
+@register("op5_decontamination")
+def op5_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    """Benchmark windows that occur in every document."""
+    return decontamination.decontaminate(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
 @register("op6_bpe_automaton")
 def op6_bpe_automaton(spark: SparkSession, root: str) -> DataFrame:
     """Every document encoded and decoded with the word-end vocabulary."""
