@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from flowspark.llm import bpe, chat_format, decontamination, language_id, quality_rules
+from flowspark.llm import bpe, chat_format, decontamination, language_id, pii, quality_rules
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,9 @@ def op6_bpe_automaton(spark: SparkSession, root: str) -> DataFrame:
     """Every document encoded and decoded with the word-end vocabulary."""
     return bpe.encode_digests(table(spark, root, "documents"),
                               public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op7_pii")
+def op7_pii(spark: SparkSession, root: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.pii_digests(table(spark, root, "documents"))
