@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowspark.llm.tables import key_filter, slots, unpack
 from flowspark.llm.textbytes import LOWER, byte_class, prefix_hashes, slices, span_hashes, word_bounds
 from flowspark.llm.workers import map_arrow
 from flowspark.session import work_dir
 
 WINDOW = 13
 ANCHORS = 2       # rarest terms that stand for a window
-FILTER_BITS = 22
 CONTAMINATED = 20  # hit words times this reach the document's words
 
 #: Bytes of words: digits, letters, and all of every other character.
@@ -62,22 +62,6 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return span_hashes(prefix_hashes(LOWER[data]), starts, ends).view(np.int64), bounds
 
 
-def _slot(terms: np.ndarray) -> np.ndarray:
-    return terms & ((1 << FILTER_BITS) - 1)
-
-
-def term_filter(terms: DataFrame) -> bytes:
-    """Packed bit table of the column ``term``: a fixed number of slots, whatever the number of terms."""
-    slots = terms.select(F.col("term").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int").alias("s")).distinct()
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[slots.toArrow().column(0).to_numpy()] = True
-    return np.packbits(bits).tobytes()
-
-
-def _unpack(bits: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-
-
 def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(item, row, words array<string>, terms array<long>) of every benchmark row with an id and words."""
 
@@ -101,11 +85,11 @@ def term_counts(docs: DataFrame, wanted: bytes, text_col: str = "text") -> DataF
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _unpack(sent.value)
+        bits = unpack(sent.value)
         for batch in batches:
             for _, offsets, data in slices(batch, "t", 1 << 23):
                 terms, _ = _terms(data, offsets)
-                term, n = np.unique(terms[bits[_slot(terms)]], return_counts=True)
+                term, n = np.unique(terms[bits[slots(terms)]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n.astype(np.int64))], ["term", "n"])
 
     part = map_arrow(docs.select(F.col(text_col).alias("t")), run, "term bigint, n bigint")
@@ -146,11 +130,11 @@ def postings(docs: DataFrame, wanted: bytes, id_col: str = "doc_id", text_col: s
     sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _unpack(sent.value)
+        bits = unpack(sent.value)
         for batch in batches:
             for rows, offsets, data in slices(batch, "t"):
                 terms, bounds = _terms(data, offsets)
-                at = np.flatnonzero(bits[_slot(terms)])
+                at = np.flatnonzero(bits[slots(terms)])
                 text_of = np.searchsorted(bounds, at, "right") - 1
                 order = np.lexsort((at, terms[at], text_of))
                 at, text_of = at[order], text_of[order]
@@ -226,12 +210,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items_at = work_dir(spark, "decontamination", "items")
     benchmark_items(benchmark, item_id_col, item_text_col).write.parquet(items_at)
     items = spark.read.parquet(items_at)
-    asked = term_filter(items.select(F.explode("terms").alias("term")))
+    asked = key_filter(items.select(F.explode("terms").alias("term")), "term")
     anchors_at = work_dir(spark, "decontamination", "anchors")
     choose_anchors(items, term_counts(docs, asked, text_col), window).write.parquet(anchors_at)
     anchors = spark.read.parquet(anchors_at)
     index_at = work_dir(spark, "decontamination", "postings")
-    postings(docs, term_filter(anchors), id_col, text_col).write.parquet(index_at)
+    postings(docs, key_filter(anchors, "term"), id_col, text_col).write.parquet(index_at)
     index = spark.read.parquet(index_at)
 
     places = (phrase_candidates(index, anchors).join(items.select("row", "item", "words"), "row")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from flowspark.llm import bpe, chat_format, decontamination, language_id, pii, quality_rules
+from flowspark.llm import bpe, chat_format, decontamination, jaccard_join, language_id, pii, quality_rules
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,9 @@ def op6_bpe_automaton(spark: SparkSession, root: str) -> DataFrame:
 def op7_pii(spark: SparkSession, root: str) -> DataFrame:
     """Personal data in every document."""
     return pii.pii_digests(table(spark, root, "documents"))
+
+
+@register("op8_jaccard_join")
+def op8_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
+    """Components of all documents under 4-word shingle similarity of 85 in 100."""
+    return jaccard_join.similarity_components(table(spark, root, "documents"))
