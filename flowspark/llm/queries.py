@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from flowspark.llm import bpe, chat_format, decontamination, jaccard_join, language_id, pii, quality_rules
+from flowspark.llm import bpe, chat_format, decontamination, jaccard_join, language_id, pii, quality_rules, suffix_dedup
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,9 @@ def op7_pii(spark: SparkSession, root: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     """Components of all documents under 4-word shingle similarity of 85 in 100."""
     return jaccard_join.similarity_components(table(spark, root, "documents"))
+
+
+@register("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """Bytes of all documents outside repeated 400-byte strings."""
+    return suffix_dedup.remove_repeats(table(spark, root, "documents"))
