@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from flowspark.llm import bpe, chat_format, decontamination, jaccard_join, language_id, pii, quality_rules, suffix_dedup
+from flowspark.llm import bpe, chat_format, decontamination, jaccard_join, language_id, line_dedup, pii, quality_rules, suffix_dedup
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,13 @@ def op1_language_id(spark: SparkSession, root: str) -> DataFrame:
             .select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "phrases"))
 
 
+@register("op2_line_dedup")
+def op2_line_dedup(spark: SparkSession, root: str) -> DataFrame:
+    """Every document without the lines of templates that recur across documents."""
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    return line_dedup.drop_recurring_lines(docs)
+
+
 @register("op3_chat_format")
 def op3_chat_format(spark: SparkSession, root: str) -> DataFrame:
     """Every conversation, and one made of control strings, formatted and read back."""
