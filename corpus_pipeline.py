@@ -1,25 +1,63 @@
-"""Corpus pipeline: STAGES run one after the other over ``documents``."""
+"""Corpus pipeline: STAGES run one after the other over ``documents``.
+
+Every stage takes all rows its predecessor kept and returns the columns of
+documents, but the last, which returns the tokenised documents. Defined results
+follow the operators': null texts fail the quality rules, repeated rows share
+their fate, a document emptied by line dedup stays as an empty one.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
-from flowspark.llm import bpe
+from flowspark.llm import bpe, decontamination, jaccard_join, line_dedup, quality_rules
 from flowspark.session import work_dir
 from flowspark.sources.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE encoding and decoding of the kept texts."""
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the tokeniser fertility keep."""
+    judged = quality_rules.quality_rules(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                                         public_tokenizers.PATTERN, carry=[c for c in docs.columns if c != "doc_id"])
+    return judged.filter("kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines of recurring templates; ``n_chars`` follows the text."""
+    left = line_dedup.drop_recurring_lines(docs).select(*docs.columns)
+    return left.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else left
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each similarity component: the one with the least id."""
+    groups = jaccard_join.similarity_components(docs)
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark passage contaminates."""
+    hits = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    bad = hits.filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_text"))
+    return docs.join(bad.distinct(), docs.doc_id.eqNullSafe(F.col("bad_id"))
+                     & (F.xxhash64(docs.text) == F.col("bad_text")), "left_anti")
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text."""
     return bpe.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("bpe", encode)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality), ("line_dedup", lines), ("jaccard_join", near_copies),
+    ("decontamination", decontaminated), ("bpe", encoded),
+]
 
 #: Tokenisation has no SQL form; tests compare run() with a brute-force version.
 ORACLE_SQL: str | None = None

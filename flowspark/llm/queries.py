@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from flowspark.llm import bpe, chat_format, decontamination, jaccard_join, language_id, line_dedup, pii, quality_rules, suffix_dedup
+from flowspark.llm import bpe, chat_format, decontamination, jaccard_join, kn_quality, language_id, line_dedup, pii, quality_rules, suffix_dedup
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,10 @@ def op8_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, root: str) -> DataFrame:
     """Bytes of all documents outside repeated 400-byte strings."""
     return suffix_dedup.remove_repeats(table(spark, root, "documents"))
+
+
+@register("op10_kn_quality")
+def op10_kn_quality(spark: SparkSession, root: str) -> DataFrame:
+    """Perplexity of every document under its language's model of the documents labelled good."""
+    trusted = table(spark, root, "labels").filter("quality = 1").select("doc_id")
+    return kn_quality.perplexity_quality(table(spark, root, "documents"), trusted)
