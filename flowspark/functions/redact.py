@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 REDACTIONS = [
     (r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+", "$1***"),
     (r"(?i)(password|passwd|pwd|secret|token|api[_-]?key)(\s*[:=]\s*)[^\s,;]+", "$1$2***"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "[email]"),
+    # An address: entered at the start of a run of its characters (or where the
+    # last match ended), and without a repeated group of unknown width, so long
+    # runs cost linear time and no stack.
+    (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-])(?:(?!\.\.)[A-Za-z0-9.-])+\.[A-Za-z]{2,}",
+     "[email]"),
 ]
 
 # Fixed value: attribute names never logged.

@@ -13,12 +13,18 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Split by position, not by a strict parser: any text has a path, whatever
+# characters a client sent.
+_PARTS = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)(?:\?([^#]*))?"
+
+
 def url_path(url: str | Column) -> Column:
-    return F.try_parse_url(_col(url), F.lit("PATH"))
+    return F.regexp_extract(_col(url), _PARTS, 1)
 
 
 def url_query(url: str | Column) -> Column:
-    return F.try_parse_url(_col(url), F.lit("QUERY"))
+    """The query, '' if there is none (null only for a null URL)."""
+    return F.regexp_extract(_col(url), _PARTS, 2)
 
 
 def under_base_path(url: str | Column, base_path: str) -> Column:

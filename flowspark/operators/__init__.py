@@ -10,7 +10,7 @@ from flowspark.operators.report import (classify, contains, counters, listing_te
 from flowspark.operators.route import (RELATIONSHIP, UNMATCHED, drop_rel, fan_in, fan_out,
                                        route, route_update, select_rel, unmatched, update,
                                        update_attributes)
-from flowspark.operators.sinks import (LEVELS, compact_store, latest, level_rank, log_lines, parse_log,
+from flowspark.operators.sinks import (LEVELS, LogLayout, compact_store, latest, level_rank, log_lines, parse_log,
                                        read_store, store, write_log)
 
 __all__ = [
@@ -18,6 +18,6 @@ __all__ = [
     "running_totals", "expire", "prioritize", "queue_pressure", "classify", "contains",
     "counters", "listing_text", "lookup", "project_listing", "scan_listing", "status_positions",
     "status_summary", "tail", "transition", "RELATIONSHIP", "UNMATCHED", "drop_rel", "fan_in",
-    "fan_out", "route", "route_update", "select_rel", "unmatched", "update", "update_attributes", "LEVELS", "compact_store",
+    "fan_out", "route", "route_update", "select_rel", "unmatched", "update", "update_attributes", "LEVELS", "LogLayout", "compact_store",
     "latest", "level_rank", "log_lines", "parse_log", "read_store", "store", "write_log",
 ]

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from flowspark.functions.parse import duration_ms
 from flowspark.functions.text import now_column
-from flowspark.operators.prefix import fits_one_task, running_totals
-
-log = logging.getLogger("flowspark")
+from flowspark.operators.prefix import running_totals
 
 
 def epoch_micros(df: DataFrame, ts: str) -> Column:
@@ -40,43 +35,20 @@ def _ms(period: str) -> int:
     return ms
 
 
-# Largest (key, period) group the bucketed method may put in one task.
-MAX_GROUP_ROWS = 2_000_000
-
-
 def threshold_alert(df: DataFrame, key: str | None, ts: str, period: str, more_than: int,
-                    method: str = "auto", slices: int = 1, count_name: str = "n_recent",
-                    max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                    count_name: str = "n_recent") -> DataFrame:
     """Rows whose trailing count in ``[ts - period, ts]`` (same key) exceeds ``more_than``.
 
     Equal to ``count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN period
     PRECEDING AND CURRENT ROW) > more_than``, without putting a key in one task:
-
-    * ``method="prefix"`` (default, for any skew): the count is
-      ``C(<= ts) - C(< ts - period)``, with ``C`` the running count of the
-      key's rows in time order. Each row adds two probes (at ``ts - period``,
-      before equal-time rows, and at ``ts``, after its peers). The skew-safe
-      ``running_totals`` counts rows up to each probe, and the two probes of a
-      row meet again in a group of two. No group is larger than one slice.
-    * ``method="buckets"``: partition by (key, time bucket) with look-back
-      copies into the next ``slices`` buckets; one shuffle, but a task holds
-      about one period of one key, so use it only when that density is bounded.
-    * ``method="auto"``: estimate that density first (``fits_one_task``, a
-      grouped count over a seeded sample; one number reaches the driver) and
-      take ``buckets`` when the densest group, with its look-back copy, stays
-      well under ``max_group_rows``, else ``prefix``.
+    the count is ``C(<= ts) - C(< ts - period)``, with ``C`` the running count of
+    the key's rows in time order. Each row adds two probes (at ``ts - period``,
+    before equal-time rows, and at ``ts``, after its peers). The skew-safe
+    ``running_totals`` counts rows up to each probe, and the two probes of a
+    row meet again in a group of two. No group is larger than one slice.
     """
     p_us = _ms(period) * 1000
     keys = [key] if key else []
-    if method == "auto":
-        # a bucketed task holds a group plus its look-back copy: twice the group
-        per_period = df.select(*keys, F.floor(epoch_micros(df, ts) / F.lit(p_us)).alias("__b"))
-        method = "buckets" if fits_one_task(per_period, [*keys, "__b"], max_group_rows // 2) else "prefix"
-        log.info("threshold_alert by %s: %s plan", keys, method)
-    if method == "buckets":
-        return _threshold_buckets(df, keys, ts, p_us, more_than, slices, count_name)
-    if method != "prefix":
-        raise ValueError(f"unknown method: {method!r}")
     cols = df.columns
     base = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__us", epoch_micros(df, ts))
     kind = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("__kind")
@@ -86,7 +58,7 @@ def threshold_alert(df: DataFrame, key: str | None, ts: str, period: str, more_t
         F.when(F.col("__kind") == 0, F.col("__us") - F.lit(p_us)).otherwise(F.col("__us")).alias("__t"),
         F.when(F.col("__kind") == 2, F.col("__row")).alias("__row"),  # carry the row once
         (F.col("__kind") == 1).cast("long").alias("__real"))
-    run = running_totals(x, keys, ["__t", "__kind", "__id"], {"__c": "__real"}, method="sliced")
+    run = running_totals(x, keys, ["__t", "__kind", "__id"], {"__c": "__real"})
     probes = run.filter(F.col("__kind") != 1)
     per_row = probes.groupBy("__id").agg(
         F.sum(F.when(F.col("__kind") == 2, F.col("__c")).otherwise(-F.col("__c"))).alias(count_name),
@@ -94,24 +66,6 @@ def threshold_alert(df: DataFrame, key: str | None, ts: str, period: str, more_t
     return per_row.filter(F.col(count_name) > more_than).select("__row.*", count_name)
 
 
-def _threshold_buckets(df: DataFrame, keys: list[str], ts: str, p_us: int, more_than: int,
-                       slices: int, count_name: str) -> DataFrame:
-    if p_us % slices:
-        raise ValueError("period must split evenly into slices")
-    width = p_us // slices
-    staged = (df.withColumn("__us", epoch_micros(df, ts))
-              .withColumn("__b", F.floor(F.col("__us") / F.lit(width)))
-              # a row without time has no bucket and no look-back copies (its
-              # frame is its null-time peers, as in SQL)
-              .withColumn("__j", F.explode(F.sequence(F.lit(0), F.when(
-                  F.col("__us").isNull(), F.lit(0)).otherwise(F.lit(slices)))))
-              .withColumn("__bucket", F.col("__b") + F.col("__j")))
-    w = Window.partitionBy(*keys, "__bucket").orderBy("__us").rangeBetween(-p_us, 0)
-    counted = staged.withColumn(count_name, F.count(F.lit(1)).over(w))
-    return (counted.filter((F.col("__j") == 0) & (F.col(count_name) > more_than))
-            .drop("__us", "__b", "__j", "__bucket"))
-
-
 def error_rate_spike(df: DataFrame, ts: str, is_error: Column, period: str = "1 hour",
                      lookback: int = 3, limit: float = 0.05) -> DataFrame:
     """Per period: events, errors, error rate, pooled rate of the ``lookback``

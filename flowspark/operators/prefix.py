@@ -14,7 +14,6 @@ executor re-reads the table instead of re-sampling the boundaries.
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,50 +22,17 @@ from pyspark.sql import functions as F
 from flowspark.session import work_dir
 
 
-log = logging.getLogger("flowspark")
-
-# Largest key group a plain keyed window may put in one task.
-MAX_GROUP_ROWS = 2_000_000
-
-
-def fits_one_task(df: DataFrame, cols: Sequence[str | Column], max_group_rows: int) -> bool:
-    """True when no group of ``cols`` is estimated above half of ``max_group_rows``.
-
-    Decides between an exact one-shuffle plan and an exact skew-proof plan, so
-    it only has to spot a group of millions of rows: it counts a seeded sample
-    in which such a group keeps about 1,000 rows (the whole input when the
-    bound is small). One number reaches the driver.
-    """
-    fraction = min(1.0, 1000.0 / max_group_rows)
-    sampled = df.sample(fraction=fraction, seed=17) if fraction < 1.0 else df
-    largest = sampled.groupBy(*cols).count().agg(F.max("count")).first()[0] or 0
-    return largest / fraction <= max_group_rows / 2
-
-
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   sums: Mapping[str, Column | str], slices: int | None = None,
-                   method: str = "auto", max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                   sums: Mapping[str, Column | str], slices: int | None = None) -> DataFrame:
     """Add ``name = SUM(expr) OVER (PARTITION BY keys ORDER BY order ROWS UNBOUNDED PRECEDING)``.
 
     ``order`` must make rows unique within a key (add the id), as with ROWS
-    frames. ``method="sliced"`` is the skew-proof plan described above (eager:
-    one job writes the slice-local sums; project the input first).
-    ``method="window"`` is the plain keyed window. ``method="auto"`` estimates
-    the largest key group first (``fits_one_task``) and uses the plain window
-    only when it stays well under ``max_group_rows``.
+    frames. Values may be of any sign; null counts as 0. Eager: one job writes
+    the slice-local sums (project the input first).
     """
     vals = {f"__v_{i}": F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0))
             for i, c in enumerate(sums.values())}
     names = dict(zip(vals, sums))
-    if method == "auto":
-        method = "window" if fits_one_task(df, keys, max_group_rows) else "sliced"
-        log.info("running_totals by %s: %s plan", list(keys), method)
-    if method == "window":
-        w = (Window.partitionBy(*keys).orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.withColumns({names[v]: F.sum(e).over(w) for v, e in vals.items()})
-    if method != "sliced":
-        raise ValueError(f"unknown method: {method!r}")
     spark = df.sparkSession
     # Several slices per shuffle partition, so that hashing (slice, key) pairs
     # onto tasks for the local window evens out (one slice per task would let
@@ -77,12 +43,11 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
               .withColumn("__slice", F.spark_partition_id()))
     local_w = (Window.partitionBy("__slice", *keys).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    path = work_dir(spark, "running_totals")  # scratch table; safe to delete after the job
-    staged.withColumns({v: F.sum(v).over(local_w) for v in vals}).write.parquet(path)
+    path = work_dir(spark, "running_totals")  # scratch table under the caller's checkpoint folder
+    staged.withColumns({f"{v}_run": F.sum(v).over(local_w) for v in vals}).write.parquet(path)
     local = spark.read.parquet(path)
 
-    # Slice totals are the largest running value of each (slice, key).
-    totals = local.groupBy("__slice", *keys).agg(*[F.max(v).alias(f"{v}_tot") for v in vals])
+    totals = local.groupBy("__slice", *keys).agg(*[F.sum(v).alias(f"{v}_tot") for v in vals])
     before = (Window.partitionBy(*keys).orderBy("__slice")
               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(
@@ -94,6 +59,6 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     cond = [F.col("__slice") == F.col("__o_slice")]
     cond += [F.col(k).eqNullSafe(F.col(f"__o_{k}")) for k in keys]
     joined = local.join(offsets, on=cond, how="inner")
-    out = joined.withColumns({names[v]: F.col(v) + F.col(f"{v}_off") for v in vals})
+    out = joined.withColumns({names[v]: F.col(f"{v}_run") + F.col(f"{v}_off") for v in vals})
     return out.drop("__slice", "__o_slice", *[f"__o_{k}" for k in keys], *vals,
-                    *[f"{v}_off" for v in vals])
+                    *[f"{v}_off" for v in vals], *[f"{v}_run" for v in vals])

@@ -25,20 +25,19 @@ def expire(df: DataFrame, ttl: str, ts: str = CREATED_AT, now: str | Column | No
 
 
 def queue_pressure(df: DataFrame, queue: str, order: Sequence[str], size: str | Column = SIZE,
-                   max_objects: int | str = 10000, max_bytes: int | str = "1 GB",
-                   method: str = "auto") -> DataFrame:
-    """Running backlog per queue (objects and bytes in arrival order) and a
-    ``throttled`` flag once either reaches its limit. Parallel for a hot queue."""
+                   max_objects: int | str = 10000, max_bytes: int | str = "1 GB") -> DataFrame:
+    """Objects and bytes that have arrived per queue so far, in arrival order, and
+    ``limit_reached`` from the arrival that reaches either limit on. These are
+    totals of arrivals (nothing leaves). Parallel for a hot queue."""
     objs = int(max_objects)
     limit = max_bytes if isinstance(max_bytes, int) else data_size_bytes(max_bytes)
     if limit is None:
         raise ValueError(f"not a data size: {max_bytes!r}")
     out = running_totals(df, [queue], list(order),
-                         {"backlog_objects": F.lit(1).cast("bigint"),
-                          "backlog_bytes": (F.col(size) if isinstance(size, str) else size).cast("bigint")},
-                         method=method)
-    return out.withColumn("throttled", (F.col("backlog_objects") >= objs) |
-                          (F.col("backlog_bytes") >= limit))
+                         {"total_objects": F.lit(1).cast("bigint"),
+                          "total_bytes": (F.col(size) if isinstance(size, str) else size).cast("bigint")})
+    return out.withColumn("limit_reached", (F.col("total_objects") >= objs) |
+                          (F.col("total_bytes") >= limit))
 
 
 def prioritize(df: DataFrame, *cols: str | Column) -> DataFrame:

@@ -1,7 +1,7 @@
 """Routing, relationship selection, attribute updates, fan-out and fan-in.
 
-All narrow: a route is one Filter + Generate (or one Project when the rules
-are exclusive), an update one Project, a fan-in one Union. No shuffle.
+All narrow: a route is one Filter + Generate, an update one Project, a fan-in
+one Union. No shuffle.
 """
 
 from __future__ import annotations
@@ -23,25 +23,20 @@ def _any(rules: Mapping[str, Column]) -> Column:
 
 
 def route(df: DataFrame, rules: Mapping[str, Column], keep_unmatched: bool = False,
-          exclusive: bool = False, name: str = RELATIONSHIP) -> DataFrame:
+          prefilter: bool = True, name: str = RELATIONSHIP) -> DataFrame:
     """Route to property name: add ``relationship``, one row per true rule.
 
     Rule order has no meaning. A null rule (missing attribute) is not a match.
     Without ``keep_unmatched`` the raw OR of the rules is the pre-filter, so a
-    plain comparison on a real column reaches the Parquet scan. With
-    ``exclusive=True`` the caller promises at most one rule holds per row and
-    the route is a single CASE projection (no Generate).
+    plain comparison on a real column reaches the Parquet scan; pass
+    ``prefilter=False`` when the rules use a column that is costly to build (an
+    attribute map), which a filter would build once more.
     """
     if not rules:
         raise ValueError("route needs at least one rule")
     if UNMATCHED in rules:
         raise ValueError(f"'{UNMATCHED}' is reserved")
-    src = df if keep_unmatched else df.filter(_any(rules))
-    if exclusive:
-        rel = F.lit(UNMATCHED)
-        for rel_name, cond in reversed(list(rules.items())):
-            rel = F.when(cond, F.lit(rel_name)).otherwise(rel)
-        return src.withColumn(name, rel)
+    src = df.filter(_any(rules)) if prefilter and not keep_unmatched else df
     hits = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
     if keep_unmatched:
         hits = F.when(F.size(hits) == 0, F.array(F.lit(UNMATCHED))).otherwise(hits)
@@ -86,7 +81,7 @@ def update_attributes(df: DataFrame, assignments: Mapping[str, Column | str],
 
 
 def route_update(df: DataFrame, rules: Mapping[str, Column],
-                 updates: Mapping[str, Mapping[str, Column | str]], exclusive: bool = False,
+                 updates: Mapping[str, Mapping[str, Column | str]],
                  keep_relationship: bool = True) -> DataFrame:
     """Route, then each branch's own assignments, in one pass.
 
@@ -99,7 +94,7 @@ def route_update(df: DataFrame, rules: Mapping[str, Column],
     unknown = set(updates) - set(rules)
     if unknown:
         raise ValueError(f"updates for unknown branches: {sorted(unknown)}")
-    routed = route(df, rules, exclusive=exclusive)
+    routed = route(df, rules)
     rel = F.col(RELATIONSHIP)
     columns: dict[str, Column] = {}
     for col in dict.fromkeys(c for assigns in updates.values() for c in assigns):

@@ -11,21 +11,24 @@ from pyspark.sql import functions as F
 from flowspark.functions import (append, data_size_bytes, default_if_empty, equals,
                                  header_attributes, is_https, is_missing, is_uuid, parse_data_size,
                                  parse_duration, preview, redact, trim_trailing_slash)
+from flowspark.functions.redact import drop_secret_keys
 from flowspark.operators import (classify, contains, drop_rel, error_rate_spike, expire,
                                  expiry_warning, fan_in, fan_out, latest, listing_text, log_lines,
                                  lookup, older_than, parse_log, prioritize, project_listing,
-                                 queue_pressure, read_store, route, route_update, scan_listing,
+                                 queue_pressure, read_store, route, route_update, running_totals,
+                                 scan_listing,
                                  select_rel, status_positions, status_summary, store, tail,
-                                 threshold_alert, transition, update, update_attributes)
+                                 threshold_alert, transition, unmatched, update,
+                                 update_attributes, write_log)
 from flowspark.operators.report import ITEM_SCHEMA
 from flowspark.plans.flow import Flow
 from flowspark.plans.presets import route_and_store_flow, route_and_update, sample_flow
 from flowspark.records import attr, to_records
 from flowspark.session import work_dir
-from flowspark.sources import generate_records, intake, read_log, read_requests
-from flowspark.streaming import (error_counts_stream, latest_depth, queue_depth_stream,
-                                 run_to_end, sliding_alert, start_file_sink, start_snapshot_sink,
-                                 store_stream, stream_path, stream_table)
+from flowspark.sources import generate_records, intake, read_log_blocks, read_requests
+from flowspark.streaming import (error_counts_stream, latest_depth, latest_snapshot,
+                                 queue_depth_stream, run_to_end, sliding_counts, start_file_sink,
+                                 start_snapshot_sink, store_stream, stream_table)
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -67,8 +70,7 @@ def route_and_store(spark: SparkSession, root: str) -> DataFrame:
     """Flagship: route purchase → large, click → small; update category, time, filename, folder."""
     ev = table(spark, root, "events")
     rules = _flagship_rules()
-    out = route_and_update(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"),
-                           exclusive=True)
+    out = route_and_update(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"))
     return _flagship_columns(out)
 
 
@@ -91,11 +93,19 @@ SELECT event_id, event_type, 'unmatched' AS relationship FROM events
 WHERE NOT coalesce(event_type IN ('purchase', 'click'), false)
 """)
 def route_unmatched(spark: SparkSession, root: str) -> DataFrame:
-    """Rows no rule matches, labelled unmatched; matched ones auto-terminated."""
+    """Rows no rule matches, labelled unmatched (a filter, pushed to the scan)."""
     ev = table(spark, root, "events")
-    routed = route(ev, {"large": F.col("event_type") == "purchase",
-                        "small": F.col("event_type") == "click"}, keep_unmatched=True)
-    return drop_rel(routed, "large", "small").select("event_id", "event_type", "relationship")
+    return unmatched(ev, _flagship_rules()).select("event_id", "event_type", "relationship")
+
+
+@register("route_auto_terminate", sql="""
+SELECT event_id, CASE event_type WHEN 'purchase' THEN 'large' ELSE 'unmatched' END AS relationship
+FROM events WHERE coalesce(event_type, '') <> 'click'
+""")
+def route_auto_terminate(spark: SparkSession, root: str) -> DataFrame:
+    """One matched relationship is auto-terminated, the other and unmatched go on."""
+    ev = table(spark, root, "events")
+    return drop_rel(route(ev, _flagship_rules(), keep_unmatched=True), "small").select("event_id", "relationship")
 
 
 @register("route_by_size", sql="""
@@ -108,8 +118,7 @@ def route_by_size(spark: SparkSession, root: str) -> DataFrame:
     docs = to_records(table(spark, root, "documents"), "doc_id", F.lit(None).cast("timestamp_ntz"),
                       content="text")
     limit = data_size_bytes("10KB")
-    routed = route(docs, {"large": F.col("size") > limit, "small": F.col("size") <= limit},
-                   exclusive=True)
+    routed = route(docs, {"large": F.col("size") > limit, "small": F.col("size") <= limit})
     return routed.groupBy("relationship").agg(F.count(F.lit(1)).alias("n_records"),
                                               F.sum("size").alias("total_bytes"))
 
@@ -168,9 +177,10 @@ WHERE event_type = 'error'
 def attr_map_route(spark: SparkSession, root: str) -> DataFrame:
     """Route on map attributes parsed from JSON properties."""
     ev = table(spark, root, "events")
-    attrs = F.map_concat(F.from_json("props", "map<string,string>"),
-                         F.create_map(F.lit("event_type"), F.col("event_type")))
-    recs = ev.select(F.col("event_id").cast("string").alias("record_id"), attrs.alias("attributes"))
+    recs = update_attributes(
+        ev.select(F.col("event_id").cast("string").alias("record_id"), "event_type",
+                  F.from_json("props", "map<string,string>").alias("attributes")),
+        {"event_type": F.col("event_type")})
     routed = route(recs, {"hot": attr("k").try_cast("int") >= 90,
                           "error": equals(attr("event_type"), "error")})
     return routed.select("record_id", "relationship", attr("k").alias("k"))
@@ -208,7 +218,9 @@ SELECT CAST(page_id AS VARCHAR) AS record_id, key, value FROM firsts
 def request_query_params(spark: SparkSession, root: str) -> DataFrame:
     """Query parameters of captured requests as attributes (first value wins)."""
     recs = _page_requests(spark, root, "/")
-    return recs.select("record_id", F.explode("attributes").alias("key", "value"))
+    # explode would add a filter on the map's size, which builds the map once more
+    pairs = recs.select("record_id", F.explode_outer("attributes").alias("key", "value"))
+    return pairs.filter(F.col("key").isNotNull())
 
 
 @register("request_route_by_param", sql=_PARAMS_CTE + """
@@ -233,10 +245,24 @@ def request_route_by_param(spark: SparkSession, root: str) -> DataFrame:
     recs = _page_requests(spark, root, "en")
     rules = {"feed": equals(attr("http.query.param.utm_source"), "feed"),
              "paged": attr("http.query.param.page").isNotNull()}
-    out = route_and_update(recs, rules, filename=F.col("record_id"), now=F.col("created_at"))
+    out = route_and_update(recs, rules, filename=F.col("record_id"), now=F.col("created_at"), prefilter=False)
     return out.select("record_id", "category", "filename", "directory", "size")
 
 
+@register("request_odd_urls", sql="""
+SELECT CAST(page_id AS VARCHAR) AS record_id, 'a|b {x}' AS q, 'c d' AS t, CAST(page_id AS VARCHAR) AS n
+FROM pages
+""")
+def request_odd_urls(spark: SparkSession, root: str) -> DataFrame:
+    """Requests whose query holds characters that strict parsers refuse: none is lost."""
+    pages = table(spark, root, "pages").select(
+        "page_id", F.col("html").alias("body"), F.lit(None).cast("timestamp_ntz").alias("received_at"),
+        F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("?q=a|b {x}&t=c d&n="),
+                 F.col("page_id").cast("string")).alias("url"))
+    recs = intake(pages, base_path="/", headers=None, methods=None, record_id="page_id")
+    return recs.select("record_id", *[attr(f"http.query.param.{k}").alias(k) for k in ("q", "t", "n")])
+
+
 @register("header_regex_attributes", sql="""
 SELECT event_id, CAST(user_id AS VARCHAR) AS x_user_id, event_type AS x_event_type,
        false AS has_content_type, 2 AS n_attrs
@@ -442,10 +468,14 @@ def _listing_bodies(spark: SparkSession, root: str) -> DataFrame:
                  F.concat(F.lit("org.example.stage."), F.initcap("role")).alias("type"),
                  F.when(F.col("role") == "assistant", "RUNNING").otherwise("STOPPED").alias("state"))
         .alias("component"))
-    items = F.when(F.col("role") == "system", F.array().cast("array<" + ITEM_SCHEMA.simpleString() + ">")) \
-        .otherwise(F.array(item))
-    return conv.select(F.to_json(F.struct(items.alias("processors"))).alias("body"),
-                       preview("text").alias("preview"))
+    # One listing a conversation: its other turns as one array (bounded by the conversation).
+    items = F.sort_array(F.collect_list(F.when(F.col("role") != "system", F.struct(
+        F.col("turn"), item.alias("item"), preview("text").alias("preview")))))
+    packed = conv.groupBy("conv_id").agg(items.alias("turns"))
+    return packed.select(
+        F.to_json(F.struct(F.transform("turns", lambda t: t["item"]).alias("processors"))).alias("body"),
+        F.map_from_entries(F.transform("turns", lambda t: F.struct(
+            t["item"]["id"].alias("key"), t["preview"].alias("value")))).alias("previews"))
 
 
 @register("listing_explode", sql="""
@@ -461,8 +491,9 @@ FROM conversations WHERE role <> 'system'
 """)
 def listing_explode(spark: SparkSession, root: str) -> DataFrame:
     """JSON listings scanned, exploded and projected (id, name, type, state)."""
-    items = project_listing(scan_listing(_listing_bodies(spark, root), "body", keep=["preview"]),
-                            keep=["preview"])
+    items = project_listing(scan_listing(_listing_bodies(spark, root), "body", keep=["previews"]),
+                            keep=["previews"])
+    items = items.withColumn("preview", F.col("previews")[F.col("id")]).drop("previews")
     return items.withColumn("listing_row", listing_text(F.col("id"), F.col("name"), F.col("type"),
                                                         F.col("state")))
 
@@ -571,20 +602,20 @@ def expire_records(spark: SparkSession, root: str) -> DataFrame:
 @register("queue_pressure", sql="""
 WITH w AS (
   SELECT event_id, event_type AS queue,
-         count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS backlog_objects,
-         CAST(sum(strlen(props)) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS backlog_bytes
+         count(*) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total_objects,
+         CAST(sum(strlen(props)) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total_bytes
   FROM events
 )
-SELECT *, backlog_objects >= 1000 OR backlog_bytes >= 20480 AS throttled FROM w
+SELECT *, total_objects >= 1000 OR total_bytes >= 20480 AS limit_reached FROM w
 """)
 def queue_pressure_q(spark: SparkSession, root: str) -> DataFrame:
-    """Running backlog per queue (objects, bytes) and the throttled flag."""
+    """Arrivals per queue so far (objects, bytes) and whether a limit is reached."""
     ev = table(spark, root, "events").select(
         "event_id", F.col("event_type").alias("queue"), "ts",
         F.octet_length("props").cast("bigint").alias("size"))
     out = queue_pressure(ev, "queue", ["ts", "event_id"], "size", max_objects=1000,
                          max_bytes="20 KB")
-    return out.select("event_id", "queue", "backlog_objects", "backlog_bytes", "throttled")
+    return out.select("event_id", "queue", "total_objects", "total_bytes", "limit_reached")
 
 
 @register("prioritize_top", sql="""
@@ -662,14 +693,21 @@ def flow_preset_sample(spark: SparkSession, root: str) -> DataFrame:
     return flow.plan(spark)["log"]
 
 
+def _run_and_read(spark: SparkSession, flow: Flow, path: str) -> DataFrame:
+    """Run a flow that ends in the stage ``store`` and read the store back."""
+    flow.run(spark)
+    return _flagship_columns(read_store(spark, path, "category", "filename", order=["ts", "event_id"]))
+
+
 @register("flow_route_store_graph", sql=ORACLE["route_and_store"])
 def flow_route_store_graph(spark: SparkSession, root: str) -> DataFrame:
-    """The flagship as a Flow graph: route, one update stage per branch, fan-in."""
+    """The flagship as a Flow graph: route, one update stage per branch, store; one
+    pass over the events, read back from the store."""
     ev = table(spark, root, "events")
-    rules = _flagship_rules()
-    flow = route_and_store_flow(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"))
-    out = flow.plan(spark)["store"]
-    return _flagship_columns(out)
+    path = work_dir(spark, "flow_route_store_graph")
+    flow = route_and_store_flow(ev, _flagship_rules(), filename=F.col("event_id").cast("string"),
+                                now=F.col("ts"), store_path=path, order=("ts", "event_id"))
+    return _run_and_read(spark, flow, path)
 
 
 # ---------------------------------------------------------------- streaming (available-now runs)
@@ -681,13 +719,19 @@ def _drain(spark: SparkSession, name: str, df: DataFrame, partition_by=(), fmt="
     return f"{base}/out"
 
 
+def _last_rows(spark: SparkSession, name: str, df: DataFrame, *keys: str) -> DataFrame:
+    """Drain a bounded stream in update mode; the last row of each key."""
+    base = work_dir(spark, name)
+    run_to_end(start_snapshot_sink(df, f"{base}/snapshots", f"{base}/checkpoint", available_now=True))
+    return latest_snapshot(spark, f"{base}/snapshots", *keys)
+
+
 @register("stream_route_store", sql=ORACLE["route_and_store"])
 def stream_route_store(spark: SparkSession, root: str) -> DataFrame:
     """The flagship as a stream into a partitioned file sink, read back."""
     ev = stream_table(spark, root, "events")
     rules = _flagship_rules()
-    out = route_and_update(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"),
-                           exclusive=True)
+    out = route_and_update(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"))
     out = _flagship_columns(out)
     path = _drain(spark, "stream_route_store", out, partition_by=["category"])
     return spark.read.schema(out.schema).parquet(path)
@@ -712,31 +756,48 @@ WITH w AS (
   SELECT window_start, window_start + INTERVAL 30 MINUTE AS window_end, event_type, count(*) AS n_events
   FROM w GROUP BY ALL
 )
-SELECT * FROM agg
-WHERE n_events > 2 AND window_end <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE
+SELECT * FROM agg WHERE n_events > 2
 """)
 def stream_alert_sliding(spark: SparkSession, root: str) -> DataFrame:
-    """Sliding 30-minute windows every 10 minutes, emitted as the watermark closes them."""
+    """Sliding 30-minute windows every 10 minutes: counts go out as they change,
+    and the last one of each window is read, so open windows are in too."""
     ev = stream_table(spark, root, "events").select("event_type", "ts")
-    alerts = sliding_alert(ev, "event_type", "ts", "30 minutes", "10 minutes", "30 minutes", 2)
-    path = _drain(spark, "stream_alert_sliding", alerts)
-    return spark.read.schema(alerts.schema).parquet(path)
+    counts = sliding_counts(ev, "event_type", "ts", "30 minutes", "10 minutes", "30 minutes")
+    last = _last_rows(spark, "stream_alert_sliding", counts, "window_start", "window_end", "event_type")
+    return last.filter("n_events > 2")
 
 
 @register("stream_log_tail", sql="""
-SELECT '  Value: ''error''' AS value FROM events WHERE event_type = 'error'
+SELECT CAST(event_id AS VARCHAR) AS record_id, event_type, CAST(user_id AS VARCHAR) AS user_id
+FROM events WHERE event_type = 'error'
 """)
 def stream_log_tail(spark: SparkSession, root: str) -> DataFrame:
-    """Write the event log as text, then follow it as a stream and keep matching lines."""
+    """Write the event log as text, then follow its blocks as a stream and keep matching ones."""
     base = work_dir(spark, "stream_log_tail")
-    log_lines(_event_records(spark, root)).select("line").write.text(f"{base}/log")
-    lines = read_log(spark, f"{base}/log", stream=True)
-    hits = lines.filter(F.col("value").contains("Value: 'error'"))
+    write_log(log_lines(_event_records(spark, root)), f"{base}/log")
+    parsed = parse_log(read_log_blocks(spark, f"{base}/log", stream=True))
+    hits = parsed.filter(equals(attr("event_type"), "error")).select(
+        "record_id", attr("event_type").alias("event_type"), attr("user_id").alias("user_id"))
     q = start_file_sink(hits, f"{base}/out", f"{base}/checkpoint", available_now=True)
     run_to_end(q)
     return spark.read.schema(hits.schema).parquet(f"{base}/out")
 
 
+@register("log_file_round_trip", sql="""
+SELECT CAST(doc_id AS VARCHAR) AS record_id, text AS note, lang, text AS payload FROM documents
+""")
+def log_file_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    """Whole documents, line ends and all, as attribute and payload: written as log
+    text, read back as blocks and parsed."""
+    path = work_dir(spark, "log_file_round_trip")
+    docs = table(spark, root, "documents").select(
+        F.col("doc_id").cast("string").alias("record_id"), "text", "lang", F.col("text").alias("content"))
+    write_log(log_lines(docs, payload=True, columns={"note": F.col("text"), "lang": F.col("lang")}), path)
+    parsed = parse_log(read_log_blocks(spark, path))
+    return parsed.select("record_id", attr("note").alias("note"), attr("lang").alias("lang"),
+                         F.col("content").alias("payload"))
+
+
 # ---------------------------------------------------------------- missing values
 @register("label_missing", sql="""
 SELECT d.doc_id, l.quality IS NULL AS label_missing,
@@ -755,16 +816,16 @@ def label_missing(spark: SparkSession, root: str) -> DataFrame:
 # ---------------------------------------------------------------- more paths end to end
 @register("alert_failed_login", sql="""
 SELECT * FROM (
-  SELECT event_id, ts, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 5 MINUTES PRECEDING
+  SELECT event_id, ts, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 60 MINUTES PRECEDING
                                       AND CURRENT ROW) AS n_recent
   FROM events WHERE event_type = 'error'
 ) WHERE n_recent > 5
 """)
 def alert_failed_login(spark: SparkSession, root: str) -> DataFrame:
-    """More than 5 failed authentications (error events) in 5 minutes, over all
-    of them: no key, so the time buckets alone spread the work."""
+    """More than 5 failed authentications (error events) in an hour, over all of
+    them: no key, so the slices of time alone spread the work."""
     errors = table(spark, root, "events").filter(F.col("event_type") == "error").select("event_id", "ts")
-    return threshold_alert(errors, None, "ts", "5 minutes", more_than=5)
+    return threshold_alert(errors, None, "ts", "60 minutes", more_than=5)
 
 
 @register("store_written", sql=ORACLE["store_replace"])
@@ -777,7 +838,7 @@ def store_written(spark: SparkSession, root: str) -> DataFrame:
     path = work_dir(spark, "store_written")
     order = ["created_at", "event_id"]
     for _ in range(2):
-        store(ev, path, "directory", "filename", order=order, spread=4)
+        store(ev, path, "directory", "filename", order=order)
     return read_store(spark, path, "directory", "filename", order=order).select(
         "directory", "filename", "event_id", "created_at", "value")
 
@@ -801,7 +862,20 @@ FROM routed
 def request_landing_intake(spark: SparkSession, root: str) -> DataFrame:
     """Pages land as captured POST requests (JSON lines), are read back as
     requests, taken in under /en with X-* headers as attributes, and routed."""
-    landing = work_dir(spark, "request_landing")
+    landing = _land_requests(spark, root, "request_landing")
+    recs = intake(read_requests(spark, landing), base_path="en", header_regex="X-.*",
+                  record_id=F.col("headers")["X-Page-Id"])
+    routed = route(recs, {"feed": equals(attr("http.query.param.utm_source"), "feed"),
+                          "paged": attr("http.query.param.page").isNotNull()}, prefilter=False)
+    return routed.select("record_id", F.col("relationship").alias("category"),
+                         attr("X-Lang").alias("x_lang"),
+                         F.map_contains_key("attributes", "Content-Type").alias("has_content_type"),
+                         "size")
+
+
+def _land_requests(spark: SparkSession, root: str, name: str) -> str:
+    """Pages as captured POST requests in a landing folder of JSON lines."""
+    landing = work_dir(spark, name)
     pages = table(spark, root, "pages")
     headers = F.create_map(F.lit("Content-Type"), F.lit("text/html"),
                            F.lit("X-Page-Id"), F.col("page_id").cast("string"),
@@ -810,26 +884,126 @@ def request_landing_intake(spark: SparkSession, root: str) -> DataFrame:
                  F.col("html").alias("body"),
                  F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")).alias("received_at")
                  ).write.json(landing)
-    recs = intake(read_requests(spark, landing), base_path="en", header_regex="X-.*",
-                  record_id=F.col("headers")["X-Page-Id"])
-    routed = route(recs, {"feed": equals(attr("http.query.param.utm_source"), "feed"),
-                          "paged": attr("http.query.param.page").isNotNull()})
-    return routed.select("record_id", F.col("relationship").alias("category"),
-                         attr("X-Lang").alias("x_lang"),
-                         F.map_contains_key("attributes", "Content-Type").alias("has_content_type"),
-                         "size")
+    return landing
+
+
+@register("stream_request_store", sql=_PARAMS_CTE + """
+, routed AS (
+  SELECT p.page_id, p.html, 'feed' AS rel FROM pages p JOIN firsts f
+    ON f.page_id = p.page_id AND f.key = 'http.query.param.utm_source' AND f.value = 'feed'
+  UNION ALL
+  SELECT p.page_id, p.html, 'paged' FROM pages p JOIN firsts f
+    ON f.page_id = p.page_id AND f.key = 'http.query.param.page'
+)
+SELECT rel AS category, CAST(page_id AS VARCHAR) || '.' || rel AS filename,
+       CAST(page_id AS VARCHAR) AS record_id, 'output/' || rel AS directory,
+       CAST(strlen(html) AS BIGINT) AS size
+FROM routed
+""")
+def stream_request_store(spark: SparkSession, root: str) -> DataFrame:
+    """The whole flow on a stream: landing folder, intake, route by query parameter,
+    update per branch, replace store; read back from the store."""
+    landing, path = _land_requests(spark, root, "stream_request_landing"), work_dir(spark, "stream_request_store")
+    rules = {"feed": equals(attr("http.query.param.utm_source"), "feed"),
+             "paged": attr("http.query.param.page").isNotNull()}
+    flow = (Flow("requests")
+            .add("landing", "table", frame=read_requests(spark, landing, stream=True))
+            .add("intake", "intake", base_path="/", header_regex="X-.*",
+                 record_id=F.col("headers")["X-Page-Id"])
+            .add("route", "route", auto_terminate=["unmatched"], rules=rules)
+            .connect("landing", "intake").connect("intake", "route")
+            .add("store", "store", path=path, by="category", filename="filename"))
+    for branch in rules:
+        flow.add(f"update_{branch}", "update", assignments={
+            "category": F.lit(branch), "filename": append(F.col("record_id"), "." + branch),
+            "directory": F.lit(f"output/{branch}")})
+        flow.connect("route", f"update_{branch}", [branch]).connect(f"update_{branch}", "store")
+    runner = flow.runner(spark, available_now=True, checkpoint_root=work_dir(spark, "stream_request_checkpoints"))
+    summary = runner.start()
+    if summary["failed"]:
+        raise RuntimeError(str(runner.errors))
+    runner.await_all()
+    return read_store(spark, path, "category", "filename").select(
+        "category", "filename", "record_id", "directory", "size")
+
+
+@register("running_balance", sql="""
+WITH e AS (
+  SELECT event_id, event_type, ts, CAST(round(value * 100) AS BIGINT) - 5000 AS cents FROM events
+)
+SELECT event_id, event_type, cents,
+       CAST(sum(cents) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS balance
+FROM e
+""")
+def running_balance(spark: SparkSession, root: str) -> DataFrame:
+    """A signed running total per event type (cents above or below 50)."""
+    ev = table(spark, root, "events").select(
+        "event_id", "event_type", "ts",
+        (F.round(F.col("value") * 100).cast("bigint") - 5000).alias("cents"))
+    out = running_totals(ev, ["event_type"], ["ts", "event_id"], {"balance": "cents"})
+    return out.select("event_id", "event_type", "cents", "balance")
+
+
+@register("store_numeric_dirs", sql="""
+SELECT lpad(CAST(user_id % 12 AS VARCHAR), 2, '0') AS directory, 'user_' || CAST(user_id AS VARCHAR) AS filename,
+       arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS created_at
+FROM events GROUP BY 1, 2
+""")
+def store_numeric_dirs(spark: SparkSession, root: str) -> DataFrame:
+    """Folders whose names look like numbers come back as the text they were."""
+    ev = table(spark, root, "events").select(
+        F.lpad((F.col("user_id") % 12).cast("string"), 2, "0").alias("directory"),
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("filename"),
+        "event_id", F.col("ts").alias("created_at"))
+    path, order = work_dir(spark, "store_numeric_dirs"), ["created_at", "event_id"]
+    store(ev, path, "directory", "filename", order=order)
+    return read_store(spark, path, "directory", "filename", order=order).select(
+        "directory", "filename", "event_id", "created_at")
+
+
+@register("drop_secret_attributes", sql="""
+SELECT event_id, event_type, CAST(user_id AS VARCHAR) AS user_id, false AS has_token, 2 AS n_attrs FROM events
+""")
+def drop_secret_attributes(spark: SparkSession, root: str) -> DataFrame:
+    """Attributes with secret names (any case) are dropped before logging."""
+    attrs = drop_secret_keys(F.create_map(
+        F.lit("event_type"), F.col("event_type"), F.lit("user_id"), F.col("user_id").cast("string"),
+        F.lit("Token"), F.md5(F.col("props")), F.lit("password"), F.col("props")))
+    ev = table(spark, root, "events").select("event_id", attrs.alias("attributes"))
+    return ev.select("event_id", attr("event_type").alias("event_type"), attr("user_id").alias("user_id"),
+                     F.map_contains_key("attributes", "Token").alias("has_token"),
+                     F.size("attributes").alias("n_attrs"))
+
+
+@register("stream_byte_cap", sql=ORACLE["route_and_store"])
+def stream_byte_cap(spark: SparkSession, root: str) -> DataFrame:
+    """The byte cap: micro-batches of at most about 1 MB of the table's files."""
+    ev = stream_table(spark, root, "events", max_bytes_per_trigger="1 MB")
+    out = _flagship_columns(route_and_update(ev, _flagship_rules(), filename=F.col("event_id").cast("string"),
+                                             now=F.col("ts")))
+    return spark.read.schema(out.schema).parquet(_drain(spark, "stream_byte_cap", out))
+
+
+@register("stream_restart", sql=ORACLE["route_and_store"])
+def stream_restart(spark: SparkSession, root: str) -> DataFrame:
+    """Durable position: a second start on the same checkpoint adds nothing twice."""
+    ev = stream_table(spark, root, "events", max_files_per_trigger=1)
+    out = _flagship_columns(route_and_update(ev, _flagship_rules(), filename=F.col("event_id").cast("string"),
+                                             now=F.col("ts")))
+    base = work_dir(spark, "stream_restart")
+    for _ in range(2):
+        run_to_end(start_file_sink(out, f"{base}/out", f"{base}/checkpoint", available_now=True))
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
 
 
 @register("stream_capped_route", sql=ORACLE["route_and_store"])
 def stream_capped_route(spark: SparkSession, root: str) -> DataFrame:
-    """Events land as 8 time-ordered files; the stream takes at most 2 files per
-    micro-batch (the object back-pressure cap), routes, updates and stores."""
+    """The stream takes at most one of the table's files per micro-batch (the object
+    back-pressure cap), routes, updates and stores."""
     base = work_dir(spark, "stream_capped_route")
-    table(spark, root, "events").repartitionByRange(8, "ts").write.parquet(f"{base}/landing")
-    ev = stream_path(spark, f"{base}/landing", max_files_per_trigger=2)
+    ev = stream_table(spark, root, "events", max_files_per_trigger=1)
     rules = _flagship_rules()
-    out = route_and_update(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"),
-                           exclusive=True)
+    out = route_and_update(ev, rules, filename=F.col("event_id").cast("string"), now=F.col("ts"))
     out = _flagship_columns(out)
     q = start_file_sink(out, f"{base}/out", f"{base}/checkpoint", partition_by=["category"],
                         available_now=True)
@@ -839,11 +1013,10 @@ def stream_capped_route(spark: SparkSession, root: str) -> DataFrame:
 
 @register("stream_store_replace", sql=ORACLE["store_replace"])
 def stream_store_replace(spark: SparkSession, root: str) -> DataFrame:
-    """Events land as 8 time-ordered files and stream (2 files per batch) into
-    the replace store; the store is read back resolved."""
+    """The table's files stream, one a batch, into the replace store; the store is
+    read back resolved."""
     base = work_dir(spark, "stream_store_replace")
-    table(spark, root, "events").repartitionByRange(8, "ts").write.parquet(f"{base}/landing")
-    ev = stream_path(spark, f"{base}/landing", max_files_per_trigger=2).select(
+    ev = stream_table(spark, root, "events", max_files_per_trigger=1).select(
         F.col("event_type").alias("directory"),
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("filename"),
         "event_id", F.col("ts").alias("created_at"), "value")
@@ -866,7 +1039,8 @@ ROUTE_AND_STORE_SPEC = {
             "processing_time": {"expr": "date_format(ts, 'yyyy-MM-dd HH:mm:ss')"},
             "filename": {"expr": f"concat(coalesce(cast(event_id AS STRING), ''), '.{b}')"},
             "directory": {"expr": f"'output/{b}'"}}}} for b in ("large", "small")],
-        {"name": "store", "type": "update", "properties": {"assignments": {}}},
+        {"name": "store", "type": "store", "properties": {"by": "category", "filename": "filename",
+                                                          "order": ["ts", "event_id"]}},
     ],
     "connections": [
         {"source": "intake", "destination": "route"},
@@ -881,10 +1055,12 @@ ROUTE_AND_STORE_SPEC = {
 @register("flow_from_spec", sql=ORACLE["route_and_store"])
 def flow_from_spec(spark: SparkSession, root: str) -> DataFrame:
     """The route-and-store flow declared as data (stages, properties as Spark SQL
-    expressions, connections by relationship), compiled by ``Flow.from_spec``."""
+    expressions, connections by relationship), compiled by ``Flow.from_spec``, run
+    and read back from its store."""
     flow = Flow.from_spec(ROUTE_AND_STORE_SPEC, {"events": table(spark, root, "events")})
-    out = flow.plan(spark)["store"]
-    return _flagship_columns(out)
+    path = work_dir(spark, "flow_from_spec")
+    flow.stages["store"].props["path"] = path
+    return _run_and_read(spark, flow, path)
 
 
 @register("token_age_check", sql="""
@@ -914,16 +1090,15 @@ def store_rejects(spark: SparkSession, root: str) -> DataFrame:
 
 
 @register("stream_queue_depth", sql="""
-SELECT event_type AS queue, count(*) AS objects, CAST(sum(strlen(props)) AS BIGINT) AS bytes,
-       count(*) >= 1000 OR sum(strlen(props)) >= 20480 AS throttled
+SELECT event_type AS queue, count(*) AS total_objects, CAST(sum(strlen(props)) AS BIGINT) AS total_bytes,
+       count(*) >= 1000 OR sum(strlen(props)) >= 20480 AS limit_reached
 FROM events GROUP BY event_type
 """)
 def stream_queue_depth(spark: SparkSession, root: str) -> DataFrame:
-    """Events land as 8 time-ordered files and stream (2 per batch) into a
-    running depth per queue; the latest snapshot per queue is read back."""
+    """The table's files stream, one a batch, into running totals per queue;
+    the latest snapshot per queue is read back."""
     base = work_dir(spark, "stream_queue_depth")
-    table(spark, root, "events").repartitionByRange(8, "ts").write.parquet(f"{base}/landing")
-    ev = stream_path(spark, f"{base}/landing", max_files_per_trigger=2)
+    ev = stream_table(spark, root, "events", max_files_per_trigger=1)
     depth = queue_depth_stream(ev, "event_type", F.octet_length("props"), max_objects=1000,
                                max_bytes="20 KB")
     run_to_end(start_snapshot_sink(depth, f"{base}/snapshots", f"{base}/checkpoint",
@@ -935,15 +1110,13 @@ def stream_queue_depth(spark: SparkSession, root: str) -> DataFrame:
 SELECT date_trunc('hour', ts) AS period_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS period_end,
        count(*) AS n_events, count(*) FILTER (WHERE event_type = 'error') AS n_errors
 FROM events GROUP BY 1, 2
-HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE
 """)
 def stream_error_periods(spark: SparkSession, root: str) -> DataFrame:
-    """Hourly event and error counts from the event stream, each hour written
-    once the watermark (30 minutes) has closed it."""
+    """Hourly event and error counts from the event stream: the last counts of
+    each hour, also of those the watermark has not closed."""
     ev = stream_table(spark, root, "events").select("ts", "event_type")
     periods = error_counts_stream(ev, "ts", F.col("event_type") == "error", "1 hour", "30 minutes")
-    path = _drain(spark, "stream_error_periods", periods)
-    return spark.read.schema(periods.schema).parquet(path)
+    return _last_rows(spark, "stream_error_periods", periods, "period_start", "period_end")
 
 
 @register("route_branch_updates", sql="""

@@ -22,7 +22,7 @@ from flowspark.operators.report import lookup
 from flowspark.operators.queue import expire
 from flowspark.operators.route import (RELATIONSHIP, fan_in, route, route_update, update,
                                        update_attributes)
-from flowspark.operators.sinks import log_lines
+from flowspark.operators.sinks import log_lines, store
 from flowspark.sources.generate import generate_records
 from flowspark.sources.requests import intake
 
@@ -184,23 +184,77 @@ class Flow:
                  "state": states.get(n, "STOPPED" if runner is not None else None)}
                 for n, st in self.stages.items()]
 
-    def runner(self, spark: SparkSession, sinks: dict[str, dict], **kw):
+    def runner(self, spark: SparkSession, sinks: dict[str, dict] | None = None, **kw):
         """Start / stop / status handle for a flow whose sources are streams
         (see ``streaming.flow_runner``)."""
         from flowspark.streaming.runner import flow_runner
         return flow_runner(spark, self, sinks, **kw)
 
+    def _single_pass(self) -> tuple[set[str], dict[str, tuple[str, dict, dict]]]:
+        """Routes whose branches are update stages that meet again in one stage.
+
+        Such a route, its updates and the fan-in are one pass (``route_update``)
+        instead of a scan per branch. Returns the stages that it replaces, and
+        per meeting stage the route's input, rules and updates.
+        """
+        fused: set[str] = set()
+        merged: dict[str, tuple[str, dict, dict]] = {}
+        plain = [e for e in self.edges if e.expiration == "0 sec"]
+        for name, st in self.stages.items():
+            into = [e for e in self.edges if e.destination == name]
+            out = [e for e in self.edges if e.source == name]
+            branches = [e.destination for e in out]
+            if (st.type != "route" or len(into) != 1 or not out or len(set(branches)) != len(out)
+                    or any(e not in plain or len(e.relationships) != 1 or e.relationships[0] not in st.props["rules"]
+                           for e in out)):
+                continue
+            after = [e for e in self.edges if e.source in branches]
+            ends = {e.destination for e in after}
+            if (len(ends) != 1 or len(after) != len(out) or any(e not in plain for e in [*after, *into])
+                    or any(self.stages[b].type != "update" or self.stages[b].auto_terminate
+                           or sum(e.destination == b for e in self.edges) != 1 for b in branches)):
+                continue
+            end = ends.pop()
+            upstream = self.stages[into[0].source]
+            if (sum(e.destination == end for e in self.edges) != len(out) or into[0].relationships != (SUCCESS,)
+                    or self.relationships(upstream.name) != [SUCCESS]):
+                continue
+            rules = {e.relationships[0]: st.props["rules"][e.relationships[0]] for e in out}
+            updates = {e.relationships[0]: self.stages[e.destination].props["assignments"] for e in out}
+            fused |= {name, *branches}
+            merged[end] = into[0].source, rules, updates
+        return fused, merged
+
+    def run(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """Run every terminal stage as a batch: store stages write and return
+        their rejects (the failure relationship), others return their frame."""
+        out = {}
+        for name, df in self.plan(spark).items():
+            st = self.stages[name]
+            if st.type == "store":
+                df = store(df, st.props["path"], st.props.get("by", "category"),
+                           st.props.get("filename", "filename"),
+                           order=st.props.get("order", ("created_at", "record_id")))
+            out[name] = df
+        return out
+
     def plan(self, spark: SparkSession) -> dict[str, DataFrame]:
         """Lazy DataFrame per terminal stage (no outgoing edge)."""
         self.validate()
         outputs: dict[str, DataFrame] = {}
+        fused, merged = self._single_pass()
         for name in self.order():
             st = self.stages[name]
             kind = STAGE_TYPES[st.type]
             props = dict(st.props)
             if "auto_terminate" in inspect.signature(kind.fn).parameters:
                 props["auto_terminate"] = st.auto_terminate
-            if kind.source:
+            if name in fused:
+                continue
+            if name in merged:
+                source, rules, updates = merged[name]
+                df = kind.fn(route_update(outputs[source], rules, updates, keep_relationship=False), **props)
+            elif kind.source:
                 df = kind.fn(spark, **props)
             else:
                 ins = []
@@ -246,9 +300,16 @@ def _route_stage(df: DataFrame, rules: dict, auto_terminate: tuple[str, ...] = (
 
 
 @stage_type("route_update", relationships=lambda p: list(p["rules"]))
-def _route_update_stage(df: DataFrame, rules: dict, updates: dict, exclusive: bool = False) -> DataFrame:
+def _route_update_stage(df: DataFrame, rules: dict, updates: dict) -> DataFrame:
     """Route plus per-branch updates in one pass (unmatched rows dropped)."""
-    return route_update(df, rules, updates, exclusive=exclusive)
+    return route_update(df, rules, updates)
+
+
+@stage_type("store", relationships=(SUCCESS, "failure"))
+def _store_stage(df: DataFrame, path: str | None = None, by: str = "category", filename: str = "filename",
+                 order: Sequence[str] = ("created_at", "record_id")) -> DataFrame:
+    """Terminal: what ``Flow.run`` (or a runner, on a stream) stores with replace."""
+    return df
 
 
 @stage_type("update")

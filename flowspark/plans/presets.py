@@ -14,7 +14,7 @@ from flowspark.operators.route import RELATIONSHIP, route, update
 
 def route_and_update(df: DataFrame, rules: Mapping[str, Column], filename: Column,
                      now: str | Column | None = None, root: str = "output",
-                     exclusive: bool = False) -> DataFrame:
+                     prefilter: bool = True) -> DataFrame:
     """Route, then the per-branch attribute update in one projection.
 
     Same result as one update stage per branch followed by a fan-in, without
@@ -22,7 +22,7 @@ def route_and_update(df: DataFrame, rules: Mapping[str, Column], filename: Colum
     ``filename`` + '.' + branch, ``directory`` = root/category. Unmatched rows
     are dropped by the route's pre-filter.
     """
-    routed = route(df, rules, exclusive=exclusive)
+    routed = route(df, rules, prefilter=prefilter)
     rel = F.col(RELATIONSHIP)
     clock = now_column(now)
     ntz = isinstance(df.select(clock).schema[0].dataType, T.TimestampNTZType)
@@ -47,8 +47,11 @@ def sample_flow(firings: DataFrame, firing_id: str = "firing_id", fired_at: str
 
 
 def route_and_store_flow(source: DataFrame, rules: Mapping[str, Column], filename: Column,
-                         now: str | Column | None = None, root: str = "output"):
-    """intake table → route → one update stage per branch → fan-in, as a Flow graph."""
+                         now: str | Column | None = None, root: str = "output",
+                         store_path: str | None = None, order: tuple[str, ...] = ("created_at", "record_id")):
+    """intake table → route → one update stage per branch → store, as a Flow graph.
+
+    The store replaces by (category, filename) under ``store_path``."""
     from flowspark.plans.flow import Flow
     flow = (Flow("route_and_store")
             .add("source", "table", frame=source)
@@ -63,7 +66,7 @@ def route_and_store_flow(source: DataFrame, rules: Mapping[str, Column], filenam
             "filename": append(filename, "." + branch),
             "directory": F.lit(root.rstrip("/") + "/" + branch)})
         flow.connect("route", f"update_{branch}", [branch])
-    flow.add("store", "update", assignments={})
+    flow.add("store", "store", path=store_path, by="category", filename="filename", order=list(order))
     for branch in rules:
         flow.connect(f"update_{branch}", "store")
     return flow

@@ -34,12 +34,18 @@ def read_requests(spark: SparkSession, path: str, stream: bool = False,
     return spark.read.schema(REQUEST_SCHEMA).json(path)
 
 
+def rejected_requests(df: DataFrame, url: str = "url") -> DataFrame:
+    """The intake's failure branch: requests without a URL, which nothing can route."""
+    return df.filter(F.coalesce(F.trim(F.col(url)), F.lit("")) == "")
+
+
 def intake(df: DataFrame, base_path: str, header_regex: str = ".*", url: str = "url",
            headers: str | None = "headers", body: str = "body", received_at: str = "received_at",
            record_id: str | Column | None = None, methods: tuple[str, ...] | None = ("POST",),
            method: str | None = "method") -> DataFrame:
     """Requests → records. Only requests under ``base_path`` (and of ``methods``)
-    are taken; attributes = matching headers + ``http.query.param.*``."""
+    are taken; attributes = matching headers + ``http.query.param.*``. Requests
+    without a URL are not taken: ``rejected_requests`` has them."""
     keep = under_base_path(url, base_path)
     if methods and method:
         keep = keep & F.upper(F.col(method)).isin([m.upper() for m in methods])

@@ -24,23 +24,29 @@ def wall_clock(c: Column) -> Column:
         secs=(F.unix_micros(c).cast("decimal(38,0)") / 1_000_000).cast("decimal(18,6)"))
 
 
-def sliding_alert(df: DataFrame, key: str, ts: str, window: str, slide: str, delay: str,
-                  more_than: int) -> DataFrame:
-    """Windows (length ``window``, every ``slide``) per key with more than
-    ``more_than`` rows; each is emitted once, when the watermark (max event time
-    − ``delay``) passes its end. State is bounded by the watermark."""
+def sliding_counts(df: DataFrame, key: str, ts: str, window: str, slide: str, delay: str) -> DataFrame:
+    """Rows per window (length ``window``, every ``slide``) and key. State is
+    bounded by the watermark (max event time − ``delay``). In append mode a
+    window is emitted once, when the watermark passes its end; in update mode
+    with its count so far, also while it is open."""
     s = event_time(df, ts).withWatermark(ts, delay)
     agg = s.groupBy(F.window(F.col(ts), window, slide).alias("w"), F.col(key)).agg(
         F.count(F.lit(1)).alias("n_events"))
-    return agg.filter(F.col("n_events") > more_than).select(
-        wall_clock(F.col("w.start")).alias("window_start"),
-        wall_clock(F.col("w.end")).alias("window_end"), key, "n_events")
+    return agg.select(wall_clock(F.col("w.start")).alias("window_start"),
+                      wall_clock(F.col("w.end")).alias("window_end"), key, "n_events")
+
+
+def sliding_alert(df: DataFrame, key: str, ts: str, window: str, slide: str, delay: str,
+                  more_than: int) -> DataFrame:
+    """The windows of ``sliding_counts`` with more than ``more_than`` rows."""
+    return sliding_counts(df, key, ts, window, slide, delay).filter(F.col("n_events") > more_than)
 
 
 def error_counts_stream(df: DataFrame, ts: str, is_error, period: str, delay: str) -> DataFrame:
-    """Events and errors per fixed period, each period emitted once the watermark
-    (max event time − ``delay``) has passed its end. The stored periods feed the
-    batch ``error_rate_spike`` comparison; the state is one row per open period."""
+    """Events and errors per fixed period: in append mode each period once the
+    watermark (max event time − ``delay``) has passed its end, in update mode its
+    counts so far. The stored periods feed the batch ``rate_spikes`` comparison;
+    the state is one row per open period."""
     s = event_time(df, ts).withWatermark(ts, delay)
     err = F.coalesce(is_error, F.lit(False))
     agg = s.groupBy(F.window(F.col(ts), period).alias("w")).agg(

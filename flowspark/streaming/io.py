@@ -83,7 +83,7 @@ def run_to_end(q: StreamingQuery, timeout_s: float | None = None) -> StreamingQu
 
 
 def store_stream(df: DataFrame, root: str, by: str, filename: str, checkpoint: str,
-                 order: Sequence[str] = ("created_at", "record_id"), spread: int = 0,
+                 order: Sequence[str] = ("created_at", "record_id"),
                  name: str | None = None, period: str | None = None,
                  available_now: bool = False,
                  after_batch: Callable[[int], None] | None = None) -> StreamingQuery:
@@ -96,7 +96,7 @@ def store_stream(df: DataFrame, root: str, by: str, filename: str, checkpoint: s
     from flowspark.operators.sinks import store
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store(batch, root, by, filename, order=order, spread=spread)
+        store(batch, root, by, filename, order=order)
         if after_batch is not None:  # e.g. metrics; runs before the batch commits
             after_batch(batch_id)
 

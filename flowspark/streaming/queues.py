@@ -1,9 +1,9 @@
-"""Back-pressure on a stream: running depth per queue, with a throttled flag.
+"""Queue totals on a stream: arrivals per queue so far, with a flag at the limits.
 
 The running counts are a streaming aggregation (partial aggregation before the
 shuffle, one small state row per queue), emitted in update mode. The snapshot
 sink appends each micro-batch's updated rows with the batch id, so the latest
-depth per queue is a latest-wins read, and a replayed batch writes the same
+total per queue is a latest-wins read, and a replayed batch writes the same
 rows again.
 """
 
@@ -19,15 +19,16 @@ from flowspark.streaming.io import with_trigger
 
 def queue_depth_stream(df: DataFrame, queue: str, size: str | Column,
                        max_objects: int | str = 10000, max_bytes: int | str = "1 GB") -> DataFrame:
-    """Streaming: objects and bytes seen per queue so far, ``throttled`` once a
-    limit is reached (use output mode "update")."""
+    """Streaming: objects and bytes seen per queue so far, ``limit_reached`` once
+    either limit is (use output mode "update")."""
     limit = max_bytes if isinstance(max_bytes, int) else data_size_bytes(max_bytes)
     if limit is None:
         raise ValueError(f"not a data size: {max_bytes!r}")
     sz = (F.col(size) if isinstance(size, str) else size).cast("bigint")
     agg = df.groupBy(F.col(queue).alias("queue")).agg(
-        F.count(F.lit(1)).alias("objects"), F.coalesce(F.sum(sz), F.lit(0)).alias("bytes"))
-    return agg.withColumn("throttled", (F.col("objects") >= int(max_objects)) | (F.col("bytes") >= limit))
+        F.count(F.lit(1)).alias("total_objects"), F.coalesce(F.sum(sz), F.lit(0)).alias("total_bytes"))
+    return agg.withColumn("limit_reached", (F.col("total_objects") >= int(max_objects))
+                          | (F.col("total_bytes") >= limit))
 
 
 def start_snapshot_sink(df: DataFrame, path: str, checkpoint: str, name: str | None = None,
@@ -43,8 +44,15 @@ def start_snapshot_sink(df: DataFrame, path: str, checkpoint: str, name: str | N
     return with_trigger(w, period, available_now).start()
 
 
-def latest_depth(spark: SparkSession, path: str) -> DataFrame:
-    """The current depth per queue: the row of the last batch that updated it."""
+def latest_snapshot(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """The last row of each key in a snapshot folder: what the last batch that
+    updated it wrote. After a bounded run it also holds what was still open."""
     snap = spark.read.parquet(path)
-    best = F.max_by(F.struct("objects", "bytes", "throttled"), F.col("batch_id"))
-    return snap.groupBy("queue").agg(best.alias("b")).select("queue", "b.*")
+    values = [c for c in snap.columns if c not in (*keys, "batch_id")]
+    best = F.max_by(F.struct(*values), F.col("batch_id"))
+    return snap.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+
+
+def latest_depth(spark: SparkSession, path: str) -> DataFrame:
+    """The current totals per queue."""
+    return latest_snapshot(spark, path, "queue")

@@ -18,6 +18,8 @@ class FlowRunner:
         self.spark = spark
         self.flow_name = flow_name
         self.starters: dict[str, Callable[[str], StreamingQuery]] = {}
+        self.queries: dict[str, StreamingQuery] = {}  # the last query started of each sink
+        self.errors: dict[str, str] = {}              # why the last action on a sink failed
 
     def qname(self, sink: str) -> str:
         return f"{self.flow_name}.{sink}"
@@ -32,34 +34,31 @@ class FlowRunner:
         return {q.name[len(prefix):]: q for q in self.spark.streams.active
                 if q.name and q.name.startswith(prefix)}
 
-    def start(self, *sinks: str) -> dict[str, list[str]]:
-        out: dict[str, list[str]] = {"started": [], "already_running": [], "failed": []}
+    def _each(self, sinks: tuple[str, ...], done: str, already: str, want_active: bool,
+              act: Callable[[str], object]) -> dict[str, list[str]]:
+        """Act on the sinks that are not in the wanted state; a failure is listed and its reason kept."""
+        out: dict[str, list[str]] = {done: [], already: [], "failed": []}
         running = self.active()
         for s in sinks or tuple(self.starters):
-            if s in running and running[s].isActive:
-                out["already_running"].append(s)
+            if (s in running and running[s].isActive) == want_active:
+                out[already].append(s)
                 continue
             try:
-                self.starters[s](self.qname(s))
-                out["started"].append(s)
-            except Exception:  # noqa: BLE001 - reported in the summary, as the caller asked
+                act(s)
+                self.errors.pop(s, None)
+                out[done].append(s)
+            except Exception as e:  # noqa: BLE001 - reported in the summary, as the caller asked
+                self.errors[s] = f"{type(e).__name__}: {e}"
                 out["failed"].append(s)
         return {k: sorted(v) for k, v in out.items()}
 
+    def start(self, *sinks: str) -> dict[str, list[str]]:
+        def go(s: str) -> None:
+            self.queries[s] = self.starters[s](self.qname(s))
+        return self._each(sinks, "started", "already_running", True, go)
+
     def stop(self, *sinks: str) -> dict[str, list[str]]:
-        out: dict[str, list[str]] = {"stopped": [], "already_stopped": [], "failed": []}
-        running = self.active()
-        for s in sinks or tuple(self.starters):
-            q = running.get(s)
-            if q is None or not q.isActive:
-                out["already_stopped"].append(s)
-                continue
-            try:
-                q.stop()
-                out["stopped"].append(s)
-            except Exception:  # noqa: BLE001
-                out["failed"].append(s)
-        return {k: sorted(v) for k, v in out.items()}
+        return self._each(sinks, "stopped", "already_stopped", False, lambda s: self.active()[s].stop())
 
     def await_all(self, timeout_s: float | None = None) -> None:
         """Wait for the flow's running queries (available-now runs) to finish."""
@@ -68,14 +67,18 @@ class FlowRunner:
             run_to_end(q, timeout_s)
 
     def status(self) -> list[dict]:
-        """One row per registered sink: state, id, last batch and its counters."""
+        """One row per registered sink: state (RUNNING, STOPPED, or FAILED with the
+        reason in ``error``), id, last batch and its counters."""
         running = self.active()
         rows = []
         for s in sorted(self.starters):
             q = running.get(s)
             p = q.lastProgress if q is not None else None
+            crash = self.queries[s].exception() if s in self.queries else None
+            error = str(crash) if crash is not None else self.errors.get(s)
+            state = "RUNNING" if q is not None and q.isActive else "FAILED" if error else "STOPPED"
             rows.append({
-                "name": s, "state": "RUNNING" if q is not None and q.isActive else "STOPPED",
+                "name": s, "state": state, "error": error if state == "FAILED" else None,
                 "id": str(q.id) if q is not None else None,
                 "batch_id": p["batchId"] if p else None,
                 "input_rows": p["numInputRows"] if p else None,
@@ -84,22 +87,27 @@ class FlowRunner:
         return rows
 
 
-def flow_runner(spark: SparkSession, flow, sinks: dict[str, dict], period: str | None = None,
+def flow_runner(spark: SparkSession, flow, sinks: dict[str, dict] | None = None, period: str | None = None,
                 available_now: bool = False, checkpoint_root: str | None = None) -> FlowRunner:
-    """Runner for a flow whose sources are streams: one file-sink query per
-    terminal stage in ``sinks`` (``{stage: {"path": ..., "partition_by": [...],
+    """Runner for a flow whose sources are streams: one query per terminal stage,
+    the replace store for a ``store`` stage, a file sink for those in ``sinks`` (``{stage: {"path": ..., "partition_by": [...],
     "format": "parquet"}}``; ``"format": "text"`` writes the ``line`` column as a log). Checkpoints live at a fixed place per (flow,
     stage), so a restart resumes where the last run committed."""
     from flowspark.session import stable_dir
-    from flowspark.streaming.io import start_file_sink
+    from flowspark.streaming.io import start_file_sink, store_stream
 
     runner = FlowRunner(spark, flow.name)
-    for stage, spec in sinks.items():
+    stores = {n: st.props for n, st in flow.stages.items() if st.type == "store"}
+    for stage, spec in {**stores, **(sinks or {})}.items():
         cp = (f"{checkpoint_root.rstrip('/')}/{flow.name}/{stage}" if checkpoint_root
               else stable_dir(spark, "checkpoints", flow.name, stage))
 
         def starter(qname: str, stage=stage, spec=spec, cp=cp) -> StreamingQuery:
             df = flow.plan(spark)[stage]
+            if spec is stores.get(stage):
+                return store_stream(df, spec["path"], spec.get("by", "category"), spec.get("filename", "filename"),
+                                    cp, order=spec.get("order", ("created_at", "record_id")), name=qname,
+                                    period=period, available_now=available_now)
             if spec.get("format") == "text":  # a log file: one text column per row
                 df = df.select(spec.get("column", "line"))
             return start_file_sink(df, spec["path"], cp, spec.get("partition_by", ()),

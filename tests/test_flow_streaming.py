@@ -315,9 +315,9 @@ def test_queue_depth_stream_grows_and_throttles(spark):
     run_to_end(start_snapshot_sink(depth, f"{base}/snap", f"{base}/cp", available_now=True), 120)
     snaps = spark.read.parquet(f"{base}/snap")
     assert snaps.select("batch_id").distinct().count() == 4
-    click = [r.objects for r in snaps.filter(F.col("queue") == "click").orderBy("batch_id").collect()]
+    click = [r.total_objects for r in snaps.filter(F.col("queue") == "click").orderBy("batch_id").collect()]
     assert click == sorted(click) and len(click) == 4
-    final = {r.queue: (r.objects, r.throttled) for r in latest_depth(spark, f"{base}/snap").collect()}
+    final = {r.queue: (r.total_objects, r.limit_reached) for r in latest_depth(spark, f"{base}/snap").collect()}
     want = {r.event_type: r["count"] for r in ev.groupBy("event_type").count().collect()}
     assert {q: n for q, (n, _) in final.items()} == want
     assert all(t == (want[q] >= 150) for q, (_, t) in final.items())

@@ -103,3 +103,27 @@ def test_format_time_ntz_ignores_session_zone(spark):
         assert df.select(format_time("t", ntz=True)).first()[0] == "2024-03-10 02:30:00"
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_redaction_of_addresses_is_linear_and_unchanged(spark):
+    import time
+
+    from flowspark.functions.redact import redact
+    rows = [("a@b.com_x@y.com", "[email][email]"), ("x a@b..com y", "x a@b..com y"), ("a@b.c1.com2", "[email]2"),
+            ("u" * 60000 + " a@b.com", "u" * 60000 + " [email]"), ("a@" + "b." * 20000 + "com", "[email]"),
+            ("@" * 500 + "é@b.com", "@" * 500 + "é@b.com"), ("a@b@c.org", "a@[email]"), ("a@-.x.com", "[email]")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "id int, t string")
+    df.select(redact("t")).limit(1).collect()  # compile
+    began = time.time()
+    got = {r.id: r.r for r in df.select("id", redact("t").alias("r")).collect()}
+    assert time.time() - began < 10
+    assert [got[i] for i in range(len(rows))] == [want for _, want in rows]
+
+
+def test_any_url_has_path_and_query(spark):
+    from flowspark.functions.urls import query_params, url_path
+    df = spark.createDataFrame([("/data?size=large&q=a|b",), ("/data?size=large&t={x}",),
+                                ("http://h/data?size=large&q=a b#f",), ("mailto:x",), (None,)], "u string")
+    got = [(r.p, r.q) for r in df.select(url_path("u").alias("p"), query_params("u", "").alias("q")).collect()]
+    assert got == [("/data", {"size": "large", "q": "a|b"}), ("/data", {"size": "large", "t": "{x}"}),
+                   ("/data", {"size": "large", "q": "a b"}), ("x", {}), (None, {})]

@@ -97,7 +97,7 @@ def test_latest_idempotent_and_maximal(spark, rows):
 @given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(0, 1200))),
                 min_size=1, max_size=40),
        st.integers(0, 3))
-def test_threshold_alert_methods_match_brute_force(spark, rows, more_than):
+def test_threshold_alert_matches_brute_force(spark, rows, more_than):
     from flowspark.operators import threshold_alert
     data = [(i, k, None if s is None else T0 + dt.timedelta(seconds=s)) for i, (k, s) in enumerate(rows)]
     df = spark.createDataFrame(data, "id long, k string, ts timestamp_ntz")
@@ -108,10 +108,8 @@ def test_threshold_alert_methods_match_brute_force(spark, rows, more_than):
             sum(1 for u in peers if u is not None and t - dt.timedelta(seconds=300) <= u <= t)
         if n > more_than:
             want[i] = n
-    for method in ("prefix", "buckets"):
-        got = {r.id: r.n_recent for r in threshold_alert(df, "k", "ts", "5 minutes", more_than,
-                                                         method=method, slices=2).collect()}
-        assert got == want, method
+    got = {r.id: r.n_recent for r in threshold_alert(df, "k", "ts", "5 minutes", more_than).collect()}
+    assert got == want
 
 
 @SETTINGS

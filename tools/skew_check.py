@@ -70,17 +70,13 @@ def main() -> None:
     hot = ev.select("event_id", "ts", F.when(F.col("event_type").isin("view", "click", "purchase"), "hot")
                     .otherwise(F.col("event_type")).alias("queue"),
                     F.octet_length("props").cast("bigint").alias("size"))
-    for method in ["window", "sliced"]:
-        spark.sparkContext.setJobGroup(f"queue_pressure/{method}", method)
-        queue_pressure(hot, "queue", ["ts", "event_id"], "size", method=method) \
-            .write.format("noop").mode("overwrite").save()
+    spark.sparkContext.setJobGroup("queue_pressure", "running totals")
+    queue_pressure(hot, "queue", ["ts", "event_id"], "size").write.format("noop").mode("overwrite").save()
     burst_ts = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
         secs=(F.col("event_id") % 240).cast("decimal(18,6)"))
     burst = ev.select("event_id", F.when(F.col("event_id") % 3 == 0, burst_ts).otherwise(F.col("ts")).alias("ts"))
-    rows = {}
-    for method in ["buckets", "prefix"]:
-        spark.sparkContext.setJobGroup(f"threshold_alert/{method}", method)
-        rows[method] = threshold_alert(burst, None, "ts", "5 minutes", 5, method=method).count()
+    spark.sparkContext.setJobGroup("threshold_alert", "running counts")
+    rows = threshold_alert(burst, None, "ts", "5 minutes", 5).count()
     # latest-wins with one (directory, filename) holding 60% of rows, input in 16 map tasks
     from flowspark.operators import latest
     files = ev.repartition(16).select(
