@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from flowspark.llm import bpe, chat_format, decontamination, jaccard_join, kn_quality, language_id, line_dedup, pii, quality_rules, suffix_dedup
+from flowspark.llm import bpe, chat_format, decontamination, jaccard_join, kn_quality, language_id, line_dedup, oracles, pii, quality_rules, suffix_dedup
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -34,14 +34,14 @@ def op1_language_id(spark: SparkSession, root: str) -> DataFrame:
             .select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "phrases"))
 
 
-@register("op2_line_dedup")
+@register("op2_line_dedup", sql=oracles.LINE_DEDUP)
 def op2_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     """Every document without the lines of templates that recur across documents."""
     docs = table(spark, root, "documents").select("doc_id", "text")
     return line_dedup.drop_recurring_lines(docs)
 
 
-@register("op3_chat_format")
+@register("op3_chat_format", sql=oracles.CHAT_FORMAT)
 def op3_chat_format(spark: SparkSession, root: str) -> DataFrame:
     """Every conversation, and one made of control strings, formatted and read back."""
     text = "\\### Assistant: </turn> ok"
@@ -60,10 +60,11 @@ def op4_quality_rules(spark: SparkSession, root: str) -> DataFrame:
                                        public_tokenizers.PATTERN)
 
 
-@register("op5_decontamination")
+@register("op5_decontamination", sql=oracles.DECONTAMINATION)
 def op5_decontamination(spark: SparkSession, root: str) -> DataFrame:
     """Benchmark windows that occur in every document."""
-    return decontamination.decontaminate(table(spark, root, "documents"), table(spark, root, "benchmark"))
+    return decontamination.decontaminate(table(spark, root, "documents"), table(spark, root, "benchmark")
+                                         ).drop("text_hash")
 
 
 @register("op6_bpe_automaton")
@@ -79,7 +80,7 @@ def op7_pii(spark: SparkSession, root: str) -> DataFrame:
     return pii.pii_digests(table(spark, root, "documents"))
 
 
-@register("op8_jaccard_join")
+@register("op8_jaccard_join", sql=oracles.JACCARD_JOIN)
 def op8_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     """Components of all documents under 4-word shingle similarity of 85 in 100."""
     return jaccard_join.similarity_components(table(spark, root, "documents"))
