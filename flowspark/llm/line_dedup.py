@@ -26,6 +26,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,25 +38,32 @@ DEPTH = 3
 SIMILAR = 0.7
 MIN_DOCS = 10
 FIELD = "<*>"
+_DIGIT = re.compile(r"[0-9]")
 _VARIABLE = re.compile(r"[^ ]*[0-9][^ ]*")
 
 
 def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
-def parse_line(line: str) -> tuple[list[str], str, str] | None:
-    """(tokens, leaf, masked line) of a line, None if it has no token."""
+def parse_line(line: str, digits: bool = True) -> tuple[list[str], str, str] | None:
+    """(tokens, leaf, masked line) of a line, None if it has no token. ``digits``: it may hold some."""
     tokens = line.split()
     if not tokens:
         return None
     masked = " ".join(tokens)
-    if _VARIABLE.search(masked):
+    if digits and _DIGIT.search(masked):
         masked = _VARIABLE.sub(FIELD, masked)
         tokens = masked.split(" ")
     return tokens, f"{len(tokens)} " + " ".join(tokens[:DEPTH]), masked
 
 
+def _texts(rows: pa.RecordBatch) -> Iterator[tuple[str, bool]]:
+    """Each text, null as empty, and whether it holds a digit at all (most do not)."""
+    texts = pc.fill_null(rows.column("t"), "")
+    return zip(texts.to_pylist(), pc.match_substring_regex(texts, "[0-9]").to_pylist())
+
+
 def _line_rows(keyed: DataFrame) -> DataFrame:
     """(d, i, line, leaf, tpl) of every line with a token."""
 
@@ -64,9 +72,9 @@ def _line_rows(keyed: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
                 owner, line, leaf, tpl = [], [], [], []
-                for r, text in enumerate(rows.column("t").to_pylist()):
-                    for k, x in enumerate((text or "").split("\n")):
-                        parsed = parse_line(x)
+                for r, (text, digits) in enumerate(_texts(rows)):
+                    for k, x in enumerate(text.split("\n")):
+                        parsed = parse_line(x, digits)
                         if parsed:
                             owner.append(r)
                             line.append(k)
@@ -89,9 +97,9 @@ def _token_rows(keyed: DataFrame, leaves: DataFrame) -> DataFrame:
         bits = unpack(sent.value)
         for batch in batches:
             seen: dict[int, tuple[int, list[int]]] = {}
-            for text in batch.column("t").to_pylist():
-                for x in (text or "").split("\n"):
-                    parsed = parse_line(x)
+            for text, digits in _texts(batch):
+                for x in text.split("\n"):
+                    parsed = parse_line(x, digits)
                     if not parsed:
                         continue
                     leaf = _hash(parsed[1])
@@ -124,16 +132,18 @@ def line_templates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
                           .filter((F.col("x") < F.col("y")) & (F.col("n") >= min_docs)).select("leaf"), "leaves")
     tokens = scratch.save(_token_rows(keyed, leaves).join(by_tpl.select("tpl", "n"), "tpl"), "tokens")
     placed = tokens.select("leaf", "tpl", "n", F.size("places").alias("size"), F.explode("places").alias("place"))
-    constant = placed.groupBy("place").agg(F.sum("n").alias("m")).filter(F.col("m") >= min_docs).select("place")
+    constant = scratch.save(placed.groupBy("place").agg(F.sum("n").alias("m"))
+                            .filter(F.col("m") >= min_docs).select("place"), "constant")
     general = (placed.join(constant, "place").groupBy("leaf", "tpl", "size")
                .agg(F.count(F.lit(1)).alias("kept"), F.sum(F.xxhash64("place") % (1 << 40)).alias("sum"))
                .filter(F.col("kept") >= F.col("size") * SIMILAR)
                .select("tpl", F.xxhash64("leaf", "kept", "sum").alias("general")))
+    general = scratch.save(general, "general")
     lines = scratch.save(lines.join(general, "tpl", "left")
                          .select("d", "i", "line", F.coalesce("general", "tpl").alias("template")), "templates")
-    recurring = (lines.select("d", "i", "template").distinct().groupBy("template")
-                 .agg(F.count(F.lit(1)).alias("n_docs"), F.min("i").alias("first"))
-                 .filter(F.col("n_docs") >= min_docs))
+    recurring = scratch.save(lines.select("d", "i", "template").distinct().groupBy("template")
+                             .agg(F.count(F.lit(1)).alias("n_docs"), F.min("i").alias("first"))
+                             .filter(F.col("n_docs") >= min_docs), "recurring")
     return lines, recurring
 
 
@@ -150,7 +160,9 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     dropped = (lines.join(recurring, "template").filter(~kept_here)
                .groupBy("d").agg(F.collect_set("line").alias("lines")))
     drops = scratch.save(dropped.select(F.col("d").alias("__d"), F.col("lines").alias("__lines")), "dropped")
-    joined = docs.withColumn("__k", F.xxhash64(id_col, text_col)).join(drops, F.col("__k") == F.col("__d"), "left")
+    # The same sort-merge join at every size: texts move once, as they would on a large table.
+    joined = (docs.withColumn("__k", F.xxhash64(id_col, text_col))
+              .join(drops.hint("merge"), F.col("__k") == F.col("__d"), "left"))
     split = F.split(F.col(text_col), "\n", -1)
     left = F.transform(F.array(split), lambda x: F.array_join(F.transform(
         F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__lines")), lambda k: F.get(x, k)), "\n"))
