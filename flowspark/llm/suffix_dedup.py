@@ -91,7 +91,7 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, offsets, data in slices(batch, "t"):
+            for rows, offsets, data in slices(batch, "t", 1 << 20):
                 text, place, first, last, grams = anchors_of(data, offsets, length, gram)
                 k1, k2 = rows.column("k1").to_numpy(), rows.column("k2").to_numpy()
                 once = _first_of(k1 + k2)[text]  # copies within the slice give their anchors once
@@ -304,14 +304,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "i", "t", F.xxhash64("t").alias("k1"), F.hash("t").alias("k2"))
     base = scratch.save(texts.select("i", "k1", "k2", F.octet_length("t").cast("bigint").alias("n_bytes"),
                                      F.sha2("t", 256).alias("whole")), "base")
-    copies = base.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
+    # Tables that are joined on what they were grouped by are written first: a join of
+    # two shuffles can be split where it is skewed, one of a shuffle and an aggregate can't.
+    copies = scratch.save(base.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")), "copies")
 
     long_texts = texts.filter(F.octet_length("t") >= length)
     anchors = scratch.save(_anchor_rows(long_texts, length, gram), "anchors")
     place = F.xxhash64("k1", "k2", "place")
-    shared = (anchors.groupBy("anchor").agg(F.min(place).alias("x"), F.max(place).alias("y"),
-                                            F.count(F.lit(1)).alias("n"))
-              .filter("x <> y").select("anchor", "n"))
+    shared = scratch.save(anchors.groupBy("anchor").agg(F.min(place).alias("x"), F.max(place).alias("y"),
+                                                        F.count(F.lit(1)).alias("n"))
+                          .filter("x <> y").select("anchor", "n"), "shared")
     salts = F.ceil(F.col("n") / group).cast("int")
     places = scratch.save(
         anchors.join(shared, "anchor")
