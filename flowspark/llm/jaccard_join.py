@@ -8,19 +8,24 @@ differ in at most K features, K following from their sizes, so:
   those with the band below, whose larger sets enter both instances;
 * each instance cuts the feature domain into P > K parts by hash. Two similar
   sets differ in at most K parts, hence agree in P - K whole parts;
-* a set has one signature for a part: the part and the features in it. Of its P parts
-  it enumerates the K + 1 strongest, in a fixed order of the parts' contents
-  (more features first). The strongest part that a similar pair agrees in is
-  among both sets' signatures: each leaves out fewer parts than they agree in.
-  So no similar pair is lost, and parts that are empty or hold a feature or
-  two, which unrelated sets share, are left out.
+* a set has one signature for a part: the part and the features in it. A set
+  may leave out P - K - 1 of its parts, in any order that depends on the parts'
+  contents alone: a similar pair agrees in more parts than either leaves out, so
+  the part that comes last in that order stays with both. First the weakest parts go
+  (those with the fewest features, which unrelated sets share), then, once all
+  signatures are counted, the ``common_parts`` most frequent ones (those inside
+  passages that many documents hold). K + 1 signatures stay, and no similar
+  pair is lost: the first order leaves the pair more common parts than the second takes.
 
 Nodes that share a signature are compared on their whole sets. A bucket is
 never expanded into all its pairs: first each node is compared with the least
 node it shares a signature with; then only buckets whose nodes are not yet in
-one component go on, where up to ``PIVOTS`` nodes are compared with the other
-components' nodes and leave the bucket, until each bucket is one component or
-spent. That finds every link that joins two components.
+one component go on, where up to ``PIVOTS`` nodes outside the bucket's largest
+component are compared with the other components' nodes and leave the bucket,
+until each bucket is one component. That finds every link that joins two
+components. Before sets are compared, sketches are: each feature flips one of
+1,024 bits, so the sketches of two sets differ in at most as many bits as the
+sets do in features, and a pair whose sketches differ in more than K is no link.
 
 Shuffles carry 8-byte signatures and nodes; sets travel only for nodes that
 share a signature (a fixed-size bit table says which, a join makes it exact).
@@ -38,10 +43,11 @@ gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.llm.tables import Scratch, components, key_filter, slots, unpack
@@ -51,8 +57,9 @@ from flowspark.llm.workers import map_arrow
 SHINGLE = 4
 SIMILAR = (85, 100)     # intersection / union
 BAND_STEPS = 3          # a band spans this many factors of 1 / similarity
-SLACK = 1.15            # parts for each that a similar pair can differ in
-PIVOTS = 8
+SLACK = 1.25            # parts for each that a similar pair can differ in
+PIVOTS = 512
+SKETCH = 16              # words of 64 bits in a set's parity sketch
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -95,14 +102,21 @@ def band_edges(largest: int, similar: tuple[int, int] = SIMILAR) -> list[int]:
     return edges + [max(edges[-1] + 1, int(edges[-1] * (similar[1] / similar[0]) ** BAND_STEPS))]
 
 
+def common_parts(differ: np.ndarray) -> np.ndarray:
+    """Signatures that a set can leave out for being frequent; ``signatures`` gives it as many more."""
+    return 2 + (differ + 1) // 10
+
+
 def signatures(features: np.ndarray, bounds: np.ndarray, similar: tuple[int, int] = SIMILAR
-               ) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set) of all sets, as two arrays."""
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set, spare) of all sets, as arrays. A set's signatures come in one or two
+    instances; ``spare`` is twice the number of an instance's signatures that the set may
+    leave out, plus 1 in its second instance."""
     num, den = similar
     sizes = np.diff(bounds)
     edges = np.array(band_edges(int(sizes.max(initial=0)), similar))
     band = np.searchsorted(edges, sizes, "right") - 1
-    sigs, owners = [], []
+    sigs, owners, spares = [], [], []
     for shift in (0, 1):
         top = edges[band + 1] - 1                      # largest size in the set's own band
         partner = sizes * den // num                   # largest size of a similar set
@@ -115,7 +129,8 @@ def signatures(features: np.ndarray, bounds: np.ndarray, similar: tuple[int, int
             continue
         instance = band[who] + shift
         differ = (den - num) * (sizes[who] + partner[who]) // (den + num)
-        parts = np.ceil(SLACK * ((den - num) * 2 * (edges[instance + 1] - 1) // (den + num) + 1)).astype(np.int64) + 1
+        most = (den - num) * 2 * (edges[instance + 1] - 1) // (den + num)
+        parts = np.ceil(SLACK * (most + 1)).astype(np.int64) + common_parts(most)
         counts = sizes[who]
         feature = features[np.repeat(bounds[who], counts) + np.arange(counts.sum())
                            - np.repeat(np.cumsum(counts) - counts, counts)]
@@ -131,12 +146,26 @@ def signatures(features: np.ndarray, bounds: np.ndarray, similar: tuple[int, int
         nth = np.arange(total) - base[owner]
         sig = mix(content + mix((np.repeat(instance, parts) << 32 | nth).astype(np.uint64)) + held.astype(np.uint64))
         order = np.lexsort((sig, -held, owner))
-        keep = order[nth <= differ[owner]]             # order keeps owners together, so nth is the rank there
+        spare = common_parts(differ)
+        keep = order[nth <= (differ + spare)[owner]]   # order keeps owners together, so nth is the rank there
         sigs.append(sig[keep])
         owners.append(who[owner[keep]])
+        spares.append((spare * 2 + shift)[owner[keep]])
     if not sigs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(sigs), np.concatenate(owners)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(sigs), np.concatenate(owners), np.concatenate(spares)
+
+
+def sketches(features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parity sketch of each set: SKETCH rows of 64-bit words, a column a set."""
+    bits = SKETCH * 64
+    cell = (mix(features + np.uint64(5)) % np.uint64(bits)).astype(np.int64)
+    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    odd = (np.bincount(owner * bits + cell, minlength=(len(bounds) - 1) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, bits), axis=1).view(np.int64).T
+
+
+WORDS = [f"s{k}" for k in range(SKETCH)]
 
 
 def _document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -156,25 +185,26 @@ def _document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _signature_rows(docs: DataFrame, text_col: str) -> DataFrame:
-    """(sig, node); equal sets of a slice give their rows once."""
+    """(sig, node, spare); equal sets of a slice give their rows once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, offsets, data in slices(batch, "t"):
                 features, bounds = shingle_sets(data, offsets)
                 keys = set_keys(features, bounds)
-                sigs, owner = signatures(features, bounds)
+                sigs, owner, spare = signatures(features, bounds)
                 first = np.zeros(len(keys), bool)
                 first[np.unique(keys, return_index=True)[1]] = True
-                sigs, owner = sigs[first[owner]], owner[first[owner]]
-                yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(keys[owner].view(np.int64))],
-                                                 ["sig", "node"])
+                sigs, spare, owner = (x[first[owner]] for x in (sigs, spare, owner))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sigs.view(np.int64)), pa.array(keys[owner].view(np.int64)), pa.array(spare.astype(np.int32))],
+                    ["sig", "node", "spare"])
 
-    return map_arrow(docs.select(F.col(text_col).alias("t")), run, "sig bigint, node bigint")
+    return map_arrow(docs.select(F.col(text_col).alias("t")), run, "sig bigint, node bigint, spare int")
 
 
 def _sets_of(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
-    """(node, features binary) of the nodes in ``nodes``, once each."""
+    """(node, n, sketch words, features binary) of the nodes in ``nodes``, once each."""
     sent = docs.sparkSession.sparkContext.broadcast(key_filter(nodes, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,11 +214,15 @@ def _sets_of(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
                 features, bounds = shingle_sets(data, offsets)
                 keys, first = np.unique(set_keys(features, bounds), return_index=True)
                 keep = bits[slots(keys)] & (np.diff(bounds)[first] > 0)
-                sets = [features[bounds[i]:bounds[i + 1]].tobytes() for i in first[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(sets, pa.binary())],
-                                                 ["node", "features"])
+                sets = [features[bounds[i]:bounds[i + 1]] for i in first[keep]]
+                sizes = np.array([len(x) for x in sets], np.int64)
+                words = sketches(np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum(sizes)]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[keep].view(np.int64)), pa.array(sizes), *(pa.array(np.ascontiguousarray(w)) for w in words),
+                     pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", *WORDS, "features"])
 
-    found = map_arrow(docs.select(F.col(text_col).alias("t")), run, "node bigint, features binary")
+    found = map_arrow(docs.select(F.col(text_col).alias("t")), run,
+                      f"node bigint, n bigint, {', '.join(f'{w} bigint' for w in WORDS)}, features binary")
     return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -212,13 +246,23 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similar: tuple[int, int] =
     return map_arrow(with_b.select("a", "b", "fa", "fb"), run, "a bigint, b bigint")
 
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, node, label) with each node's present component."""
+    return (rows.select("sig", "node").join(labels, "node", "left")
+            .select("sig", "node", F.coalesce("label", "node").alias("label")))
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document. Eager: its rounds write tables to the shared folder."""
     scratch = Scratch(docs.sparkSession, "jaccard_join")
     members = scratch.save(_document_sets(docs, id_col, text_col), "members")
     rows = scratch.save(_signature_rows(docs, text_col), "signatures")
-    shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
-    buckets = scratch.save(rows.join(shared, "sig").dropDuplicates(["sig", "node"]), "buckets")
+    shared = scratch.save(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+    # A node leaves out its most frequent signatures, as many as each of its instances spares.
+    own = Window.partitionBy("node", F.col("spare") % 2).orderBy(F.desc("n"), "sig")  # at most a document's parts
+    buckets = scratch.save(rows.join(shared, "sig").dropDuplicates(["sig", "node"])
+                           .withColumn("rank", F.row_number().over(own)).filter(F.col("rank") > F.shiftright("spare", 1))
+                           .select("sig", "node"), "buckets")
 
     least = buckets.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last")
     pairs = scratch.save(buckets.join(least.select("sig", "a"), "sig").filter("node > a")
@@ -226,32 +270,40 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     involved = buckets.join(least.select("sig"), "sig", "left_semi").select("node").distinct()
     sets = scratch.save(_sets_of(docs, text_col, involved), "sets")
     edges = scratch.save(similar_pairs(pairs, sets), "edges")
-    labels = edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
-    tested, turn = pairs, 0
+    labels = components(edges, edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0), scratch)
+    tested, rows = pairs, _labelled(buckets, labels)
     while True:
-        labels = components(edges, labels, scratch)
-        open_rows = (buckets.join(labels, "node", "left")
-                     .select("sig", "node", F.coalesce("label", "node").alias("label")))
-        mixed = (open_rows.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-                 .filter("x < y").select("sig"))
-        open_rows = scratch.save(open_rows.join(mixed, "sig"), "open")
-        if open_rows.isEmpty():
+        major = scratch.save(rows.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("n"))
+                             .groupBy("sig").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("k"))
+                             .filter("k > 1").select("sig", F.col("most.label").alias("major")), "major")
+        rows = scratch.save(rows.join(major, "sig").join(sets.drop("features"), "node"), "mixed")
+        if rows.isEmpty():
             break
-        turn += 1
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS))
-        pivots = scratch.save(open_rows.groupBy("sig", slot.alias("slot"))
-                              .agg(F.min(F.struct("node", "label")).alias("p"))
-                              .select("sig", F.col("p.node").alias("p"), F.col("p.label").alias("pl")), "pivots")
-        met = (open_rows.join(pivots, "sig").filter("label <> pl")
+        # Once the nodes outside a bucket's largest component have been pivots, the bucket is spent.
+        slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+        pivots = scratch.save(rows.filter("label <> major").groupBy("sig", slot.alias("slot"))
+                              .agg(F.min(F.struct("node", "label", "n", *WORDS)).alias("p"))
+                              .select("sig", F.col("p.node").alias("p"), F.col("p.label").alias("pl"),
+                                      F.col("p.n").alias("pn"), *[F.col(f"p.{w}").alias(f"p{w}") for w in WORDS]), "pivots")
+        bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"p{w}"))) for w in WORDS])
+        num, den = SIMILAR
+        close = bits * (den + num) <= (F.col("n") + F.col("pn")) * (den - num)
+        right = pivots.withColumnRenamed("sig", "psig")
+        met = (rows.join(right, (F.col("sig") == F.col("psig")) & (F.col("label") != F.col("pl")) & close)
                .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct())
         fresh = scratch.save(met.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(fresh)
-        edges = scratch.save(edges.union(similar_pairs(fresh, sets)), "edges")
-        buckets = scratch.save(open_rows.select("sig", "node").join(
-            pivots.select("sig", F.col("p").alias("node")), ["sig", "node"], "left_anti"), "buckets")
+        tested = scratch.save(tested.union(fresh), "tested")
+        found = scratch.save(similar_pairs(fresh, sets), "found")
+        rows = rows.select("sig", "node", "label").join(
+            pivots.select("sig", F.col("p").alias("node")), ["sig", "node"], "left_anti")
+        if not found.isEmpty():
+            edges = scratch.save(edges.union(found), "edges")
+            labels = components(edges, labels, scratch)
+            rows = _labelled(rows, labels)
+        rows = scratch.save(rows, "rest")
 
     named = (members.filter("n > 0").join(labels, "node", "left")
              .select("i", "n", F.coalesce("label", "node").alias("label")))
-    names = named.groupBy("label").agg(F.min("i").alias("component_id"))
+    names = scratch.save(named.groupBy("label").agg(F.min("i").alias("component_id")), "names")
     return (named.join(names, "label").select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
             .union(members.filter("n = 0").select("i", "n", F.col("i").alias("component_id"))))

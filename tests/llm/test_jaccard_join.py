@@ -94,9 +94,18 @@ def test_similar_sets_always_share_a_signature():
                 inter = len(np.intersect1d(a, b))
                 if 100 * inter < 85 * (len(a) + len(b) - inter):
                     continue
-                sig, owner = J.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+                sig, owner, _ = J.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
                 assert len(np.intersect1d(sig[owner == 0], sig[owner == 1])), (n, keep, extra)
 
 
+def test_sketches_never_differ_in_more_bits_than_sets_in_features():
+    rnd = np.random.default_rng(2)
+    for n in (1, 10, 300, 3000):
+        a = np.unique(rnd.integers(0, 1 << 62, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 5], rnd.integers(0, 1 << 62, n // 7, dtype=np.uint64)]))
+        words = J.sketches(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])).view(np.uint64)
+        assert int(np.bitwise_count(words[:, 0] ^ words[:, 1]).sum()) <= len(np.setxor1d(a, b))
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
