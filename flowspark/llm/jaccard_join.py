@@ -20,7 +20,7 @@ differ in at most K features, K following from their sizes, so:
 Nodes that share a signature are compared on their whole sets. A bucket is
 never expanded into all its pairs: first each node is compared with the least
 node it shares a signature with; then only buckets whose nodes are not yet in
-one component go on, where up to ``PIVOTS`` nodes outside the bucket's largest
+one component go on, where some (``PIVOTS``) nodes outside the bucket's largest
 component are compared with the other components' nodes and leave the bucket,
 until each bucket is one component. That finds every link that joins two
 components. Before sets are compared, sketches are: each feature flips one of
@@ -58,7 +58,7 @@ SHINGLE = 4
 SIMILAR = (85, 100)     # intersection / union
 BAND_STEPS = 3          # a band spans this many factors of 1 / similarity
 SLACK = 1.25            # parts for each that a similar pair can differ in
-PIVOTS = 512
+PIVOTS = (2, 16, 128, 512)  # of a bucket in the first rounds and all later ones: few nodes connect most of a group
 SKETCH = 16              # words of 64 bits in a set's parity sketch
 
 
@@ -271,7 +271,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sets = scratch.save(_sets_of(docs, text_col, involved), "sets")
     edges = scratch.save(similar_pairs(pairs, sets), "edges")
     labels = components(edges, edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0), scratch)
-    tested, rows = pairs, _labelled(buckets, labels)
+    tested, rows, turn = pairs, _labelled(buckets, labels), 0
     while True:
         major = scratch.save(rows.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("n"))
                              .groupBy("sig").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("k"))
@@ -280,7 +280,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if rows.isEmpty():
             break
         # Once the nodes outside a bucket's largest component have been pivots, the bucket is spent.
-        slot = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS[min(turn, len(PIVOTS) - 1)]))
+        turn += 1
         pivots = scratch.save(rows.filter("label <> major").groupBy("sig", slot.alias("slot"))
                               .agg(F.min(F.struct("node", "label", "n", *WORDS)).alias("p"))
                               .select("sig", F.col("p.node").alias("p"), F.col("p.label").alias("pl"),
