@@ -14,8 +14,9 @@ differ in at most K features, K following from their sizes, so:
   the part that comes last in that order stays with both. First the weakest parts go
   (those with the fewest features, which unrelated sets share), then, once all
   signatures are counted, the ``common_parts`` most frequent ones (those inside
-  passages that many documents hold). K + 1 signatures stay, and no similar
-  pair is lost: the first order leaves the pair more common parts than the second takes.
+  passages that many documents hold). That number is the instance's, the same for
+  sets of all sizes: the first cut leaves a similar pair one common part more than
+  the second takes from either, so no similar pair is lost.
 
 Nodes that share a signature are compared on their whole sets. A bucket is
 never expanded into all its pairs: first each node is compared with the least
@@ -102,9 +103,10 @@ def band_edges(largest: int, similar: tuple[int, int] = SIMILAR) -> list[int]:
     return edges + [max(edges[-1] + 1, int(edges[-1] * (similar[1] / similar[0]) ** BAND_STEPS))]
 
 
-def common_parts(differ: np.ndarray) -> np.ndarray:
-    """Signatures that a set can leave out for being frequent; ``signatures`` gives it as many more."""
-    return 2 + (differ + 1) // 10
+def common_parts(most: np.ndarray) -> np.ndarray:
+    """Signatures that each set of an instance can leave out for being frequent; ``signatures`` gives it as many
+    more. ``most`` is the instance's largest difference: both sets of a pair must leave out equally many."""
+    return 2 + (most + 1) // 10
 
 
 def signatures(features: np.ndarray, bounds: np.ndarray, similar: tuple[int, int] = SIMILAR
@@ -146,7 +148,7 @@ def signatures(features: np.ndarray, bounds: np.ndarray, similar: tuple[int, int
         nth = np.arange(total) - base[owner]
         sig = mix(content + mix((np.repeat(instance, parts) << 32 | nth).astype(np.uint64)) + held.astype(np.uint64))
         order = np.lexsort((sig, -held, owner))
-        spare = common_parts(differ)
+        spare = common_parts(most)
         keep = order[nth <= (differ + spare)[owner]]   # order keeps owners together, so nth is the rank there
         sigs.append(sig[keep])
         owners.append(who[owner[keep]])

@@ -98,6 +98,32 @@ def test_similar_sets_always_share_a_signature():
                 assert len(np.intersect1d(sig[owner == 0], sig[owner == 1])), (n, keep, extra)
 
 
+def nested_pairs(n):
+    """Texts of 48 shingles, each inside one of 56: unequal sizes, J = 0.857, two bands."""
+    rnd, out = random.Random(12), []
+    for _ in range(n):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(59)]
+        out += [" ".join(words[:51]), " ".join(words)]
+    return out
+
+
+def test_pairs_of_unequal_size_share_a_signature_after_the_frequency_cut():
+    texts = [t.encode() for t in nested_pairs(500)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    features, bounds = J.shingle_sets(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    held = collections.defaultdict(dict)
+    for sig, owner, spare in zip(*(x.tolist() for x in J.signatures(features, bounds))):
+        held[owner][sig] = spare >> 1
+    for k in range(0, len(texts), 2):
+        common = held[k].keys() & held[k + 1].keys()
+        assert len(common) > max(held[o][s] for o in (k, k + 1) for s in common), k
+
+
+def test_a_pair_of_unequal_size_with_few_common_signatures(spark):
+    rows = list(enumerate(nested_pairs(468)[-2:]))  # shares 3 of the signatures that stay, no others are shared
+    assert run(spark, rows) == brute(rows) == [(0, 48, 0), (1, 56, 0)]
+
+
 def test_sketches_never_differ_in_more_bits_than_sets_in_features():
     rnd = np.random.default_rng(2)
     for n in (1, 10, 300, 3000):
