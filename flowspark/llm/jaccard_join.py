@@ -271,7 +271,11 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
                          .groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     involved = buckets.join(least.select("sig"), "sig", "left_semi").select("node").distinct()
     sets = scratch.save(_sets_of(docs, text_col, involved), "sets")
-    edges = scratch.save(similar_pairs(pairs, sets), "edges")
+    held = members.filter((F.col("n") > 0) & F.col("i").isNotNull()).select("i", "node")
+    ids = scratch.save(held.groupBy("i").agg(F.min("node").alias("a"), F.max("node").alias("last"))
+                       .filter("a < last").select("i", "a"), "ids")  # ids of several sets, each linked with the least
+    same_id = held.join(ids, "i").filter("node > a").select("a", F.col("node").alias("b")).distinct()
+    edges = scratch.save(similar_pairs(pairs, sets).union(same_id), "edges")
     labels = components(edges, edges.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0), scratch)
     tested, rows, turn = pairs, _labelled(buckets, labels), 0
     while True:

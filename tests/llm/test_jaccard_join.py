@@ -78,6 +78,14 @@ def test_chains_link_through_the_middle(spark):
     assert run(spark, rows) == want and len({r[2] for r in want}) < 10
 
 
+def test_sets_of_one_id_are_linked(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (2, a + " z"), (2, b), (3, b + " z"), (4, "One"), (4, c), (5, ""), (5, "two"), (None, a + " y"),
+            (None, c + " z"), (None, "three")]
+    want = brute(rows)
+    assert run(spark, rows) == want and {r[2] for r in want if r[0] in (1, 2, 3)} == {1}
+
+
 def test_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     assert run(spark, rows) == brute(rows)
