@@ -77,7 +77,9 @@ def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str
     kind = benchmark.schema[id_col].dataType.simpleString()
     rows = benchmark.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     items = map_arrow(rows.distinct(), run, f"item {kind}, words array<string>, terms array<bigint>")
-    return items.filter(F.size("words") > 0).withColumn("row", F.xxhash64("item", "words"))
+    # Texts that differ in case, punctuation or blanks alone are one row.
+    return (items.filter(F.size("words") > 0).dropDuplicates(["item", "words"])
+            .withColumn("row", F.xxhash64("item", "words")))
 
 
 def term_counts(docs: DataFrame, wanted: bytes, text_col: str = "text") -> DataFrame:
@@ -111,7 +113,7 @@ def choose_anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW, an
                 for s in range(len(at) - k + 1):
                     if all(w["n"] for w in at[s:s + k]):
                         chosen.update(sorted(range(s, s + k), key=lambda j: (at[j]["n"], j))[:anchors])
-                out += [(row, at[j]["term"], j, min(anchors, k)) for j in sorted(chosen)]
+                out += [(row, at[j]["term"], at[j]["off"], min(anchors, k)) for j in sorted(chosen)]
             columns = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],

@@ -57,6 +57,14 @@ def test_planted_passages(spark):
         assert run(spark, docs, items, window) == brute(docs, items, window)
 
 
+def test_benchmark_texts_that_differ_in_case_and_punctuation_only(spark):
+    passage = [f"w{k}" for k in range(20)]
+    items = [(7, "The, OF! a"), (7, "the of a"), (8, " ".join(passage)), (8, ", ".join(passage).upper()), (8, " ".join(passage))]
+    docs = [(1, "x the of a y"), (2, "z " + " ".join(passage)), (3, "the a of " + " ".join(passage[::-1]))]
+    got = run(spark, docs, items)
+    assert got == brute(docs, items) and [r[2] for r in got] == [3, 20, 0]
+
+
 def test_documents_against_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]
