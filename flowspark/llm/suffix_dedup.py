@@ -7,10 +7,13 @@ first cut into aligned blocks that can share such a string at all:
 
 1. Of each window of ``length`` bytes the gram with the least hash (leftmost if
    tied) is its anchor: equal windows have equal anchors at equal places, and
-   a document has an anchor about every ``(length - gram) / 2`` bytes.
+   a document has an anchor about every ``(length - gram) / 2`` bytes. In a run of a
+   short period all grams tie, so grams that have a period of at most ``gram / 2``
+   come last, and windows that equal the one a period before are marked on
+   the spot and go no further: the first of them stand for the run.
 2. Anchors whose gram occurs once are done. For the others the block around
    the anchor is cut out: from the first window start the anchor serves to the
-   end of the last.
+   end of the last. Long texts are handled in pieces that overlap by a window or more.
 3. The blocks of one anchor form a collection, aligned at the anchor. From the
    right end to the left, each round inserts one symbol per block: the order of
    the suffixes that start at the column is the former order, stably sorted by
@@ -42,19 +45,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm.tables import Scratch, key_filter, slots, unpack
-from flowspark.llm.textbytes import prefix_hashes, slices, span_hashes
+from flowspark.llm.textbytes import SLICE_BYTES, prefix_hashes, slices, span_hashes
 from flowspark.llm.workers import map_arrow
 
 LENGTH = 400
 GRAM = 200
 GROUP = 4096     # blocks of one anchor in one collection
 BLOCKS = 8192    # blocks sorted at once, groups kept whole
+SEGMENT = 1 << 20        # window starts of a long text whose anchors are found at once
+PIECE = SLICE_BYTES      # bytes of a text that blocks are cut from at once
 _PLACE_BITS = 30
 
 
-def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int
-               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, first, last, hash): anchors, and the window starts each serves, as offsets in ``data``."""
+def short_periods(data: np.ndarray, offsets: np.ndarray, prefix: np.ndarray, length: int, gram: int
+                  ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(gram has a short period, window equals the one a short period before), by place, and the
+    (start, end) of the runs whose windows repeat. A short period is at most ``gram / 2``."""
+    n, most = len(data), gram // 2
+    grams, windows = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, (gram - most) // 6)
+    at = np.arange(0, max(n - gram + step, 0), step)
+    for p in range(1, most + 1) if len(at) else ():
+        reach = gram - p - step + 1          # a gram of period p has this many bytes equal to those p on, from a sample
+        x = at
+        if reach >= 8:
+            here, there = (np.ndarray(len(at), np.uint64, data, k, (step,)) for k in (0, p))
+            x = at[here == there]
+        x = x[span_hashes(prefix, x, x + reach) == span_hashes(prefix, x + p, x + p + reach)]
+        if not len(x):
+            continue
+        # Neighbouring samples are of one run, which ends less than a step before the first and after the last.
+        gap = np.flatnonzero(np.diff(x) > step)
+        u, v = x[np.append(0, gap + 1)], x[np.append(gap, len(x) - 1)] + reach
+        near = np.arange(step)
+        left, right = u[:, None] - 1 - near, v[:, None] + near
+        same = (left >= 0) & (data[np.maximum(left, 0)] == data[np.maximum(left, 0) + p])
+        u = u - np.logical_and.accumulate(same, axis=1).sum(axis=1)
+        inside = np.minimum(right, n - p - 1)
+        same = (right < n - p) & (data[inside] == data[inside + p])
+        v = v + np.logical_and.accumulate(same, axis=1).sum(axis=1)
+        # A run ends with its text, where the byte p on is another text's.
+        text = np.searchsorted(offsets, u, "right") - 1
+        k = np.searchsorted(offsets, v - 1, "right") - text
+        text = np.repeat(text - np.cumsum(k) + k, k) + np.arange(k.sum())
+        u, v = np.maximum(np.repeat(u, k), offsets[text]), np.minimum(np.repeat(v, k), offsets[text + 1] - p)
+        long = v - u >= gram - p
+        u, v = u[long], v[long]
+        grams[u] += 1
+        grams[v - (gram - p) + 1] -= 1
+        long = v - u >= length
+        u, v = u[long], v[long]
+        windows[u + p] += 1
+        windows[v - length + p + 1] -= 1
+        starts.append(u)
+        ends.append(v + p)
+    runs = np.unique(np.stack([np.concatenate(starts), np.concatenate(ends)]), axis=1)
+    return np.cumsum(grams[:-1]) > 0, np.cumsum(windows[:-1]) > 0, runs[0], runs[1]
+
+
+def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, place, first, last, hash): anchors, and the window starts each serves, as offsets in ``data``;
+    then (text, start, end) of the runs of a short period whose windows repeat."""
     span = length - gram + 1
     n = len(data) - gram + 1
     none = np.zeros(0, np.int64)
@@ -62,10 +114,13 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int
     starts = np.maximum(sizes - length + 1, 0)
     total = int(starts.sum())
     if not total:
-        return none, none, none, none, none
+        return (none,) * 8
     at = np.arange(n)
-    grams = span_hashes(prefix_hashes(data), at, at + gram)
-    keys = (grams >> np.uint64(_PLACE_BITS)) << np.uint64(_PLACE_BITS) | at.astype(np.uint64)
+    prefix = prefix_hashes(data)
+    grams = span_hashes(prefix, at, at + gram)
+    periodic, again, begin, end = short_periods(data, offsets, prefix, length, gram)
+    keys = ((grams >> np.uint64(_PLACE_BITS + 1)) << np.uint64(_PLACE_BITS) | at.astype(np.uint64)
+            | periodic[:n].astype(np.uint64) << np.uint64(63))
     # Minimum over [s, s + span): the end of one block of ``span`` places and the beginning of the next.
     padded = np.full(-(-(n + span) // span) * span, np.iinfo(np.uint64).max)
     padded[:n] = keys
@@ -75,9 +130,12 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int
     text = np.repeat(np.arange(len(sizes)), starts)
     s = np.arange(total) - np.repeat(np.cumsum(starts) - starts, starts) + offsets[text]
     place = (np.minimum(behind[s], ahead[s + span - 1]) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
-    new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
-    end = np.append(new[1:], total) - 1
-    return text[new], place[new], s[new], s[end], grams[place[new]].view(np.int64)
+    text, s, place = (x[~again[s]] for x in (text, s, place))
+    new = np.flatnonzero(np.concatenate(
+        [[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | (s[1:] != s[:-1] + 1)]))
+    last = np.append(new[1:], len(s)) - 1
+    return (text[new], place[new], s[new], s[last], grams[place[new]].view(np.int64),
+            np.searchsorted(offsets, begin, "right") - 1, begin, end)
 
 
 def _first_of(keys: np.ndarray) -> np.ndarray:
@@ -87,27 +145,41 @@ def _first_of(keys: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, k1, k2, place, before, after): window starts run from place - before to place - after."""
+    """(anchor, k1, k2, place, before, after, end): window starts run from place - before to place - after.
+    Rows without an anchor are runs from place to end whose windows repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, offsets, data in slices(batch, "t", 1 << 20):
-                text, place, first, last, grams = anchors_of(data, offsets, length, gram)
+            for rows, offsets, data in slices(batch, "t", SEGMENT):
                 k1, k2 = rows.column("k1").to_numpy(), rows.column("k2").to_numpy()
-                once = _first_of(k1 + k2)[text]  # copies within the slice give their anchors once
-                text, place, first, last, grams = (x[once] for x in (text, place, first, last, grams))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams), pa.array(k1[text]), pa.array(k2[text]),
-                     pa.array((place - offsets[text]).astype(np.int32)), pa.array((place - first).astype(np.int16)),
-                     pa.array((place - last).astype(np.int16))],
-                    ["anchor", "k1", "k2", "place", "before", "after"])
+                first_copy = _first_of(k1 + k2)  # copies within the slice give their anchors once
+                for at in range(0, max(len(data) - length, 0) + 1, SEGMENT) if len(offsets) == 2 else (0,):
+                    part, bounds = data, offsets
+                    if len(offsets) == 2:
+                        part = data[at:at + SEGMENT + length - 1]
+                        bounds = np.array([0, len(part)])
+                    found = anchors_of(part, bounds, length, gram)
+                    once = first_copy[found[0]]
+                    text, place, first, last, grams = (x[once] for x in found[:5])
+                    once = first_copy[found[5]]
+                    owner, start, end = (x[once] for x in found[5:])
+                    of = np.concatenate([text, owner])
+                    blank = np.arange(len(of)) >= len(text)
+                    zero = np.zeros(len(owner), np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate([grams, zero]), mask=blank), pa.array(k1[of]), pa.array(k2[of]),
+                         pa.array((np.concatenate([place, start]) - bounds[of] + at).astype(np.int32)),
+                         pa.array(np.concatenate([place - first, zero]).astype(np.int16)),
+                         pa.array(np.concatenate([place - last, zero]).astype(np.int16)),
+                         pa.array((np.concatenate([place, end]) - bounds[of] + at).astype(np.int32), mask=~blank)],
+                        ["anchor", "k1", "k2", "place", "before", "after", "end"])
 
     return map_arrow(texts.select("k1", "k2", "t"), run,
-                     "anchor bigint, k1 bigint, k2 int, place int, before smallint, after smallint")
+                     "anchor bigint, k1 bigint, k2 int, place int, before smallint, after smallint, end int")
 
 
-def _block_rows(texts: DataFrame, length: int) -> DataFrame:
-    """Blocks of the places listed with each text: (anchor, salt, salted, k1, k2, start, before, after, block)."""
+def _block_rows(pieces: DataFrame, length: int) -> DataFrame:
+    """Blocks of the places listed with each piece of a text: (anchor, salt, salted, k1, k2, start, before, after, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,17 +187,17 @@ def _block_rows(texts: DataFrame, length: int) -> DataFrame:
                 rows = batch.slice(at, 32)
                 out = []
                 for r in rows.to_pylist():
-                    whole = r["t"].encode()
+                    piece, begin = r["piece"], r["chunk"] * PIECE
                     for p in r["places"]:
                         start = p["place"] - p["before"]
                         out.append((p["anchor"], p["salt"], p["salted"], r["k1"], r["k2"], start, p["before"],
-                                    p["after"], whole[start:p["place"] - p["after"] + length]))
+                                    p["after"], piece[start - begin:p["place"] - p["after"] + length - begin]))
                 columns = list(zip(*out)) if out else [[]] * 9
                 kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int16(),
                          pa.int16(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], _BLOCK_NAMES)
 
-    return map_arrow(texts.select("k1", "k2", "t", "places"), run,
+    return map_arrow(pieces.select("k1", "k2", "chunk", "piece", "places"), run,
                      "anchor bigint, salt int, salted boolean, k1 bigint, k2 int, start int, before smallint, "
                      "after smallint, block binary")
 
@@ -293,6 +365,23 @@ def _passing(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return map_arrow(texts.select("k1", "k2", "t"), run, "k1 bigint, k2 int, t string")
 
 
+def _pieces(texts: DataFrame, keys: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, chunk, piece) of the texts that ``_passing`` keeps: each piece is followed by the bytes of two windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, offsets, data in slices(batch, "t", PIECE):
+                chunks = range(-(-len(data) // PIECE)) if len(offsets) == 2 else (0,)
+                for c in chunks:
+                    piece = (pa.array([data[c * PIECE:(c + 1) * PIECE + 2 * length].tobytes()], pa.binary())
+                             if len(offsets) == 2 else rows.column("t").cast(pa.binary()))
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column("k1"), rows.column("k2"), pa.array(np.full(len(piece), c, np.int32)), piece],
+                        ["k1", "k2", "chunk", "piece"])
+
+    return map_arrow(_passing(texts, keys), run, "k1 bigint, k2 int, chunk int, piece binary")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                    gram: int = GRAM, group: int = GROUP, sorted_at_once: int = BLOCKS) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every document.
@@ -309,7 +398,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = scratch.save(base.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")), "copies")
 
     long_texts = texts.filter(F.octet_length("t") >= length)
-    anchors = scratch.save(_anchor_rows(long_texts, length, gram), "anchors")
+    served = scratch.save(_anchor_rows(long_texts, length, gram), "anchors")
+    anchors = served.filter("anchor is not null").drop("end")
     place = F.xxhash64("k1", "k2", "place")
     shared = scratch.save(anchors.groupBy("anchor").agg(F.min(place).alias("x"), F.max(place).alias("y"),
                                                         F.count(F.lit(1)).alias("n"))
@@ -318,16 +408,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = scratch.save(
         anchors.join(shared, "anchor")
         .withColumn("salt", F.pmod(F.hash("k1", "k2", "place"), salts)).withColumn("salted", salts > 1)
-        .groupBy("k1", "k2").agg(F.collect_set(F.struct("anchor", "salt", "salted", "place", "before", "after"))
+        .withColumn("chunk", F.floor((F.col("place") - F.col("before")) / PIECE).cast("int"))
+        .groupBy("k1", "k2", "chunk").agg(F.collect_set(F.struct("anchor", "salt", "salted", "place", "before", "after"))
                                  .alias("places")), "places")
-    once = _passing(long_texts, places).dropDuplicates(["k1", "k2"])
-    blocks = _block_rows(once.join(places, ["k1", "k2"]), length)
+    once = _pieces(long_texts, places, length).dropDuplicates(["k1", "k2", "chunk"])
+    blocks = _block_rows(once.join(places, ["k1", "k2", "chunk"]), length)
     rows = scratch.save(_collection_rows(blocks.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt"),
                                          length, sorted_at_once), "ranges")
 
     across = rows.filter("w1 is not null")  # a window that stands for copies is in ``ranges`` already
     twice = (across.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2"))
     ranges = (rows.filter("w1 is null").select("k1", "k2", "start", "end")
+              .union(served.filter("anchor is null").select("k1", "k2", F.col("place").alias("start"), "end"))
               .union(across.join(twice, ["w1", "w2"]).select("k1", "k2", "start", "end")))
     found = scratch.save(ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
                          .join(copies.filter("copies = 1").drop("copies"), ["k1", "k2"]), "found")
