@@ -119,3 +119,35 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
 FROM d LEFT JOIN sizes USING (doc_id) JOIN least USING (doc_id)
 """
+
+#: Sources are tried as capped one after the other in order of size by weight; rates and draws per document.
+SOURCE_MIX = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')), 1, 13) AS BIGINT)
+           / 4503599627370496.0 AS u
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::HUGEINT AS s, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sized GROUP BY 1
+), weighed AS (
+  SELECT *, [5, 2, 1][(place - 1) % 3 + 1]::HUGEINT AS w FROM sources
+), ordered AS (
+  SELECT *, sum(s) OVER () AS every, sum(w) OVER () AS every_w,
+         coalesce(sum(s) OVER o, 0) AS before_s, coalesce(sum(w) OVER o, 0) AS before_w
+  FROM weighed WINDOW o AS (ORDER BY s * 10 // w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), settled AS (
+  SELECT *, 4 * s * (every_w - before_w) <= (3 * every - 4 * before_s) * w AS capped FROM ordered
+), level AS (
+  SELECT coalesce(sum(s) FILTER (WHERE capped), 0) AS c, coalesce(sum(w) FILTER (WHERE NOT capped), 0) AS free FROM settled
+), targets AS (
+  SELECT source, s, CASE WHEN capped THEN (2 * s)::DOUBLE
+    ELSE ((3 * every - 4 * c) * w)::DOUBLE / (2 * free)::DOUBLE END AS target FROM settled, level
+), taken AS (
+  SELECT d.*, t.s, t.target, CASE WHEN t.s > 0 THEN t.target / t.s::DOUBLE ELSE 0.0 END AS rate
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(s AS BIGINT) AS source_size, target,
+       CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+       CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM taken
+"""

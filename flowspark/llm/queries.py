@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from flowspark.llm import bpe, chat_format, decontamination, jaccard_join, kn_quality, language_id, line_dedup, oracles, pii, quality_rules, suffix_dedup
+from flowspark.llm import bpe, chat_format, decontamination, jaccard_join, kn_quality, language_id, line_dedup, oracles, pii, quality_rules, source_mix, suffix_dedup
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,10 @@ def op10_kn_quality(spark: SparkSession, root: str) -> DataFrame:
     """Perplexity of every document under its language's model of the documents labelled good."""
     trusted = table(spark, root, "labels").filter("quality = 1").select("doc_id")
     return kn_quality.perplexity_quality(table(spark, root, "documents"), trusted)
+
+
+@register("op12_source_mix", sql=oracles.SOURCE_MIX)
+def op12_source_mix(spark: SparkSession, root: str) -> DataFrame:
+    """How often the mix takes every document, by its source's target."""
+    docs = table(spark, root, "documents").select("doc_id", "source", "text")
+    return source_mix.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
