@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from flowspark.llm import bpe, chat_format, decontamination, jaccard_join, kn_quality, language_id, line_dedup, oracles, pii, quality_rules, source_mix, suffix_dedup
+from flowspark.llm import bpe, chat_format, decontamination, jaccard_join, kn_quality, language_id, line_dedup, oracles, pii, quality_rules, source_mix, spelling, suffix_dedup
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,12 @@ def op10_kn_quality(spark: SparkSession, root: str) -> DataFrame:
     return kn_quality.perplexity_quality(table(spark, root, "documents"), trusted)
 
 
+@register("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, root: str) -> DataFrame:
+    """Frequent forms and roots of every word of all documents."""
+    return spelling.spelling_variants(table(spark, root, "documents"))
+
+
 @register("op12_source_mix", sql=oracles.SOURCE_MIX)
 def op12_source_mix(spark: SparkSession, root: str) -> DataFrame:
     """How often the mix takes every document, by its source's target."""
