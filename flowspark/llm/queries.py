@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from flowspark.llm import bpe, chat_format, decontamination, jaccard_join, kn_quality, language_id, line_dedup, oracles, pii, quality_rules, source_mix, spelling, suffix_dedup
+from flowspark.llm import bpe, chat_format, decontamination, hard_negatives, jaccard_join, kn_quality, language_id, line_dedup, oracles, pii, quality_rules, source_mix, spelling, suffix_dedup
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,11 @@ def op12_source_mix(spark: SparkSession, root: str) -> DataFrame:
     """How often the mix takes every document, by its source's target."""
     docs = table(spark, root, "documents").select("doc_id", "source", "text")
     return source_mix.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@register("op13_hard_negatives", sql=oracles.HARD_NEGATIVES)
+def op13_hard_negatives(spark: SparkSession, root: str) -> DataFrame:
+    """Hard negatives of every anchor and positive; labels of ids that 7 divides are moved on first."""
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(table(spark, root, "embeddings").withColumn("label", moved))
