@@ -384,9 +384,10 @@ def _pieces(texts: DataFrame, keys: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                    gram: int = GRAM, group: int = GROUP, sorted_at_once: int = BLOCKS) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every document.
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, removed_share, repeated) of every document.
 
-    Eager: its steps write tables to the shared folder.
+    ``removed_share`` is n_removed by n_bytes (0 for an empty text), ``repeated``
+    says that it isn't 0. Eager: its steps write tables to the shared folder.
     """
     scratch = Scratch(docs.sparkSession, "suffix_dedup")
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("t")).select(
@@ -426,9 +427,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = _kept_rows(_passing(long_texts, found).join(found, ["k1", "k2"]))
     zero = F.lit(0).cast("bigint")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    return (base.join(copies, ["k1", "k2"]).join(kept, ["k1", "k2"], "left")
-            .select(F.col("i").alias(id_col), "n_bytes",
-                    F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
-                    F.when(gone, zero + 1).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
-                    F.when(gone, F.lit(hashlib.sha256(b"").hexdigest()))
-                    .otherwise(F.coalesce("kept", "whole")).alias("kept_sha256")))
+    removed = (base.join(copies, ["k1", "k2"]).join(kept, ["k1", "k2"], "left")
+               .select(F.col("i").alias(id_col), "n_bytes",
+                       F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
+                       F.when(gone, zero + 1).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
+                       F.when(gone, F.lit(hashlib.sha256(b"").hexdigest()))
+                       .otherwise(F.coalesce("kept", "whole")).alias("kept_sha256")))
+    return removed.withColumns({"removed_share": F.when(F.col("n_bytes") > 0, F.col("n_removed") / F.col("n_bytes"))
+                                .otherwise(F.lit(0.0)), "repeated": F.col("n_removed") > 0})
