@@ -2,6 +2,7 @@
 
 from flowspark.operators.alerts import (epoch_micros, error_rate_spike, expiry_warning,
                                         older_than, period_counts, rate_spikes, threshold_alert)
+from flowspark.operators.generations import GenerationStore
 from flowspark.operators.prefix import running_totals
 from flowspark.operators.queue import expire, prioritize, queue_pressure
 from flowspark.operators.report import (classify, contains, counters, listing_text, lookup,
@@ -15,7 +16,7 @@ from flowspark.operators.sinks import (LEVELS, LogLayout, compact_store, latest,
 
 __all__ = [
     "epoch_micros", "error_rate_spike", "expiry_warning", "older_than", "period_counts", "rate_spikes", "threshold_alert",
-    "running_totals", "expire", "prioritize", "queue_pressure", "classify", "contains",
+    "GenerationStore", "running_totals", "expire", "prioritize", "queue_pressure", "classify", "contains",
     "counters", "listing_text", "lookup", "project_listing", "scan_listing", "status_positions",
     "status_summary", "tail", "transition", "RELATIONSHIP", "UNMATCHED", "drop_rel", "fan_in",
     "fan_out", "route", "route_update", "select_rel", "unmatched", "update", "update_attributes", "LEVELS", "LogLayout", "compact_store",

@@ -12,7 +12,7 @@ from flowspark.functions import (append, data_size_bytes, default_if_empty, equa
                                  header_attributes, is_https, is_missing, is_uuid, parse_data_size,
                                  parse_duration, preview, redact, trim_trailing_slash)
 from flowspark.functions.redact import drop_secret_keys
-from flowspark.operators import (classify, contains, drop_rel, error_rate_spike, expire,
+from flowspark.operators import (GenerationStore, classify, contains, drop_rel, error_rate_spike, expire,
                                  expiry_warning, fan_in, fan_out, latest, listing_text, log_lines,
                                  lookup, older_than, parse_log, prioritize, project_listing,
                                  queue_pressure, read_store, route, route_update, running_totals,
@@ -27,7 +27,7 @@ from flowspark.records import attr, to_records
 from flowspark.session import work_dir
 from flowspark.sources import generate_records, intake, read_log_blocks, read_requests
 from flowspark.streaming import (error_counts_stream, latest_depth, latest_snapshot,
-                                 queue_depth_stream, run_to_end, sliding_counts, start_file_sink,
+                                 queue_depth_stream, run_to_end, sliding_counts, start_batches, start_file_sink,
                                  start_snapshot_sink, store_stream, stream_table)
 from flowspark.sources.tables import table
 
@@ -843,6 +843,52 @@ def store_written(spark: SparkSession, root: str) -> DataFrame:
         "directory", "filename", "event_id", "created_at", "value")
 
 
+def _event_files(events: DataFrame) -> DataFrame:
+    """One stored file per event type and user."""
+    return events.select(
+        F.col("event_type").alias("directory"),
+        F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("filename"),
+        "event_id", F.col("ts").alias("created_at"), "value")
+
+
+def _three_deliveries(spark: SparkSession, root: str, name: str) -> GenerationStore:
+    """Events delivered by time of day, night, day and evening; the day's delivery comes twice and a merge follows it."""
+    ev = table(spark, root, "events")
+    held = GenerationStore(spark, work_dir(spark, name), "directory", "filename", ("created_at", "event_id"))
+    hour = F.hour("ts")
+    held.append(_event_files(ev.filter(hour < 8)), 0)
+    for _ in range(2):
+        held.append(_event_files(ev.filter((hour >= 8) & (hour < 16))), 1)
+    held.merge()
+    held.append(_event_files(ev.filter(hour >= 16)), 2)
+    return held
+
+
+@register("store_generations", sql=ORACLE["store_replace"])
+def store_generations(spark: SparkSession, root: str) -> DataFrame:
+    """The replace store over three deliveries, one of them repeated, and one merge:
+    the generation's rows with the last delivery resolved on top."""
+    return _three_deliveries(spark, root, "store_generations").read()
+
+
+@register("store_generation_directory", sql=f"SELECT * FROM ({ORACLE['store_replace']}) WHERE directory IN ('purchase', 'error')")
+def store_generation_directory(spark: SparkSession, root: str) -> DataFrame:
+    """Two directories of the merged store: their live folders alone are scanned."""
+    held = _three_deliveries(spark, root, "store_generation_directory")
+    held.merge()
+    return held.read(["purchase", "error"])
+
+
+@register("stream_store_generations", sql=ORACLE["store_replace"])
+def stream_store_generations(spark: SparkSession, root: str) -> DataFrame:
+    """The table's files stream into the generation store, merged after every micro-batch."""
+    base = work_dir(spark, "stream_store_generations")
+    held = GenerationStore(spark, f"{base}/store", "directory", "filename", ("created_at", "event_id"))
+    ev = _event_files(stream_table(spark, root, "events", max_files_per_trigger=1))
+    run_to_end(start_batches(ev, held.sink("events", merge_every=1), f"{base}/checkpoint", available_now=True))
+    return held.read()
+
+
 @register("request_landing_intake", sql=_PARAMS_CTE + """
 , en AS (
   SELECT page_id, url, html FROM pages

@@ -100,7 +100,14 @@ def store_stream(df: DataFrame, root: str, by: str, filename: str, checkpoint: s
         if after_batch is not None:  # e.g. metrics; runs before the batch commits
             after_batch(batch_id)
 
-    w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return start_batches(df, write, checkpoint, name, period, available_now)
+
+
+def start_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, name: str | None = None,
+                  period: str | None = None, available_now: bool = False, mode: str = "append") -> StreamingQuery:
+    """Start ``df`` with ``write(batch, batch_id)`` per micro-batch. A batch may be run again with its id
+    after a crash, so ``write`` must store it once however often it comes."""
+    w = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     if name:
         w = w.queryName(name)
     return with_trigger(w, period, available_now).start()
