@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from flowspark.functions.once import first_of_keys, once
+
 # Fixed value: attribute-name prefix of query parameters.
 QUERY_PARAM_PREFIX = "http.query.param."
 
@@ -46,17 +48,16 @@ def query_params(url: str | Column, prefix: str = QUERY_PARAM_PREFIX) -> Column:
     q = F.coalesce(url_query(url), F.lit(""))
     parts = F.filter(F.split(q, "&"), lambda p: p != "")
 
-    def entry(p: Column) -> Column:
+    def key(p: Column) -> Column:
+        name = F.substring_index(p, "=", 1)
+        return F.concat(F.lit(prefix), F.coalesce(F.try_url_decode(name), name))
+
+    def value(p: Column) -> Column:
         eq = F.instr(p, "=")
-        key = F.when(eq > 0, F.substring_index(p, "=", 1)).otherwise(p)
-        val = F.when(eq > 0, F.substr(p, eq + 1)).otherwise(F.lit(""))
-        return F.struct(F.concat(F.lit(prefix), F.coalesce(F.try_url_decode(key), key)).alias("key"),
-                        F.coalesce(F.try_url_decode(val), val).alias("value"))
-
-    entries = F.transform(parts, entry)
-    keys = F.transform(entries, lambda e: e["key"])
-    first = F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
-    return F.map_from_entries(first)
+        text = F.when(eq > 0, F.substr(p, eq + 1)).otherwise(F.lit(""))
+        return F.coalesce(F.try_url_decode(text), text)
+
+    return once(parts, lambda ps: first_of_keys(F.transform(ps, key), F.transform(ps, value)))
 
 
 def header_attributes(headers: str | Column, regex: str = ".*") -> Column:

@@ -40,30 +40,33 @@ def threshold_alert(df: DataFrame, key: str | None, ts: str, period: str, more_t
     """Rows whose trailing count in ``[ts - period, ts]`` (same key) exceeds ``more_than``.
 
     Equal to ``count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN period
-    PRECEDING AND CURRENT ROW) > more_than``, without putting a key in one task:
-    the count is ``C(<= ts) - C(< ts - period)``, with ``C`` the running count of
-    the key's rows in time order. Each row adds two probes (at ``ts - period``,
-    before equal-time rows, and at ``ts``, after its peers). The skew-safe
-    ``running_totals`` counts rows up to each probe, and the two probes of a
-    row meet again in a group of two. No group is larger than one slice.
+    PRECEDING AND CURRENT ROW) > more_than``, without putting a key in one task.
+    The count is the same for all rows of a key and time, so these are counted
+    first (a burst collapses before the shuffle). It is ``C(<= t) - C(< t -
+    period)``, with ``C`` the running count in time order: each (key, time) gives
+    its own count and one probe at ``t - period``, which comes before equal times;
+    the skew-safe ``running_totals`` answers both, and the rows take the counts
+    above the limit by an equi-join on key and time, which AQE splits where a
+    burst is hot. Rows without a time are each other's peers.
     """
     p_us = _ms(period) * 1000
-    keys = [key] if key else []
-    cols = df.columns
-    base = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__us", epoch_micros(df, ts))
-    kind = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("__kind")
-    x = base.select(*keys, "__id", "__us", F.struct(*cols).alias("__row"), kind)
-    x = x.select(
-        *keys, "__id", "__kind",
-        F.when(F.col("__kind") == 0, F.col("__us") - F.lit(p_us)).otherwise(F.col("__us")).alias("__t"),
-        F.when(F.col("__kind") == 2, F.col("__row")).alias("__row"),  # carry the row once
-        (F.col("__kind") == 1).cast("long").alias("__real"))
-    run = running_totals(x, keys, ["__t", "__kind", "__id"], {"__c": "__real"})
-    probes = run.filter(F.col("__kind") != 1)
-    per_row = probes.groupBy("__id").agg(
-        F.sum(F.when(F.col("__kind") == 2, F.col("__c")).otherwise(-F.col("__c"))).alias(count_name),
-        F.max_by(F.col("__row"), F.col("__kind")).alias("__row"))
-    return per_row.filter(F.col(count_name) > more_than).select("__row.*", count_name)
+    k = F.col(key) if key else F.lit(None).cast("int")
+    times = df.groupBy(k.alias("k"), epoch_micros(df, ts).alias("us")).agg(F.count(F.lit(1)).alias("n"))
+    probe = F.explode(F.array(F.lit(False), F.lit(True))).alias("own")
+    probes = times.select("k", "us", "n", probe).select(
+        "k", F.when(F.col("own"), F.col("us")).otherwise(F.col("us") - F.lit(p_us)).alias("at"), "own", "us",
+        F.when(F.col("own"), F.col("n")).otherwise(F.lit(0)).alias("n"))
+    run = running_totals(probes, ["k"] if key else [], ["at", "own"], {"c": "n"})
+    counts = (run.groupBy("k", "us").agg(F.sum(F.when(F.col("own"), F.col("c")).otherwise(-F.col("c"))).alias("n"))
+              .filter(F.col("n") > more_than))
+    names = {"k": "__k", "us": "__us", "n": "__n"}
+    while set(names.values()) & set(df.columns):
+        names = {c: f"{v}_" for c, v in names.items()}
+    counts = counts.withColumnsRenamed(names)
+    same = epoch_micros(df, ts).eqNullSafe(F.col(names["us"]))
+    if key:
+        same = same & F.col(key).eqNullSafe(F.col(names["k"]))
+    return df.join(counts, same).select(*df.columns, F.col(names["n"]).alias(count_name))
 
 
 def error_rate_spike(df: DataFrame, ts: str, is_error: Column, period: str = "1 hour",

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowspark.functions.once import first_of_keys
 from flowspark.records import ATTRIBUTES, CONTENT, CREATED_AT, RECORD_ID
 
 # Fixed value: level order.
@@ -95,10 +96,11 @@ def log_lines(df: DataFrame, level: str | Column = "info", payload: bool = False
                   for k, v in sorted(columns.items())]
         text = F.concat_ws("\n", *head, *blocks)
     else:
-        pairs = F.transform(F.array_sort(F.map_entries(F.col(attributes))), lambda e: F.concat(
-            F.lit(layout.key), escape_log(e["key"]), F.lit("'\n" + layout.value),
-            escape_log(F.coalesce(e["value"], F.lit(""))), F.lit("'")))
-        text = F.concat_ws("\n", *head, F.when(F.size(pairs) > 0, F.array_join(pairs, "\n")))
+        # a null value is a missing attribute here as well
+        pairs = F.transform(F.array_sort(F.map_entries(F.map_filter(F.col(attributes), lambda k, v: v.isNotNull()))),
+                            lambda e: F.concat(F.lit(layout.key), escape_log(e["key"]), F.lit("'\n" + layout.value),
+                                               escape_log(e["value"]), F.lit("'")))
+        text = F.concat_ws("\n", *head, pairs)
     if payload:
         text = F.concat(text, F.lit("\n" + layout.payload), escape_log(F.coalesce(F.col(content), F.lit(""))))
     out = df.select(F.col(record_id).alias(RECORD_ID), *keep, lv.alias("level"), text.alias("line"))
@@ -125,11 +127,8 @@ def parse_log(df: DataFrame, line: str = "line", layout: LogLayout = LAYOUT) ->
     pay = F.when(marker > 0, unescape_log(F.substr(text, marker + len(layout.payload) + 1)))
     # Java: (?d) makes only \n a line end
     pair_re = (f"(?dm)^{_quote(layout.key)}([^\n]*)'\n{_quote(layout.value)}([^\n]*)'$")
-    keys = F.regexp_extract_all(head, F.lit(pair_re), 1)
-    entries = F.zip_with(keys, F.regexp_extract_all(head, F.lit(pair_re), 2), lambda k, v: F.struct(
-        unescape_log(k).alias("key"), unescape_log(v).alias("value")))
-    attributes = F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(
-        F.transform(entries, lambda x: x["key"]), e["key"]) == i + 1))
+    attributes = first_of_keys(F.transform(F.regexp_extract_all(head, F.lit(pair_re), 1), unescape_log),
+                               F.transform(F.regexp_extract_all(head, F.lit(pair_re), 2), unescape_log))
     rid = unescape_log(F.regexp_extract(head, "^" + _quote(layout.head) + r"(?:\\\^)?([^\n]*)", 1)) \
         if layout.has_id else F.lit(None).cast("string")
     return df.select(rid.alias(RECORD_ID), attributes.alias(ATTRIBUTES), pay.alias(CONTENT))

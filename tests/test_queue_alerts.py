@@ -140,3 +140,55 @@ def test_error_rate_spike_null_time_is_its_own_period(spark):
     assert (out[None].n_events, out[None].n_errors, out[None].prior_events) == (2, 1, 0)
     assert out[T0 + dt.timedelta(hours=1)].prior_events == 1
 
+
+
+def test_running_totals_order_by_any_kind_of_column(spark):
+    rnd = random.Random(11)
+    rows = [(i, rnd.choice([None, "a", "ü", ""]), rnd.choice([True, False, None]), rnd.choice([None, 1.5, -2.0, float("inf")]),
+             dt.date(2024, 1, rnd.randint(1, 28)), T0 + dt.timedelta(seconds=rnd.randint(0, 9)), rnd.randint(-5, 5))
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, s string, b boolean, d double, day date, ts timestamp, __v long").withColumn(
+        "m", (F.col("id") % 7).cast("decimal(9,2)"))
+    order = ["s", "b", "d", "day", "ts", "m", "id"]
+    sql = "SELECT id, sum(`__v`) OVER (PARTITION BY b ORDER BY {} ROWS UNBOUNDED PRECEDING) AS t FROM rows_of_any_kind"
+    df.createOrReplaceTempView("rows_of_any_kind")
+    want = {r.id: r.t for r in spark.sql(sql.format(", ".join(order))).collect()}
+    for n in (1, 9, 150):  # 150 bounds are looked up in two steps
+        got = running_totals(df, ["b"], order, {"t": "__v"}, slices=n)
+        assert got.columns == [*df.columns, "t"]
+        assert {r.id: r.t for r in got.collect()} == want
+
+
+def test_running_totals_shuffle_rows_once_in_even_slices(spark):
+    from flowspark.operators import prefix
+    df = skewed_events(spark, n=20000)  # two thirds are one key's
+    out = running_totals(df, ["k"], ["ts", "id"], {"n": F.lit(1)}, slices=40)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and "Join" not in plan and "rangepartitioning" not in plan
+    places = [prefix.sortable(df, c) for c in ("k", "ts", "id")]
+    at = F.struct(*[c.alias(f"c{i}") for i, (c, _) in enumerate(places)])
+    bounds = prefix.slice_bounds(df.select(at.alias("at")), 40)
+    sizes = [r["count"] for r in df.groupBy(prefix.slice_of(at, [k for _, k in places], bounds).alias("s")).count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 3 * 20000 / 40
+
+
+def test_running_totals_of_no_rows(spark):
+    df = skewed_events(spark, n=10).limit(0)
+    assert running_totals(df, ["k"], ["ts", "id"], {"n": F.lit(1)}).collect() == []
+
+
+def test_threshold_alert_leaves_columns_of_any_name_alone(spark):
+    df = skewed_events(spark, n=600).selectExpr("*", "5 AS __id", "6 AS __us", "7 AS __n", "8 AS __k", "9 AS n", "k AS us")
+    got = threshold_alert(df, "k", "ts", "10 minutes", 8)
+    assert got.columns == [*df.columns, "n_recent"]
+    rows = got.collect()
+    assert {(r["__id"], r["__us"], r["__n"], r["__k"], r.n) for r in rows} == {(5, 6, 7, 8, 9)}
+    assert {r.id: r.n_recent for r in rows} == brute_threshold(df.toPandas(), 600, 8)
+
+
+def test_threshold_alert_bursts_repeats_and_missing_times(spark):
+    rows = [(1, "a", T0)] * 50 + [(2, "a", T0 + dt.timedelta(seconds=60))] * 3 + [(3, None, T0), (4, "b", None), (5, "b", None)]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz")
+    got = threshold_alert(df, "k", "ts", "1 minute", 1).groupBy("id").agg(
+        F.count("*").alias("rows"), F.max("n_recent").alias("n")).collect()
+    assert {(r.id, r.rows, r.n) for r in got} == {(1, 50, 50), (2, 3, 53), (4, 1, 2), (5, 1, 2)}

@@ -146,3 +146,26 @@ def test_store_keeps_folder_names_as_written(spark):
     assert {r.category for r in got.collect()} == {"01", "1", "007"}
     compacted = compact_store(spark, root, root + "_compact", "category", "filename")
     assert {r.category for r in compacted.collect()} == {"01", "1", "007"}
+
+
+def test_null_attribute_values_are_absent_on_both_log_paths(spark):
+    df = spark.createDataFrame([("1", "a", None), ("2", None, None)], "record_id string, t string, u string")
+    mapped = df.withColumn("attributes", F.create_map(F.lit("t"), F.col("t"), F.lit("u"), F.col("u")))
+    typed = log_lines(df, columns={"t": F.col("t"), "u": F.col("u")})
+    assert sorted(log_lines(mapped).collect()) == sorted(typed.collect())
+    assert {r.record_id: r.attributes for r in parse_log(log_lines(mapped)).collect()} == {"1": {"t": "a"}, "2": {}}
+
+
+def test_parse_log_extracts_pairs_twice_at_most_and_is_linear(spark):
+    import time
+    took = []
+    for n in (500, 5000):
+        df = recs(spark, [("1", T0, {f"key{k}": f"value {k}\\ \n" for k in range(n)}, "p")])
+        out = parse_log(log_lines(df, payload=True))
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") <= 2
+        out.collect()
+        began = time.time()
+        assert len(out.first().attributes) == n
+        took.append(time.time() - began)
+    assert took[1] < 40 * took[0] + 1  # ten times the keys; quadratic would be a hundred times
