@@ -49,23 +49,26 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.length(F.translate(marks, " \t\n\x0b\x0c\r", "")), F.lit(0)).cast("bigint")
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: str = SHARE, cap: str = CAP) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: str = SHARE, cap: str = CAP,
+                   scratch: Scratch | None = None) -> DataFrame:
     """(source, source_size, target) of the columns (source, source_size), one row a source.
 
-    Eager (running totals write a table). Whole numbers of up to 38 digits
-    decide who is capped; a target is rounded once.
+    Eager (each order's running totals are written). Whole numbers of up to 38
+    digits decide who is capped; a target is rounded once.
     """
+    scratch = scratch or Scratch(sizes.sparkSession, "source_targets")
     share, cap = Fraction(share), Fraction(cap)
     scale = math.lcm(share.denominator, cap.denominator)
     share_n, cap_n = int(share * scale), int(cap * scale)
     common = math.lcm(*weights)
-    ranked = running_totals(sizes.withColumn("last", F.col("source").isNull().cast("int")), [], ["last", "source"],
-                            {"place": F.lit(1).cast("bigint")})
+    ranked = scratch.save(running_totals(sizes.withColumn("last", F.col("source").isNull().cast("int")), [],
+                                         ["last", "source"], {"place": F.lit(1).cast("bigint")}), "ranked")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]),
                           ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("bigint")
     weighed = ranked.withColumn("weight", weight).withColumn(
         "ratio", F.col("source_size").cast("decimal(28,0)") * (F.lit(common) / F.col("weight")).cast("bigint"))
-    ordered = running_totals(weighed, [], ["ratio", "place"], {"size_upto": "source_size", "weight_upto": "weight"})
+    ordered = scratch.save(running_totals(weighed, [], ["ratio", "place"],
+                                          {"size_upto": "source_size", "weight_upto": "weight"}), "ordered")
     every = ordered.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("s"),
                         F.coalesce(F.sum("weight"), F.lit(0)).alias("w")).first()
     whole = lambda c: c.cast("decimal(38,0)")
@@ -105,7 +108,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     of = "of"
     while of in docs.columns:
         of += "_"
-    targets = scratch.save(source_targets(sizes, weights, share, cap).withColumnRenamed("source", of), "targets")
+    targets = scratch.save(source_targets(sizes, weights, share, cap, scratch).withColumnRenamed("source", of), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = (F.floor(rate) + (draw(id_col, text_col) < rate - F.floor(rate)).cast("bigint")).alias("copies")
     placed = (docs.withColumn("size", n_words(F.col(text_col)))
