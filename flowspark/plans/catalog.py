@@ -26,9 +26,10 @@ from flowspark.plans.presets import route_and_store_flow, route_and_update, samp
 from flowspark.records import attr, to_records
 from flowspark.session import work_dir
 from flowspark.sources import generate_records, intake, read_log_blocks, read_requests
-from flowspark.streaming import (error_counts_stream, latest_depth, latest_snapshot,
+from flowspark.streaming import (beat, error_counts_stream, error_spike_stream, latest_depth, latest_snapshot,
                                  queue_depth_stream, run_to_end, sliding_counts, start_batches, start_file_sink,
-                                 start_snapshot_sink, store_stream, stream_table)
+                                 start_snapshot_sink, store_stream, stream_table, trailing_counts)
+from flowspark.streaming.shared import start_shared, store_of
 from flowspark.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -1098,6 +1099,44 @@ ROUTE_AND_STORE_SPEC = {
 }
 
 
+def _log_and_store_flow(source: DataFrame, store_path: str) -> Flow:
+    """One route with two ends: a log of the routed records, and the replace store of the updated ones."""
+    flow = route_and_store_flow(source, _flagship_rules(), filename=F.col("event_id").cast("string"), now=F.col("ts"),
+                                store_path=store_path, order=("ts", "event_id"))
+    flow.add("ids", "update", assignments={"record_id": F.col("event_id").cast("string")})
+    flow.add("log", "log", level="info", columns={"event_type": F.col("event_type"), "user_id": F.col("user_id")})
+    return flow.connect("route", "ids", ["large", "small"]).connect("ids", "log")
+
+
+def _shared_run(spark: SparkSession, root: str, name: str) -> tuple[Flow, str]:
+    """The flow above as one streaming query over the events: each micro-batch is read once for both ends."""
+    base = work_dir(spark, name)
+    flow = _log_and_store_flow(stream_table(spark, root, "events", max_files_per_trigger=1), f"{base}/store")
+    run_to_end(start_shared(flow, spark, f"{base}/staging", f"{base}/checkpoint",
+                            {"log": {"path": f"{base}/log", "format": "parquet"}}, merge_every=1, available_now=True))
+    return flow, base
+
+
+@register("flow_shared_store", sql=ORACLE["route_and_store"])
+def flow_shared_store(spark: SparkSession, root: str) -> DataFrame:
+    """Log and store behind one route, run as one query; the store."""
+    flow, _ = _shared_run(spark, root, "flow_shared_store")
+    return _flagship_columns(store_of(spark, flow, "store").read())
+
+
+@register("flow_shared_log", sql="""
+SELECT CAST(event_id AS VARCHAR) AS record_id, 'info' AS level,
+       'Logging record ' || event_id || chr(10) || 'Record attributes' || chr(10) || 'Key: ''event_type''' || chr(10)
+         || '  Value: ''' || event_type || '''' || chr(10) || 'Key: ''user_id''' || chr(10)
+         || '  Value: ''' || user_id || '''' AS line
+FROM events WHERE event_type IN ('purchase', 'click')
+""")
+def flow_shared_log(spark: SparkSession, root: str) -> DataFrame:
+    """Log and store behind one route, run as one query; the log."""
+    _, base = _shared_run(spark, root, "flow_shared_log")
+    return spark.read.parquet(f"{base}/log").select("record_id", "level", "line")
+
+
 @register("flow_from_spec", sql=ORACLE["route_and_store"])
 def flow_from_spec(spark: SparkSession, root: str) -> DataFrame:
     """The route-and-store flow declared as data (stages, properties as Spark SQL
@@ -1165,6 +1204,30 @@ def stream_error_periods(spark: SparkSession, root: str) -> DataFrame:
     return _last_rows(spark, "stream_error_periods", periods, "period_start", "period_end")
 
 
+@register("stream_threshold_exact", sql=ORACLE["alert_threshold"])
+def stream_threshold_exact(spark: SparkSession, root: str) -> DataFrame:
+    """The trailing count of every event from keyed state; the last count of each event is read back."""
+    ev = stream_table(spark, root, "events").select("event_id", "event_type", "ts")
+    counts = trailing_counts(ev, "event_type", "ts", "event_id", "30 minutes", "10 minutes")
+    last = _last_rows(spark, "stream_threshold_exact", counts, "event_id")
+    return last.filter("n_recent > 2").select("event_id", "event_type", "ts", "n_recent")
+
+
+@register("stream_error_spike", sql=ORACLE["error_rate_spike"])
+def stream_error_spike(spark: SparkSession, root: str) -> DataFrame:
+    """Hourly error rates against the 3 hours before, all in one streaming query; a
+    heartbeat after the last event closes its hour."""
+    base = work_dir(spark, "stream_error_spike")
+    beat(spark, f"{base}/beats")
+    ev = stream_table(spark, root, "events").select("ts", "event_type")
+    spikes = error_spike_stream(ev, "ts", F.col("event_type") == "error", "1 hour", 3, 0.05, "30 minutes", f"{base}/beats")
+    for at in (None, "2999-01-01 00:00:00"):
+        if at:
+            beat(spark, f"{base}/beats", at)
+        run_to_end(start_file_sink(spikes, f"{base}/out", f"{base}/checkpoint", available_now=True))
+    return spark.read.schema(spikes.schema).parquet(f"{base}/out")
+
+
 @register("route_branch_updates", sql="""
 SELECT event_id, 'large' AS relationship, 'large' AS category, 'L' AS tag, value FROM events
 WHERE event_type = 'purchase'

@@ -225,11 +225,12 @@ class Flow:
             merged[end] = into[0].source, rules, updates
         return fused, merged
 
-    def run(self, spark: SparkSession) -> dict[str, DataFrame]:
+    def run(self, spark: SparkSession, staging: str | None = None) -> dict[str, DataFrame]:
         """Run every terminal stage as a batch: store stages write and return
-        their rejects (the failure relationship), others return their frame."""
+        their rejects (the failure relationship), others return their frame.
+        ``staging``: see ``plan``."""
         out = {}
-        for name, df in self.plan(spark).items():
+        for name, df in self.plan(spark, staging).items():
             st = self.stages[name]
             if st.type == "store":
                 df = store(df, st.props["path"], st.props.get("by", "category"),
@@ -238,8 +239,15 @@ class Flow:
             out[name] = df
         return out
 
-    def plan(self, spark: SparkSession) -> dict[str, DataFrame]:
-        """Lazy DataFrame per terminal stage (no outgoing edge)."""
+    def plan(self, spark: SparkSession, staging: str | None = None) -> dict[str, DataFrame]:
+        """Lazy DataFrame per terminal stage (no outgoing edge).
+
+        Branches that end in different stages read their common source once each.
+        With a ``staging`` folder (shared, one per run) the rows of a stage with
+        several successors are written there once, a folder per relationship, and
+        every branch reads its own folders: the source is read a single time,
+        whatever the number of sinks.
+        """
         self.validate()
         outputs: dict[str, DataFrame] = {}
         fused, merged = self._single_pass()
@@ -269,11 +277,21 @@ class Flow:
                 df = kind.fn(fan_in(*ins), **props)
             if st.auto_terminate and RELATIONSHIP in df.columns:
                 df = df.filter(~F.col(RELATIONSHIP).isin(list(st.auto_terminate)))
+            after = {e.destination for e in self.edges if e.source == name} - fused
+            if staging and len(after) > 1:
+                df = _staged(df, f"{staging.rstrip('/')}/{name}")
             outputs[name] = df
         terminal = {n for n in self.stages if not any(e.source == n for e in self.edges)}
         return {n: outputs[n] for n in self.order() if n in terminal}
 
 
+def _staged(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` (again, if a run is repeated) and read from there, a folder per relationship."""
+    w = df.write.mode("overwrite")
+    (w.partitionBy(RELATIONSHIP) if RELATIONSHIP in df.columns else w).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 # ---------------------------------------------------------------- built-in stage types
 @stage_type("table", source=True)
 def _table_stage(spark: SparkSession, frame: DataFrame) -> DataFrame:

@@ -87,6 +87,19 @@ class FlowRunner:
         return rows
 
 
+def shared_runner(spark: SparkSession, flow, staging: str, sinks: dict[str, dict] | None = None, period: str | None = None,
+                  available_now: bool = False, checkpoint_root: str | None = None,
+                  merge_every: int | None = None) -> FlowRunner:
+    """Runner with one query, ``all``, for every sink of the flow (``streaming.shared.start_shared``)."""
+    from flowspark.session import stable_dir
+    from flowspark.streaming.shared import start_shared
+
+    cp = (f"{checkpoint_root.rstrip('/')}/{flow.name}/all" if checkpoint_root
+          else stable_dir(spark, "checkpoints", flow.name, "all"))
+    return FlowRunner(spark, flow.name).register("all", lambda qname: start_shared(
+        flow, spark, staging, cp, sinks, merge_every, qname, period, available_now))
+
+
 def flow_runner(spark: SparkSession, flow, sinks: dict[str, dict] | None = None, period: str | None = None,
                 available_now: bool = False, checkpoint_root: str | None = None) -> FlowRunner:
     """Runner for a flow whose sources are streams: one query per terminal stage,
