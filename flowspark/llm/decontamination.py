@@ -220,9 +220,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     postings(docs, key_filter(anchors, "term"), id_col, text_col).write.parquet(index_at)
     index = spark.read.parquet(index_at)
 
-    places = (phrase_candidates(index, anchors).join(items.select("row", "item", "words"), "row")
+    # an item's words go to a document once, however often the document repeats it
+    places = (phrase_candidates(index, anchors).groupBy("i", "h", "row").agg(F.collect_list("diff").alias("diffs"))
+              .join(items.select("row", "item", "words"), "row")
               .groupBy(F.col("i").alias("pi"), F.col("h").alias("ph"))
-              .agg(F.collect_list(F.struct(F.col("item").cast("string").alias("item"), "words", "diff"))
+              .agg(F.collect_list(F.struct(F.col("item").cast("string").alias("item"), "words", "diffs"))
                    .alias("places")))
     texts = _keyed(docs, id_col, text_col)
     placed = texts.join(places, texts.i.eqNullSafe(places.pi) & (texts.h == places.ph))
@@ -236,7 +238,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     words = words_of(text)
                     hit, found = np.zeros(len(words), bool), set()
                     for p in places:
-                        for s, e in _hits(words, [w.encode() for w in p["words"]], p["diff"], window):
+                        item = [w.encode() for w in p["words"]]
+                        for s, e in (x for diff in p["diffs"] for x in _hits(words, item, diff, window)):
                             hit[s:e] = True
                             found.add(p["item"])
                     out.append((int(hit.sum()), len(found),

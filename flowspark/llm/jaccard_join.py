@@ -171,19 +171,19 @@ WORDS = [f"s{k}" for k in range(SKETCH)]
 
 
 def _document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(i, n, node) of every document."""
+    """(i, h, n, node) of every document; h is the hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, offsets, data in slices(batch, "t"):
                 features, bounds = shingle_sets(data, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("i"), pa.array(np.diff(bounds)), pa.array(set_keys(features, bounds).view(np.int64))],
-                    ["i", "n", "node"])
+                    [rows.column("i"), rows.column("h"), pa.array(np.diff(bounds)),
+                     pa.array(set_keys(features, bounds).view(np.int64))], ["i", "h", "n", "node"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")), run,
-                     f"i {kind}, n bigint, node bigint")
+    return map_arrow(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")), run,
+                     f"i {kind}, h bigint, n bigint, node bigint")
 
 
 def _signature_rows(docs: DataFrame, text_col: str) -> DataFrame:
@@ -256,6 +256,12 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document. Eager: its rounds write tables to the shared folder."""
+    return document_components(docs, id_col, text_col).select(id_col, "n_shingles", "component_id")
+
+
+def document_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``similarity_components`` with ``text_hash`` (Spark's xxhash64 of the text) and ``component``, a key that
+    rows with null ids have as well; it is null for empty sets, which are linked with nothing."""
     scratch = Scratch(docs.sparkSession, "jaccard_join")
     members = scratch.save(_document_sets(docs, id_col, text_col), "members")
     rows = scratch.save(_signature_rows(docs, text_col), "signatures")
@@ -310,7 +316,8 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         rows = scratch.save(rows, "rest")
 
     named = (members.filter("n > 0").join(labels, "node", "left")
-             .select("i", "n", F.coalesce("label", "node").alias("label")))
+             .select("i", "h", "n", F.coalesce("label", "node").alias("label")))
     names = scratch.save(named.groupBy("label").agg(F.min("i").alias("component_id")), "names")
-    return (named.join(names, "label").select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-            .union(members.filter("n = 0").select("i", "n", F.col("i").alias("component_id"))))
+    found = named.join(names, "label").select("i", "n", "component_id", "h", "label")
+    alone = members.filter("n = 0").select("i", "n", F.col("i").alias("component_id"), "h", F.lit(None).cast("bigint").alias("label"))
+    return found.union(alone).toDF(id_col, "n_shingles", "component_id", "text_hash", "component")

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspark.llm.tables import Scratch, key_filter, unpack
+from flowspark.llm.textbytes import slices
 from flowspark.llm.workers import map_arrow
 
 DEPTH = 3
@@ -69,8 +70,7 @@ def _line_rows(keyed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                rows = batch.slice(at, 512)
+            for rows, _, _ in slices(batch, "t"):
                 owner, line, leaf, tpl = [], [], [], []
                 for r, (text, digits) in enumerate(_texts(rows)):
                     for k, x in enumerate(text.split("\n")):
@@ -96,21 +96,24 @@ def _token_rows(keyed: DataFrame, leaves: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = unpack(sent.value)
         for batch in batches:
-            seen: dict[int, tuple[int, list[int]]] = {}
-            for text, digits in _texts(batch):
-                for x in text.split("\n"):
-                    parsed = parse_line(x, digits)
-                    if not parsed:
-                        continue
-                    leaf = _hash(parsed[1])
-                    if not bits[leaf & (len(bits) - 1)]:
-                        continue
-                    tpl = _hash(parsed[2])
-                    if tpl not in seen:
-                        seen[tpl] = leaf, [_hash(f"{leaf} {k} {w}") for k, w in enumerate(parsed[0])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v[0] for v in seen.values()], pa.int64()), pa.array(list(seen), pa.int64()),
-                 pa.array([v[1] for v in seen.values()], pa.list_(pa.int64()))], ["leaf", "tpl", "places"])
+            told: set[int] = set()
+            for rows, _, _ in slices(batch, "t"):
+                seen: dict[int, tuple[int, list[int]]] = {}
+                for text, digits in _texts(rows):
+                    for x in text.split("\n"):
+                        parsed = parse_line(x, digits)
+                        if not parsed:
+                            continue
+                        leaf = _hash(parsed[1])
+                        if not bits[leaf & (len(bits) - 1)]:
+                            continue
+                        tpl = _hash(parsed[2])
+                        if tpl not in told:
+                            told.add(tpl)
+                            seen[tpl] = leaf, [_hash(f"{leaf} {k} {w}") for k, w in enumerate(parsed[0])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v[0] for v in seen.values()], pa.int64()), pa.array(list(seen), pa.int64()),
+                     pa.array([v[1] for v in seen.values()], pa.list_(pa.int64()))], ["leaf", "tpl", "places"])
 
     found = map_arrow(keyed.select("t"), run, "leaf bigint, tpl bigint, places array<bigint>")
     return found.join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["tpl"])
@@ -159,15 +162,19 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept_here = F.col("i").eqNullSafe(F.col("first"))
     dropped = (lines.join(recurring, "template").filter(~kept_here)
                .groupBy("d").agg(F.collect_set("line").alias("lines")))
-    drops = scratch.save(dropped.select(F.col("d").alias("__d"), F.col("lines").alias("__lines")), "dropped")
+    p = "__"  # helper columns get a prefix that no column of the documents has
+    while any(c.startswith(p) for c in docs.columns):
+        p += "_"
+    drops = scratch.save(dropped.select(F.col("d").alias(f"{p}d"), F.col("lines").alias(f"{p}lines")), "dropped")
     # The same sort-merge join at every size: texts move once, as they would on a large table.
-    joined = (docs.withColumn("__k", F.xxhash64(id_col, text_col))
-              .join(drops.hint("merge"), F.col("__k") == F.col("__d"), "left"))
+    joined = (docs.withColumn(f"{p}k", F.xxhash64(id_col, text_col))
+              .join(drops.hint("merge"), F.col(f"{p}k") == F.col(f"{p}d"), "left"))
+    gone = F.col(f"{p}lines")
     split = F.split(F.col(text_col), "\n", -1)
     left = F.transform(F.array(split), lambda x: F.array_join(F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__lines")), lambda k: F.get(x, k)), "\n"))
-    text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.get(left, F.lit(0)))
+        F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda k: F.get(x, k)), "\n"))
+    text = F.when(gone.isNull(), F.col(text_col)).otherwise(F.get(left, F.lit(0)))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in names],
                          F.coalesce(F.size(split), F.lit(0)).cast("bigint").alias("n_lines"),
-                         F.coalesce(F.size("__lines"), F.lit(0)).cast("bigint").alias("n_dropped"))
+                         F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias("n_dropped"))

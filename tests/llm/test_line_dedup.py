@@ -84,3 +84,15 @@ def test_other_columns_stay(spark):
     got = {r.doc_id: (r.text, r.line) for r in out.collect()}
     assert got == {i: ("value 0\nsame line here" if i == 0 else "", i) for i in range(6)}
     assert L.drop_recurring_lines(df.limit(0)).collect() == []
+
+
+def test_columns_of_any_name_are_returned_as_they_are(spark):
+    names = ["__d", "__lines", "__k", "__", "d", "i", "t", "line", "leaf", "tpl", "template", "first"]
+    rows = [(k, f"page {k} of the annual report\nown words {k} alpha{k}\nshared footer line") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = L.drop_recurring_lines(df.selectExpr("*", *[f"'{c}' AS `{c}`" for c in names]))
+    plain = L.drop_recurring_lines(df)
+    assert odd.columns == ["doc_id", "text", *names, "n_lines", "n_dropped"]
+    got = odd.collect()
+    assert all(r[c] == c for r in got for c in names)
+    assert sorted((r.doc_id, r.text, r.n_dropped) for r in got) == sorted((r.doc_id, r.text, r.n_dropped) for r in plain.collect())
