@@ -168,6 +168,7 @@ def quality_rules(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     ``carry`` names further columns of ``docs`` to return as they are.
     """
     carry = carry or []
+    sent = {c: "t" if c == text_col else f"c{k}" for k, c in enumerate(carry)}  # the text goes to Python once
     with open(ranks_path, "rb") as f:  # a public vocabulary of fixed size, sent once to each executor
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
     table = [[tuple(bands.get(s, bands[""]))] for s in SCRIPTS]
@@ -212,11 +213,11 @@ def quality_rules(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         for batch in batches:
             for rows, offsets, data in slices(batch, "t"):
                 out = [pa.array(x) for x in figures(rows, offsets, data, vocabulary)]
-                yield pa.RecordBatch.from_arrays([rows.column("i"), *(rows.column(f"c{k}") for k in range(len(carry))),
-                                                  *out], [id_col, *carry, *names])
+                yield pa.RecordBatch.from_arrays([rows.column("i"), *(rows.column(c) for c in sent.values()), *out],
+                                                 [id_col, *carry, *names])
 
     lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
     schema = [(c, docs.schema[c].dataType.simpleString()) for c in [id_col, *carry]] + list(zip(names, kinds))
     return map_arrow(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), lang.alias("l"),
-                       *[F.col(c).alias(f"c{k}") for k, c in enumerate(carry)]),
+                       *[F.col(c).alias(x) for c, x in sent.items() if x != "t"]),
                      run, ", ".join(f"`{a}` {b}" for a, b in schema))
