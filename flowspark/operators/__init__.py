@@ -11,6 +11,7 @@ from flowspark.operators.report import (classify, contains, counters, listing_te
 from flowspark.operators.route import (RELATIONSHIP, UNMATCHED, drop_rel, fan_in, fan_out,
                                        route, route_update, select_rel, unmatched, update,
                                        update_attributes)
+from flowspark.operators.rule_table import condition_counts, route_by_table, rule_index, unmatched_by_table
 from flowspark.operators.sinks import (LEVELS, LogLayout, compact_store, latest, level_rank, log_lines, parse_log,
                                        read_store, store, write_log)
 
@@ -19,6 +20,7 @@ __all__ = [
     "GenerationStore", "running_totals", "expire", "prioritize", "queue_pressure", "classify", "contains",
     "counters", "listing_text", "lookup", "project_listing", "scan_listing", "status_positions",
     "status_summary", "tail", "transition", "RELATIONSHIP", "UNMATCHED", "drop_rel", "fan_in",
-    "fan_out", "route", "route_update", "select_rel", "unmatched", "update", "update_attributes", "LEVELS", "LogLayout", "compact_store",
+    "fan_out", "route", "route_update", "select_rel", "unmatched", "update", "update_attributes",
+    "condition_counts", "route_by_table", "rule_index", "unmatched_by_table", "LEVELS", "LogLayout", "compact_store",
     "latest", "level_rank", "log_lines", "parse_log", "read_store", "store", "write_log",
 ]

@@ -12,20 +12,20 @@ from flowspark.functions import (append, data_size_bytes, default_if_empty, equa
                                  header_attributes, is_https, is_missing, is_uuid, parse_data_size,
                                  parse_duration, preview, redact, trim_trailing_slash)
 from flowspark.functions.redact import drop_secret_keys
-from flowspark.operators import (GenerationStore, classify, contains, drop_rel, error_rate_spike, expire,
+from flowspark.operators import (GenerationStore, classify, condition_counts, contains, drop_rel, error_rate_spike, expire,
                                  expiry_warning, fan_in, fan_out, latest, listing_text, log_lines,
                                  lookup, older_than, parse_log, prioritize, project_listing,
-                                 queue_pressure, read_store, route, route_update, running_totals,
+                                 queue_pressure, read_store, route, route_by_table, route_update, rule_index, running_totals,
                                  scan_listing,
                                  select_rel, status_positions, status_summary, store, tail,
-                                 threshold_alert, transition, unmatched, update,
+                                 threshold_alert, transition, unmatched, unmatched_by_table, update,
                                  update_attributes, write_log)
 from flowspark.operators.report import ITEM_SCHEMA
 from flowspark.plans.flow import Flow
 from flowspark.plans.presets import route_and_store_flow, route_and_update, sample_flow
 from flowspark.records import attr, to_records
 from flowspark.session import work_dir
-from flowspark.sources import generate_records, intake, read_log_blocks, read_requests
+from flowspark.sources import generate_records, intake, intake_once, read_log_blocks, read_requests
 from flowspark.streaming import (beat, error_counts_stream, error_spike_stream, latest_depth, latest_snapshot,
                                  queue_depth_stream, run_to_end, sliding_counts, start_batches, start_file_sink,
                                  start_snapshot_sink, store_stream, stream_table, trailing_counts)
@@ -920,17 +920,20 @@ def request_landing_intake(spark: SparkSession, root: str) -> DataFrame:
                          "size")
 
 
-def _land_requests(spark: SparkSession, root: str, name: str) -> str:
-    """Pages as captured POST requests in a landing folder of JSON lines."""
-    landing = work_dir(spark, name)
-    pages = table(spark, root, "pages")
+def _landed_pages(spark: SparkSession, root: str) -> DataFrame:
+    """Pages as captured POST requests."""
     headers = F.create_map(F.lit("Content-Type"), F.lit("text/html"),
                            F.lit("X-Page-Id"), F.col("page_id").cast("string"),
                            F.lit("X-Lang"), F.regexp_extract("url", "^[a-z]+://[^/]*/([a-z]{2})(/|$)", 1))
-    pages.select(F.lit("POST").alias("method"), "url", headers.alias("headers"),
-                 F.col("html").alias("body"),
-                 F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")).alias("received_at")
-                 ).write.json(landing)
+    return table(spark, root, "pages").select(
+        F.lit("POST").alias("method"), "url", headers.alias("headers"), F.col("html").alias("body"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")).alias("received_at"))
+
+
+def _land_requests(spark: SparkSession, root: str, name: str) -> str:
+    """The requests in a landing folder of JSON lines."""
+    landing = work_dir(spark, name)
+    _landed_pages(spark, root).write.json(landing)
     return landing
 
 
@@ -1245,3 +1248,86 @@ def route_branch_updates(spark: SparkSession, root: str) -> DataFrame:
                                    "small": {"category": "small"},
                                    "big": {"category": "big", "value": F.col("value") * 2}})
     return out.select("event_id", "relationship", "category", "tag", "value")
+
+
+_RULES_SQL = """
+WITH r AS (
+  SELECT 'brand:' || p_brand AS rule, p_brand AS b, NULL AS t, NULL AS s FROM part GROUP BY p_brand HAVING min(p_size) = 1
+  UNION ALL
+  SELECT 'brand_type:' || p_brand || ':' || p_type, p_brand, p_type, NULL FROM part
+  GROUP BY p_brand, p_type HAVING max(p_size) >= 45
+  UNION ALL
+  SELECT 'brand_size:' || p_brand || ':' || CAST(p_size AS VARCHAR), p_brand, NULL, p_size FROM part
+  GROUP BY p_brand, p_size HAVING count(*) >= 2
+), hit AS (
+  SELECT p_partkey, rule FROM part JOIN r
+    ON p_brand = b AND (t IS NULL OR p_type = t) AND (s IS NULL OR p_size = s)
+)
+"""
+
+
+def _part_records(part: DataFrame) -> DataFrame:
+    return to_records(part, "p_partkey", F.lit(None).cast("timestamp"),
+                      attributes={"brand": "p_brand", "type": "p_type", "size": "p_size"}, keep=["p_partkey"])
+
+
+def _part_rules(spark: SparkSession, root: str) -> DataFrame:
+    """(rule, attribute, value): a rule per brand, brand and type, brand and size, as the parts have them."""
+    part = table(spark, root, "part")
+    kinds = [("brand", {"brand": "p_brand"}, F.min("p_size") == 1),
+             ("brand_type", {"brand": "p_brand", "type": "p_type"}, F.max("p_size") >= 45),
+             ("brand_size", {"brand": "p_brand", "size": "p_size"}, F.count(F.lit(1)) >= 2)]
+    out = []
+    for kind, columns, holds in kinds:
+        rule = F.concat_ws(":", F.lit(kind), *[F.col(c).cast("string") for c in columns.values()])
+        conditions = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(c).cast("string").alias("value"))
+                               for a, c in columns.items()])
+        found = part.groupBy(*columns.values()).agg(holds.alias("holds")).filter("holds")
+        out.append(found.select(rule.alias("rule"), F.inline(conditions)))
+    return fan_in(*out)
+
+
+def _part_rule_index(spark: SparkSession, root: str, name: str, counted: bool) -> DataFrame:
+    base = work_dir(spark, name)
+    _part_rules(spark, root).write.parquet(f"{base}/rules")
+    rules = spark.read.parquet(f"{base}/rules")
+    counts = condition_counts(_part_records(table(spark, root, "part")), rules) if counted else None
+    rule_index(rules, counts).write.parquet(f"{base}/index")
+    return spark.read.parquet(f"{base}/index")
+
+
+@register("route_rule_table", sql=_RULES_SQL + """
+SELECT p_partkey, rule AS relationship FROM hit
+UNION ALL SELECT p_partkey, 'unmatched' FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM hit)
+""")
+def route_rule_table(spark: SparkSession, root: str) -> DataFrame:
+    """Parts routed by a table of rules made from them (hundreds at sf0.01), each rule
+    filed under the condition that the fewest parts meet, and the parts that no rule takes."""
+    index = _part_rule_index(spark, root, "route_rule_table", counted=True)
+    parts = _part_records(table(spark, root, "part"))
+    routed = route_by_table(parts, index)
+    return fan_in(routed, unmatched_by_table(parts, routed, ["p_partkey"])).select("p_partkey", "relationship")
+
+
+@register("stream_route_rule_table", sql=_RULES_SQL + "SELECT p_partkey, rule AS relationship FROM hit")
+def stream_route_rule_table(spark: SparkSession, root: str) -> DataFrame:
+    """The same rules over a stream of parts: the index is a static table, no state is kept."""
+    index = _part_rule_index(spark, root, "stream_route_rule_index", counted=False)
+    routed = route_by_table(_part_records(stream_table(spark, root, "part")), index).select("p_partkey", "relationship")
+    return spark.read.schema(routed.schema).parquet(_drain(spark, "stream_route_rule_table", routed))
+
+
+@register("stream_intake_once", sql="""
+SELECT CAST(page_id AS VARCHAR) AS record_id, CAST(strlen(html) AS BIGINT) AS size FROM pages
+""")
+def stream_intake_once(spark: SparkSession, root: str) -> DataFrame:
+    """All pages are delivered twice to one landing folder, the second time after the
+    stream took the first; each request is taken once."""
+    base, landing = work_dir(spark, "stream_intake_once"), work_dir(spark, "stream_intake_landing")
+    for _ in range(2):
+        _landed_pages(spark, root).write.mode("append").json(landing)
+        taken = intake(read_requests(spark, landing, stream=True), base_path="/", header_regex="X-.*",
+                       record_id=F.col("headers")["X-Page-Id"])
+        once = intake_once(taken, "1 day").select("record_id", "size")
+        run_to_end(start_file_sink(once, f"{base}/out", f"{base}/checkpoint", available_now=True))
+    return spark.read.schema(once.schema).parquet(f"{base}/out")

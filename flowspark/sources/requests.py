@@ -64,3 +64,23 @@ def intake(df: DataFrame, base_path: str, header_regex: str = ".*", url: str = "
     return df.filter(keep).select(
         rid.alias(RECORD_ID), F.col(received_at).alias(CREATED_AT), attrs.alias(ATTRIBUTES),
         F.col(body).alias(CONTENT)).withColumn(SIZE, content_size(CONTENT))
+
+
+def intake_once(df: DataFrame, delay: str, received_at: str = CREATED_AT, key: str = RECORD_ID) -> DataFrame:
+    """Taken requests without repeated deliveries: the first of each ``key`` stays.
+
+    On a stream a key is remembered until the watermark, ``delay`` behind the latest
+    ``received_at``, has passed it; a request that comes later than that is
+    late and not taken, so ``delay`` must cover how long a sender repeats. On a
+    batch every repeat goes. A null key is no key: such requests are the same if
+    time, attributes and content are. A null time never passes the watermark, so its key is kept.
+    """
+    same = F.when(F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key))).otherwise(F.concat(F.lit("r"), F.sha2(
+        F.to_json(F.struct(F.col(received_at).alias("t"), F.array_sort(F.map_entries(ATTRIBUTES)).alias("a"),
+                           F.col(CONTENT).alias("c"))), 256)))
+    keyed = df.withColumn("__request", same)
+    if df.isStreaming:
+        kept = keyed.withWatermark(received_at, delay).dropDuplicatesWithinWatermark(["__request"])
+    else:
+        kept = keyed.dropDuplicates(["__request"])
+    return kept.drop("__request")
