@@ -13,8 +13,10 @@ def read_log(spark: SparkSession, path: str, stream: bool = False, whole_file: b
     return spark.read.text(path, wholetext=whole_file)
 
 
-def read_log_blocks(spark: SparkSession, path: str, stream: bool = False, head: str = "Logging record ") -> DataFrame:
-    """``line STRING``: one row per log block, as ``log_lines`` wrote it (batch or stream).
+def read_log_blocks(spark: SparkSession, path: str | list[str], stream: bool = False, head: str = "Logging record ",
+                    file: str | None = None) -> DataFrame:
+    """``line STRING``: one row per log block, as ``log_lines`` wrote it (batch or stream);
+    ``file`` names a column for the path of the block's file.
 
     The text source splits where a line begins with ``head``; a block's own
     texts hold no line end, so they cannot begin one.
@@ -22,4 +24,5 @@ def read_log_blocks(spark: SparkSession, path: str, stream: bool = False, head:
     reader = spark.readStream if stream else spark.read
     raw = F.rtrim(F.col("value"), F.lit("\n"))
     line = F.when(F.startswith(raw, F.lit(head)), raw).otherwise(F.concat(F.lit(head), raw))
-    return reader.option("lineSep", "\n" + head).text(path).select(line.alias("line"))
+    where = [F.col("_metadata.file_path").alias(file)] if file else []
+    return reader.option("lineSep", "\n" + head).text(path).select(line.alias("line"), *where)
