@@ -73,7 +73,9 @@ def intake_once(df: DataFrame, delay: str, received_at: str = CREATED_AT, key: s
     ``received_at``, has passed it; a request that comes later than that is
     late and not taken, so ``delay`` must cover how long a sender repeats. On a
     batch every repeat goes. A null key is no key: such requests are the same if
-    time, attributes and content are. A null time never passes the watermark, so its key is kept.
+    time, attributes and content are. On a stream a request with a null time is
+    remembered within its micro-batch only, so a repeat in a later one is taken
+    again: fill the time before where a sender leaves it out.
     """
     same = F.when(F.col(key).isNotNull(), F.concat(F.lit("k"), F.col(key))).otherwise(F.concat(F.lit("r"), F.sha2(
         F.to_json(F.struct(F.col(received_at).alias("t"), F.array_sort(F.map_entries(ATTRIBUTES)).alias("a"),

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from flowspark.operators import condition_counts, fan_in, route_by_table, rule_index, unmatched_by_table
 from flowspark.session import work_dir
-from flowspark.sources import intake_once
+from flowspark.sources import intake, intake_once, read_requests
+from flowspark.streaming import run_to_end, start_file_sink
 
 RULES = "rule string, attribute string, value string"
 RECORDS = "id long, attributes map<string,string>, attribute string, rule string, relationship string"
@@ -83,3 +84,16 @@ def test_intake_once_on_a_batch(spark):
                                 (None, None, {"l": "w", "k": "v"}, "x", 1), (None, None, {"k": "v"}, "x", 1)], schema)
     out = intake_once(df.withColumn("created_at", F.expr(t)), "1 hour").collect()
     assert sorted(str(r.record_id) for r in out) == ["None", "None", "a"] and len(out[0]) == 5
+
+
+def test_intake_once_on_a_stream_and_without_a_time(spark):
+    base = work_dir(spark, "intake_once")
+    for _ in range(2):
+        spark.sql("""select 'POST' method, 'http://a/b' url, map('X-Id', id) headers, 'x' body, cast(t as timestamp) received_at
+                     from values ('no time', null), ('timed', '2024-01-01 00:00:00') v(id, t)
+                  """).coalesce(1).write.mode("append").json(f"{base}/in")
+        taken = intake(read_requests(spark, f"{base}/in", stream=True), "/", record_id=F.col("headers")["X-Id"])
+        run_to_end(start_file_sink(intake_once(taken, "1 day").select("record_id"), f"{base}/out", f"{base}/cp",
+                                   available_now=True))
+    out = spark.read.schema("record_id string").parquet(f"{base}/out").collect()
+    assert sorted(r.record_id for r in out) == ["no time", "no time", "timed"]  # as the docstring says
