@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from flowspark.functions.parse import duration_ms
 from flowspark.streaming.alerts import event_time, wall_clock
 
 HEARTBEAT = "beat_at timestamp"
+SPAN_US = 24 * 3600 * 1_000_000
 
 
 def trailing_counts(df: DataFrame, key: str, ts: str, event_id: str, period: str, delay: str) -> DataFrame:
@@ -26,48 +28,58 @@ def trailing_counts(df: DataFrame, key: str, ts: str, event_id: str, period: str
     from every event backwards, so this is keyed state with event-time timers,
     which runs Python workers on Arrow batches.
 
-    State per key: the times back to the watermark less the period, and the ids of
+    A key's events are dealt by time into spans of a day, or of a period if that is longer, so that a key
+    with most of the events is many groups. An event less than a period before its span's end goes to
+    the next span too, where it is counted and not reported.
+
+    State per key and span: the times back to the watermark less the period, and the ids of
     events after the watermark, whose counts may still change. A timer drops
-    the state of a key that went quiet. Events with a null time, or behind the
+    the state of a span that went quiet. Events with a null time, or behind the
     watermark, are dropped, as windows drop them; repeated ids count each time.
     """
     period_us, delay_us = (duration_ms(x) * 1000 for x in (period, delay))
+    span_us = max(period_us, SPAN_US)
     ntz = isinstance(df.schema[ts].dataType, T.TimestampNTZType)
     kind, id_kind = (df.schema[c].dataType.simpleString() for c in (key, event_id))
     src = event_time(df.select(key, event_id, ts), ts).filter(F.col(ts).isNotNull())
     src = src.select(F.col(key).alias("k"), F.col(event_id).alias("e"), F.col(ts).alias("t"),
                      F.unix_micros(ts).alias("us")).withWatermark("t", f"{delay_us} microseconds")
+    first, last = (F.floor((F.col("us") + x) / span_us) for x in (F.lit(0), F.lit(period_us)))
+    src = src.withColumn("own", first).withColumn("span", F.explode(F.sequence(first, last)))
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, open_us, open_ids, told = state.get if state.exists else ([], [], [], [])
+        times, open_us, open_ids, told = state.get if state.exists else (b"", b"", [], b"")
+        times, open_us, told = (np.frombuffer(x, np.int64) for x in (times, open_us, told))
         floor = state.getCurrentWatermarkMs() * 1000
         if state.hasTimedOut:
-            new_us, new_ids = [], []
+            new_us = own_us = np.zeros(0, np.int64)
+            new_ids = []
         else:
             rows = pd.concat(list(frames))
             rows = rows[rows["us"] >= floor]
-            new_us, new_ids = rows["us"].tolist(), rows["e"].tolist()
-        every = pd.Series(sorted([*times, *new_us]), dtype="int64")
-        us = pd.Series([*open_us, *new_us], dtype="int64")
-        ids = [*open_ids, *new_ids]
-        n = (every.searchsorted(us, side="right") - every.searchsorted(us - period_us, side="left")).tolist()
-        before = [*told, *[-1] * len(new_us)]
-        changed = [i for i, (a, b) in enumerate(zip(n, before)) if a != b]
-        yield pd.DataFrame({"k": pd.Series([k[0]] * len(changed), dtype=object), "e": pd.Series([ids[i] for i in changed], dtype=object),
-                            "us": pd.Series([int(us.iloc[i]) for i in changed], dtype="int64"),
-                            "n": pd.Series([n[i] for i in changed], dtype="int64")})
-        keep = [i for i in range(len(ids)) if us.iloc[i] >= floor]
-        kept = every[every >= floor - period_us].tolist()
-        if kept:
-            state.update((kept, [int(us.iloc[i]) for i in keep], [ids[i] for i in keep], [n[i] for i in keep]))
-            # nothing of this key matters once the watermark is past its last time and the period after it
-            state.setTimeoutTimestamp(max(floor // 1000 + 1, (kept[-1] + period_us) // 1000 + 1))
+            new_us = rows["us"].to_numpy()
+            rows = rows[rows["own"] == k[1]]
+            own_us, new_ids = rows["us"].to_numpy(), rows["e"].tolist()
+        every = np.sort(np.concatenate([times, new_us]))
+        us = np.concatenate([open_us, own_us])
+        ids = np.empty(len(us), dtype=object)
+        ids[:] = [*open_ids, *new_ids]
+        n = np.searchsorted(every, us, side="right") - np.searchsorted(every, us - period_us, side="left")
+        changed = n != np.concatenate([told, np.full(len(own_us), -1)])
+        yield pd.DataFrame({"k": pd.Series([k[0]] * int(changed.sum()), dtype=object),
+                            "e": pd.Series(ids[changed], dtype=object), "us": us[changed], "n": n[changed]})
+        keep = us >= floor
+        kept = every[every >= floor - period_us]
+        if len(kept):
+            state.update((kept.tobytes(), us[keep].tobytes(), ids[keep].tolist(), n[keep].tobytes()))
+            # nothing of this span matters once the watermark is past its last time and the period after it
+            state.setTimeoutTimestamp(max(floor // 1000 + 1, (int(kept[-1]) + period_us) // 1000 + 1))
         else:
             state.remove()
 
-    out = src.groupBy("k").applyInPandasWithState(
+    out = src.groupBy("k", "span").applyInPandasWithState(
         update, f"k {kind}, e {id_kind}, us bigint, n bigint",
-        f"times array<bigint>, open_us array<bigint>, open_ids array<{id_kind}>, told array<bigint>",
+        f"times binary, open_us binary, open_ids array<{id_kind}>, told binary",
         "update", GroupStateTimeout.EventTimeTimeout)
     at = F.timestamp_micros("us")
     return out.select(F.col("k").alias(key), F.col("e").alias(event_id), (wall_clock(at) if ntz else at).alias(ts),

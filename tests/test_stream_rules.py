@@ -57,6 +57,21 @@ def test_trailing_counts_hold_the_period_only(spark):
     assert got == {100 * k + i: min(i, 10) + 1 for k in range(4) for i in range(100)}
 
 
+def test_trailing_counts_deal_a_hot_key_by_time(spark):
+    base = work_dir(spark, "trailing_spans")
+    rnd = random.Random(7)
+    rows = [(i, "hot", T0 + dt.timedelta(seconds=rnd.randrange(-900, 900) + 86400 * rnd.randrange(1, 5)))
+            for i in range(400)]  # around midnights, in no order
+    for k in (0, 200):
+        land(spark, f"{base}/in", rows[k:k + 200])
+    df = trailing_counts(stream_path(spark, f"{base}/in", max_files_per_trigger=1), "k", "ts", "id", "600 sec", "10 days")
+    q = run_to_end(start_snapshot_sink(df, f"{base}/out", f"{base}/cp", available_now=True))
+    got = {r.id: r.n_recent for r in latest_snapshot(spark, f"{base}/out", "id").collect()}
+    assert got == exact(rows, 600)
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(states) > 3  # the one key is several groups
+
+
 def test_spikes_in_one_streaming_query_equal_the_batch(spark):
     base = work_dir(spark, "spikes")
     rnd = random.Random(5)
