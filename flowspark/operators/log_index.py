@@ -1,16 +1,20 @@
-"""Search in a log that skips files: a bit table of character triples beside each file.
+"""Search in a log that skips files: a bit table of byte triples beside each file.
 
 The log stays plain text. Beside it lies a table with one bit per hashed triple
-of neighbouring characters that occurs in a file's blocks, built by Spark's own
-bitmap aggregate. A search asks the table first: a file without a triple of the
+of neighbouring bytes (in UTF-8) that occurs in a file's blocks, built by Spark's own
+bitmap aggregate from the triples that each task found in its blocks. A search asks the table first: a file without a triple of the
 text cannot hold the text. The files that are left are scanned and every block is
 tested, so a bit set by chance costs a file read and not a result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +23,7 @@ from flowspark.sources.logs import read_log_blocks
 
 GRAM = 3
 BITS = 1 << 20  # per file: 32 bitmaps of Spark's 32,768 bits, 128 KB in all
+CHUNK = 1 << 22  # bytes of a file's blocks looked at together
 
 
 def _paths(files: list[str]) -> list[str]:
@@ -31,14 +36,36 @@ def _one_form(file: Column) -> Column:
     return F.regexp_replace(file, "^([^:/]+):///", "$1:/")
 
 
-def _slot(gram: Column) -> Column:
-    return F.xxhash64(gram).bitwiseAND(F.lit(BITS - 1))
+def _slot(code: Column) -> Column:
+    return F.xxhash64(code).bitwiseAND(F.lit(BITS - 1))
 
 
-def _grams(text: Column) -> Column:
-    """The slots of all triples of a text, each once; a text of fewer characters has none."""
-    at = F.when(F.length(text) >= GRAM, F.sequence(F.lit(1), F.length(text) - (GRAM - 1)))
-    return F.array_distinct(F.transform(at, lambda i: _slot(F.substr(text, i, F.lit(GRAM)))))
+def _triples(blocks: DataFrame) -> DataFrame:
+    """(file, code) of the columns (file, line): the byte triples of each file's blocks, as numbers; each once
+    for a batch of blocks, whatever their number and length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = pc.fill_null(batch.column(1), "").cast(pa.large_binary())
+            offsets = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset:lines.offset + len(lines) + 1]
+            data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)
+            file = pc.dictionary_encode(batch.column(0)).indices.to_numpy()
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(file)) + 1, [len(file)]])
+            for i, j in zip(bounds[:-1], bounds[1:]):  # blocks of one file lie together
+                seen = np.zeros(1 << 8 * GRAM, bool)
+                for at in range(offsets[i], offsets[j], CHUNK):
+                    part = data[at:min(at + CHUNK + GRAM - 1, offsets[j])].astype(np.int32)
+                    n = max(len(part) - GRAM + 1, 0)
+                    whole = np.ones(n, bool)  # the triple does not run into the next block
+                    for k in range(1, GRAM):
+                        cut = offsets[i + 1:j + 1] - k - at
+                        whole[cut[(cut >= 0) & (cut < n)]] = False
+                    seen[sum(part[k:n + k] << 8 * k for k in range(GRAM))[whole]] = True
+                codes = np.flatnonzero(seen)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(batch.column(0)[int(i)], len(codes)), pa.array(codes, pa.int64())], ["file", "code"])
+
+    return blocks.mapInArrow(run, "file string, code bigint")
 
 
 def gram_table(blocks: DataFrame, file: str = "file", line: str = "line") -> DataFrame:
@@ -47,7 +74,8 @@ def gram_table(blocks: DataFrame, file: str = "file", line: str = "line") -> Dat
     (file, triple) pairs are made distinct before a file's bits are set, so the blocks of
     one large file are spread over tasks, and at most ``BITS`` rows of it meet in one.
     """
-    slots = blocks.select(_one_form(F.col(file)).alias(file), F.explode(_grams(F.col(line))).alias("slot")).distinct()
+    triples = _triples(blocks.select(F.col(file).alias("file"), F.col(line).alias("line")))
+    slots = triples.select(_one_form(F.col("file")).alias(file), _slot(F.col("code")).alias("slot")).distinct()
     return (slots.groupBy(file, F.bitmap_bucket_number("slot").alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")))
 
@@ -78,8 +106,10 @@ def index_log(spark: SparkSession, path: str, index_path: str, head: str = "Logg
 
 
 def files_with(spark: SparkSession, index_path: str, text: str) -> DataFrame:
-    """(file): the indexed files that can hold ``text``; all of them if it has fewer than three characters."""
-    asked = spark.range(1).select(F.explode(_grams(F.lit(text))).alias("slot")).select(
+    """(file): the indexed files that can hold ``text``; all of them if it has fewer than three bytes."""
+    data = text.encode()
+    codes = {int.from_bytes(data[i:i + GRAM], "little") for i in range(len(data) - GRAM + 1)}
+    asked = spark.createDataFrame([(c,) for c in codes], "code bigint").select(_slot(F.col("code")).alias("slot")).select(
         F.bitmap_bucket_number("slot").alias("bucket"), F.bitmap_bit_position("slot").alias("bit"))
     wanted = [(r.bucket, r.bit) for r in asked.distinct().collect()]  # as many as the text has characters
     files = spark.read.parquet(f"{index_path}/files").distinct()

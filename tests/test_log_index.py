@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from flowspark.operators import files_with, index_log, search_log, write_log
-from flowspark.operators.log_index import _paths, gram_table
+from flowspark.operators import log_index
+from flowspark.operators.log_index import _paths, _triples, gram_table
 from flowspark.session import work_dir
 from flowspark.sources import read_log_blocks
 
@@ -61,3 +62,13 @@ def test_a_file_has_at_most_its_bits(spark):
     table = gram_table(words).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("bits")).alias("b")).first()
     assert table.n <= 33 and table.b == 4096
     assert gram_table(words.select("file", F.lit(None).cast("string").alias("line"))).count() == 0
+
+
+def test_a_task_sends_each_triple_of_a_file_once(spark, monkeypatch):
+    monkeypatch.setattr(log_index, "CHUNK", 7)
+    lines = ["abcabc" * 500, "", None, "ab", "c\u00c4\U0001f34ed", "x", "yz"]
+    rows = [(f, line) for f in ("f", "g") for line in lines]
+    got = [tuple(r) for r in _triples(spark.createDataFrame(rows, "file string, line string").coalesce(1)).collect()]
+    texts = [(f, line.encode()) for f, line in rows if line]
+    want = {(f, int.from_bytes(t[i:i + 3], "little")) for f, t in texts for i in range(len(t) - 2)}
+    assert len(got) == len(want) and set(got) == want
