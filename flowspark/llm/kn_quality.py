@@ -1,16 +1,21 @@
 """Operator 10: quality by perplexity under interpolated modified Kneser-Ney models.
 
-One model of byte n-grams (order 4) per language, counted over all trusted text:
+One model of byte n-grams (order 6, a word of the usual length and its blank) per
+language, counted over all trusted text:
 
 1. N-gram counts: each task counts its texts' n-grams, partial counts are summed by
-   n-gram. Lower orders count in how many n-grams each suffix continues.
+   n-gram. Lower orders count in how many n-grams each suffix continues. A text is
+   counted where it is read if its id passes the bit table of the trusted ids and not
+   the one of the untrusted ids that pass that by chance; only the few texts that pass
+   both are shuffled, to a join with the ids that decides.
 2. Discounts follow from the counts of counts; context totals and the
    probabilities of the next lower order are joined to the counts by (language, n-gram), so
    every step is spread over shards of n-grams.
 3. The model is a table: probability of each n-gram, back-off weight of each context.
-   Documents of a language are dealt into blocks of about ``BLOCK_BYTES``, the
-   model's rows to each block of their language; a block is scored with its
-   model beside it. Nothing is sent to all executors or through the driver.
+   Texts travel as packs, compressed symbols of one language, dealt into
+   blocks of about ``BLOCK_BYTES`` of text; the model's rows, packed as well, go to
+   each block of their language, and a block is scored pack by pack with its
+   model beside it. Nothing is sent to all executors or through the driver but bit tables.
 4. A document is kept if its perplexity (per byte) is at most the language's
    threshold: a quantile over the trusted documents' perplexities, from exact
    counts of values rounded up to a thousandth, times ``MARGIN``.
@@ -30,6 +35,7 @@ threshold is kept.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +43,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspark.llm.tables import Scratch
-from flowspark.llm.textbytes import LOWER, slices
+from flowspark.llm.tables import KeyBits, Scratch
+from flowspark.llm.textbytes import LOWER, SLICE_BYTES, slices
 from flowspark.llm.workers import import_path, map_arrow
 
-ORDER = 4
+ORDER = 6                 # the highest whose n-grams fit a signed 64-bit number with room for a shift
+PACK_BYTES = 1 << 19      # text in a pack
+PACK_LEVEL = 6            # of the packs' compression
 QUANTILE = 0.999
 MARGIN = 1.5              # trusted text was counted in the model, so it scores better than unseen text as good
 LEAST_DISCOUNT = 0.1      # keeps every back-off weight positive
@@ -59,18 +67,19 @@ def _symbol_table() -> np.ndarray:
 SYMBOL = _symbol_table()
 
 
-def ngram_codes(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """Each byte's n-gram as a number, a byte a symbol, 0 before the text; and the text it is in."""
-    symbols = SYMBOL[data].astype(np.int64)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    place = np.arange(len(data)) - offsets[:-1][text]
-    code = symbols.copy()
+def ngram_codes(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """Each byte's n-gram as a number, a byte a symbol, 0 before the text."""
+    symbols = SYMBOL[data]
+    code = symbols.astype(np.int64)
     for k in range(1, order):
-        before = np.zeros_like(symbols)
+        before = np.zeros(len(symbols), np.int64)
         before[k:] = symbols[:-k]
-        before[place < k] = 0
-        code |= before << (8 * k)
-    return code, text
+        for place in range(k):
+            first = offsets[:-1] + place
+            before[first[first < offsets[1:]]] = 0
+        before <<= 8 * k
+        code |= before
+    return code
 
 
 def _lowered(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -79,24 +88,72 @@ def _lowered(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
 
-def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, g, c): counts of the highest order's n-grams in the columns (lang, t)."""
+def _by_language(batch: pa.RecordBatch, limit: int = SLICE_BYTES
+                 ) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(lang, rows, offsets, bytes) of the lower-cased texts, about ``limit`` bytes of one language at once."""
+    if not batch.num_rows:
+        return
+    rows = batch.take(pc.sort_indices(batch.column("lang")))
+    code = pc.dictionary_encode(rows.column("lang")).indices.to_numpy()
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(code)) + 1, [len(code)]]).tolist()
+    for i, j in zip(bounds[:-1], bounds[1:]):
+        for part, _, _ in slices(rows.slice(i, j - i), "t", limit):
+            for part, offsets, data in slices(_lowered(part), "t", 2 * limit):
+                yield part.column("lang")[0].as_py(), part, offsets, data
+
+
+def _partial_counts(texts: DataFrame, order: int, among: KeyBits | None = None, but: KeyBits | None = None) -> DataFrame:
+    """(lang, g, c) of each task's texts whose key k passes ``among`` and not ``but``."""
 
     def run(batches):
         for batch in batches:
-            for rows, offsets, data in slices(_lowered(batch), "t"):
-                langs = pc.dictionary_encode(rows.column("lang"))
-                code, text = ngram_codes(data, offsets, order)
-                lang_of = langs.indices.to_numpy().astype(np.int64)[text]
-                key, n = np.unique(lang_of << (8 * order) | code, return_counts=True)
-                names = langs.dictionary.take(pa.array(key >> (8 * order)))
+            if among is not None:
+                k = batch.column("k").to_numpy()
+                batch = batch.filter(pa.array(among.test(k) & ~but.test(k)))
+            for lang, _, offsets, data in _by_language(batch):
+                g, n = np.unique(ngram_codes(data, offsets, order), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(key & ((1 << 8 * order) - 1)), pa.array(n.astype(np.int64))], ["lang", "g", "c"])
+                    [pa.repeat(lang, len(g)), pa.array(g), pa.array(n.astype(np.int64))], ["lang", "g", "c"])
+
+    columns = ["lang", "t"] if among is None else ["lang", "t", "k"]
+    return map_arrow(texts.select(*columns), run, "lang string, g bigint, c bigint")
 
-    part = map_arrow(texts.select("lang", "t"), run, "lang string, g bigint, c bigint")
+
+def _summed(part: DataFrame) -> DataFrame:
     return part.groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
+def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, g, c): counts of the highest order's n-grams in the columns (lang, t)."""
+    return _summed(_partial_counts(texts, order))
+
+
+def trusted_counts(texts: DataFrame, ids: DataFrame, order: int = ORDER) -> DataFrame:
+    """``ngram_counts`` of the texts (i, lang, t) whose id is among ``ids`` (i, distinct, not null)."""
+    if texts.schema["i"].dataType != ids.schema["i"].dataType:
+        return ngram_counts(texts.join(ids, "i", "left_semi"), order)
+    key = F.xxhash64("i")
+    texts = texts.filter(F.col("i").isNotNull()).withColumn("k", key)
+    among = KeyBits(ids.select(key.alias("k")), "k")
+
+    def passing(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(among.test(batch.column("k").to_numpy())))
+
+    kind = texts.schema["i"].dataType.simpleString()
+    chance = map_arrow(texts.select("i", "k"), passing, f"i {kind}, k bigint").join(ids, "i", "left_anti")
+    but = KeyBits(chance.select("k").distinct(), "k")
+
+    def doubtful(batches):
+        for batch in batches:
+            k = batch.column("k").to_numpy()
+            yield batch.filter(pa.array(among.test(k) & but.test(k)))
+
+    rest = map_arrow(texts.select("i", "lang", "t", "k"), doubtful, f"i {kind}, lang string, t string, k bigint")
+    return _summed(_partial_counts(texts, order, among, but).union(
+        _partial_counts(rest.join(ids, "i", "left_semi"), order)))
+
+
 def _discounts(counts: DataFrame) -> DataFrame:
     """(lang, d1, d2, d3): the modified discounts of one order, clipped to what they discount."""
     t = [F.sum(F.when(F.col("c") == k, 1).otherwise(0)).cast("double").alias(f"t{k}") for k in range(1, 5)]
@@ -177,43 +234,97 @@ class Model:
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits each text costs."""
-        code, text = ngram_codes(data, offsets, self.order)
-        keys = np.sort(text << (8 * self.order) | code)
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else keys
-        count = np.diff(np.append(first, len(keys)))
-        cost = -np.log2(self.probabilities(keys[first] & ((1 << 8 * self.order) - 1)))
-        return np.bincount(keys[first] >> (8 * self.order), count * cost, len(offsets) - 1)
+        every, at = np.unique(ngram_codes(data, offsets, self.order), return_inverse=True)
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        return np.bincount(text, -np.log2(self.probabilities(every))[at], len(offsets) - 1)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(kind).ravel()
+
+
+def _model_packs(model: DataFrame) -> DataFrame:
+    """(lang, m, pack): the model's rows, m in a pack."""
+
+    def run(batches):
+        zstd = pa.Codec("zstd")
+        for batch in batches:
+            langs = pc.dictionary_encode(batch.column("lang"))
+            of = langs.indices.to_numpy()
+            kind, n, g, value = (batch.column(c).to_numpy() for c in ("kind", "n", "g", "value"))
+            for x, lang in enumerate(langs.dictionary.to_pylist()):
+                at = np.flatnonzero(of == x)
+                at = at[np.lexsort((g[at], n[at], kind[at]))]
+                pack = zstd.compress(kind[at].astype(np.int8).tobytes() + n[at].astype(np.int8).tobytes()
+                                     + _planes(np.diff(g[at], prepend=0)) + _planes(value[at]), asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([len(at)]), pa.array([pack], pa.binary())],
+                                                 ["lang", "m", "pack"])
+
+    return map_arrow(model.select("lang", "kind", "n", "g", "value"), run, "lang string, m bigint, pack binary")
+
+
+def _unpacked(packs: pa.Table, order: int) -> Model:
+    zstd, parts = pa.Codec("zstd"), [(np.zeros(0, np.int8), np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0))]
+    for m, pack in zip(packs.column("m").to_pylist(), packs.column("pack")):
+        raw = zstd.decompress(pack.as_buffer(), 18 * m, asbytes=True)
+        parts.append((np.frombuffer(raw, np.int8, m), np.frombuffer(raw, np.int8, m, m),
+                      np.cumsum(_from_planes(raw[2 * m:10 * m], np.int64)), _from_planes(raw[10 * m:], np.float64)))
+    return Model(*(np.concatenate(x) for x in zip(*parts)), order)
+
+
+def _text_packs(docs: DataFrame) -> DataFrame:
+    """(lang, ids, sizes, pack): texts of one language as compressed symbols, with their ids and bytes."""
+
+    def run(batches):
+        zstd = pa.Codec("zstd", compression_level=PACK_LEVEL)
+        for batch in batches:
+            for lang, rows, offsets, data in _by_language(batch, PACK_BYTES):
+                whole = pa.array([0, rows.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang]), pa.ListArray.from_arrays(whole, rows.column("i")),
+                     pa.ListArray.from_arrays(whole, pa.array(np.diff(offsets))),
+                     pa.array([zstd.compress(SYMBOL[data].tobytes(), asbytes=True)], pa.binary())],
+                    ["lang", "ids", "sizes", "pack"])
+
+    kind = docs.schema["i"].dataType.simpleString()
+    return map_arrow(docs.select("i", "lang", "t"), run,
+                     f"lang string, ids array<{kind}>, sizes array<bigint>, pack binary")
 
 
-def _perplexities(docs: DataFrame, model: DataFrame, blocks: dict[str, int], order: int) -> DataFrame:
-    """(i, lang, d, n_bytes, perplexity) of the columns (i, lang, d, t)."""
+def _perplexities(docs: DataFrame, packs: DataFrame, blocks: dict[str, int], order: int) -> DataFrame:
+    """(i, lang, n_bytes, perplexity) of the columns (i, lang, t), under the model in ``_model_packs``."""
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = Model(*(right.column(c).to_numpy() for c in ("kind", "n", "g", "value")), order)
-        out = []
-        for batch in left.select(["i", "lang", "d", "t"]).combine_chunks().to_batches(max_chunksize=4096):
-            for rows, offsets, data in slices(_lowered(batch), "t"):
-                n = np.diff(offsets)
-                bits = own.bits(data, offsets)
+        out = [pa.RecordBatch.from_arrays([pa.array([], left.schema.field("ids").type.value_type), pa.array([], pa.string()),
+                                           pa.array([], pa.int64()), pa.array([], pa.float64())], names)]
+        own, zstd = _unpacked(right, order), pa.Codec("zstd")
+        for batch in left.to_batches():
+            for x in range(batch.num_rows):
+                n = batch.column("sizes")[x].values.to_numpy()
+                offsets = np.concatenate([[0], np.cumsum(n)])
+                data = np.frombuffer(zstd.decompress(batch.column("pack")[x].as_buffer(), int(offsets[-1])), np.uint8)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    value = np.exp2(bits / n)
+                    value = np.exp2(own.bits(data, offsets) / n)
                 out.append(pa.RecordBatch.from_arrays(
-                    [rows.column("i"), rows.column("lang"), rows.column("d"), pa.array(n),
-                     pa.array(value, mask=n == 0)], ["i", "lang", "d", "n_bytes", "perplexity"]))
-        return pa.Table.from_batches(out) if out else pa.table(
-            {"i": pa.array([], left.schema.field("i").type), "lang": pa.array([], pa.string()),
-             "d": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()),
-             "perplexity": pa.array([], pa.float64())})
+                    [batch.column("ids")[x].values, pa.repeat(batch.column("lang")[x], len(n)), pa.array(n),
+                     pa.array(value, mask=n == 0)], names))
+        return pa.Table.from_batches(out)
 
+    names = ["i", "lang", "n_bytes", "perplexity"]
     import_path(docs.sparkSession)
     pairs = [x for k, v in blocks.items() for x in (F.lit(k), F.lit(v))]
     many = F.element_at(F.create_map(*pairs), F.col("lang")) if pairs else F.lit(1)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("d"), many))
-    sent = model.withColumn("block", F.explode(
+    dealt = _text_packs(docs).withColumn("block", F.pmod(F.xxhash64("ids", "pack"), many))
+    sent = packs.withColumn("block", F.explode(
         F.sequence(F.lit(0).cast("bigint"), F.coalesce(many, F.lit(1)).cast("bigint") - 1)))
     kind = docs.schema["i"].dataType.simpleString()
     return (dealt.groupBy("lang", "block").cogroup(sent.groupBy("lang", "block"))
-            .applyInArrow(score, f"i {kind}, lang string, d bigint, n_bytes bigint, perplexity double"))
+            .applyInArrow(score, f"i {kind}, lang string, n_bytes bigint, perplexity double"))
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
@@ -240,10 +351,10 @@ def perplexity_quality(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "d
     """
     scratch = Scratch(docs.sparkSession, "kn_quality")
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(lang_col, F.lit("")).alias("lang"),
-                        F.xxhash64(id_col, text_col).alias("d"), F.col(text_col).alias("t"))
+                        F.col(text_col).alias("t"))
     ids = scratch.save(trusted_ids.select(F.col(id_col).alias("i")).filter(F.col("i").isNotNull()).distinct(), "ids")
-    counts = scratch.save(ngram_counts(texts.join(ids, "i", "left_semi"), order), f"counts{order}")
-    model = scratch.save(kneser_ney(counts, scratch, order), "model")
+    counts = scratch.save(trusted_counts(texts, ids, order), f"counts{order}")
+    model = scratch.save(_model_packs(kneser_ney(counts, scratch, order)), "model")
     sizes = texts.groupBy("lang").agg(F.sum(F.octet_length("t")).alias("n")).collect()  # a row a language
     blocks = {r.lang: max(1, math.ceil((r.n or 0) / block_bytes)) for r in sizes}
     scored = scratch.save(_perplexities(texts, model, blocks, order), "scored")

@@ -88,3 +88,33 @@ def test_threshold_is_the_quantile_times_the_margin(spark):
     df = spark.createDataFrame(rows, "lang string, perplexity double, trusted boolean")
     got = {r.lang: r.threshold for r in K.thresholds(df, 0.5, 2.0).collect()}
     assert got == {"a": 100.0, "b": 14.0}
+
+
+def test_the_model_has_n_grams_of_six_bytes(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").filter("lang = 'es'")
+    trusted = spark.read.parquet(f"{SF_SMALL}/labels.parquet").filter("quality = 1").select("doc_id")
+    rows, ids = docs.collect(), {r.doc_id for r in trusted.collect()}
+    p = plain_model([r.text for r in rows if r.doc_id in ids], 6)
+    got = {r.doc_id: r.perplexity for r in K.perplexity_quality(docs, trusted).collect()}
+    for r in rows[:6]:
+        assert math.isclose(got[r.doc_id], perplexity(p, r.text, 6), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["long", "int"])
+def test_texts_are_counted_by_id_whatever_the_bit_tables_let_pass(spark, monkeypatch, kind):
+    small = K.KeyBits
+    monkeypatch.setattr(K, "KeyBits", lambda keys, column: small(keys, column, most=1 << 15))
+    texts = spark.range(20_000).select(F.when(F.col("id") % 50 != 3, F.col("id")).alias("i"), F.lit("x").alias("lang"),
+                                       F.concat(F.lit("t"), F.col("id").cast("string")).alias("t"))
+    ids = texts.filter("i % 2 = 0").select(F.col("i").cast(kind)).distinct()
+    want = K.ngram_counts(texts.filter("i % 2 = 0"))
+    got = K.trusted_counts(texts, ids)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_texts_travel_as_packs(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(
+        F.col("doc_id").alias("i"), "lang", F.col("text").alias("t"))
+    packs = K._text_packs(docs)
+    n = packs.agg(F.sum(F.octet_length("pack")), F.sum(F.size("ids"))).first()
+    assert n[1] == docs.count() and n[0] < 0.5 * docs.agg(F.sum(F.octet_length("t"))).first()[0]
