@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspark.llm.tables import KeyBits, Scratch
-from flowspark.llm.textbytes import LOWER, SLICE_BYTES, slices
+from flowspark.llm.textbytes import LOWER, slices
 from flowspark.llm.workers import import_path, map_arrow
 
 ORDER = 6                 # the highest whose n-grams fit a signed 64-bit number with room for a shift
@@ -54,6 +54,8 @@ QUANTILE = 0.999
 MARGIN = 1.5              # trusted text was counted in the model, so it scores better than unseen text as good
 LEAST_DISCOUNT = 0.1      # keeps every back-off weight positive
 BLOCK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20     # text of an Arrow batch that is copied at once
+COUNT_BYTES = 1 << 20     # text whose n-grams are counted at once
 
 
 def _symbol_table() -> np.ndarray:
@@ -70,16 +72,13 @@ SYMBOL = _symbol_table()
 def ngram_codes(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
     """Each byte's n-gram as a number, a byte a symbol, 0 before the text."""
     symbols = SYMBOL[data]
-    code = symbols.astype(np.int64)
-    for k in range(1, order):
-        before = np.zeros(len(symbols), np.int64)
-        before[k:] = symbols[:-k]
-        for place in range(k):
-            first = offsets[:-1] + place
-            before[first[first < offsets[1:]]] = 0
-        before <<= 8 * k
-        code |= before
-    return code
+    places = np.zeros((len(symbols), 8), np.uint8)  # of each number, its last byte first
+    for k in range(order):
+        places[k:, k] = symbols[:-k or None]
+    for place in range(order - 1):
+        first = offsets[:-1] + place
+        places[first[first < offsets[1:]], place + 1:] = 0
+    return places.view("<i8").ravel()
 
 
 def _lowered(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -88,18 +87,28 @@ def _lowered(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
 
-def _by_language(batch: pa.RecordBatch, limit: int = SLICE_BYTES
-                 ) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(lang, rows, offsets, bytes) of the lower-cased texts, about ``limit`` bytes of one language at once."""
-    if not batch.num_rows:
-        return
-    rows = batch.take(pc.sort_indices(batch.column("lang")))
-    code = pc.dictionary_encode(rows.column("lang")).indices.to_numpy()
-    bounds = np.concatenate([[0], np.flatnonzero(np.diff(code)) + 1, [len(code)]]).tolist()
-    for i, j in zip(bounds[:-1], bounds[1:]):
-        for part, _, _ in slices(rows.slice(i, j - i), "t", limit):
-            for part, offsets, data in slices(_lowered(part), "t", 2 * limit):
-                yield part.column("lang")[0].as_py(), part, offsets, data
+def _by_language(batch: pa.RecordBatch, limit: int) -> Iterator[tuple[str, pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(lang, rows, offsets, bytes) of the lower-cased texts, about ``limit`` bytes of one language at once.
+
+    Only ``CHUNK_BYTES`` of the batch are put in order at once, so that it isn't copied whole.
+    """
+    for chunk, _, _ in slices(batch, "t", CHUNK_BYTES):
+        rows = chunk.take(pc.sort_indices(chunk.column("lang")))
+        code = pc.dictionary_encode(rows.column("lang")).indices.to_numpy()
+        bounds = np.concatenate([[0], np.flatnonzero(np.diff(code)) + 1, [len(code)]]).tolist()
+        for i, j in zip(bounds[:-1], bounds[1:]):
+            for part, _, _ in slices(rows.slice(i, j - i), "t", limit):
+                for part, offsets, data in slices(_lowered(part), "t", 2 * limit):
+                    yield part.column("lang")[0].as_py(), part, offsets, data
+
+
+def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers and how often each stands; ``codes`` are sorted in place."""
+    codes.sort()
+    first = np.ones(len(codes), bool)
+    np.not_equal(codes[1:], codes[:-1], out=first[1:])
+    at = np.flatnonzero(first)
+    return codes[at], np.diff(at, append=len(codes))
 
 
 def _partial_counts(texts: DataFrame, order: int, among: KeyBits | None = None, but: KeyBits | None = None) -> DataFrame:
@@ -107,13 +116,14 @@ def _partial_counts(texts: DataFrame, order: int, among: KeyBits | None = None,
 
     def run(batches):
         for batch in batches:
-            if among is not None:
-                k = batch.column("k").to_numpy()
-                batch = batch.filter(pa.array(among.test(k) & ~but.test(k)))
-            for lang, _, offsets, data in _by_language(batch):
-                g, n = np.unique(ngram_codes(data, offsets, order), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(lang, len(g)), pa.array(g), pa.array(n.astype(np.int64))], ["lang", "g", "c"])
+            for chunk, _, _ in slices(batch, "t", CHUNK_BYTES):
+                if among is not None:
+                    k = chunk.column("k").to_numpy()
+                    chunk = chunk.filter(pa.array(among.test(k) & ~but.test(k)))
+                for lang, _, offsets, data in _by_language(chunk, COUNT_BYTES):
+                    g, n = _counted(ngram_codes(data, offsets, order))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(lang, len(g)), pa.array(g), pa.array(n.astype(np.int64))], ["lang", "g", "c"])
 
     columns = ["lang", "t"] if among is None else ["lang", "t", "k"]
     return map_arrow(texts.select(*columns), run, "lang string, g bigint, c bigint")
@@ -203,12 +213,14 @@ def kneser_ney(counts: DataFrame, scratch: Scratch, order: int = ORDER) -> DataF
 class Model:
     """One language's rows as sorted arrays."""
 
-    def __init__(self, kind: np.ndarray, n: np.ndarray, g: np.ndarray, value: np.ndarray, order: int):
+    def __init__(self, parts: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]], order: int):
+        """``parts``: pieces (g, value) of the rows by (kind, n); they are taken out as their table is made."""
         self.order, self.tables = order, {}
         for k in (0, 1):
             for m in range(order + 1):
-                at = np.flatnonzero((kind == k) & (n == m))
-                at = at[np.argsort(g[at], kind="stable")]
+                pieces = parts.pop((k, m), [(np.zeros(0, np.int64), np.zeros(0))])
+                g, value = (np.concatenate(x) for x in zip(*pieces))
+                at = np.argsort(g, kind="stable")
                 self.tables[k, m] = g[at], value[at]
 
     def _find(self, kind: int, n: int, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,12 +281,15 @@ def _model_packs(model: DataFrame) -> DataFrame:
 
 
 def _unpacked(packs: pa.Table, order: int) -> Model:
-    zstd, parts = pa.Codec("zstd"), [(np.zeros(0, np.int8), np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0))]
+    zstd, parts = pa.Codec("zstd"), {}
     for m, pack in zip(packs.column("m").to_pylist(), packs.column("pack")):
         raw = zstd.decompress(pack.as_buffer(), 18 * m, asbytes=True)
-        parts.append((np.frombuffer(raw, np.int8, m), np.frombuffer(raw, np.int8, m, m),
-                      np.cumsum(_from_planes(raw[2 * m:10 * m], np.int64)), _from_planes(raw[10 * m:], np.float64)))
-    return Model(*(np.concatenate(x) for x in zip(*parts)), order)
+        kind, n = np.frombuffer(raw, np.int8, m), np.frombuffer(raw, np.int8, m, m)
+        g, value = np.cumsum(_from_planes(raw[2 * m:10 * m], np.int64)), _from_planes(raw[10 * m:], np.float64)
+        cuts = np.flatnonzero((np.diff(kind) != 0) | (np.diff(n) != 0)) + 1  # a pack is sorted by kind and n
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), m]):
+            parts.setdefault((int(kind[i]), int(n[i])), []).append((g[i:j].copy(), value[i:j].copy()))
+    return Model(parts, order)
 
 
 def _text_packs(docs: DataFrame) -> DataFrame:

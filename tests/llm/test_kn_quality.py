@@ -2,7 +2,10 @@
 
 import collections
 import math
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +121,46 @@ def test_texts_travel_as_packs(spark):
     packs = K._text_packs(docs)
     n = packs.agg(F.sum(F.octet_length("pack")), F.sum(F.size("ids"))).first()
     assert n[1] == docs.count() and n[0] < 0.5 * docs.agg(F.sum(F.octet_length("t"))).first()[0]
+
+
+def test_counting_holds_little_beside_an_arrow_batch(monkeypatch):
+    text = "the quick brown fox jumps over the lazy dog " * 100
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de"] * 4000, "t": [text] * 8000})
+    monkeypatch.setattr(K, "CHUNK_BYTES", 2 << 20, raising=False)
+    before, most = pa.total_allocated_bytes(), 0
+    for _, _, _, data in K._by_language(batch, 1 << 20):  # the batch isn't copied whole
+        most = max(most, pa.total_allocated_bytes() - before)
+    assert most < batch.nbytes / 3
+    tracemalloc.start()
+    codes = K.ngram_codes(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(codes) == len(data) and peak < 12 * len(data)
+
+
+def test_short_texts_and_counts_of_n_grams():
+    texts = [b"", b"a", b"abc", b"", b"abcdefghij", b"zz"]
+    offsets = np.cumsum([0, *map(len, texts)])
+    codes = K.ngram_codes(np.frombuffer(b"".join(texts), np.uint8), offsets, 6)
+    want = [int.from_bytes(t[max(0, k - 5):k + 1], "big") for t in texts for k in range(len(t))]
+    assert codes.tolist() == want
+    g, n = K._counted(np.array([5, 3, 5, 5, 3, 9]))
+    assert (g.tolist(), n.tolist()) == ([3, 5, 9], [2, 3, 1])
+    assert [x.tolist() for x in K._counted(np.zeros(0, np.int64))] == [[], []]
+
+
+def test_packed_models_come_back_as_sorted_tables():
+    rows = [(0, 1, 7, .5), (1, 0, 0, .25), (0, 1, 3, .125), (0, 2, 900, .75), (1, 1, 3, .5)]
+
+    def packed(some):
+        some = sorted(some)
+        kind, n, g, value = (np.array(x) for x in zip(*some))
+        raw = (kind.astype(np.int8).tobytes() + n.astype(np.int8).tobytes() + K._planes(np.diff(g, prepend=0))
+               + K._planes(value))
+        return len(some), pa.Codec("zstd").compress(raw, asbytes=True)
+
+    m, pack = zip(packed(rows[:2]), packed(rows[2:]))
+    tables = K._unpacked(pa.table({"m": m, "pack": pa.array(pack, pa.binary())}), 2).tables
+    assert {k: (g.tolist(), v.tolist()) for k, (g, v) in tables.items() if len(g)} == {
+        (0, 1): ([3, 7], [.125, .5]), (0, 2): ([900], [.75]), (1, 0): ([0], [.25]), (1, 1): ([3], [.5])}
+    assert not len(K._unpacked(pa.table({"m": pa.array([], pa.int64()), "pack": pa.array([], pa.binary())}), 2).tables[0, 1][0])
